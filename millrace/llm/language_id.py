@@ -181,7 +181,7 @@ def fit(docs: DataFrame, learn: Column, **of) -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with lang_pred and score added."""
     spark = docs.sparkSession
-    spans.small_batches(spark)
+    spans.prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

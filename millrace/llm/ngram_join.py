@@ -261,7 +261,7 @@ def _short_pairs(rows: DataFrame, in_long: DataFrame, percent: int) -> DataFrame
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short: int = SHORT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(rows, links): _id, n, node and label of each document, and the verified links a, b between nodes, enough to connect all that link."""
-    spans.small_batches(docs.sparkSession)
+    spans.prepare(docs.sparkSession)
     rows = written(signatures(docs, doc_id, text), "signatures")
     sorted_ = _postings(docs, text, percent, short, False).repartition("token").sortWithinPartitions("token", F.col("node").asc_nulls_first())
     lists = written(_runs(sorted_, short), "prefix_lists")

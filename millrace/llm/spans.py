@@ -7,8 +7,11 @@ unless an encoder sees it for the first time.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,17 @@ _INVERSE = pow(_ROOT, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def small_batches(spark) -> None:
-    """Bounds what Arrow hands to Python at once, also with very long texts."""
+def prepare(spark) -> None:
+    """Before Python runs on the executors: sends them this package, once a session, and bounds
+    what Arrow hands to Python at once, also with very long texts."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_sent", None) is None:
+        sc._millrace_sent = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace.zip"
+        top = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(sc._millrace_sent, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(sc._millrace_sent))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

@@ -161,7 +161,7 @@ def standing_edits(text: bytes) -> list[tuple[int, int, bytes]]:
 def count_with_edits(docs: DataFrame, tokenizer_json: str, edits: Callable[[bytes], list[tuple[int, int, bytes]]] = standing_edits, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens of the text, n_tokens_edited after its edits, and bytes that were encoded again for them."""
     spark = docs.sparkSession
-    spans.small_batches(spark)
+    spans.prepare(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,7 +199,7 @@ def word_encoder(tokenizer_json: str) -> tuple[spans.Encoder, list[bytes]]:
 def write_shards(docs: DataFrame, tokenizer_json: str, base: int, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes all texts and writes them as shards; returns the written table."""
     spark = docs.sparkSession
-    spans.small_batches(spark)
+    spans.prepare(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, base: int, doc_id: str =
 
 def read_shards(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """From the files: doc_id, start (tokens of all documents before it), n_tokens and ids_crc32 of each document."""
-    spans.small_batches(shards.sparkSession)
+    spans.prepare(shards.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
