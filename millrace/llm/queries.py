@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, ngram_join, quality_classifier, rule_ledger, sharding, token_counts, token_output, unigram
+from millrace.llm import decontamination, language_id, lm_scoring, ngram_join, quality_classifier, rule_ledger, sharding, token_counts, token_output, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = lm_scoring.in_training(F.col("doc_id"))
+    model, counts = lm_scoring.fit(docs.where(training))
+    return lm_scoring.score(docs, model, counts).select("doc_id", (~training).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), rule_ledger.POLICIES["standard"])
     base_failed = ~rule_ledger.passes(rule_ledger.POLICIES["base"])
