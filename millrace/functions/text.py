@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 #: ASCII characters that separate words, as Unicode-aware splitting sees them.
 ASCII_BLANKS = r"[\x09-\x0D\x1C-\x20]+"
@@ -16,7 +21,7 @@ def _unicode_canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-_unicode_udf = F.pandas_udf(_unicode_canonical, "string")
+_unicode_udf = F.pandas_udf(_unicode_canonical, StringType())
 
 
 def canonical(text: Column) -> Column:

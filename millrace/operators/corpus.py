@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Fixed values.
-PROMPT_LIMIT, CONTEXT_LIMIT, SHINGLE, FINGERPRINT = 8192, 40_960, 40, 96
+PROMPT_LIMIT, CONTEXT_LIMIT, LEAST_ITEM, FINGERPRINT = 8192, 40_960, 40, 96
+ANCHOR = 4
 BROADCAST_FINGERPRINTS = 20_000
 
 
@@ -30,25 +31,33 @@ def keep_first_reference(rows: DataFrame, id_: str, answer_hash: str, length: st
 
 def fingerprints(benchmark: DataFrame, text: str) -> DataFrame:
     """First characters of all canonical items that are long enough, once each.  text: a canonical column."""
-    return benchmark.where(F.length(text) >= SHINGLE).select(F.substring(text, 1, FINGERPRINT).alias("fingerprint")).distinct()
+    return benchmark.where(F.length(text) >= LEAST_ITEM).select(F.substring(text, 1, FINGERPRINT).alias("fingerprint")).distinct()
 
 
 def overlap(docs: DataFrame, key: str, text: str, marks: DataFrame, broadcast_most: int = BROADCAST_FINGERPRINTS) -> DataFrame:
-    """Keys of the documents that contain a fingerprint.
+    """Keys of the documents that contain a fingerprint, wherever it begins.
 
-    Each fingerprint has SHINGLE characters or more, so its first SHINGLE occur at some place of such a
-    document: an equi-join by that shingle's hash, then a comparison.  Only places whose shingle passes a hash set
-    of the marks are exploded when these are few enough for one; else all places take part in a shuffled join.
+    The words of a fingerprint but for its first and last are whole words of any text that contains it.  So up to
+    ANCHOR of them are its anchor: an equi-join by the anchor's hash, then the comparison.  While fingerprints are few
+    a document keeps only the places that a hash set of the anchors lets pass, and the marks are broadcast; else all places
+    are exploded and the join shuffles.  Fingerprints of one or two words have no anchor and are looked up in each text.
     """
-    marks = marks.select("fingerprint", F.xxhash64(F.substring("fingerprint", 1, SHINGLE)).alias("h"))
+    inner = F.split("fingerprint", " ")
+    size = F.least(F.size(inner) - 2, F.lit(ANCHOR))
+    marks = marks.select("fingerprint", size.alias("k"), F.when(size > 0, F.xxhash64(F.slice(inner, 2, F.greatest(size, F.lit(1))))).alias("h"))
     few = marks.count() <= broadcast_most
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - SHINGLE + 1, F.lit(1)))
-    places = F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring(F.col(text), i, F.lit(SHINGLE))).alias("h")))
-    if few:
-        hashes = [r["h"] for r in marks.select("h").distinct().collect()]
-        places = F.filter(places, lambda p: p["h"].isin(hashes)) if hashes else F.filter(places, lambda p: F.lit(False))
-    found = docs.select(key, text, F.explode(places).alias("p")).select(key, "p.h", F.substring(F.col(text), F.col("p.i"), F.lit(FINGERPRINT)).alias("piece"))
-    return found.join(F.broadcast(marks) if few else marks, "h").where(F.col("piece").startswith(F.col("fingerprint"))).select(key).distinct()
+    send = F.broadcast if few else (lambda df: df)
+    found = docs.join(send(marks.where("k < 1")), F.contains(docs[text], F.col("fingerprint"))).select(key)
+    for k in [r["k"] for r in marks.where("k > 0").select("k").distinct().collect()]:  # ANCHOR numbers at most
+        own = marks.where(F.col("k") == k)
+        ws = F.split(text, " ")
+        hashes = F.transform(F.sequence(F.lit(1), F.size("_ws") - k + 1), lambda i: F.xxhash64(F.slice("_ws", i, F.lit(k))))
+        if few:
+            known = [r["h"] for r in own.select("h").distinct().collect()]
+            hashes = F.filter(hashes, lambda h: h.isin(known))
+        places = docs.withColumn("_ws", ws).where(F.size("_ws") >= k).select(key, text, F.explode(F.array_distinct(hashes)).alias("h"))
+        found = found.union(places.join(send(own), "h").where(F.contains(F.col(text), F.col("fingerprint"))).select(key))
+    return found.distinct()
 
 
 def length_bucket(n: Column) -> Column:

@@ -1,10 +1,589 @@
-"""The registered queries on the fixture tables and their SQL."""
+"""The registered queries on the fixture tables and their SQL.
+
+Each query applies an operator to whole tables; where the fixtures have no such input, it is
+derived from them by the same rule in both languages (see the comments).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import routing as R
+from millrace.functions import text as T
+from millrace.operators import audit, conversation, corpus, groups, routing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(text: Column) -> Column:
+    """The surrogate token count: runs without white space."""
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+
+
+#: Canonical text in DuckDB, which has no NFKC or case folding; equal on the fixtures.
+def sql_canonical(text: str) -> str:
+    return rf"trim(regexp_replace(replace(lower({text}), 'ß', 'ss'), '\s+', ' ', 'g'))"
+
+
+SQL_WORDS = r"CAST(len(regexp_extract_all({0}, '\S+')) AS BIGINT)"
+SQL_SEQUENCE = """c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id),
+s AS (SELECT *, CASE WHEN roles[1] = 'system' THEN roles[2:] ELSE roles END AS d FROM c),
+v AS (SELECT *, CASE WHEN len(d) < 2 OR len(d) % 2 = 1 OR len(list_filter(range(1, len(d) + 1), lambda i: d[i] <> CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) > 0
+  THEN 'invalid_role_sequence' END AS reason FROM s)"""
+
+
+def _conversations(spark, d) -> DataFrame:
+    rows = conversation.from_turns(table(spark, d, "conversations"))
+    return rows.select("conv_id", F.col("messages").alias("raw"), conversation.reject_reason(F.col("messages")).alias("reason"), conversation.cleaned(F.col("messages")).alias("messages"))
+
+
+@query(f"WITH {SQL_SEQUENCE} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM v GROUP BY 1")
+def role_sequence_reasons(spark, d):
+    return _conversations(spark, d).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_SEQUENCE} SELECT conv_id, len(texts) - 1 AS n_prompt, texts[-1] AS reference FROM v WHERE reason IS NULL")
+def prompt_reference_split(spark, d):
+    prompt, reference = conversation.prompt_and_reference(F.col("messages"))
+    return _conversations(spark, d).where("reason IS NULL").select("conv_id", F.size(prompt).cast("long").alias("n_prompt"), reference.alias("reference"))
+
+
+@query(f"SELECT doc_id, {sql_canonical('text')} AS canonical FROM documents")
+def canonical_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.canonical(F.col("text")).alias("canonical"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, sha256({sql_canonical('text')}) AS key FROM documents GROUP BY 2")
+def canonical_dedup_documents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.sha(T.canonical(F.col("text"))).alias("key"))
+    return corpus.keep_first(rows, "key", "doc_id")
+
+
+@query(f"""WITH {SQL_SEQUENCE}, k AS (SELECT conv_id, list_transform(range(1, len(texts)), lambda i: [roles[i], {sql_canonical('texts[i]')}]) AS key FROM v WHERE reason IS NULL)
+SELECT min(conv_id) AS conv_id, count(*) AS copies FROM k GROUP BY key""")
+def canonical_dedup_conversations(spark, d):
+    rows = _conversations(spark, d).where("reason IS NULL").select("conv_id", conversation.prompt_and_reference(F.col("messages"))[0].alias("prompt"))
+    keys = conversation.prompt_keys(rows, "conv_id")
+    copies = keys.groupBy("prompt_hash").agg(F.count("*").alias("copies"))
+    return corpus.keep_first(keys, "prompt_hash", "conv_id").join(copies, "prompt_hash").select("conv_id", "copies")
+
+
+SQL_BUCKET = "CAST(('0x' || substr(sha256('42:' || {0}), 1, 16))::UBIGINT % 100 AS INTEGER)"
+SQL_SPLIT = f"CASE WHEN {SQL_BUCKET} < 90 THEN 'train' WHEN {SQL_BUCKET} < 95 THEN 'valid' ELSE 'test' END"
+
+
+@query(f"SELECT source, {SQL_SPLIT.format('source')} AS split, count(*) AS n FROM documents GROUP BY 1, 2")
+def hash_split_counts(spark, d):
+    rows = table(spark, d, "documents").select("source", T.hash_split(F.col("source")).alias("split"))
+    return rows.groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+SQL_MARKS = f"f AS (SELECT DISTINCT left(c, 96) AS fp FROM (SELECT {sql_canonical('text')} AS c FROM benchmark) WHERE length(c) >= 40)"
+
+
+def _overlapping(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", T.canonical(F.col("text")).alias("c"))
+    marks = corpus.fingerprints(table(spark, d, "benchmark").select(T.canonical(F.col("text")).alias("c")), "c")
+    return corpus.overlap(docs, "doc_id", "c", marks)
+
+
+@query(f"WITH {SQL_MARKS} SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM f WHERE contains({sql_canonical('text')}, fp))")
+def benchmark_overlap(spark, d):
+    return _overlapping(spark, d)
+
+
+@query(f"WITH {SQL_MARKS} SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM f WHERE contains({sql_canonical('text')}, fp))")
+def benchmark_clean(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(_overlapping(spark, d), "doc_id", "left_anti")
+
+
+@query(f"WITH {SQL_MARKS} SELECT fp AS fingerprint FROM f")
+def benchmark_fingerprints(spark, d):
+    return corpus.fingerprints(table(spark, d, "benchmark").select(T.canonical(F.col("text")).alias("c")), "c")
+
+
+#: Documents as groups; equal canonical texts are equal prompts, and equal first 80 characters an extra group.
+SQL_GROUPS = f"""d AS (SELECT 'doc:' || doc_id AS g, {sql_canonical('text')} AS c FROM documents),
+e0 AS (SELECT g AS a, min(g) OVER (PARTITION BY c) AS b FROM d UNION SELECT g, min(g) OVER (PARTITION BY left(c, 80)) FROM d WHERE length(c) >= 80),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+r AS (SELECT a AS node, b AS label FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.label = e.a),
+l AS (SELECT node, min(label) AS label FROM r GROUP BY node)"""
+
+
+def _labels(spark, d) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("g"), T.canonical(F.col("text")).alias("c"))
+    rows = rows.select("g", T.sha(F.col("c")).alias("h"), F.when(F.length("c") >= 80, F.concat(F.lit("initial:"), T.sha(F.substring("c", 1, 80)))).alias("x"))
+    labels = groups.component_labels(groups.record_edges(rows, "g", "x", "h"))
+    return labels.where(F.col("node").startswith("doc:"))
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT node, label FROM l")
+def group_components(spark, d):
+    return _labels(spark, d)
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT label, count(DISTINCT {SQL_SPLIT.format('label')}) AS splits FROM l GROUP BY label HAVING count(DISTINCT {SQL_SPLIT.format('label')}) > 1")
+def split_isolation_audit(spark, d):
+    """Splits by component: nothing crosses."""
+    return audit.crossing_splits(_labels(spark, d).withColumn("split", T.hash_split(F.col("label"))), "label", "split")
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT label, count(DISTINCT {SQL_SPLIT.format('node')}) AS splits FROM l GROUP BY label HAVING count(DISTINCT {SQL_SPLIT.format('node')}) > 1")
+def split_isolation_violations(spark, d):
+    """Splits by document: components cross."""
+    return audit.crossing_splits(_labels(spark, d).withColumn("split", T.hash_split(F.col("node"))), "label", "split")
+
+
+SQL_LENGTH = "CASE WHEN n <= 512 THEN '0-512' WHEN n <= 2048 THEN '513-2048' WHEN n <= 4096 THEN '2049-4096' ELSE '4097-8192' END"
+SQL_STRATA = f"w AS (SELECT *, {SQL_WORDS.format('text')} AS n FROM documents), st AS (SELECT *, coalesce(lang, 'unknown') || '|' || {SQL_LENGTH} AS stratum FROM w)"
+
+
+def _strata(spark, d) -> DataFrame:
+    rows = table(spark, d, "documents").withColumn("n", words(F.col("text"))).drop("text")
+    return rows.withColumn("stratum", corpus.stratum(F.lit(None).cast("string"), F.col("lang"), F.col("n")))
+
+
+@query(f"WITH {SQL_STRATA} SELECT {SQL_LENGTH} AS bucket, count(*) AS n_docs FROM st GROUP BY 1")
+def length_buckets(spark, d):
+    return _strata(spark, d).groupBy(corpus.length_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("n_docs"))
+
+
+@query(f"WITH {SQL_STRATA} SELECT source, stratum, count(*) AS n_docs FROM st GROUP BY 1, 2")
+def stratum_counts(spark, d):
+    return _strata(spark, d).groupBy("source", "stratum").agg(F.count("*").alias("n_docs"))
+
+
+SQL_ALLOCATION = f"""{SQL_STRATA}, k AS (SELECT source, stratum, count(*) AS n_docs FROM st GROUP BY 1, 2),
+t AS (SELECT *, CAST(least(sum(n_docs) OVER (PARTITION BY source), 17) AS DOUBLE) AS b, sum(n_docs) OVER (PARTITION BY source) AS total FROM k),
+x AS (SELECT *, n_docs * b / total AS exact FROM t),
+y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY exact - floor(exact) DESC, stratum) AS rk, CAST(b AS BIGINT) - sum(CAST(floor(exact) AS BIGINT)) OVER (PARTITION BY source) AS rest FROM x),
+al AS (SELECT source, stratum, n_docs, CAST(floor(exact) AS BIGINT) + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS allocated FROM y)"""
+
+
+@query(f"WITH {SQL_ALLOCATION} SELECT source, stratum, n_docs, allocated FROM al")
+def hamilton_allocation(spark, d):
+    counts = _strata(spark, d).groupBy("source", "stratum").agg(F.count("*").alias("n_docs"))
+    return corpus.allocate(counts, ["source"], "stratum", "n_docs", F.lit(17))
+
+
+@query(f"""WITH {SQL_ALLOCATION}, o AS (SELECT source, stratum, doc_id, row_number() OVER (PARTITION BY source, stratum ORDER BY sha256('42:' || doc_id)) AS rn FROM st)
+SELECT o.source, o.stratum, doc_id FROM o JOIN al ON o.source = al.source AND o.stratum = al.stratum WHERE rn <= allocated""")
+def stratified_sample(spark, d):
+    rows = _strata(spark, d).select("source", "stratum", "doc_id").withColumn("key", F.sha2(F.concat(F.lit("42:"), F.col("doc_id")), 256))
+    return corpus.stratified_sample(rows, ["source"], "stratum", "key", F.lit(17), 17).drop("key")
+
+
+@query("SELECT source, doc_id, rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 5")
+def first_k_per_source(spark, d):
+    return corpus.first_k(table(spark, d, "documents").select("source", "doc_id"), "source", 5, "doc_id")
+
+
+SQL_PILOT = """p AS (SELECT source, doc_id, n_chars, min(doc_id) OVER (PARTITION BY source) AS f, first_value(doc_id) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS m FROM documents),
+q AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id = f THEN 0 WHEN doc_id = m THEN 1 ELSE 2 END, doc_id) AS rn FROM p)"""
+
+
+@query(f"WITH {SQL_PILOT} SELECT source, doc_id, rn FROM q ORDER BY rn, source LIMIT 50")
+def balanced_pilot(spark, d):
+    return corpus.balanced_pilot(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", 50).select("source", "doc_id", "rn")
+
+
+@query(f"WITH {SQL_PILOT} SELECT source, doc_id, rn FROM q WHERE rn <= CASE WHEN source = 'src1' THEN 12 ELSE 2 END")
+def per_source_pilot(spark, d):
+    rows = corpus.pilot_order(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", 12)
+    return rows.where(F.col("rn") <= F.when(F.col("source") == "src1", 12).otherwise(2)).select("source", "doc_id", "rn")
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY source, lang, sha256('hq-v2-20261001:' || doc_id)) - 1) % 8 AS INTEGER) AS shard FROM documents")
+def striped_shards(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.sha2(F.concat(F.lit("hq-v2-20261001:"), F.col("doc_id")), 256).alias("priority"))
+    return corpus.striped(rows, ["source", "lang"], "priority").select("doc_id", "shard")
+
+
+@query("SELECT source, arg_max(doc_id, n_chars * 1000000000 - doc_id) AS doc_id, max(n_chars) AS longest FROM documents GROUP BY source")
+def longest_per_source(spark, d):
+    """The first of equals."""
+    order = F.struct(F.col("n_chars"), -F.col("doc_id"))
+    return table(spark, d, "documents").groupBy("source").agg(F.max_by("doc_id", order).alias("doc_id"), F.max("n_chars").alias("longest"))
+
+
+def _sql_like(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+SQL_GENERAL = f"""CASE WHEN regexp_matches(left(a, 700), {_sql_like(rules.REFUSAL)}) THEN 'refusal_or_apology'
+WHEN regexp_matches(a, {_sql_like(rules.PLACEHOLDER)}) THEN 'placeholder_or_unimplemented_answer' WHEN length(a) < 80 OR n < 24 THEN 'insufficient_answer'
+WHEN len(regexp_extract_all(a, '```')) % 2 = 1 THEN 'unclosed_code_fence' WHEN regexp_matches(a, {_sql_like(rules.UNFINISHED)}) THEN 'unfinished_answer' END"""
+
+
+@query(f"WITH t AS (SELECT doc_id, trim(text, ' \n\t\r') AS a, {SQL_WORDS.format('text')} AS n FROM documents) SELECT doc_id, {SQL_GENERAL} AS reason FROM t")
+def native_rule_reasons(spark, d):
+    """The general rules, documents as answers; none of them has paragraphs."""
+    return table(spark, d, "documents").select("doc_id", rules.general_reason(rules.strip(F.col("text")), words(F.col("text"))).alias("reason"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 40) AS ps FROM documents)
+SELECT doc_id FROM p WHERE len(ps) >= 3 AND len(list_distinct(ps)) / len(ps) < 0.8""")
+def repeated_paragraphs(spark, d):
+    """Lines as paragraphs."""
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return table(spark, d, "documents").where(rules.repeated_paragraphs(text)).select("doc_id")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(t, '```')) % 2 = 1 AS unclosed FROM (SELECT doc_id, replace(replace(text, '!!', '```'), '***', '```') AS t FROM documents)")
+def fence_parity(spark, d):
+    """Two kinds of marks as fences."""
+    text = F.replace(F.replace(F.col("text"), F.lit("!!"), F.lit("```")), F.lit("***"), F.lit("```"))
+    return table(spark, d, "documents").select("doc_id", (F.regexp_count(text, F.lit("```")) % 2 == 1).alias("unclosed"))
+
+
+@query(f"SELECT conv_id, regexp_matches(string_agg(left(text, 500), chr(10) ORDER BY turn), {_sql_like(rules.REFUSAL)}) AS refused FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def refusal_history(spark, d):
+    rows = table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    history = F.array_join(F.transform("m", lambda m: F.substring(m["text"], 1, 500)), "\n")
+    return rows.select("conv_id", history.rlike(rules.FLAGS + rules.REFUSAL).alias("refused"))
+
+
+@query(None)
+def full_rule_cascade(spark, d):
+    """All rules, with parsers, on answers made of the documents in turn for each kind of source."""
+    kinds = list(rules.KINDS)
+    k = (F.col("doc_id") % 4).cast("int")
+    code = F.concat(F.lit("```python\nx = 1\n"), F.when(F.col("doc_id") % 3 == 0, "pass\n").otherwise("print(x)\n"), F.lit("```\n"), F.col("text"))
+    math = F.concat(F.col("text"), F.lit("\n<<3*4="), (F.col("doc_id") % 5 + 10).cast("string"), F.lit(">>\n#### 12"))
+    answer = F.when(k == 1, math).when(k == 2, code).otherwise(F.col("text"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.element_at(F.array(*map(F.lit, kinds)), k + 1).alias("source"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"),
+        answer.alias("reference_answer"), words(F.col("text")).alias("prompt_tokens"), words(F.col("text")).alias("target_tokens"),
+        F.struct(F.lit("English").alias("language"), F.lit("python").alias("code_language")).alias("metadata"),
+    )
+    return rules.screen(rows).select("doc_id", "source", "reason", "checks")
+
+
+@query("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'source_toxic_flag' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
+def label_flag_filter(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", conversation.flag_reason(F.lit(False), F.col("toxic") == 1).alias("reason"))
+
+
+@query("SELECT d.doc_id, source FROM documents d JOIN labels l USING (doc_id) WHERE quality = 1 AND coalesce(toxic, 0) <> 1")
+def quality_verdict_join(spark, d):
+    passed = table(spark, d, "labels").where("quality = 1 AND coalesce(toxic, 0) <> 1").select("doc_id")
+    return table(spark, d, "documents").select("doc_id", "source").join(passed, "doc_id")
+
+
+@query(f"""WITH t AS (SELECT d.doc_id, quality, {sql_canonical('text')} AS c FROM documents d JOIN labels l USING (doc_id) WHERE quality = 1)
+SELECT doc_id, CASE WHEN length(c) >= 120 AND f <> doc_id THEN f END AS same_reference_as FROM (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY c) AS f FROM t)""")
+def reference_dedup(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    rows = rows.select("doc_id", T.canonical(F.col("text")).alias("c")).select("doc_id", T.sha(F.col("c")).alias("h"), F.length("c").alias("n"))
+    return corpus.keep_first_reference(rows, "doc_id", "h", "n", "doc_id").select("doc_id", "same_reference_as")
+
+
+@query(f"SELECT h AS answer_sha256, count(*) AS n FROM (SELECT sha256({sql_canonical('text')}) AS h FROM documents WHERE length({sql_canonical('text')}) >= 120) GROUP BY 1 HAVING count(*) > 1")
+def repeated_reference_audit(spark, d):
+    return audit.repeated_references(table(spark, d, "documents").select(T.canonical(F.col("text")).alias("c")), "c")
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+SQL_VECTORS = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+
+
+@query(f"WITH {SQL_VECTORS} SELECT vec_id AS id, v[1:2] AS expert_losses FROM e WHERE vec_id % 7 <> 0")
+def paired_losses(spark, d):
+    """Two experts' scores, one of which lacks every seventh id."""
+    rows = _vectors(spark, d)
+    a = rows.select(F.col("vec_id").alias("id"), F.lit("a").alias("expert_id"), F.get("v", F.lit(0)).alias("loss"))
+    b = rows.where("vec_id % 7 <> 0").select(F.col("vec_id").alias("id"), F.lit("b").alias("expert_id"), F.get("v", F.lit(1)).alias("loss"))
+    return routing.paired_losses(rows.select(F.col("vec_id").alias("id")), a.unionByName(b), ["a", "b"])
+
+
+def _routed(spark, d) -> DataFrame:
+    return _vectors(spark, d).select("vec_id", F.slice("v", 1, 3).alias("losses"), F.slice("v", 4, 3).alias("logits"))
+
+
+SQL_ROUTED = f"{SQL_VECTORS}, g AS (SELECT vec_id, v[1:3] AS losses, v[4:6] AS logits FROM e)"
+SQL_TARGETS = f"{SQL_ROUTED}, q0 AS (SELECT *, list_transform(losses, lambda x: exp(-(x - list_min(losses)) / 0.1)) AS w FROM g), q AS (SELECT *, list_transform(w, lambda x: x / list_sum(w)) AS t FROM q0)"
+
+
+@query(f"WITH {SQL_TARGETS} SELECT vec_id, round(t[1], 6) AS t1, round(t[2], 6) AS t2, round(t[3], 6) AS t3 FROM q")
+def loss_targets(spark, d):
+    rows = _routed(spark, d).withColumn("t", R.soft_targets(F.col("losses"), 0.1))
+    return rows.select("vec_id", *[F.round(F.element_at("t", i), 6).alias(f"t{i}") for i in (1, 2, 3)])
+
+
+@query(f"""WITH {SQL_TARGETS}, z AS (SELECT *, list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) AS lse FROM q)
+SELECT vec_id, round(-(t[1] * (logits[1] - lse) + t[2] * (logits[2] - lse) + t[3] * (logits[3] - lse)), 6) AS cross_entropy FROM z""")
+def soft_target_ce(spark, d):
+    rows = _routed(spark, d).withColumn("t", R.soft_targets(F.col("losses"), 0.1))
+    return rows.select("vec_id", F.round(R.soft_cross_entropy(F.col("logits"), F.col("t")), 6).alias("cross_entropy"))
+
+
+SQL_PICK = "list_position(logits, list_max(logits))"
+
+
+@query(f"""WITH {SQL_ROUTED} SELECT count(*) AS n, round(avg(CAST({SQL_PICK} = list_position(losses, list_min(losses)) AS INTEGER)), 6) AS top1_accuracy,
+round(avg(losses[{SQL_PICK}] - list_min(losses)), 6) AS mean_routing_regret FROM g""")
+def routing_metrics(spark, d):
+    out = routing.routing_metrics(_routed(spark, d))
+    return out.select("n", F.round("top1_accuracy", 6).alias("top1_accuracy"), F.round("mean_routing_regret", 6).alias("mean_routing_regret"))
+
+
+@query(f"""WITH {SQL_ROUTED}, m AS (SELECT avg(losses[{SQL_PICK}]) AS selected, avg(list_min(losses)) AS oracle, avg(losses[1]) AS c0, avg(losses[2]) AS c1, avg(losses[3]) AS c2,
+count_if({SQL_PICK} = 1) AS r0, count_if({SQL_PICK} = 2) AS r1, count_if({SQL_PICK} = 3) AS r2 FROM g)
+SELECT round(selected, 6) AS selected, round(oracle, 6) AS oracle, round(c0, 6) AS constant_0, round(c1, 6) AS constant_1, round(c2, 6) AS constant_2, CAST(r0 AS BIGINT) AS routed_0, CAST(r1 AS BIGINT) AS routed_1, CAST(r2 AS BIGINT) AS routed_2,
+round(selected - oracle, 6) AS regret, round(least(c0, c1, c2) - selected, 6) AS gain FROM m""")
+def constant_policy_report(spark, d):
+    out = routing.policy_report(_routed(spark, d), 3)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(f"WITH {SQL_VECTORS} SELECT vec_id, round(list_sum(list_transform(v[3:10], lambda x: abs(x))) / 8, 6) AS nll FROM e")
+def mean_target_nll(spark, d):
+    rows = _vectors(spark, d).select("vec_id", F.transform(F.slice("v", 1, 10), lambda x: -F.abs(x)).alias("lp"))
+    ids = lambda a, b: F.sequence(F.lit(a), F.lit(b)).cast("array<bigint>")
+    return rows.select("vec_id", F.round(R.mean_target_nll(ids(1, 2), ids(3, 10), F.col("lp")), 6).alias("nll"))
+
+
+@query("""SELECT step, round(CASE WHEN step < 10 THEN (step + 1) / 10.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 10) / 90.0))) END, 6) AS factor FROM (SELECT unnest(range(0, 100)) AS step)""")
+def lr_schedule(spark, d):
+    return spark.range(100).select(F.col("id").alias("step"), F.round(R.lr_factor(F.col("id"), 100, 0.1, 0.1), 6).alias("factor"))
+
+
+SQL_IDS = "i AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ids FROM conversations GROUP BY conv_id)"
+
+
+def _ids(spark, d) -> DataFrame:
+    """Lengths of a conversation's messages as token ids."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n")))).alias("m"))
+    return rows.select("conv_id", F.transform("m", lambda m: m["n"]).alias("ids"))
+
+
+@query(f"WITH {SQL_IDS} SELECT conv_id, sha256('[' || array_to_string(ids, ', ') || ']') AS tokens_sha256 FROM i")
+def token_fingerprint(spark, d):
+    rows = _ids(spark, d)
+    return rows.select("conv_id", R.token_fingerprint(F.slice("ids", 1, F.size("ids") - 1), F.slice("ids", F.size("ids"), F.lit(1))).alias("tokens_sha256"))
+
+
+@query(f"""WITH {SQL_IDS} SELECT conv_id, list_concat(ids, list_transform(range(0, 40 - len(ids)), lambda x: CAST(0 AS BIGINT))) AS padded,
+list_transform(range(1, 41), lambda x: x <= len(ids)) AS mask FROM i WHERE len(ids) <= 40""")
+def right_pad_mask(spark, d):
+    width = F.lit(40)
+    return _ids(spark, d).where(F.size("ids") <= 40).select("conv_id", R.right_pad(F.col("ids"), width).alias("padded"), R.pad_mask(F.col("ids"), width).alias("mask"))
+
+
+@query(f"WITH {SQL_IDS} SELECT conv_id, list_transform(range(0, CAST(ceil(len(ids) / 4.0) AS BIGINT)), lambda b: list_concat(ids[4 * b + 1 : 4 * b + 4], list_transform(range(0, 4 - len(ids[4 * b + 1 : 4 * b + 4])), lambda x: CAST(0 AS BIGINT)))) AS blocks FROM i")
+def chunked_blocks(spark, d):
+    return _ids(spark, d).select("conv_id", R.chunked(F.col("ids"), 4).alias("blocks"))
+
+
+@query("SELECT p, round(sin(p * 1.0), 6) AS s0, round(cos(p * 1.0), 6) AS s1, round(sin(p * 0.01), 6) AS s2, round(cos(p * 0.01), 6) AS s3, round(sin(p * 0.0001), 6) AS s4, round(cos(p * 0.0001), 6) AS s5 FROM (SELECT unnest(range(0, 50)) AS p)")
+def sinusoid_positions(spark, d):
+    rows = spark.range(50).select(F.col("id").alias("p"), R.sinusoid(F.col("id").cast("double"), 6).alias("s"))
+    return rows.select("p", *[F.round(F.get("s", F.lit(i)), 6).alias(f"s{i}") for i in range(6)])
+
+
+@query(f"WITH {SQL_IDS} SELECT conv_id, CASE WHEN list_max(ids) >= 900 THEN 'token_out_of_range' WHEN conv_id % 5 = 0 THEN 'budget' END AS violation FROM i")
+def input_contract(spark, d):
+    mask = F.transform("ids", lambda x: F.lit(1))
+    budget = F.when(F.col("conv_id") % 5 == 0, -1).otherwise(10)
+    return _ids(spark, d).select("conv_id", R.input_violation(F.col("ids"), mask, budget, 900).alias("violation"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {SQL_WORDS.format('text')} AS n FROM documents)
+SELECT doc_id, CASE WHEN n * 10 > 8192 THEN 'prompt_over_8192' WHEN n + 1 > 1024 THEN 'reference_over_generation_budget' WHEN n = 0 THEN 'empty_reference_tokens' END AS reason FROM w""")
+def token_bounds(spark, d):
+    n = words(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", corpus.token_reason(n * 10, n, F.lit(1024)).alias("reason"))
+
+
+#: Events as a training log: the day is the epoch, the event's id the step, its value the loss.
+def _log(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.to_date("ts").alias("epoch"), F.col("event_id").alias("step"), F.col("value").alias("loss"), "user_id", "ts")
+
+
+SQL_LOG = "l AS (SELECT CAST(ts AS DATE) AS epoch, event_id AS step, value AS loss, user_id, ts FROM events)"
+
+
+@query(f"WITH {SQL_LOG} SELECT step, round(avg(loss) OVER (PARTITION BY epoch ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 8) AS trailing_mean FROM l")
+def trailing_mean(spark, d):
+    return routing.trailing_mean(_log(spark, d), "loss", "step", "epoch").select("step", F.round("trailing_mean", 8).alias("trailing_mean"))
+
+
+@query(f"WITH {SQL_LOG}, p AS (SELECT epoch, step, user_id, lag(user_id) OVER (PARTITION BY epoch ORDER BY step) AS previous FROM l) SELECT step, user_id, previous FROM p WHERE user_id <= previous")
+def step_monotonic_audit(spark, d):
+    """Users as steps, which don't increase."""
+    return routing.not_increasing(_log(spark, d), "user_id", "step", "epoch").select("step", "user_id", "previous")
+
+
+@query(f"WITH {SQL_LOG} SELECT epoch, user_id, count(*) AS n FROM l GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_step_audit(spark, d):
+    return routing.repeated_steps(_log(spark, d), "epoch", "user_id")
+
+
+@query(f"""WITH {SQL_LOG}, v AS (SELECT DISTINCT epoch FROM l WHERE user_id % 50 = 0)
+SELECT l.epoch, round(sum(loss * (1 + step % 4)) / sum(1 + step % 4), 6) AS mean, count(*) AS updates, CAST(sum(1 + step % 4) AS BIGINT) AS samples, any_value(v.epoch) IS NOT NULL AS validation_recorded
+FROM l LEFT JOIN v ON l.epoch = v.epoch GROUP BY l.epoch""")
+def weighted_epoch_means(spark, d):
+    rows = _log(spark, d).withColumn("n", F.lit(1) + F.col("step") % 4)
+    out = routing.epoch_means(rows, rows.where("user_id % 50 = 0"), "epoch", "loss", "n")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {SQL_LOG} SELECT step, CAST(floor((row_number() OVER (PARTITION BY epoch ORDER BY step) - 1) / 24) AS INTEGER) AS \"window\" FROM l")
+def count_windows(spark, d):
+    return routing.count_windows(_log(spark, d), "step", 4, "epoch").select("step", "window")
+
+
+#: Suppliers as replicas: nations are pools, regions experts; state and context by the supplier's number.
+def _replicas(spark, d) -> DataFrame:
+    rows = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    state = F.when(F.col("s_suppkey") % 3 == 0, "DRAINING").otherwise("READY")
+    return rows.select(
+        F.lit("m").alias("model_family"), F.concat(F.lit("e"), F.col("n_regionkey")).alias("expert_id"), F.concat(F.lit("p"), F.col("n_nationkey")).alias("pool_id"),
+        F.concat(F.lit("r"), F.col("s_suppkey")).alias("replica_id"), F.concat(F.lit("http://"), F.col("s_suppkey")).alias("endpoint"),
+        (F.lit(1000) * (1 + F.col("s_suppkey") % 8)).alias("max_context_tokens"), state.alias("state"), F.lit("v1").alias("checkpoint_version"),
+    )
+
+
+SQL_REPLICAS = """re AS (SELECT 'm' AS model_family, 'e' || n_regionkey AS expert_id, 'p' || n_nationkey AS pool_id, 'r' || s_suppkey AS replica_id, 1000 * (1 + s_suppkey % 8) AS max_context_tokens,
+CASE WHEN s_suppkey % 3 = 0 THEN 'DRAINING' ELSE 'READY' END AS state FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+SQL_REQUESTS = "rq AS (SELECT event_id AS id, ts, 'm' AS model_family, 'e' || (event_id % 5) AS expert_id, 500 + (user_id % 9) * 1000 AS needed FROM events)"
+
+
+def _requests(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("id"), "ts", F.lit("m").alias("model_family"), F.concat(F.lit("e"), F.col("event_id") % 5).alias("expert_id"), (F.lit(500) + (F.col("user_id") % 9) * 1000).alias("needed")
+    )
+
+
+@query(f"WITH {SQL_REQUESTS}, ep AS (SELECT min(ts) + INTERVAL 1 HOUR AS ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS epoch FROM events GROUP BY 2) SELECT id, ep.epoch FROM rq ASOF LEFT JOIN ep ON rq.ts >= ep.ts")
+def registry_asof(spark, d):
+    """A snapshot an hour after each day's first event."""
+    events = table(spark, d, "events")
+    epochs = events.groupBy(F.to_date("ts").cast("string").alias("epoch")).agg((F.min("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return routing.snapshot_at(_requests(spark, d), epochs).select("id", "epoch")
+
+
+@query(f"WITH {SQL_REQUESTS}, {SQL_REPLICAS} SELECT id, list(DISTINCT re.expert_id ORDER BY re.expert_id) AS experts FROM rq JOIN re ON rq.model_family = re.model_family AND state = 'READY' AND max_context_tokens >= needed GROUP BY id")
+def eligible_replicas(spark, d):
+    return routing.eligible_experts(_requests(spark, d).drop("expert_id"), _replicas(spark, d), "id")
+
+
+@query(f"""WITH {SQL_VECTORS}, {SQL_REPLICAS}, g AS (SELECT vec_id, v[1:5] AS lg, 500 + (vec_id % 9) * 1000 AS needed FROM e),
+o AS (SELECT vec_id, 'e' || (k - 1) AS expert, lg[k] AS z, k, needed FROM (SELECT *, unnest(range(1, 6)) AS k FROM g)),
+x AS (SELECT vec_id, expert, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, k) AS rk FROM o WHERE EXISTS (SELECT 1 FROM re WHERE re.expert_id = o.expert AND state = 'READY' AND max_context_tokens >= o.needed))
+SELECT vec_id, expert AS chosen FROM g LEFT JOIN (SELECT vec_id AS v2, expert FROM x WHERE rk = 1) ON vec_id = v2""")
+def rank_fallback(spark, d):
+    rows = _vectors(spark, d).select("vec_id", F.slice("v", 1, 5).alias("logits"), F.lit("m").alias("model_family"), (F.lit(500) + (F.col("vec_id") % 9) * 1000).alias("needed"))
+    experts = routing.eligible_experts(rows, _replicas(spark, d), "vec_id")
+    ranked = F.transform(R.ranking(F.col("logits")), lambda i: F.concat(F.lit("e"), i.cast("string")))
+    return rows.join(experts, "vec_id", "left").select("vec_id", routing.first_eligible(ranked, F.col("experts")).alias("chosen"))
+
+
+@query(f"""WITH {SQL_REQUESTS}, {SQL_REPLICAS}, o AS (SELECT id, rq.expert_id, pool_id, list(replica_id ORDER BY replica_id) AS rs FROM rq JOIN re ON rq.model_family = re.model_family AND rq.expert_id = re.expert_id
+AND state = 'READY' AND max_context_tokens >= needed GROUP BY ALL),
+p AS (SELECT id, expert_id, list({{'pool': pool_id, 'rs': rs}} ORDER BY pool_id) AS ps FROM o GROUP BY ALL),
+c AS (SELECT id, expert_id, ps[(row_number() OVER (PARTITION BY expert_id ORDER BY id) - 1) % len(ps) + 1] AS x FROM p)
+SELECT id, 'm' AS model_family, expert_id, x.pool AS pool_id, x.rs[(row_number() OVER (PARTITION BY x.pool ORDER BY id) - 1) % len(x.rs) + 1] AS replica_id FROM c""")
+def round_robin_placement(spark, d):
+    return routing.round_robin(_requests(spark, d), _replicas(spark, d), "id", "id")
+
+
+@query("""WITH e AS (SELECT s_nationkey % 3 AS epoch, s_suppkey, s_nationkey FROM supplier)
+SELECT CAST(epoch AS BIGINT) AS epoch, 'endpoint_repeated' AS problem, 'h' || s_nationkey AS name FROM e GROUP BY epoch, s_nationkey HAVING count(*) > 1
+UNION ALL SELECT CAST(epoch AS BIGINT), 'epoch', 'r' || s_suppkey FROM e WHERE epoch < 1""")
+def registry_audit(spark, d):
+    """Endpoints by nation, so that they repeat; epochs from 0."""
+    rows = table(spark, d, "supplier").select(
+        (F.col("s_nationkey") % 3).cast("long").alias("epoch"), F.lit("m").alias("model_family"), F.lit("e").alias("expert_id"), F.lit("p").alias("pool_id"), F.concat(F.lit("r"), F.col("s_suppkey")).alias("replica_id"),
+        F.concat(F.lit("h"), F.col("s_nationkey")).alias("endpoint"), F.lit("v1").alias("checkpoint_version"),
+    )
+    return routing.registry_violations(rows)
+
+
+@query("""WITH l AS (SELECT o_orderkey AS k, count(*) AS nl FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1), r AS (SELECT l_orderkey AS k, count(*) AS nr FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 13 <> 0 GROUP BY 1)
+SELECT k, CASE WHEN nr IS NULL THEN 'missing' WHEN nl IS NULL THEN 'extra' ELSE 'duplicate' END AS problem FROM l FULL JOIN r USING (k) WHERE nr IS NULL OR nl IS NULL OR nl > 1 OR nr > 1""")
+def closed_set_reconcile(spark, d):
+    orders = table(spark, d, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"))
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 13 <> 0").select(F.col("l_orderkey").alias("k"))
+    return corpus.reconcile(orders, lines, "k")
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 17 <> 0)")
+def containment_audit(spark, d):
+    part = table(spark, d, "lineitem").select("l_orderkey")
+    whole = table(spark, d, "orders").where("o_orderkey % 17 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return audit.not_contained(part, whole, "l_orderkey")
+
+
+@query("SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
+def sources_union(spark, d):
+    of = lambda kind, name, key, text: table(spark, d, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("text"))
+    return of("document", "documents", "doc_id", "text").unionByName(of("page", "pages", "page_id", "html")).unionByName(of("benchmark", "benchmark", "item_id", "text"))
+
+
+@query(f"""WITH t AS (SELECT source, trim(text, ' \n\t\r') AS a, {SQL_WORDS.format('text')} AS n FROM documents), r AS (SELECT source, {SQL_GENERAL} AS reason FROM t)
+SELECT source, count(*) AS scanned, CAST(count_if(reason IS NULL) AS BIGINT) AS accepted, CAST(count_if(reason IS NOT NULL) AS BIGINT) AS rejected FROM r GROUP BY source""")
+def reject_counters(spark, d):
+    rows = table(spark, d, "documents").select("source", rules.general_reason(rules.strip(F.col("text")), words(F.col("text"))).alias("reason"))
+    return corpus.reject_counts(rows, "source", "reason")
+
+
+@query("SELECT source, 1 AS scanned, 1 AS accepted, 1 AS rejected FROM documents WHERE false")
+def count_conservation(spark, d):
+    """Nothing is lost between the counters."""
+    return audit.unconserved(reject_counters(spark, d), "scanned", "accepted", "rejected")
+
+
+@query(r"""SELECT doc_id, trim(string_split(a, '####')[-1]) AS final, length(regexp_replace(a, '[^一-鿿]', '', 'g')) > length(a) * 0.15 AS cjk, replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS plain
+FROM (SELECT doc_id, left(text, 60) || chr(13) || chr(10) || '#### ' || doc_id || ' ' AS a FROM documents)""")
+def answer_fields(spark, d):
+    a = F.concat(F.substring("text", 1, 60), F.lit("\r\n#### "), F.col("doc_id"), F.lit(" "))
+    return table(spark, d, "documents").select("doc_id", T.final_answer(a).alias("final"), T.mostly_cjk(a).alias("cjk"), T.plain_lines(a).alias("plain"))
+
+
+@query("""SELECT conv_id, CASE WHEN last(role ORDER BY turn) <> 'user' THEN 'last_not_user' WHEN conv_id % 2 = 0 THEN 'budget' WHEN sum(length(text)) > 8192 THEN 'too_long' END AS violation FROM conversations GROUP BY conv_id""")
+def request_validation(spark, d):
+    rows = conversation.from_turns(table(spark, d, "conversations"))
+    tokens = F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(m["content"]))
+    budget = F.when(F.col("conv_id") % 2 == 0, 4096).otherwise(100)
+    return rows.select("conv_id", conversation.request_violation(F.col("messages"), budget, tokens).alias("violation"))
+
+
+@query("SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN quality <> 1 THEN 'verdict' END AS problem FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR quality <> 1")
+def verdict_audit(spark, d):
+    key = F.sha2(F.col("doc_id").cast("string"), 256)
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), key.alias("prompt_sha256"), key.alias("answer_sha256"))
+    verdict = F.when(F.col("quality") == 1, "PASS").otherwise("LOW_VALUE")
+    verdicts = table(spark, d, "labels").select(F.col("doc_id").alias("id"), verdict.alias("verdict"), F.lit("read").alias("analysis"), key.alias("prompt_sha256"), key.alias("answer_sha256"))
+    return audit.verdict_violations(rows, verdicts)
+
+
+@query(f"""WITH {SQL_VECTORS} SELECT vec_id AS id, 'a' AS expert_id, CASE WHEN vec_id % 9 = 0 THEN 'tokens_differ' WHEN v[1] < 0 THEN 'loss' END AS problem FROM e WHERE vec_id % 9 = 0 OR v[1] < 0""")
+def score_contract(spark, d):
+    rows = _vectors(spark, d)
+    sha = F.sha2(F.col("vec_id").cast("string"), 256)
+    requests = rows.select(F.col("vec_id").alias("id"), sha.alias("tokens_sha256"), F.lit(5).alias("target_tokens"))
+    scores = rows.select(F.col("vec_id").alias("id"), F.lit("a").alias("expert_id"), F.when(F.col("vec_id") % 9 == 0, "x").otherwise(sha).alias("tokens_sha256"), F.lit(5).alias("target_tokens"), F.get("v", F.lit(0)).alias("loss"))
+    return routing.score_violations(scores, requests)
