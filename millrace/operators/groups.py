@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the folder of spark.checkpoint.dir (a folder of the session's own where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a folder of the session's own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark._millrace_cut = getattr(spark, "_millrace_cut", None) or tempfile.mkdtemp(prefix="millrace-")
-    path = f"{at}/millrace-core/{name}-{uuid.uuid4().hex}"
+    return at
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/millrace-core/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

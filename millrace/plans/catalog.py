@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import routing as R
 from millrace.functions import text as T
 from millrace.operators import audit, conversation, corpus, groups, routing, rules
+from millrace.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -587,3 +588,26 @@ def score_contract(spark, d):
     requests = rows.select(F.col("vec_id").alias("id"), sha.alias("tokens_sha256"), F.lit(5).alias("target_tokens"))
     scores = rows.select(F.col("vec_id").alias("id"), F.lit("a").alias("expert_id"), F.when(F.col("vec_id") % 9 == 0, "x").otherwise(sha).alias("tokens_sha256"), F.lit(5).alias("target_tokens"), F.get("v", F.lit(0)).alias("loss"))
     return routing.score_violations(scores, requests)
+
+
+@query(f"WITH {SQL_VECTORS} SELECT vec_id AS id, v[1:2] AS expert_losses FROM e WHERE v[1] >= 0 AND v[2] >= 0")
+def stream_pair_losses(spark, d):
+    """The streaming join of two experts' scores, which come in different orders; negative losses break the contract."""
+    rows = _vectors(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") % 60))
+    of = lambda k: streaming.as_stream(rows.select(F.col("vec_id").alias("id"), F.get("v", F.lit(k)).alias("loss"), "ts"), f"scores{k}", 2 + k)
+    return streaming.run_available(streaming.pair_losses({"a": of(0), "b": of(1)}), "pairs")
+
+
+@query(ORACLE_SQL["round_robin_placement"])
+def stream_round_robin(spark, d):
+    """One file, so one batch: the order of ids is the order of arrival."""
+    requests = _requests(spark, d).select("id", "model_family", "expert_id", F.col("needed").cast("long").alias("needed"))
+    return streaming.run_available(streaming.round_robin(streaming.as_stream(requests, "requests", 1), _replicas(spark, d)), "placed")
+
+
+@query("SELECT event_id AS step, value AS loss FROM events WHERE event_id % 2 = 0")
+def stream_log_tail(spark, d):
+    rows = table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    at = f"{groups.shared_folder(spark)}/millrace-core/log-{streaming.uuid.uuid4().hex}"
+    rows.repartition(3).write.json(at)
+    return streaming.run_available(streaming.log_tail(spark, at, "step bigint, loss double"), "tail")
