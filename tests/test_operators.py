@@ -1,0 +1,220 @@
+"""Operators on hand-made rows."""
+
+import ast
+import json
+import unicodedata
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.functions import routing as R
+from millrace.functions import text as T
+from millrace.operators import audit, conversation, corpus, groups, routing, rules
+from millrace.sources import readers, sinks
+from millrace.streaming import operators as streaming
+
+
+def one(spark, expr):
+    return spark.range(1).select(expr.alias("x")).first()["x"]
+
+
+def arr(*xs):
+    return F.array(*[F.lit(x) for x in xs])
+
+
+def test_canonical(spark):
+    texts = ["  A\tB \n", "Straße ﬁn", "É x", "", "x\x1cy", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.canonical(F.col("t")).alias("c"))
+    want = [None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in texts]
+    assert sorted(map(str, (r["c"] for r in df.collect()))) == sorted(map(str, want))
+
+
+def test_hash_bucket_of_all_ones(spark):
+    assert one(spark, T.hash_bucket(F.lit("x"))) == 62
+
+
+def test_mean_nll(spark):
+    lp = arr(-1000.0, -1000.0, -2.0, -4.0)
+    ids = lambda *x: arr(*x).cast("array<bigint>")
+    assert one(spark, R.mean_target_nll(ids(10, 20), ids(30, 99), lp)) == 3
+    for bad in (arr(-1.0, -1.0, float("-inf"), -1.0), arr(-1.0, -1.0, 0.2, -1.0), arr(-1.0, -1.0, -1.0)):
+        assert one(spark, R.mean_target_nll(ids(10, 20), ids(30, 99), bad)) is None
+
+
+def test_regret(spark):
+    df = spark.createDataFrame([([0.0, 2.0], [1.0, 5.0]), ([2.0, 0.0], [2.0, 1.0])], "logits array<double>, losses array<double>")
+    r = routing.routing_metrics(df).first()
+    assert (r["top1_accuracy"], r["mean_routing_regret"]) == (0, 2.5)
+
+
+def test_soft_targets(spark):
+    a, b = one(spark, R.soft_targets(arr(1.0, 2.0, 3.0), 0.1)), one(spark, R.soft_targets(arr(101.0, 102.0, 103.0), 0.1))
+    assert sum(a) == pytest.approx(1) and a[0] > a[1] > a[2] and a == pytest.approx(b)
+
+
+def test_padding(spark):
+    assert one(spark, R.right_pad(arr(3, 4, 5).cast("array<bigint>"), F.lit(5))) == [3, 4, 5, 0, 0]
+    assert one(spark, R.pad_mask(arr(3, 4, 5), F.lit(5))) == [True, True, True, False, False]
+
+
+@pytest.mark.parametrize(
+    ("content", "reason"),
+    [("x\r\ny", None), (" \n", "empty_message"), ("a\x01", "control_character"), ("<think>x", "unclosed_thinking_block"), ("<think>x</think>\n", "empty_after_thinking_block"),
+     ("<think>x</think>\nyes", None), ("a <|im_end|>", "embedded_chat_control_token"), (None, "invalid_role_or_nontext")],
+)
+def test_messages(spark, content, reason):
+    df = spark.createDataFrame([([("user", "hello"), ("assistant", content)],)], "m array<struct<role: string, content: string>>")
+    assert df.select(conversation.reject_reason(F.col("m"))).first()[0] == reason
+
+
+def test_sequence_comes_last(spark):
+    df = spark.createDataFrame([([("assistant", "x"), ("user", "")],), ([("system", "s"), ("user", "x")],), ([],), (None,)], "m array<struct<role: string, content: string>>")
+    assert [r[0] for r in df.select(conversation.reject_reason(F.col("m"))).collect()] == ["empty_message", "invalid_role_sequence", "invalid_messages", "invalid_messages"]
+
+
+@pytest.mark.parametrize(
+    ("answer", "reason"),
+    [("<<10-2=8>> so\n#### 8", None), ("<<10-2=9>>\n#### 9", "incorrect_annotated_arithmetic"), ("<<10-2=8>>\n#### 7", "final_not_equal_last_calculation"),
+     ("<<1/3=.33>>\n#### .33", "final_not_equal_last_calculation"), ("<<1/3=0.33>>\n#### 0.33", None), ("<<f(1)=1>>\n#### 1", "unverifiable_math_annotation"), ("<<1/0=1>>\n#### 1", "unverifiable_math_annotation")],
+)
+def test_arithmetic(answer, reason):
+    assert rules.arithmetic_reason(answer) == reason
+
+
+@given(st.integers(-999, 999), st.integers(1, 99), st.sampled_from("+-*/"))
+@settings(deadline=None, max_examples=50)
+def test_rational(a, b, op):
+    want = {"+": Fraction(a) + b, "-": Fraction(a) - b, "*": Fraction(a) * b, "/": Fraction(a, b)}[op]
+    assert rules.rational(f"({a}){op}{b}") == want
+
+
+def test_rational_bounds():
+    for bad in ("1e16", "2**9", "+".join(["1"] * 60), "x", "True"):
+        with pytest.raises(ValueError):
+            rules.rational(bad)
+    assert rules.rational("1,000*2") == 2000 and ast
+
+
+@pytest.mark.parametrize(
+    ("code", "reason"),
+    [("def f(x):\n    return x\n", None), ("return sum(\n", "python_syntax_error"), ("# only\n", "empty_python_implementation"), ("def f():\n    pass\n", "python_stub"), ("def f():\n    ...\n", "python_stub")],
+)
+def test_python(code, reason):
+    assert rules.python_reason(f"```python\n{code}```") == reason
+
+
+def test_screen_order(spark):
+    long_ = "A clear answer that is long enough for every general rule, with eighty characters and more in it."
+    row = lambda i, source, answer, request, lang="English": (i, source, [("user", request)], answer, 100, 50, (lang, "python"))
+    ask = "Please write a function that adds two numbers and returns the result to me; " * 2
+    data = [
+        row(1, "WildChat-1M", "I'm sorry, " + long_, ask), row(2, "WildChat-1M", long_, "1234"), row(3, "WildChat-1M", long_, ask), row(4, "gsm8k", long_ + "<<1+1=2>>\n#### 2", ask),
+        row(5, "gsm8k", long_, ask), row(6, "Magicoder-OSS-Instruct-75K", long_ + "\n```python\nx = (\n```", ask), row(7, "other", long_, ask), row(8, "LongAlign-10k", long_, ask), row(9, "WildChat-1M", long_, ask, "French"),
+    ]
+    df = spark.createDataFrame(data, "id int, source string, messages array<struct<role: string, content: string>>, reference_answer string, prompt_tokens int, target_tokens int, metadata struct<language: string, code_language: string>")
+    got = {r["id"]: r["reason"] for r in rules.screen(df).collect()}
+    assert got == {1: "refusal_or_apology", 2: "low_information_request", 3: None, 4: None, 5: "missing_math_annotations_or_final", 6: "python_syntax_error", 7: None, 8: "not_long_context", 9: "outside_en_zh_scope"}
+
+
+REPLICAS = [("m", "a", "pa", "a1", "u1", 8192, "READY"), ("m", "a", "pa", "a2", "u2", 8192, "READY"), ("m", "a", "pa", "a3", "u3", 8192, "DRAINING"), ("m", "a", "pb", "h1", "u4", 8192, "READY")]
+REPLICA = "model_family string, expert_id string, pool_id string, replica_id string, endpoint string, max_context_tokens bigint, state string"
+
+
+def test_placement(spark):
+    replicas = spark.createDataFrame(REPLICAS, REPLICA)
+    requests = spark.createDataFrame([(i, "m", "a", n) for i, n in enumerate([10, 10, 9000, 10, 10])], "id long, model_family string, expert_id string, needed long")
+    got = [r["replica_id"] for r in routing.round_robin(requests, replicas, "id", "id").orderBy("id").collect()]
+    assert got == ["a1", "h1", "a2", "h1"]
+    assert routing.eligible_experts(requests.where("needed = 9000").drop("expert_id"), replicas, "id").isEmpty()
+    stream = streaming.round_robin(streaming.as_stream(requests, "t", 1), replicas)
+    assert [r["replica_id"] for r in streaming.run_available(stream, "t").orderBy("id").collect()] == got
+
+
+def test_registry(spark, tmp_path):
+    rows = [(1, "m", "a", "p", "r1", "u1", 10, "READY", "v1"), (1, "m", "b", "p", "r1", "u1", 10, "READY", "v2"), (0, "m", "c", "q", "r3", "u3", 10, "READY", "v1"), (1, "m", "a", "s", "r4", "u4", 10, "READY", "v9")]
+    df = spark.createDataFrame(rows, readers.SCHEMAS["replica"])
+    assert {r["problem"] for r in routing.registry_violations(df).collect()} == {"replica_repeated", "endpoint_repeated", "pool_mixed", "checkpoints_differ", "epoch"}
+    good = spark.createDataFrame(rows[:1], readers.SCHEMAS["replica"])
+    streaming.publish(spark, good, f"{tmp_path}/reg")
+    with pytest.raises(ValueError):
+        streaming.publish(spark, good, f"{tmp_path}/reg")
+
+
+def test_count_windows(spark):
+    df = spark.range(10).withColumn("k", F.lit(0))
+    got = routing.count_windows(df, "id", 2, "k", batches=2).groupBy("window").count().orderBy("window").collect()
+    assert [r["count"] for r in got] == [4, 4, 2]
+
+
+def test_components_and_order(spark):
+    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "x"), ("z", "y"), ("q", "c")], "a string, b string")
+    for df in (edges, edges.repartition(3), edges.orderBy(F.desc("a"))):
+        assert {r["node"]: r["label"] for r in groups.component_labels(df).collect()} == {"a": "a", "b": "a", "c": "a", "q": "a", "x": "x", "y": "y", "z": "y"}
+
+
+def test_dropped_duplicates_still_join_groups(spark):
+    rows = spark.createDataFrame([("g1", None, "h"), ("g2", "x", "h"), ("g3", "x", "k")], "g string, x string, h string")
+    labels = {r["node"]: r["label"] for r in groups.component_labels(groups.record_edges(rows, "g", "x", "h")).collect()}
+    assert labels["g3"] == "g1"
+
+
+def test_allocation(spark):
+    df = spark.createDataFrame([("s", "a", 5), ("s", "b", 3), ("s", "c", 1), ("t", "a", 2)], "s string, k string, n long")
+    got = {(r["s"], r["k"]): r["allocated"] for r in corpus.allocate(df, ["s"], "k", "n", F.lit(4)).collect()}
+    assert got == {("s", "a"): 2, ("s", "b"): 1, ("s", "c"): 1, ("t", "a"): 2}
+
+
+def test_overlap_mid_word_and_short(spark):
+    marks = spark.createDataFrame([("alpha beta gamma delta epsilon zeta eta theta",), ("x" * 45,)], "fingerprint string")
+    docs = spark.createDataFrame([(1, "zalpha beta gamma delta epsilon zeta eta thetas"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, "a " + "x" * 50), (4, ""), (5, None)], "id int, c string")
+    for most in (100, 0):
+        assert {r["id"] for r in corpus.overlap(docs, "id", "c", marks, most).collect()} == {1, 3}
+
+
+def test_strict_reader(spark, tmp_path):
+    good = {"id": "a", "input_ids": [1, 2], "max_new_tokens": 5, "expert_losses": [0.5, 1]}
+    bad = [{**good, "id": "b", "input_ids": [1, True]}, {**good, "id": "c", "input_ids": [1.0]}, {**good, "id": "d", "input_ids": [1] * 5}, {**good, "id": "e", "expert_ids": ["y", "x"]}, {**good, "id": "f", "expert_losses": [1]}]
+    lines = [json.dumps(good), "", *map(json.dumps, bad), "{", json.dumps({**good, "id": "g"}), json.dumps({**good, "id": "g"})]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    rows, wrong = readers.labelled_requests(spark, str(tmp_path / "r.jsonl"), ["x", "y"], 4)
+    assert [r["id"] for r in rows.collect()] == ["a"]
+    assert sorted(r["line"] for r in wrong.collect()) == [3, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_log_tail_and_sinks(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/m.jsonl").write_text('{"epoch": 1, "step": 1, "loss": 2.0}\n\n{"epoch": 1, "step": 2, "loss": 1.0}')
+    assert [r["step"] for r in readers.metrics_log(spark, str(tmp_path / "log")).collect()] == [1]
+    df = spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string")
+    sinks.by_split(df, str(tmp_path / "out"), "split")
+    with pytest.raises(Exception, match="already exists"):
+        sinks.by_split(df, str(tmp_path / "out"), "split")
+    files = sinks.digests(spark, str(tmp_path / "log"))
+    assert sinks.changed_files(spark, str(tmp_path / "log"), files).isEmpty()
+    assert sinks.changed_files(spark, str(tmp_path / "log"), files.withColumn("sha256", F.lit("0"))).count() == 1
+    got = sinks.manifest(spark, str(tmp_path / "man"), {"seed": 42}, {"splits": df.groupBy("split").count()}, files)
+    assert got["seed"] == 42 and len(got["files"]) == 1
+    sinks.csv(df, str(tmp_path / "csv"))
+    with pytest.raises(Exception, match="not finite"):
+        sinks.append(spark.createDataFrame([(float("nan"),)], "loss double"), str(tmp_path / "app"))
+
+
+def test_audits_fire(spark):
+    df = spark.createDataFrame([(1, "g", "train"), (2, "g", "test"), (2, "h", "test")], "id int, g string, split string")
+    assert audit.repeated(df, "id").count() == 1
+    assert [r["g"] for r in audit.crossing_splits(df, "g", "split").collect()] == ["g"]
+    with pytest.raises(audit.AuditError):
+        audit.require_empty(audit.repeated(df, "id"), "ids")
+    audit.require_empty(df.where("id > 5"), "nothing")
+    assert audit.has_columns(df, "expert_losses", "split") == ["split"]
+
+
+def test_deployment(spark):
+    e = "array<struct<expert_id: string, port: int, gpu: string>>"
+    cases = [([("a", 1, "0"), ("b", 2, "1")], "2", None), ([("a", 1, "0"), ("b", 2, "00")], "2", "gpus_shared"), ([("a", 1, "0")], "2", "two_experts"), ([("a", 1, "0"), ("b", 1, "1")], "2", "not_distinct"), ([("a", 1, "0"), ("b", 2, "1")], "1", "router_gpu_shared"), ([("a", 1, "x"), ("b", 2, "1")], "2", "gpu_number")]
+    df = spark.createDataFrame(cases, f"e {e}, g string, want string")
+    for r in df.select("want", readers.deployment_violation(F.col("e"), F.col("g")).alias("got")).collect():
+        assert r["got"] == r["want"]
