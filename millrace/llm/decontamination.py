@@ -132,8 +132,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = found.groupBy("_id", "_content").agg(
         covered(F.sort_array(F.collect_set(F.struct("start", "length"))), begin_end).alias("_hit"), F.sort_array(F.collect_set("item_id")).alias("_items")
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_content"))
-    counted = docs.withColumn("n_words", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_content"))
+    # The hash is taken before the join, so that the text goes along only if it is asked for.
+    n_words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+    counted = docs.withColumns({"n_words": n_words, "_here": F.xxhash64(F.col(text))})
     items = F.coalesce("_items", F.array().cast("array<string>"))
     return counted.join(hits, same, "left").select(
         *docs.columns, "n_words", F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
