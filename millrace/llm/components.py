@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import drop_written, written
+from millrace.llm.storage import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,19 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node moves to its smallest neighbour, if that is smaller, and the edges
     are drawn between what is left, so at least half the nodes of a component that still has
-    edges vanish.  What a round leaves is written, so that lineage doesn't grow.
+    edges vanish.  Moves and edges of a round are written, so that lineage doesn't grow.
     """
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        to = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).where("a <> p")
-        to = written(to, "moves")
-        old = edges, labels
-        labels = written(labels.join(to, labels["label"] == to["a"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
-        pa, pb = to.select(F.col("a").alias("x"), F.col("p").alias("px")), to.select(F.col("a").alias("y"), F.col("p").alias("py"))
+        to = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).where("a <> p"), "moves")
+        labels = labels.join(to, labels["label"] == to["a"], "left").select("node", F.coalesce("p", "label").alias("label"))
+        pa, pb = to.toDF("x", "px"), to.toDF("y", "py")
         moved = edges.join(pa, edges["a"] == pa["x"], "left").join(pb, edges["b"] == pb["y"], "left").select(F.coalesce("px", "a").alias("a"), F.coalesce("py", "b").alias("b"))
         edges = written(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        for df in (*old, to):
-            drop_written(df)
-    return labels
+    return written(labels, "labels")

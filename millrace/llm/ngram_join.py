@@ -11,13 +11,14 @@ n - o + l of each, for any l (`matches_asked` gives each its l).
    that is in many documents makes candidates costly, and documents that hold such tokens
    have a prefix long enough to do without: of the l matches that a pair must share, those in
    long lists are at most as many as either has there, so it needs the difference in short ones.
-   Only pairs of which each has l or more tokens in long lists can escape the short lists.  A token that is
+   Only pairs that share l or more tokens of long lists can escape the short lists, so a node enters those
+   of the first tokens that it needs to share one.  A token that is
    frequent within one chunk of input is set aside there and then, so that none gathers in one task.
-3. Nodes that could so escape (large groups of near copies; few others) stay in the long lists.  Each round,
-   a list elects a leader, which is compared with all the others.  The Jaccard distance is a metric:
-   who links to the leader at distance d leaves the list if everyone who doesn't link to it is further
+3. Nodes that could so escape (large groups of near copies; few others) stay in the long lists.  Each round, a
+   list elects leaders, 1, then 4, 16 and so on, which are compared with all the others.  The Jaccard distance is a metric:
+   who links to a leader at distance d leaves the list if everyone who doesn't link to it is further
    from it than 0.25 + d.  So a group of thousands of copies takes as many comparisons, not their square.
-   Lists that have not emptied after ROUNDS end by comparing all their pairs.
+   Lists of up to SHORT or twice as many nodes as leaders, and what has not emptied after ROUNDS, end by comparing all their pairs.
 4. Pairs of short lists are verified best first: each node's pair with the most matches, then the
    pairs whose ends are not connected yet.
 5. Links make components (contraction, see `components`), and each gets its smallest document id.
@@ -30,24 +31,28 @@ their own; null ids are not considered for the smallest id; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import spans
 from millrace.llm.components import components
 from millrace.llm.storage import drop_written, written
 
-WORDS, PERCENT, SHORT, ROUNDS, FILTER_WORDS = 5, 75, 8, 6, 1 << 17
+WORDS, PERCENT, SHORT, ROUNDS, FILTER_WORDS = 5, 75, 16, 6, 1 << 17
+#: Postings that are looked at together.
+BATCH = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def matches_asked(n):
     """Matches that a set of n asks for, in numpy or as a column."""
-    return F.floor(n / 16) + 1 if isinstance(n, Column) else n // 16 + 1
+    return F.floor(n / 6) + 1 if isinstance(n, Column) else n // 6 + 1
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -77,15 +82,16 @@ def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, n and node (null without shingles) of each row."""
+    """_id, _content (a hash of the text), n and node (null without shingles) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _each_set(batches):
             n = np.fromiter(map(len, found), np.int64, len(found))
             nodes = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(n), nodes], ["_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_content"), pa.array(n), nodes], ["_id", "_content", "n", "node"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(run, "_id bigint, n bigint, node bigint")
+    columns = F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_content"), F.col(text).alias("_text")
+    return docs.select(*columns).mapInArrow(run, "_id bigint, _content bigint, n bigint, node bigint")
 
 
 def _postings(docs: DataFrame, text: str, percent: int, short: int, of_long: bool) -> DataFrame:
@@ -151,7 +157,7 @@ def _runs(postings: DataFrame, short: int) -> DataFrame:
                 zero = np.zeros(int(rows.sum()), np.int64)
                 results.append(out(True, token[rows], node[rows], n[rows], zero, zero))
             pairs = []
-            for g in range(2, short + 1):
+            for g in np.unique(sizes[~is_long & (sizes > 1)]).tolist():
                 at = starts[~is_long & (sizes == g)]
                 for i in range(g):
                     for j in range(i + 1, g):
@@ -166,13 +172,23 @@ def _runs(postings: DataFrame, short: int) -> DataFrame:
                 results.append(out(False, a[first], b[first], na[first], nb[first], np.diff(np.append(first, len(a)))))
             return results, (token[held], node[held], n[held])
 
+        def flush(last: bool):
+            nonlocal token, node, n, waiting, rows
+            t = np.concatenate([token, *(b.column("token").to_numpy() for b in waiting)])
+            d = np.concatenate([node, *(b.column("node").fill_null(0).to_numpy() for b in waiting)])
+            m = np.concatenate([n, *(b.column("n").to_numpy() for b in waiting)])
+            results, (token, node, n) = handle(t, d, m, last)
+            waiting, rows = [], 0
+            return results
+
+        waiting: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            t = np.concatenate([token, batch.column("token").to_numpy()])
-            d = np.concatenate([node, batch.column("node").fill_null(0).to_numpy()])
-            m = np.concatenate([n, batch.column("n").to_numpy()])
-            results, (token, node, n) = handle(t, d, m, False)
-            yield from results
-        yield from handle(token, node, n, True)[0]
+            waiting.append(batch)
+            rows += len(batch)
+            if rows >= BATCH:
+                yield from flush(False)
+        yield from flush(True)
 
     return postings.mapInArrow(run, "is_long boolean, x bigint, y bigint, nx bigint, ny bigint, c bigint")
 
@@ -226,29 +242,40 @@ def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _long_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, node, n, leader, nl) of the lists, and the leaders' pairs to compare."""
-    heads = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l"))
-    led = lists.join(heads, "token").select("token", "node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("nl")).where("node <> leader")
-    pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.when(F.col("node") < F.col("leader"), F.col("n")).otherwise(F.col("nl")).alias("na"), F.when(F.col("node") < F.col("leader"), F.col("nl")).otherwise(F.col("n")).alias("nb"))
-    return led, pairs.where(_sizes_fit(percent)).distinct()
+def _long_pairs(lists: DataFrame, percent: int, short: int, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """(token, node, n, leads, leader, nl) of the lists that go on, and the pairs to compare: with up to
+    `leaders` leaders of each list, and all of lists that have no more than `short` or twice as many nodes."""
+    salt = F.pmod(F.xxhash64(F.lit(leaders), "node"), F.lit(leaders))
+    heads = lists.groupBy("token", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l"), F.count("*").alias("k"))
+    heads = heads.groupBy("token").agg(F.collect_list(F.struct("l.node", "l.n")).alias("ls"), F.sum("k").alias("k"))
+    sized, many = lists.join(heads, "token"), F.col("k") > max(short, 2 * leaders)
+    led = sized.where(many).select("token", "node", "n", F.exists("ls", lambda x: x["node"] == F.col("node")).alias("leads"), F.explode("ls").alias("l"))
+    led = led.select("token", "node", "n", "leads", F.col("l.node").alias("leader"), F.col("l.n").alias("nl")).where("node <> leader")
+    few = sized.where(~many)
+    x, y = few.select("token", F.col("node").alias("a"), F.col("n").alias("na")), few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
+    within = x.join(y, "token").where("a < b").select("a", "b", "na", "nb")
+    first = F.col("node") < F.col("leader")
+    with_leader = led.select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.when(first, F.col("n")).otherwise(F.col("nl")).alias("na"), F.when(first, F.col("nl")).otherwise(F.col("n")).alias("nb")
+    )
+    return led, with_leader.union(within).where(_sizes_fit(percent)).distinct()
 
 
 def _shrunk(led: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """What is left of each list once its leader was compared with the others."""
-    pairs = compared.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("leader"), "both"), F.struct(F.col("b").alias("node"), F.col("a").alias("leader"), "both"))).alias("p")).select("p.*")
-    known = led.join(pairs, ["node", "leader"], "left")
+    """What is left of each list once its leaders were compared with all others."""
+    sides = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("leader"), "both"), F.struct(F.col("b").alias("node"), F.col("a").alias("leader"), "both"))
+    known = led.join(compared.select(F.explode(sides).alias("p")).select("p.*"), ["node", "leader"], "left")
     union = F.col("n") + F.col("nl") - F.col("both")
     # Sets that were not compared differ in size too much; that bounds their distance from below.
     distance = F.coalesce(1 - F.col("both") / union, 1 - F.least("n", "nl") / F.greatest("n", "nl"))
     linked = F.coalesce(100 * F.col("both") >= percent * union, F.lit(False))
-    known = known.select("token", "node", "n", distance.alias("d"), linked.alias("linked"))
-    nearest = known.groupBy("token").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"), F.count_if(~F.col("linked")).alias("others"))
+    known = known.select("token", "node", "n", "leads", "leader", distance.alias("d"), linked.alias("linked"))
+    nearest = known.groupBy("token", "leader").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"))
     # A sliver is added against rounding; it only keeps more.
-    stay = ~F.col("linked") | (F.col("nearest") <= F.col("d") + (1 - percent / 100) + 1e-9)
-    left = known.join(nearest, "token").where((F.col("others") > 0) & stay).select("token", "node", "n")
-    many = left.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    return left.join(many, "token", "left_semi")
+    settled = F.col("linked") & (F.col("nearest").isNull() | (F.col("nearest") > F.col("d") + (1 - percent / 100) + 1e-9))
+    left = known.join(nearest, ["token", "leader"]).where(~F.col("leads")).groupBy("token", "node", "n").agg(F.bool_or(settled).alias("settled")).where("NOT settled").drop("settled")
+    several = left.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    return left.join(several, "token", "left_semi")
 
 
 def _short_pairs(rows: DataFrame, in_long: DataFrame, percent: int) -> DataFrame:
@@ -271,45 +298,40 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     pending = written(_short_pairs(lists, in_long, percent), "short_pairs")
     # A partner may be smaller, and ask for fewer matches.
     least = matches_asked(F.ceil(F.col("n") * percent / 100))
-    escaping = long_.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("node")
-    active = long_.join(escaping, "node", "left_semi")
-    active = written(active, "active_lists")
+    of_node = Window.partitionBy("node")
+    ranked = long_.withColumns({"k": F.count("*").over(of_node), "rank": F.row_number().over(of_node.orderBy("token"))})
+    # Sharing that many of its k tokens, it shares one of the first k - least + 1.
+    active = written(ranked.where((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("token", "node", "n"), "active_lists")
     nodes = pending.select(F.explode(F.array("a", "b")).alias("node")).union(active.select("node")).distinct()
     node_sets = written(_node_sets(docs, text, nodes), "node_sets")
-    links = None
-    labels = None
-
-    def add(compared: DataFrame) -> None:
-        nonlocal links, labels
-        new = compared.where(_links(percent)).select("a", "b")
-        links = new if links is None else links.union(new)
-        labels = components(links)
-
+    found: list[DataFrame] = []  # verified links
     for k in range(rounds + 1):
         if active.isEmpty():
             break
         if k == rounds:  # the exact way for lists that don't empty
             x, y = active.select("token", F.col("node").alias("a"), F.col("n").alias("na")), active.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-            add(written(_verified(x.join(y, "token").where("a < b").where(_sizes_fit(percent)).select("a", "b", "na", "nb").distinct(), node_sets), "compared"))
+            compared = written(_verified(x.join(y, "token").where("a < b").where(_sizes_fit(percent)).select("a", "b", "na", "nb").distinct(), node_sets), "compared")
+            found.append(compared.where(_links(percent)).select("a", "b"))
             break
-        led, pairs = _long_pairs(active, percent)
+        led, pairs = _long_pairs(active, percent, short, 4**k)
         compared = written(_verified(pairs, node_sets), "compared")
-        add(compared)
+        found.append(compared.where(_links(percent)).select("a", "b"))
         active = written(_shrunk(led, compared, percent), "active_lists")
-    for k in range(3):
-        if labels is not None:
-            a, b = labels.toDF("a", "pa"), labels.toDF("b", "pb")
-            apart = F.coalesce("pa", "a") != F.coalesce("pb", "b")
-            pending = written(pending.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b", "na", "nb", "c"), "short_pairs")
-        if pending.isEmpty():
-            break
-        best = pending.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("c", "b")).alias("m")).select("a", "m.*") if k < 2 else pending
-        compared = written(_verified(best, node_sets), "compared")
-        add(compared)
-        pending = pending.join(compared, ["a", "b"], "left_anti")
+    best = pending.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("c", "b")).alias("m")).select("a", "m.*")
+    compared = written(_verified(best, node_sets), "compared")
+    found.append(compared.where(_links(percent)).select("a", "b"))
+    links = reduce(DataFrame.union, found)
+    labels = components(links)
+    a, b = labels.toDF("a", "pa"), labels.toDF("b", "pb")
+    apart = F.coalesce("pa", "a") != F.coalesce("pb", "b")
+    pending = pending.join(compared, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b", "na", "nb")
+    pending = written(pending, "short_pairs")
+    if not pending.isEmpty():
+        more = written(_verified(pending, node_sets), "compared").where(_links(percent)).select("a", "b")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
     drop_written(node_sets)
-    if links is None:
-        return rows.withColumn("label", F.col("node")), rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), links
 
 
@@ -325,8 +347,10 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **of) -> DataFrame:
-    """One document of each component, the one with its smallest id; all columns are kept.  Documents
-    without shingles stay, as do those without an id; of rows that share that id and text, all stay."""
-    ids = component_ids(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **of)
-    gone = ids.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """One document of each component, that of the smallest id, with all its columns; of several texts under that id, that of the
+    smallest hash.  Documents without shingles or without an id stay.  Rows with equal ids and equal texts are one document."""
+    rows, _ = join(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **of)
+    rows = rows.where("node IS NOT NULL").select("label", F.struct("_id", "_content").alias("own"))
+    gone = rows.join(rows.groupBy("label").agg(F.min("own").alias("kept")), "label").where("own <> kept").select(F.col("own._id").alias("_gone"), F.col("own._content").alias("_what")).distinct()
+    marked = docs.withColumn("_here", F.xxhash64(text))
+    return marked.join(gone, (F.col(doc_id) == F.col("_gone")) & (F.col("_here") == F.col("_what")), "left_anti").drop("_here")
