@@ -10,9 +10,16 @@ all known words and one unknown:
     P(w | before) = P(class(w) | state) P(w | class(w), state)
 
 It is a GRU in numpy, trained by truncated backpropagation through time (windows of
-STEPS tokens in LANES lanes; the state goes on from window to window, gradients don't) on
-a bounded sample of the training documents.  Scoring runs whole documents in windows
-whose state is carried on, so a text of any length has the log-likelihood of the whole.
+STEPS tokens in lanes; the state goes on from window to window, gradients don't) on all
+training documents.  It starts on the driver from a bounded sample; then the rows are dealt
+by a hash to shards of about SHARD tokens, whose number grows with the corpus.  Each shard
+trains a copy on its whole texts, and the copies' parameters are averaged by their tokens.
+Texts longer than PIECE tokens are cut into pieces, which know the word before them and
+begin without state.  Scoring runs whole documents in windows whose state is carried on, so
+a text of any length has the log-likelihood of the whole.
+
+The head has HEAD words, or twice the root of the number of different words if that is more
+(the KNOWN most frequent at most, from 1e9 different words on).
 
 The counts of words beyond the KNOWN most frequent, which go along with the model, meet
 the documents in a join by word; only sums come back by document.
@@ -24,8 +31,9 @@ word of probability 1; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +46,7 @@ from millrace.llm.storage import written
 HEAD, KNOWN, CLASSES, HIDDEN, DIM = 2048, 1 << 16, 48, 24, 16
 SAMPLE, SAMPLE_BYTES, LANES, STEPS, RATE, SEED = 1200, 1 << 15, 48, 16, 0.01, 11
 WINDOW, CHUNK = 256, 3 << 20
+SHARD, WIDE, PIECE, SLICE = 1 << 20, 256, 1024, 4096  # tokens a copy trains on, its lanes, tokens a piece, parameters a row
 END = -1  # the key of a document's end
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -149,7 +158,7 @@ class Model:
         return out
 
 
-def build(counts: DataFrame, head: int = HEAD, known: int = KNOWN, classes: int = CLASSES, hidden: int = HIDDEN, dim: int = DIM, seed: int = SEED) -> Model:
+def build(counts: DataFrame, head: int | None = None, known: int = KNOWN, classes: int | None = None, hidden: int = HIDDEN, dim: int = DIM, seed: int = SEED) -> Model:
     """An untrained model: the network's output is the unigram distribution."""
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # Buckets of counts, from the largest down, as long as they fit: at most `known` rows, and no global sort.
@@ -164,7 +173,8 @@ def build(counts: DataFrame, head: int = HEAD, known: int = KNOWN, classes: int
     words, c = [r["word"] for r in top], [r["c"] for r in top]
     if END not in words:  # fewer documents than occurrences of any known word, or none
         words, c = [*words[: known - 1], END], [*c[: known - 1], (counts.where(F.col("word") == END).select("c").first() or [0])[0]]
-    k = min(head, len(words))
+    k = min(head or max(HEAD, 2 * math.isqrt(int(whole["v"]))), len(words))
+    classes = classes or max(CLASSES, math.isqrt(k))
     if END not in words[:k]:
         i = words.index(END)
         words[k - 1], words[i], c[k - 1], c[i] = words[i], words[k - 1], c[i], c[k - 1]
@@ -186,24 +196,28 @@ def build(counts: DataFrame, head: int = HEAD, known: int = KNOWN, classes: int
     return Model(int(whole["n"]), int(whole["v"]), words[order], c[order], number[order], k, int(np.flatnonzero(words == END)[0]), np.append(class_of, len(first)), first, float(np.log(z)), p)
 
 
-def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> list[float]:
-    """Truncated backpropagation with Adam over the documents (numbers of words), dealt to lanes; the mean loss of each window is returned."""
+def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, rate: float = RATE, piece: int = 0) -> list[float]:
+    """Truncated backpropagation with Adam over the documents (numbers of words), dealt to lanes whole or in pieces; the mean loss of each window is returned."""
     if not docs:
         return []
-    streams: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+    streams: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(lanes)]
     load = np.zeros(lanes)
     for d in docs:
-        k = int(load.argmin())
-        streams[k].append(np.append(d, m.end))
-        load[k] += len(d) + 1
+        whole = np.append(d, m.end)
+        for at in range(0, len(whole), piece or len(whole)):
+            k = int(load.argmin())
+            part = whole[at : at + (piece or len(whole))]
+            streams[k].append((part, whole[at - 1] if at else m.end))
+            load[k] += len(part)
     length = int(load.max())
     target, valid, begins = np.full((lanes, length), m.end), np.zeros((lanes, length), bool), np.zeros((lanes, length), bool)
+    before = np.full((lanes, length), m.end)
     for k, parts in enumerate(streams):
         at = 0
-        for d in parts:
+        for d, prior in parts:
             target[k, at : at + len(d)], valid[k, at : at + len(d)], begins[k, at] = d, True, True
+            before[k, at], before[k, at + 1 : at + len(d)] = prior, d[:-1]
             at += len(d)
-    before = np.concatenate([np.full((lanes, 1), m.end), target[:, :-1]], 1)
     p, n = m.p, m.p["U"].shape[0]
     first_moment, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     h, losses, windows = np.zeros((lanes, n), np.float32), [], range(0, length, steps)
@@ -267,6 +281,61 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
     return losses
 
 
+def learned(docs: DataFrame, model: Model, text: str = "text", shard: int = SHARD) -> dict[str, np.ndarray]:
+    """The model's parameters after training on all rows: the mean of the shards' copies.  Which rows are in a shard, and their
+    order, depends on the rows alone."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    names = sorted(model.p)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in spans.chunks(batch, "_text"):
+                words, n = tokens(part.column("_text"))
+                numbers = shared.value.numbers(words)[0].astype(np.int32)
+                offsets = np.append(0, np.cumsum(n) * 4).astype(np.int64)
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
+                yield pa.RecordBatch.from_arrays([part.column("key"), ids.cast(pa.binary())], ["key", "ids"])
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, block, size, seen = replace(shared.value, p={k: v.copy() for k, v in shared.value.p.items()}), [], 0, 0
+        for batch in batches:
+            for x in batch.column("ids"):
+                block.append(np.frombuffer(x.as_buffer(), np.int32))
+                size += len(block[-1]) + 1
+                if size >= 2 * shard:  # bounds the memory where copies of one row meet
+                    train(m, block, min(WIDE, max(1, size // PIECE)), rate=RATE / 4, piece=PIECE)
+                    block, size, seen = [], 0, seen + size
+        train(m, block, min(WIDE, max(1, size // PIECE)), rate=RATE / 4, piece=PIECE)
+        if seen + size:
+            flat = np.concatenate([m.p[k].reshape(-1) for k in names]).astype(np.float32)
+            parts = [flat[at : at + SLICE].tobytes() for at in range(0, len(flat), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen + size)] * len(parts)), pa.array(parts, pa.binary())], ["part", "weight", "p"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        weights: dict[int, float] = {}
+        for batch in batches:
+            for part, weight, p in zip(*(batch.column(k).to_pylist() for k in ("part", "weight", "p")), strict=True):
+                own = np.frombuffer(p, np.float32).astype(np.float64) * weight
+                sums[part] = sums[part] + own if part in sums else own
+                weights[part] = weights.get(part, 0.0) + weight
+        out = [(sums[k] / weights[k]).astype(np.float32).tobytes() for k in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["part", "p"])
+
+    rows = docs.select(F.xxhash64(*docs.columns).alias("key"), F.col(text).alias("_text")).mapInArrow(number, "key bigint, ids binary")
+    shards = max(1, -(-model.total // shard))
+    trained = rows.repartition(shards, "key").sortWithinPartitions("key", "ids").mapInArrow(copies, "part int, weight double, p binary")
+    got = trained.repartition("part").mapInArrow(mean, "part int, p binary").collect()  # one set of parameters
+    if not got:
+        return model.p
+    flat, p, at = np.concatenate([np.frombuffer(r["p"], np.float32) for r in sorted(got, key=lambda r: r["part"])]), {}, 0
+    for k in names:
+        p[k] = flat[at : at + model.p[k].size].reshape(model.p[k].shape).copy()
+        at += model.p[k].size
+    return p
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model of these documents, and the counts of all their words.  docs: the training part."""
     spans.prepare(docs.sparkSession)
@@ -280,14 +349,14 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[Mode
         words, _ = tokens(pa.array([r["t"]], pa.string()))
         texts.append(model.numbers(words)[0])
     train(model, texts)
-    return model, counts
+    return replace(model, p=learned(docs, model, text)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     spans.prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
+    shared = spark.sparkContext.broadcast(model)  # grows with the root of the number of different words
 
     def content(part: pa.RecordBatch) -> np.ndarray:
         data, offsets = spans.buffers(part.column("_text"))

@@ -364,6 +364,23 @@ def test_lm_learns():
     assert np.mean(losses[-5:]) < 0.4 * np.mean(losses[:5])
 
 
+def test_lm_learns_from_every_row(spark):
+    # No text fits into the sample that the network starts from, so all it knows of order comes from the other rows.
+    long = [(i, "ab cd ef gh " * 3000 + f"n{i}") for i in range(24)]
+    docs = spark.createDataFrame(long, "doc_id bigint, text string")
+    model, counts = lm_scoring.fit(docs)
+    for row in lm_scoring.score(docs, model, counts).collect():
+        assert row["score"] > 0.5 * row["base_score"]
+    # Nor does it depend on how the rows lie in partitions.
+    again, _ = lm_scoring.fit(docs.repartition(5))
+    assert all(np.allclose(model.p[k], again.p[k], atol=1e-6) for k in model.p)
+
+
+def test_lm_head_grows(spark):
+    counts = spark.range(4_000_000).select(F.when(F.col("id") == 0, lm_scoring.END).otherwise(F.col("id")).alias("word"), F.when(F.col("id") < 9000, F.lit(3)).otherwise(F.lit(1)).cast("long").alias("c"))
+    assert lm_scoring.build(counts).rest == 4000
+
+
 SF = "/root/testdata/sf0.001"
 
 
