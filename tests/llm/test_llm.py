@@ -244,6 +244,18 @@ def test_language_bits_by_brute_force():
     assert language_id.train({}).predict(pa.array(["ab"]))[0] == ["und"]
 
 
+def test_language_sample_under_skew(spark):
+    # Of each language a text that fills nearly all rows and five others; one language has only long texts, one has both.
+    rows = [(f"l{k}", f"copied {k}") for k in range(10) for _ in range(995)] + [(f"l{k}", f"own {k} {i}") for k in range(10) for i in range(5)]
+    rows += [("long", f"{i} " + "ab " * 12_000) for i in range(3)] + [("l0", "cd " * 12_000), (None, "none"), ("null", None)]
+    got = language_id.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert {k: sorted(v) for k, v in got.items() if k != "long"} == {f"l{k}": sorted([f"copied {k}", *(f"own {k} {i}" for i in range(5))]) for k in range(10)}
+    assert sorted(t[:4] for t in got["long"]) == ["0 ab", "1 ab", "2 ab"]
+    # Two thirds copies: as many as without them.
+    rows = [("a", f"text {i}") for i in range(1000)] + [("a", "text 0")] * 2000
+    assert len(language_id.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))["a"]) == language_id.SAMPLE
+
+
 def test_re_pair_round_trip():
     r = np.random.default_rng(1)
     for n in (1, 2, 50, 5000):
