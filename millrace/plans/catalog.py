@@ -389,8 +389,10 @@ def token_fingerprint(spark, d):
 @query(f"""WITH {SQL_IDS} SELECT conv_id, list_concat(ids, list_transform(range(0, 40 - len(ids)), lambda x: CAST(0 AS BIGINT))) AS padded,
 list_transform(range(1, 41), lambda x: x <= len(ids)) AS mask FROM i WHERE len(ids) <= 40""")
 def right_pad_mask(spark, d):
-    width = F.lit(40)
-    return _ids(spark, d).where(F.size("ids") <= 40).select("conv_id", R.right_pad(F.col("ids"), width).alias("padded"), R.pad_mask(F.col("ids"), width).alias("mask"))
+    """To the longest conversation's width, 40 at least; the SQL has the width 40 only."""
+    rows = _ids(spark, d)
+    width = rows.agg(F.greatest(F.lit(40), F.max(F.size("ids"))).alias("width"))
+    return rows.crossJoin(F.broadcast(width)).select("conv_id", R.right_pad(F.col("ids"), F.col("width")).alias("padded"), R.pad_mask(F.col("ids"), F.col("width")).alias("mask"))
 
 
 @query(f"WITH {SQL_IDS} SELECT conv_id, list_transform(range(0, CAST(ceil(len(ids) / 4.0) AS BIGINT)), lambda b: list_concat(ids[4 * b + 1 : 4 * b + 4], list_transform(range(0, 4 - len(ids[4 * b + 1 : 4 * b + 4])), lambda x: CAST(0 AS BIGINT)))) AS blocks FROM i")
