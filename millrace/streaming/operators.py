@@ -1,7 +1,7 @@
 """Structured Streaming twins of the batch operators.
 
 State is bounded: a score whose partner doesn't come within `ttl` of event time is dropped
-(and can be had with `unpaired`), and repeated ids are remembered for as long.  Counters of
+(and can be had from the stored scores with `unpaired`), and repeated ids are remembered for as long.  Counters of
 placement are a few numbers a key.
 """
 
@@ -48,6 +48,14 @@ def pair_losses(streams: dict[str, DataFrame], ttl: str = "1 hour", time: str =
     return out.select(F.col("id0").alias("id"), F.array(*[f"loss{k}" for k in range(len(own))]).alias("expert_losses"))
 
 
+def unpaired(scores: dict[str, DataFrame], paired: DataFrame, time: str = "ts") -> DataFrame:
+    """(expert_id, id, loss, ts) of the valid scores whose ids `pair_losses` has not paired: a partner is missing or came too late.
+
+    scores: tables, by expert, of what the streams have brought; paired: the stored result of `pair_losses`."""
+    rows = [valid_scores(s).select(F.lit(name).alias("expert_id"), "id", "loss", time) for name, s in scores.items()]
+    return reduce(DataFrame.unionByName, rows).join(paired.select("id"), "id", "left_anti").select("expert_id", "id", "loss", time)
+
+
 PLACED = "id long, model_family string, expert_id string, pool_id string, replica_id string"
 
 

@@ -218,3 +218,13 @@ def test_deployment(spark):
     df = spark.createDataFrame(cases, f"e {e}, g string, want string")
     for r in df.select("want", readers.deployment_violation(F.col("e"), F.col("g")).alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+def test_unpaired_has_late_partners(spark):
+    # Partners of id 1 are a minute apart, those of 2 two hours, 3 has none, and 4 breaks the contract on one side.
+    of = lambda *rows: spark.createDataFrame(rows, "id bigint, loss double, t bigint").select("id", "loss", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t")).alias("ts"))
+    scores = {"a": of((1, 0.5, 0), (2, 1.0, 0), (3, 2.0, 0), (4, 1.5, 0)), "b": of((1, 0.25, 60), (2, 3.0, 7200), (4, -1.0, 0))}
+    paired = streaming.run_available(streaming.pair_losses({k: streaming.as_stream(s, f"late_{k}", 1) for k, s in scores.items()}), "late_pairs")
+    assert [(r["id"], r["expert_losses"]) for r in paired.collect()] == [(1, [0.5, 0.25])]
+    got = streaming.unpaired(scores, paired).collect()
+    assert sorted((r["expert_id"], r["id"], r["loss"]) for r in got) == [("a", 2, 1.0), ("a", 3, 2.0), ("a", 4, 1.5), ("b", 2, 3.0)]
