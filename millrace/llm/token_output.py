@@ -3,7 +3,7 @@
 Each shard holds the ids of some documents in order.  Re-Pair replaces pairs of ids that
 occur often by a new symbol and repeats that on the result: every round counts all pairs
 of the shard, takes the most frequent ones and replaces their occurrences from left to
-right.  A pair never spans two documents, so each begins at a symbol of its own.
+right, until no pair occurs LEAST_COUNT times (a rule takes 12 bytes).  A pair never spans two documents, so each begins at a symbol of its own.
 
 Format (one Parquet row a shard; numbers little-endian):
   part, block   place of the shard in the order of documents
@@ -22,6 +22,7 @@ other in the order of the input; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ from pyspark.sql.window import Window
 from millrace.llm import spans
 from millrace.llm.storage import written
 
-END_ID, SHARD_TOKENS, ROUNDS, RULES_A_ROUND, LEAST_COUNT = 1, 1 << 20, 5, 1024, 16
+END_ID, SHARD_TOKENS, RULES_A_ROUND, LEAST_COUNT = 1, 1 << 20, 1024, 16
 SHARD_SCHEMA = "part int, block int, base long, width int, n_tokens long, rules binary, rule_tokens binary, body binary, doc_ids array<bigint>, doc_tokens array<bigint>, doc_symbols array<bigint>"
 _BUCKETS = 1 << 18
 
@@ -74,7 +75,7 @@ class Grammar:
         return np.concatenate([flat, body[plain]]).astype(np.uint32)[spans.ranges(from_, counts)]
 
 
-def re_pair(ids: np.ndarray, tokens: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
+def re_pair(ids: np.ndarray, tokens: np.ndarray, base: int, rounds: int | None = None, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
     """The grammar of `ids`, which are those of documents of `tokens` ids each (one at least)."""
     seq = ids.astype(np.uint32)
     first = np.zeros(len(seq) + 1, bool)
@@ -82,7 +83,7 @@ def re_pair(ids: np.ndarray, tokens: np.ndarray, base: int, rounds: int = ROUNDS
     first[len(seq)] = True
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         bucket = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
@@ -90,12 +91,15 @@ def re_pair(ids: np.ndarray, tokens: np.ndarray, base: int, rounds: int = ROUNDS
         filled = np.bincount(bucket[allowed], minlength=_BUCKETS)
         # A pair occurs at most as often as its bucket, so rarer buckets hold no pair that is wanted.
         bar = max(least, int(np.partition(filled, -rules_a_round)[-rules_a_round]))
-        at = np.flatnonzero(allowed & (filled >= bar)[bucket])
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        keys, counts = np.unique(pair, return_counts=True)
-        order = np.lexsort((keys, -counts))[:rules_a_round]
-        chosen = np.sort(keys[order[counts[order] >= least]])
-        if not len(chosen):
+        for bar in (bar, least):  # the fullest buckets may hold only rare pairs
+            at = np.flatnonzero(allowed & (filled >= bar)[bucket])
+            pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+            keys, counts = np.unique(pair, return_counts=True)
+            order = np.lexsort((keys, -counts))[:rules_a_round]
+            chosen = np.sort(keys[order[counts[order] >= least]])
+            if len(chosen):
+                break
+        else:
             break
         slot = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
         hit = chosen[slot] == pair

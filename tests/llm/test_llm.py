@@ -244,6 +244,14 @@ def test_language_bits_by_brute_force():
     assert language_id.train({}).predict(pa.array(["ab"]))[0] == ["und"]
 
 
+def test_re_pair_runs_until_no_pair_is_frequent():
+    r = np.random.default_rng(2)
+    ids = np.tile(r.integers(0, 1000, 512), 64).astype(np.uint32)
+    g = token_output.re_pair(ids, np.array([len(ids)]), 1000)
+    pairs = collections.Counter(zip(g.body[:-1].tolist(), g.body[1:].tolist(), strict=True))
+    assert max(pairs.values()) < token_output.LEAST_COUNT and g.decode().tolist() == ids.tolist()
+
+
 def test_language_sample_under_skew(spark):
     # Of each language a text that fills nearly all rows and five others; one language has only long texts, one has both.
     rows = [(f"l{k}", f"copied {k}") for k in range(10) for _ in range(995)] + [(f"l{k}", f"own {k} {i}") for k in range(10) for i in range(5)]
