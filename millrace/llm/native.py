@@ -49,3 +49,14 @@ def covered(starts: Column, width: int | Callable[[Column], tuple[Column, Column
         )
 
     return F.aggregate(starts, zero, step)["n"]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that none of the columns has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

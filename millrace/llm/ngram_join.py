@@ -1,35 +1,42 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of hashes of its 5-word shingles; the hashes' order is the order of
-tokens.  Documents a and b link if 100 |a & b| >= 75 |a | b|.  Of a set of n at least
-o = ceil(0.75 n) must be in the other, so two that link share l tokens among the first
-n - o + l of each, for any l (`matches_asked` gives each its l).
-
-1. `signatures`: id, set size and fingerprint of each document.  Equal sets are one node from here on.
-2. Prefixes meet by token in sorted order (a shuffle that spills, read as a stream).  Lists of
-   up to SHORT nodes give their pairs, which are counted.  Longer lists are set aside: a token
-   that is in many documents makes candidates costly, and documents that hold such tokens
-   have a prefix long enough to do without: of the l matches that a pair must share, those in
-   long lists are at most as many as either has there, so it needs the difference in short ones.
-   Only pairs that share l or more tokens of long lists can escape the short lists, so a node enters those
-   of the first tokens that it needs to share one.  A token that is
-   frequent within one chunk of input is set aside there and then, so that none gathers in one task.
-3. Nodes that could so escape (large groups of near copies; few others) stay in the long lists.  Each round, a
-   list elects leaders, 1, then 4, 16 and so on, which are compared with all the others.  The Jaccard distance is a metric:
-   who links to a leader at distance d leaves the list if everyone who doesn't link to it is further
-   from it than 0.25 + d.  So a group of thousands of copies takes as many comparisons, not their square.
-   Lists of up to SHORT or twice as many nodes as leaders, and what has not emptied after ROUNDS, end by comparing all their pairs.
-4. Pairs of short lists are verified best first: each node's pair with the most matches, then the
-   pairs whose ends are not connected yet.
-5. Links make components (contraction, see `components`), and each gets its smallest document id.
+A document is the set of hashes of its 5-word shingles.  Documents a and b link if
+100 |a & b| >= 75 |a | b|.  Of a set of n at least o = ceil(0.75 n) must be in the other, so
+two that link share l tokens among the first n - o + l of each, for any l, in any order of
+tokens that is the same for all.
+
+1. `signatures`: id, set size and fingerprint of each document; equal sets are one node from here on.
+   The same pass counts all tokens in a sketch of fixed size.
+2. Tokens are ordered by how far their count stands out of the sketch's noise, rare ones first, then
+   by hash.  Each document takes the l that costs least: a longer prefix costs postings, and its
+   expected candidates are those of its tokens by the sketch, divided by l, as each must match l times.
+   A token whose list is longer than SHORT is taken for one of SHORT, which is what a member of it costs below.
+3. Prefixes meet by token, in parts of a bounded number of postings.  Lists of up to SHORT nodes give
+   their pairs with the number of matches.  Longer lists are set aside; one that is long within a
+   chunk of a task's input is set aside there and then, so that none gathers in one task.
+4. A pair needs as many matches as the smaller l.  It needs more, too: whose prefix ends first has
+   o - l tokens left, so that the matches and those must make up the overlap.  Matches in long lists aren't counted;
+   they are at most as many as either has there.
+5. Pairs that share long lists only: a list's leader (the node of the least hash) stands for the list, and lists with
+   one leader are one cluster, so that nearly all lists of a group of copies fall together.  All nodes are compared with their
+   leaders, then with a few more, but only where they aren't connected yet.  Clusters whose nodes are all connected are done. Of the others, nodes that
+   aren't in the cluster's largest component are compared with all nodes in blocks of BLOCK tokens, by
+   inverted lists in memory; only links that connect something come out.
+6. Pairs of short lists are verified best first: each node's pair with the most matches, then those
+   whose ends are not connected yet.
+7. Links make components (contraction, see `components`), and each gets its smallest document id.
+
+`join` returns links enough to connect all that link; those between nodes that others connect already are not looked for.
 
 Defined results: null or empty texts have an empty set, no links, and their own id as
 component; a text of fewer than 5 words is one shingle; rows with equal ids are nodes of
-their own; null ids are not considered for the smallest id; an empty table gives an empty result.
+their own; null ids are not considered for the smallest id; ids are whole numbers; an empty table gives an
+empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,302 +44,479 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm import spans
 from millrace.llm.components import components
+from millrace.llm.native import unused
 from millrace.llm.storage import drop_written, written
 
-WORDS, PERCENT, SHORT, ROUNDS, FILTER_WORDS = 5, 75, 16, 6, 1 << 17
-#: Postings that are looked at together.
-BATCH = 1 << 17
+WORDS, PERCENT, SHORT, ROUNDS, HEADS, FILTER_WORDS = 5, 75, 16, 2, 4, 1 << 17
+#: Buckets of the sketch (a power of two), and the blocks in which it travels.
+BITS, SKETCH_BLOCKS = 22, 64
+#: Postings that a task holds before it passes them on, postings of a part, and tokens of a block.
+CHUNK, PART, BLOCK = 1 << 21, 1 << 20, 1 << 20
+#: What a candidate costs, in postings; how many others are expected to have a token that doesn't stand out; the choice of l.
+CANDIDATE, ORDINARY = 3.0, 0.25
+LADDER = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+#: A posting's key: the token's level in the upper bits, then the upper bits of its hash.
+LEVEL_SHIFT = np.uint64(58)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def matches_asked(n):
-    """Matches that a set of n asks for, in numpy or as a column."""
-    return F.floor(n / 6) + 1 if isinstance(n, Column) else n // 6 + 1
+def token_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts, and how many each has."""
+    data, offsets = spans.buffers(texts)
+    data = _LOWER[data]
+    begin, end, counts = spans.words(data, offsets)
+    return spans.sorted_sets(*spans.shingles(spans.hashes(data, begin, end), counts, k))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + matches_asked(n)
+def fingerprints(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each set a signed number, 0 for the empty one alone."""
+    out, some = np.zeros(len(n), np.int64), n > 0
+    if some.any():
+        starts = (np.cumsum(n) - n)[some]
+        one = np.bitwise_xor.reduceat(tokens * np.uint64(0x9E3779B97F4A7C15) ^ (tokens >> np.uint64(29)), starts)
+        h = spans.mix(np.add.reduceat(tokens, starts) * np.uint64(3) + one + n[some].astype(np.uint64)).view(np.int64)
+        out[some] = np.where(h == 0, 1, h)
+    return out
 
 
-def sets(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    data, offsets = spans.buffers(texts)
-    data = _LOWER[data]
-    begin, end, counts = spans.words(data, offsets)
-    tokens, n = spans.shingles(spans.hashes(data, begin, end), counts, k)
-    return [np.unique(x) for x in np.split(tokens, np.cumsum(n)[:-1])] if len(n) else []
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the tokens, set sizes and fingerprints of `_text`."""
+    for batch in batches:
+        for part in spans.chunks(batch, "_text", spans.CHUNK_BYTES // 4):
+            tokens, n = token_sets(part.column("_text"))
+            yield part, tokens, n, fingerprints(tokens, n)
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """Of a set, not 0; as a signed number."""
-    one = np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))
-    h = spans.mix(np.array([s.sum(dtype=np.uint64)]) * np.uint64(3) + one + np.uint64(len(s)))[0]
-    return int(h.astype(np.int64)) or 1
+def _first_of_each(nodes: np.ndarray) -> np.ndarray:
+    """Whether a node is not 0 and occurs for the first time."""
+    out = np.zeros(len(nodes), bool)
+    out[np.unique(nodes, return_index=True)[1]] = True
+    return out & (nodes != 0)
 
 
-def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+class Sketch:
+    """How often tokens of each of 2^BITS buckets occur, whatever the number of tokens."""
+
+    def __init__(self):
+        self.counts, self._waiting, self._n = np.zeros(1 << BITS, np.uint64), [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self._waiting.append((tokens >> np.uint64(64 - BITS)).astype(np.uint32))
+        self._n += len(tokens)
+        if self._n >= 1 << BITS:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self._waiting:
+            self.counts += np.bincount(np.concatenate(self._waiting), minlength=1 << BITS).astype(np.uint64)
+        self._waiting, self._n = [], 0
+
+    def blocks(self) -> list[bytes]:
+        self._flush()
+        return [zlib.compress(x.tobytes(), 1) for x in np.minimum(self.counts, 0xFFFFFFFF).astype("<u4").reshape(SKETCH_BLOCKS, -1)]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the sketches' blocks."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part in spans.chunks(batch, "_text"):
-            yield part, sets(part.column("_text"))
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.uint64)
+            sums[block] = sums[block] + own if block in sums else own
+    packed = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1) for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Of each bucket 0 if its count is what chance gives, else one more than twice the logarithm of the rest."""
+    mean = counts.mean()
+    over = counts - mean
+    return np.where(over <= 4 * np.sqrt(mean) + 1, 0, np.minimum(1 + np.floor(2 * np.log2(np.maximum(over, 1))), 63)).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, _content (a hash of the text), n and node (null without shingles) of each row."""
+    """_id, _content (a hash of the text), n and node (null without shingles) of each row; and rows with the sketches' blocks."""
+    names = ["_id", "_content", "n", "node", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _each_set(batches):
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            nodes = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_content"), pa.array(n), nodes], ["_id", "_content", "n", "node"])
+        sketch = Sketch()
+        for part, tokens, n, nodes in _parts(batches):
+            sketch.add(tokens[np.repeat(_first_of_each(nodes), n)])
+            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_content"), pa.array(n.astype(np.int64)), pa.array(nodes, mask=nodes == 0), *none], names)
+        if sketch.counts.any() or sketch._n:
+            empty = [pa.nulls(SKETCH_BLOCKS, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(sketch.blocks(), pa.binary())], names)
 
     columns = F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_content"), F.col(text).alias("_text")
-    return docs.select(*columns).mapInArrow(run, "_id bigint, _content bigint, n bigint, node bigint")
-
-
-def _postings(docs: DataFrame, text: str, percent: int, short: int, of_long: bool) -> DataFrame:
-    """(token, node, n) of all prefixes.  Tokens of more than `short` sets of a chunk come if `of_long`, the
-    others else, with a row of node null for each token that is left out."""
+    return docs.select(*columns).mapInArrow(run, "_id bigint, _content bigint, n bigint, node bigint, block int, counts binary")
+
+
+def _levels(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The level of each bucket, and how many tokens there are.  Only the sketch, of fixed size, comes to the driver."""
+    schema = "block int, counts binary"
+    sketches = rows.where("block IS NOT NULL").select("block", "counts").mapInArrow(_added, schema)
+    counts = np.zeros((SKETCH_BLOCKS, (1 << BITS) // SKETCH_BLOCKS), np.float64)
+    for r in sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_added, schema).collect():
+        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
+    return levels(counts.reshape(-1)), int(counts.sum())
+
+
+def keys(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Numbers by which tokens are ordered."""
+    own = level[(tokens >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64)
+    return own << LEVEL_SHIFT | tokens >> np.uint64(64) - LEVEL_SHIFT
+
+
+def prefixes(ordered: np.ndarray, n: np.ndarray, percent: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document, whose keys are in order, the l that costs least and how long its prefix then is."""
+    least = -(-percent * n // 100)
+    level = (ordered >> LEVEL_SHIFT).astype(np.int64)
+    expected = np.append(ORDINARY, np.minimum(2.0 ** (np.arange(63) / 2), short + 1))[level]
+    run, start = np.append(0, np.cumsum(expected)), np.cumsum(n) - n
+    best, matches = np.full(len(n), np.inf), np.ones(len(n), np.int64)
+    for x in LADDER:
+        length = np.minimum(n, n - least + x)
+        cost = length + CANDIDATE * (run[start + length] - run[start]) / x
+        better = (x <= least) & (cost < best)
+        best[better], matches[better] = cost[better], x
+    return matches, np.minimum(n, n - least + matches)
+
+
+def _pack(token: np.ndarray, node: np.ndarray, n: np.ndarray, matches: np.ndarray) -> bytes:
+    return b"".join((token.astype("<u8").tobytes(), node.astype("<i8").tobytes(), n.astype("<i4").tobytes(), matches.astype("<u2").tobytes()))
+
+
+def _unpack(data: list[bytes]) -> list[np.ndarray]:
+    """Keys, nodes, sizes and matches asked of the postings."""
+    each = []
+    for raw in data:
+        k = len(raw) // 22
+        each.append([np.frombuffer(raw, "<u8", k), np.frombuffer(raw, "<i8", k, 8 * k), np.frombuffer(raw, "<i4", k, 16 * k), np.frombuffer(raw, "<u2", k, 20 * k)])
+    return [np.concatenate(x) for x in zip(*each, strict=True)] if each else [np.empty(0, t) for t in ("<u8", "<i8", "<i4", "<u2")]
+
+
+def _postings(docs: DataFrame, text: str, level: np.ndarray, parts: int, percent: int, short: int) -> DataFrame:
+    """Blocks of postings: (part, is_long, data).  A token of more than `short` nodes of a chunk is long; every part gets a
+    posting of node 0 for each such token."""
+    shared = docs.sparkSession.sparkContext.broadcast(level)  # of fixed size
+    names = ["part", "is_long", "data"]
+
+    def blocks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, length, nodes, n, matches = (np.concatenate(x) for x in zip(*held, strict=True))
+        first = _first_of_each(nodes)
+        key, length, nodes, n, matches = key[np.repeat(first, length)], length[first], nodes[first], n[first], matches[first]
+        doc = np.repeat(np.arange(len(nodes)), length)
+        bucket = (key >> np.uint64(20) & np.uint64(0xFFFFF)).astype(np.int64)
+        full = np.bincount(bucket, minlength=1 << 20) > short
+        some = np.flatnonzero(full[bucket])
+        unique, inverse, counts = np.unique(key[some], return_inverse=True, return_counts=True)
+        long_ = np.zeros(len(key), bool)
+        long_[some] = (counts > short)[inverse]
+        marks = unique[counts > short]
+        if len(marks):
+            at = np.flatnonzero(long_)
+            own = doc[at]
+            yield pa.RecordBatch.from_arrays([pa.array([int(marks[0] % np.uint64(parts))], pa.int32()), pa.array([True]), pa.array([_pack(key[at], nodes[own], n[own], matches[own])], pa.binary())], names)
+        key, doc = np.append(key[~long_], marks), np.append(doc[~long_], np.full(len(marks), -1))
+        part = (key % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")
+        key, doc, part = key[order], doc[order], part[order]
+        node, n, matches = np.append(nodes, 0)[doc], np.append(n, 0)[doc], np.append(matches, 0)[doc]
+        bounds = np.append(np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)), len(part))
+        data = [_pack(key[x:y], node[x:y], n[x:y], matches[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(np.zeros(len(data), bool)), pa.array(data, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _each_set(batches):
-            nodes: dict[int, np.ndarray] = {}
-            for s in found:
-                if len(s):
-                    nodes.setdefault(fingerprint(s), s)
-            if not nodes:
+        held, size = [], 0
+        for _, tokens, n, nodes in _parts(batches):
+            first = _first_of_each(nodes)
+            tokens, n, nodes = tokens[np.repeat(first, n)], n[first], nodes[first]
+            if not len(n):
                 continue
-            size = np.fromiter(map(len, nodes.values()), np.int64, len(nodes))
-            kept = np.array([prefix_length(int(n), percent) for n in size])
-            tokens = np.concatenate([s[:k] for s, k in zip(nodes.values(), kept, strict=True)])
-            node, n = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), kept), np.repeat(size, kept)
-            unique, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            many = counts > short
-            chosen = many[inverse] if of_long else ~many[inverse]
-            token, node, n = tokens[chosen].view(np.int64), pa.array(node[chosen]), n[chosen]
-            if not of_long and many.any():
-                marks = unique[many].view(np.int64)
-                token, n = np.concatenate([token, marks]), np.concatenate([n, np.zeros(len(marks), np.int64)])
-                node = pa.concat_arrays([node, pa.nulls(len(marks), pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(token), node, pa.array(n.astype(np.int32))], ["token", "node", "n"])
-
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "token bigint, node bigint, n int")
-
-
-def _runs(postings: DataFrame, short: int) -> DataFrame:
-    """From sorted postings: rows (long, x, y, nx, ny, c).  Of short lists the pairs x < y and how many tokens
-    of this batch they share; of long ones x is the token and y the node."""
+            ordered, _ = spans.sorted_sets(keys(tokens, shared.value), n)
+            if len(ordered) < len(tokens):  # two tokens of one document with the same upper bits; both stay
+                ordered = keys(tokens, shared.value)
+                for x, y in zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), strict=True):
+                    ordered[x:y].sort()
+            matches, length = prefixes(ordered, n, percent, short)
+            held.append((ordered[spans.ranges(np.cumsum(n) - n, length)], length, nodes, n, matches))
+            size += int(length.sum())
+            if size >= CHUNK:
+                yield from blocks(held)
+                held, size = [], 0
+        if held:
+            yield from blocks(held)
+
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "part int, is_long boolean, data binary")
+
+
+_LIST_SCHEMA = "is_long boolean, x bigint, y bigint, nx bigint, ny bigint, lx bigint, ly bigint, c bigint"
+
+
+def _lists(postings: DataFrame, short: int) -> DataFrame:
+    """From blocks in the order of their parts: of short lists the pairs x < y with sizes, matches asked and how many they have in this
+    part; of long ones x is the token and y the node."""
+
+    def out(is_long: bool, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), is_long)), *(pa.array(c.astype(np.int64)) for c in columns)], [f.split()[0] for f in _LIST_SCHEMA.split(", ")])
+
+    def members(token, node, n, matches) -> pa.RecordBatch:
+        zero = np.zeros(len(token), np.int64)
+        return out(True, token.view(np.int64), node, n, zero, matches, zero, zero)
+
+    def lists(token, node, n, matches) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(token)
+        sorted_ = token[order]
+        same = sorted_[1:] == sorted_[:-1]
+        several = np.zeros(len(order), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        order = order[several]
+        order = order[np.lexsort((node[order], token[order]))]
+        token, node, n, matches = token[order], node[order], n[order], matches[order]
+        keep = np.ones(len(token), bool)
+        keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # equal sets of several chunks
+        token, node, n, matches = token[keep], node[keep], n[keep], matches[keep]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(token)))
+        is_long = sizes > short
+        marks = np.repeat(np.add.reduceat(node == 0, starts) > 0, sizes) if len(token) else np.empty(0, bool)
+        is_long |= marks[starts]
+        rows = np.repeat(is_long, sizes) & (node != 0)
+        if rows.any():
+            yield members(token[rows], node[rows], n[rows], matches[rows])
+        pairs = []
+        for g in np.unique(sizes[~is_long & (sizes > 1)]).tolist():
+            at = starts[~is_long & (sizes == g)][:, None]
+            i, j = np.triu_indices(g, 1)
+            pairs.append(((at + i).reshape(-1), (at + j).reshape(-1)))  # nodes ascend within a list
+        if pairs:
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((node[j], node[i]))
+            i, j = i[order], j[order]
+            new = np.flatnonzero(np.append(True, (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])))
+            times = np.diff(np.append(new, len(i)))
+            i, j = i[new], j[new]
+            yield out(False, node[i], node[j], n[i], n[j], matches[i], matches[j], times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, n = (np.empty(0, np.int64),) * 3  # held back: the rows of the last token
-        long_token = None  # whose rows are passed on as they come
-        names = ["is_long", "x", "y", "nx", "ny", "c"]
-
-        def out(is_long, *columns):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), is_long)), *(pa.array(c.astype(np.int64)) for c in columns)], names)
-
-        def handle(token, node, n, last: bool):
-            nonlocal long_token
-            keep = np.ones(len(token), bool)
-            keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # equal sets of several chunks
-            token, node, n = token[keep], node[keep], n[keep]
-            starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1)) if len(token) else np.empty(0, np.int64)
-            sizes = np.diff(np.append(starts, len(token)))
-            marked = node[starts] == 0  # sorted first
-            is_long = (sizes > short) | marked | (token[starts] == long_token if long_token is not None else False)
-            held = slice(0, 0)
-            if not last and len(starts):
-                if is_long[-1]:
-                    long_token = int(token[starts[-1]])
-                else:
-                    held = slice(int(starts[-1]), len(token))
-                    is_long[-1], sizes[-1] = False, 0
-            rows = np.repeat(is_long, np.diff(np.append(starts, len(token)))) & (node != 0)
-            results = []
-            if rows.any():
-                zero = np.zeros(int(rows.sum()), np.int64)
-                results.append(out(True, token[rows], node[rows], n[rows], zero, zero))
-            pairs = []
-            for g in np.unique(sizes[~is_long & (sizes > 1)]).tolist():
-                at = starts[~is_long & (sizes == g)]
-                for i in range(g):
-                    for j in range(i + 1, g):
-                        pairs.append((node[at + i], node[at + j], n[at + i], n[at + j]))
-            if pairs:
-                a, b, na, nb = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                swap = a > b
-                a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-                order = np.lexsort((b, a))
-                a, b, na, nb = a[order], b[order], na[order], nb[order]
-                first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
-                results.append(out(False, a[first], b[first], na[first], nb[first], np.diff(np.append(first, len(a)))))
-            return results, (token[held], node[held], n[held])
-
-        def flush(last: bool):
-            nonlocal token, node, n, waiting, rows
-            t = np.concatenate([token, *(b.column("token").to_numpy() for b in waiting)])
-            d = np.concatenate([node, *(b.column("node").fill_null(0).to_numpy() for b in waiting)])
-            m = np.concatenate([n, *(b.column("n").to_numpy() for b in waiting)])
-            results, (token, node, n) = handle(t, d, m, last)
-            waiting, rows = [], 0
-            return results
-
-        waiting: list[pa.RecordBatch] = []
-        rows = 0
+        part, held = None, []
         for batch in batches:
-            waiting.append(batch)
-            rows += len(batch)
-            if rows >= BATCH:
-                yield from flush(False)
-        yield from flush(True)
-
-    return postings.mapInArrow(run, "is_long boolean, x bigint, y bigint, nx bigint, ny bigint, c bigint")
-
-
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over the nodes."""
-    at = F.shiftrightunsigned("node", 6).bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("node").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+            for own, is_long, data in zip(batch.column("part").to_pylist(), batch.column("is_long").to_pylist(), batch.column("data"), strict=True):
+                if is_long:
+                    yield members(*_unpack([data.as_py()]))
+                    continue
+                if own != part and held:
+                    yield from lists(*_unpack(held))
+                    held = []
+                part = own
+                held.append(data.as_py())
+        if held:
+            yield from lists(*_unpack(held))
+
+    return postings.mapInArrow(run, _LIST_SCHEMA)
+
+
+def _bits(values: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size over a column of longs, `key`."""
+    at = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63).cast("long")).cast("int"))
     bits = np.zeros(FILTER_WORDS, np.int64)
-    for r in nodes.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("b")).collect():  # FILTER_WORDS rows at most
+    for r in values.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("b")).collect():  # FILTER_WORDS rows at most
         bits[r["at"]] = r["b"]
     return bits
 
 
-def _node_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """(node, tokens) of the nodes asked for: the sets of texts that pass a bit filter, then exactly."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(nodes))
+def _key(doc_id: Column, content: Column) -> Column:
+    return F.xxhash64(doc_id, content)
+
+
+def _node_sets(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tokens) of the nodes asked for, from one document of each: those that pass a bit filter, then exactly."""
+    wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(_key(F.col("_id"), F.col("_content"))).alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for _, found in _each_set(batches):
-            own: dict[int, bytes] = {}
-            for s in found:
-                if len(s):
-                    f = fingerprint(s)
-                    if f not in own and int(bits[(f & 0xFFFFFFFFFFFFFFFF) >> 6 & (FILTER_WORDS - 1)]) >> (f & 63) & 1:
-                        own[f] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["node", "tokens"])
+        bits = shared.value.view(np.uint64)
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            hit = bits[(key >> np.uint64(6) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)
+            for _, tokens, n, own in _parts([batch.filter(pa.array(hit.astype(bool)))]):
+                first, ends = _first_of_each(own), np.cumsum(n)
+                each = [tokens[e - k : e].tobytes() for e, k in zip(ends[first].tolist(), n[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[first]), pa.array(each, pa.binary())], ["node", "tokens"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node bigint, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    source = docs.select(_key(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("key"), F.col(text).alias("_text"))
+    return source.mapInArrow(run, "node bigint, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, node_sets: DataFrame) -> DataFrame:
-    """a, b, na, nb and how many tokens both have."""
+def _verified(pairs: DataFrame, node_sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among the pairs (a, b).  b's set is sent to where a's pairs are; of a node with many pairs, b had better be that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("ta"), batch.column("tb"), strict=True)
-            both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
+            keep = []
+            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                a, b = (a, b) if len(a) <= len(b) else (b, a)
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            linked = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(linked) for c in ("a", "b")], ["a", "b"])
 
     sa, sb = node_sets.toDF("a", "ta"), node_sets.toDF("b", "tb")
-    return pairs.select("a", "b", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb")).join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, both bigint")
-
-
-def _links(percent: int) -> Column:
-    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-
-
-def _sizes_fit(percent: int) -> Column:
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-
-
-def _long_pairs(lists: DataFrame, percent: int, short: int, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """(token, node, n, leads, leader, nl) of the lists that go on, and the pairs to compare: with up to
-    `leaders` leaders of each list, and all of lists that have no more than `short` or twice as many nodes."""
-    salt = F.pmod(F.xxhash64(F.lit(leaders), "node"), F.lit(leaders))
-    heads = lists.groupBy("token", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l"), F.count("*").alias("k"))
-    heads = heads.groupBy("token").agg(F.collect_list(F.struct("l.node", "l.n")).alias("ls"), F.sum("k").alias("k"))
-    sized, many = lists.join(heads, "token"), F.col("k") > max(short, 2 * leaders)
-    led = sized.where(many).select("token", "node", "n", F.exists("ls", lambda x: x["node"] == F.col("node")).alias("leads"), F.explode("ls").alias("l"))
-    led = led.select("token", "node", "n", "leads", F.col("l.node").alias("leader"), F.col("l.n").alias("nl")).where("node <> leader")
-    few = sized.where(~many)
-    x, y = few.select("token", F.col("node").alias("a"), F.col("n").alias("na")), few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-    within = x.join(y, "token").where("a < b").select("a", "b", "na", "nb")
-    first = F.col("node") < F.col("leader")
-    with_leader = led.select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.when(first, F.col("n")).otherwise(F.col("nl")).alias("na"), F.when(first, F.col("nl")).otherwise(F.col("n")).alias("nb")
-    )
-    return led, with_leader.union(within).where(_sizes_fit(percent)).distinct()
-
-
-def _shrunk(led: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """What is left of each list once its leaders were compared with all others."""
-    sides = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("leader"), "both"), F.struct(F.col("b").alias("node"), F.col("a").alias("leader"), "both"))
-    known = led.join(compared.select(F.explode(sides).alias("p")).select("p.*"), ["node", "leader"], "left")
-    union = F.col("n") + F.col("nl") - F.col("both")
-    # Sets that were not compared differ in size too much; that bounds their distance from below.
-    distance = F.coalesce(1 - F.col("both") / union, 1 - F.least("n", "nl") / F.greatest("n", "nl"))
-    linked = F.coalesce(100 * F.col("both") >= percent * union, F.lit(False))
-    known = known.select("token", "node", "n", "leads", "leader", distance.alias("d"), linked.alias("linked"))
-    nearest = known.groupBy("token", "leader").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"))
-    # A sliver is added against rounding; it only keeps more.
-    settled = F.col("linked") & (F.col("nearest").isNull() | (F.col("nearest") > F.col("d") + (1 - percent / 100) + 1e-9))
-    left = known.join(nearest, ["token", "leader"]).where(~F.col("leads")).groupBy("token", "node", "n").agg(F.bool_or(settled).alias("settled")).where("NOT settled").drop("settled")
-    several = left.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    return left.join(several, "token", "left_semi")
-
-
-def _short_pairs(rows: DataFrame, in_long: DataFrame, percent: int) -> DataFrame:
-    """Pairs with as many matches in short lists as they must have."""
-    counted = rows.where(~F.col("is_long")).groupBy(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).agg(F.sum("c").alias("c")).where(_sizes_fit(percent))
-    la, lb = in_long.toDF("a", "la"), in_long.toDF("b", "lb")
-    asked = F.least(matches_asked(F.col("na")), matches_asked(F.col("nb"))) - F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    return counted.join(la, "a", "left").join(lb, "b", "left").where(F.col("c") >= asked).select("a", "b", "na", "nb", "c")
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short: int = SHORT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): _id, n, node and label of each document, and the verified links a, b between nodes, enough to connect all that link."""
-    spans.prepare(docs.sparkSession)
-    rows = written(signatures(docs, doc_id, text), "signatures")
-    sorted_ = _postings(docs, text, percent, short, False).repartition("token").sortWithinPartitions("token", F.col("node").asc_nulls_first())
-    lists = written(_runs(sorted_, short), "prefix_lists")
-    long_ = lists.where("is_long").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("nx").cast("int").alias("n"))
-    long_ = written(long_.union(_postings(docs, text, percent, short, True)).distinct(), "long_lists")
-    in_long = long_.groupBy("node").agg(F.count("*").alias("k"))
-    pending = written(_short_pairs(lists, in_long, percent), "short_pairs")
-    # A partner may be smaller, and ask for fewer matches.
-    least = matches_asked(F.ceil(F.col("n") * percent / 100))
-    of_node = Window.partitionBy("node")
-    ranked = long_.withColumns({"k": F.count("*").over(of_node), "rank": F.row_number().over(of_node.orderBy("token"))})
-    # Sharing that many of its k tokens, it shares one of the first k - least + 1.
-    active = written(ranked.where((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("token", "node", "n"), "active_lists")
-    nodes = pending.select(F.explode(F.array("a", "b")).alias("node")).union(active.select("node")).distinct()
-    node_sets = written(_node_sets(docs, text, nodes), "node_sets")
-    found: list[DataFrame] = []  # verified links
-    for k in range(rounds + 1):
-        if active.isEmpty():
-            break
-        if k == rounds:  # the exact way for lists that don't empty
-            x, y = active.select("token", F.col("node").alias("a"), F.col("n").alias("na")), active.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-            compared = written(_verified(x.join(y, "token").where("a < b").where(_sizes_fit(percent)).select("a", "b", "na", "nb").distinct(), node_sets), "compared")
-            found.append(compared.where(_links(percent)).select("a", "b"))
-            break
-        led, pairs = _long_pairs(active, percent, short, 4**k)
-        compared = written(_verified(pairs, node_sets), "compared")
-        found.append(compared.where(_links(percent)).select("a", "b"))
-        active = written(_shrunk(led, compared, percent), "active_lists")
-    best = pending.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("c", "b")).alias("m")).select("a", "m.*")
-    compared = written(_verified(best, node_sets), "compared")
-    found.append(compared.where(_links(percent)).select("a", "b"))
-    links = reduce(DataFrame.union, found)
-    labels = components(links)
-    a, b = labels.toDF("a", "pa"), labels.toDF("b", "pb")
-    apart = F.coalesce("pa", "a") != F.coalesce("pb", "b")
-    pending = pending.join(compared, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b", "na", "nb")
-    pending = written(pending, "short_pairs")
-    if not pending.isEmpty():
-        more = written(_verified(pending, node_sets), "compared").where(_links(percent)).select("a", "b")
+    return pairs.select("a", "b").distinct().join(sa, "a").join(sb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _candidates(lists: DataFrame, long_: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c): pairs of short lists with as many matches as they must have."""
+    pairs = lists.where(~F.col("is_long")).groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny", "lx", "ly").agg(F.sum("c").alias("c")).where(_sizes_fit("nx", "ny", percent))
+    held = long_.groupBy("node").agg(F.count("*").alias("h"))
+    ha, hb = held.toDF("a", "ha"), held.toDF("b", "hb")
+    rest = lambda n, x: F.ceil(F.col(n) * percent / 100) - F.col(x)  # noqa: E731  what a prefix leaves out
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    asked = F.greatest(F.least("lx", "ly"), overlap - F.greatest(rest("nx", "lx"), rest("ny", "ly")))
+    most = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    return pairs.join(ha, "a", "left").join(hb, "b", "left").where(most >= asked).select("a", "b", "c")
+
+
+def _clusters(long_: DataFrame) -> DataFrame:
+    """(leader, node, n): all nodes of the lists that have this leader."""
+    leaders = long_.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
+    return long_.join(leaders, "token").select("leader", "node", "n").distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -> DataFrame:
+    """`rows` with the component of a node, which is the node itself while nothing links to it."""
+    if labels is None:
+        return rows.withColumn(into, F.col(node))
+    return rows.join(labels.select(F.col("node").alias("_of"), F.col("label").alias("_is")), F.col(node) == F.col("_of"), "left").withColumn(into, F.coalesce("_is", node)).drop("_of", "_is")
+
+
+def _mixed(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of groups that hold more than one component."""
+    several = members.groupBy(*keys).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*keys)
+    return members.join(several, keys, "left_semi")
+
+
+def _heads(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): nodes of mixed clusters with HEADS ** k nodes of the cluster each, where they aren't connected."""
+    salt = F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(HEADS**k))
+    heads = members.groupBy("leader", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64(F.lit(-k), "node").alias("h"), "node", "n", "label")).alias("l"))
+    heads = heads.groupBy("leader").agg(F.collect_list("l").alias("ls"))  # HEADS ** k at most
+    met = members.join(heads, "leader").select("node", "n", "label", F.explode("ls").alias("l")).select("node", "n", "label", F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.label").alias("lb"))
+    return met.where((F.col("label") != F.col("lb")) & _sizes_fit("n", "nb", percent)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect different components of a block: nodes outside its largest one against all nodes."""
+    names, own = np.unique(labels, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    unique, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1
+    owner = np.repeat(np.arange(len(sets)), size)[shared]
+    token, found = inverse[shared], []
+    mine = np.append(0, np.cumsum(np.bincount(owner, minlength=len(sets))))
+    order = np.argsort(token, kind="stable")
+    have, starts, lengths = owner[order], np.append(0, np.cumsum(np.bincount(token, minlength=len(unique)))), np.bincount(token, minlength=len(unique))
+    for s in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+        tokens = token[mine[s] : mine[s + 1]]
+        both = np.bincount(have[spans.ranges(starts[tokens], lengths[tokens])], minlength=len(sets))
+        links = np.flatnonzero((100 * both >= percent * (size + size[s] - both)) & (own != own[s]))
+        for label, at in zip(*np.unique(own[links], return_index=True), strict=True):
+            x, y = find(int(own[s])), find(int(label))
+            if x != y:
+                parent[x] = y
+                found.append((int(nodes[s]), int(nodes[links[at]])))
+    return found
+
+
+def _in_blocks(members: DataFrame, node_sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) within mixed clusters that connect what is not connected yet.  A cluster of more than `block` tokens is dealt to
+    blocks by a hash of the node, and any two of its blocks meet in one group."""
+    sizes = members.groupBy("leader").agg(F.ceil(F.sum("n") / block).cast("int").alias("k"))
+    dealt = members.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("k")).cast("int"))
+    other = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("own")))
+    dealt = dealt.select("leader", "node", "label", "own", F.explode(other).alias("other")).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
+    groups = _mixed(dealt, ["leader", "i", "j"]).join(node_sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, labels, sets = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = block_links(np.array(nodes), np.array(labels), sets, percent) if nodes else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for leader, i, j, node, label, tokens in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "node", "label", "tokens")), strict=True):
+                if (leader, i, j) != key:
+                    yield links()
+                    key, nodes, labels, sets = (leader, i, j), [], [], []
+                nodes.append(node)
+                labels.append(label)
+                sets.append(np.frombuffer(tokens, np.uint64))
+        yield links()
+
+    order = ["leader", "i", "j"]
+    return groups.repartition(*order).sortWithinPartitions(*order).select(*order, "node", "label", "tokens").mapInArrow(run, "a bigint, b bigint")
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short: int = SHORT, rounds: int = ROUNDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): _id, _content, n, node and label of each document, and verified links (a, b) between nodes, enough to connect all that link."""
+    spark = docs.sparkSession
+    spans.prepare(spark)
+    docs = docs.select(doc_id, text)
+    found_rows = written(signatures(docs, doc_id, text), "signatures")
+    rows = found_rows.where("block IS NULL").drop("block", "counts")
+    level, tokens = _levels(found_rows)
+    # About 0.3 of all tokens are in prefixes; a part holds PART of them on average.
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(0.3 * tokens / PART))
+    dealt = _postings(docs, text, level, parts, percent, short).repartition("part").sortWithinPartitions("part")
+    lists = written(_lists(dealt, short), "prefix_lists")
+    long_ = lists.where("is_long").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("nx").alias("n")).distinct()
+    pending = written(_candidates(lists, long_, percent), "short_pairs")
+    clusters = written(_clusters(long_), "clusters")
+    nodes = pending.select(F.explode(F.array("a", "b")).alias("node")).union(clusters.select("node")).distinct()
+    node_sets = written(_node_sets(docs, doc_id, text, rows.where("node IS NOT NULL"), nodes), "node_sets")
+    best = pending.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    if rounds:
+        of_leader = clusters.select(F.col("node").alias("leader"), F.col("n").alias("nl")).distinct()
+        with_leader = clusters.where("node <> leader").join(of_leader, "leader").where(_sizes_fit("n", "nl", percent))
+        best = best.union(with_leader.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    found = [written(_verified(best, node_sets, percent), "links")]
+    labels = components(found[0])
+    for k in range(1, rounds):
+        members = _mixed(_labelled(clusters, labels, "node", "label"), ["leader"])
+        more = written(_verified(_heads(members, k, percent), node_sets, percent), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+            found.append(more)
+            labels = components(reduce(DataFrame.union, found))
+    apart = _labelled(_labelled(pending.join(best, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+    more = _verified(apart, node_sets, percent)
+    members = _mixed(_labelled(clusters, labels, "node", "label"), ["leader"])
+    more = written(more.union(_in_blocks(members, node_sets, percent, block)), "links")
+    if not more.isEmpty():
+        found.append(more)
+        labels = components(reduce(DataFrame.union, found))
     drop_written(node_sets)
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), links
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), reduce(DataFrame.union, found)
 
 
 def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **of) -> DataFrame:
@@ -350,7 +534,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One document of each component, that of the smallest id, with all its columns; of several texts under that id, that of the
     smallest hash.  Documents without shingles or without an id stay.  Rows with equal ids and equal texts are one document."""
     rows, _ = join(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **of)
-    rows = rows.where("node IS NOT NULL").select("label", F.struct("_id", "_content").alias("own"))
-    gone = rows.join(rows.groupBy("label").agg(F.min("own").alias("kept")), "label").where("own <> kept").select(F.col("own._id").alias("_gone"), F.col("own._content").alias("_what")).distinct()
-    marked = docs.withColumn("_here", F.xxhash64(text))
-    return marked.join(gone, (F.col(doc_id) == F.col("_gone")) & (F.col("_here") == F.col("_what")), "left_anti").drop("_here")
+    own = rows.where("node IS NOT NULL").select("label", F.struct("_id", "_content").alias("own"))
+    dropped = own.join(own.groupBy("label").agg(F.min("own").alias("kept")), "label").where("own <> kept")
+    here, gone, what = unused(docs.columns, "here", "gone", "what")
+    dropped = dropped.select(F.col("own._id").alias(gone), F.col("own._content").alias(what)).distinct()
+    marked = docs.withColumn(here, F.xxhash64(text))
+    return marked.join(dropped, (F.col(doc_id) == F.col(gone)) & (F.col(here) == F.col(what)), "left_anti").drop(here)

@@ -120,16 +120,32 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def shingles(words_hash: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of each text and how many each has; a text of fewer words is one run, one of none has none."""
     n, docs = len(words_hash), len(counts)
-    firsts = np.cumsum(counts) - counts
-    doc = np.repeat(np.arange(docs), counts)
-    left = counts[doc] - (np.arange(n) - firsts[doc])  # words from here to the end
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out *= np.uint64(0x9FB21C651E98DF25)
-        out[: n - j] += np.where(left[: n - j] > j, words_hash[j:], np.uint64(0)) if j else words_hash
-        out = mix(out)
-    keep = (left >= k) | ((left == counts[doc]) & (counts[doc] < k))
-    return out[keep], np.bincount(doc[keep], minlength=docs)
+    root, out = np.uint64(0x9FB21C651E98DF25), np.zeros(n, np.uint64)
+    for j in reversed(range(k)):
+        out *= root
+        out[: max(0, n - j)] += words_hash[j:]
+    # Runs that reach into the next text go; of a text of fewer words than k the first one is made anew.
+    keep = np.ones(n, bool)
+    ends = np.cumsum(counts)
+    for j in range(1, k):
+        keep[(ends - j)[counts >= j]] = False
+    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        h = 0
+        for w in reversed(words_hash[ends[i] - counts[i] : ends[i]].tolist()):
+            h = (h * int(root) + w) & 0xFFFFFFFFFFFFFFFF
+        keep[ends[i] - counts[i]], out[ends[i] - counts[i]] = True, (h + int(counts[i])) & 0xFFFFFFFFFFFFFFFF
+    return mix(out[keep]), np.where(counts < k, np.minimum(counts, 1), counts - (k - 1)) if docs else np.zeros(0, np.int64)
+
+
+def sorted_sets(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each text sorted, each once, and how many each then has."""
+    ends = np.cumsum(counts)
+    for begin, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        tokens[begin:end].sort()
+    keep = np.ones(len(tokens), bool)
+    keep[1:] = tokens[1:] != tokens[:-1]
+    keep[(ends - counts)[counts > 0]] = True
+    return tokens[keep], per_text(keep, counts)
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
