@@ -16,12 +16,13 @@ columns are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.native import SPACED_WORD, covered, let, words
+from millrace.llm.native import SPACES, covered, let, unused, words
 
 #: Rules in the order of their bits; a rule fails where its condition on the measurements is true.
 RULES: dict[str, str] = {
@@ -58,34 +59,33 @@ POLICIES = {
 }
 
 
+def _neighbours(sorted_: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The elements of a sorted array that are the same as the one before or after."""
+    at = F.when(F.size(sorted_) > 1, F.sequence(F.lit(0), F.size(sorted_) - 2)).otherwise(F.array().cast("array<int>"))
+    pairs = F.filter(at, lambda k: same(F.get(sorted_, k), F.get(sorted_, k + 1)))
+    return let(pairs, lambda ks: F.transform(F.array_union(ks, F.transform(ks, lambda k: k + 1)), lambda k: F.get(sorted_, k)))
+
+
 def _repeat_words(ws: Column) -> Column:
     """Words in three-word windows that occur twice or more.
 
     Each window is a long: its hash, with its place in the low bits (as many as the number
     of words needs).  Sorting these brings equal windows together at the price of sorting
-    plain longs.  Of 500 words 9 bits go to the place; two different windows of a text
-    count as equal with a probability of about 3e-12.
+    plain longs.  Those that share the rest of their hash with another one are then sorted and
+    compared by their words, so the bits that go to the place cost nothing but comparisons.
     """
     n = F.size(ws)
-    bits = F.length(F.bin(n.cast("long")))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))) - 1
 
     def starts(b: Column) -> Column:
         windows = F.transform(
             F.slice(ws, F.lit(1), F.greatest(n - 2, F.lit(0))),
             lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)).bitwiseAND(b["high"]).bitwiseOR(i.cast("long")),
         )
-        same = lambda s: F.filter(
-            F.when(F.size(s) > 1, F.sequence(F.lit(0), F.size(s) - 2)).otherwise(F.array().cast("array<int>")),
-            lambda k: F.get(s, k).bitwiseXOR(F.get(s, k + 1)).bitwiseAND(b["high"]) == 0,
-        )
-        return let(
-            F.sort_array(windows),
-            lambda s: let(
-                same(s),
-                lambda k: F.sort_array(F.transform(F.array_union(k, F.transform(k, lambda x: x + 1)), lambda x: F.get(s, x).bitwiseAND(b["low"]))),
-            ),
-        )
+        alike = let(F.sort_array(windows), lambda s: _neighbours(s, lambda x, y: x.bitwiseXOR(y).bitwiseAND(b["high"]) == 0))
+        place = lambda x: x.bitwiseAND(b["low"]).cast("int")
+        spelled = F.transform(alike, lambda x: F.struct(F.array_join(F.slice(ws, place(x) + 1, 3), " ").alias("words"), place(x).alias("place")))
+        return F.sort_array(F.transform(let(F.sort_array(spelled), lambda s: _neighbours(s, lambda x, y: x["words"] == y["words"])), lambda x: x["place"]))
 
     return let(F.struct(low.alias("low"), F.bitwise_not(low).alias("high")), lambda b: covered(starts(b), 3))
 
@@ -94,7 +94,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the measurements and the failure bits."""
     t = F.coalesce(F.col(text), F.lit(""))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_like(x, F.lit(SPACED_WORD)))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     per_line = let(
         lines,
         lambda ls: F.struct(
@@ -105,26 +105,28 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     per_word = let(
-        words(F.col(text), SPACED_WORD),
+        words(F.col(text), SPACES),
         lambda ws: F.struct(
             F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), _repeat_words(ws).alias("n_repeat_words")
         ),
     )
-    measured = docs.drop(*MEASURES, "failures").withColumns({"_words": per_word, "_lines": per_line})
+    docs = docs.drop(*MEASURES, "failures")
+    of_words, of_lines = unused([*docs.columns, *MEASURES, "failures"], "words", "lines")
+    measured = docs.withColumns({of_words: per_word, of_lines: per_line})
     measured = measured.withColumns(
         {
-            "n_words": F.col("_words.n_words"),
-            "word_chars": F.col("_words.word_chars"),
+            "n_words": F.col(of_words)["n_words"],
+            "word_chars": F.col(of_words)["word_chars"],
             "n_symbols": count(r"[#*$%&|<>]"),
-            "n_dup_lines": F.col("_lines.n_dup_lines"),
-            "n_repeat_words": F.col("_words.n_repeat_words"),
-            "n_lines": F.col("_lines.n_lines"),
+            "n_dup_lines": F.col(of_lines)["n_dup_lines"],
+            "n_repeat_words": F.col(of_words)["n_repeat_words"],
+            "n_lines": F.col(of_lines)["n_lines"],
             "n_exclamations": count("!"),
             "n_capitals": count(r"\p{Lu}"),
-            "n_ellipsis_lines": F.col("_lines.n_ellipsis_lines"),
-            "n_bullet_lines": F.col("_lines.n_bullet_lines"),
+            "n_ellipsis_lines": F.col(of_lines)["n_ellipsis_lines"],
+            "n_bullet_lines": F.col(of_lines)["n_bullet_lines"],
         }
-    ).drop("_words", "_lines")
+    ).drop(of_words, of_lines)
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
     failures = bits[0]
     for b in bits[1:]:
