@@ -17,10 +17,10 @@ tokens that is the same for all.
 4. A pair needs as many matches as the smaller l.  It needs more, too: whose prefix ends first has
    o - l tokens left, so that the matches and those must make up the overlap.  Matches in long lists aren't counted;
    they are at most as many as either has there.
-5. Pairs that share long lists only: a list's leader (the node of the least hash) stands for the list, and lists with
+5. Pairs that share long lists only must share l of them, so nodes in fewer lists than any partner of a fitting size asks for leave
+   them.  A list's leader (the node of the least hash) stands for the list, and lists with
    one leader are one cluster, so that nearly all lists of a group of copies fall together.  All nodes are compared with their
-   leaders, then with a few more, but only where they aren't connected yet.  Clusters whose nodes are all connected are done. Of the others, nodes that
-   aren't in the cluster's largest component are compared with all nodes in blocks of BLOCK tokens, by
+   leaders, then with a few more, but only where they aren't connected yet.  Clusters whose nodes are all connected are done.  Of the others, nodes that aren't in the cluster's largest component are compared with all nodes in blocks of BLOCK tokens, by
    inverted lists in memory; only links that connect something come out.
 6. Pairs of short lists are verified best first: each node's pair with the most matches, then those
    whose ends are not connected yet.
@@ -55,8 +55,9 @@ WORDS, PERCENT, SHORT, ROUNDS, HEADS, FILTER_WORDS = 5, 75, 16, 2, 4, 1 << 17
 BITS, SKETCH_BLOCKS = 22, 64
 #: Postings that a task holds before it passes them on, postings of a part, and tokens of a block.
 CHUNK, PART, BLOCK = 1 << 21, 1 << 20, 1 << 20
-#: What a candidate costs, in postings; how many others are expected to have a token that doesn't stand out; the choice of l.
-CANDIDATE, ORDINARY = 3.0, 0.25
+#: What a candidate costs, in postings; how many others are expected to have a token that doesn't stand out, at least and by the
+#: deviation of the sketch's counts, among which they would hide; the choice of l.
+CANDIDATE, ORDINARY, HIDDEN = 3.0, 0.25, 0.1
 LADDER = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
 #: A posting's key: the token's level in the upper bits, then the upper bits of its hash.
 LEVEL_SHIFT = np.uint64(58)
@@ -156,14 +157,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, "_id bigint, _content bigint, n bigint, node bigint, block int, counts binary")
 
 
-def _levels(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """The level of each bucket, and how many tokens there are.  Only the sketch, of fixed size, comes to the driver."""
+def _levels(rows: DataFrame) -> tuple[np.ndarray, int, float]:
+    """The level of each bucket, how many tokens there are, and how many others have an ordinary one.  Only the sketch, of fixed size, comes to the driver."""
     schema = "block int, counts binary"
     sketches = rows.where("block IS NOT NULL").select("block", "counts").mapInArrow(_added, schema)
     counts = np.zeros((SKETCH_BLOCKS, (1 << BITS) // SKETCH_BLOCKS), np.float64)
     for r in sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_added, schema).collect():
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    return levels(counts.reshape(-1)), int(counts.sum())
+    return levels(counts.reshape(-1)), int(counts.sum()), max(ORDINARY, HIDDEN * float(np.sqrt(counts.mean())))
 
 
 def keys(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -172,11 +173,12 @@ def keys(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     return own << LEVEL_SHIFT | tokens >> np.uint64(64) - LEVEL_SHIFT
 
 
-def prefixes(ordered: np.ndarray, n: np.ndarray, percent: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each document, whose keys are in order, the l that costs least and how long its prefix then is."""
+def prefixes(ordered: np.ndarray, n: np.ndarray, percent: int, short: int, ordinary: float = ORDINARY) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document, whose keys are in order, the l that costs least and how long its prefix then is.
+    ordinary: how many others are expected to have a token that doesn't stand out."""
     least = -(-percent * n // 100)
     level = (ordered >> LEVEL_SHIFT).astype(np.int64)
-    expected = np.append(ORDINARY, np.minimum(2.0 ** (np.arange(63) / 2), short + 1))[level]
+    expected = np.append(min(ordinary, short + 1), np.minimum(2.0 ** (np.arange(63) / 2), short + 1))[level]
     run, start = np.append(0, np.cumsum(expected)), np.cumsum(n) - n
     best, matches = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for x in LADDER:
@@ -200,7 +202,7 @@ def _unpack(data: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*each, strict=True)] if each else [np.empty(0, t) for t in ("<u8", "<i8", "<i4", "<u2")]
 
 
-def _postings(docs: DataFrame, text: str, level: np.ndarray, parts: int, percent: int, short: int) -> DataFrame:
+def _postings(docs: DataFrame, text: str, level: np.ndarray, ordinary: float, parts: int, percent: int, short: int) -> DataFrame:
     """Blocks of postings: (part, is_long, data).  A token of more than `short` nodes of a chunk is long; every part gets a
     posting of node 0 for each such token."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # of fixed size
@@ -243,7 +245,7 @@ def _postings(docs: DataFrame, text: str, level: np.ndarray, parts: int, percent
                 ordered = keys(tokens, shared.value)
                 for x, y in zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), strict=True):
                     ordered[x:y].sort()
-            matches, length = prefixes(ordered, n, percent, short)
+            matches, length = prefixes(ordered, n, percent, short, ordinary)
             held.append((ordered[spans.ranges(np.cumsum(n) - n, length)], length, nodes, n, matches))
             size += int(length.sum())
             if size >= CHUNK:
@@ -389,6 +391,17 @@ def _candidates(lists: DataFrame, long_: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ha, "a", "left").join(hb, "b", "left").where(most >= asked).select("a", "b", "c")
 
 
+def _needed(long_: DataFrame, percent: int) -> DataFrame:
+    """The rows of nodes that are in as many long lists as they must share.  A pair needs the matches that one of both asks for, so a node needs
+    its own l, or the least of the nodes in its lists whose sizes are near enough; sizes are taken in bands, of which neighbours are near."""
+    band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(100 / percent)) + 1e-9))
+    banded = long_.withColumn("band", band)
+    near = banded.groupBy("token", "band").agg(F.min("l").alias("low")).select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "low")
+    near = near.groupBy("token", "band").agg(F.min("low").alias("low"))
+    asked = banded.join(near, ["token", "band"]).groupBy("node").agg(F.count("*").alias("k"), F.min(F.least("l", "low")).alias("asked"))
+    return long_.join(asked.where("k >= asked").select("node"), "node", "left_semi")
+
+
 def _clusters(long_: DataFrame) -> DataFrame:
     """(leader, node, n): all nodes of the lists that have this leader."""
     leaders = long_.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
@@ -485,14 +498,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     docs = docs.select(doc_id, text)
     found_rows = written(signatures(docs, doc_id, text), "signatures")
     rows = found_rows.where("block IS NULL").drop("block", "counts")
-    level, tokens = _levels(found_rows)
+    level, tokens, ordinary = _levels(found_rows)
     # About 0.3 of all tokens are in prefixes; a part holds PART of them on average.
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(0.3 * tokens / PART))
-    dealt = _postings(docs, text, level, parts, percent, short).repartition("part").sortWithinPartitions("part")
+    dealt = _postings(docs, text, level, ordinary, parts, percent, short).repartition("part").sortWithinPartitions("part")
     lists = written(_lists(dealt, short), "prefix_lists")
-    long_ = lists.where("is_long").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("nx").alias("n")).distinct()
+    long_ = lists.where("is_long").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("nx").alias("n"), F.col("lx").alias("l")).distinct()
     pending = written(_candidates(lists, long_, percent), "short_pairs")
-    clusters = written(_clusters(long_), "clusters")
+    clusters = written(_clusters(_needed(long_, percent)), "clusters")
     nodes = pending.select(F.explode(F.array("a", "b")).alias("node")).union(clusters.select("node")).distinct()
     node_sets = written(_node_sets(docs, doc_id, text, rows.where("node IS NOT NULL"), nodes), "node_sets")
     best = pending.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))

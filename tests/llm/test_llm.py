@@ -113,6 +113,23 @@ def test_rule_ledger(docs, nothing):
     assert rule_ledger.apply_policy(got, policy).where("kept").count() == failing.count(0)
 
 
+def test_rule_ledger_of_a_very_long_text(spark):
+    """So many words that the places leave few bits to the hashes; and columns with names that the ledger might use itself."""
+    ws = [f"w{i}" for i in range(300_000)]
+    text = " ".join([*ws, "a", "b", "c", "d", "a", "b", "c"])
+    row = rule_ledger.ledger(spark.createDataFrame([(text, 1, 2)], "text string, words int, _lines int")).first()
+    assert (row["n_words"], row["n_repeat_words"], row["words"], row["_lines"]) == (300_007, 6, 1, 2)
+
+
+def test_decontamination_with_clashing_names(spark):
+    rows = [("a", " ".join(BASE.split()[:30]), 1, 2, 3, 4, 5, 6), ("b", None, 1, 2, 3, 4, 5, 6), (None, "w1 w2", 1, 2, 3, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _id int, _content int, _hit int, items int, here int, names int")
+    got = decontamination.decontaminate(docs, spark.createDataFrame([(1, BASE)], "item_id int, text string"))
+    assert by_row(got, "doc_id", "_id", "_content", "_hit", "here", "names", "n_words", "n_hit", "contaminated") == collections.Counter(
+        [("a", 1, 2, 3, 5, 6, 30, 30, True), ("b", 1, 2, 3, 5, 6, 0, 0, False), (None, 1, 2, 3, 5, 6, 2, 0, False)]
+    )
+
+
 def test_sharding_fills_all_shards(spark, docs, nothing):
     many = docs.union(spark.range(3000).select((F.col("id") % 7 + 100).alias("doc_id"), F.lit("same"), F.lit("en"), F.lit("s"), F.col("id")))
     rows = sharding.shard(many, 16, salts=3).collect()
@@ -177,6 +194,45 @@ def test_ngram_join(spark, docs, short, rounds):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in both.collect()])
 
 
+def test_ngram_join_in_many_blocks(spark):
+    """A chain of edits, whose ends don't link, and strays; with blocks of a few documents, and extra columns with the operator's own names."""
+    long, rows, text = " ".join(f"v{j}" for j in range(300)), [], None
+    for i in range(30):
+        text = edited(text or long, 3, 100 + i)
+        rows.append((i, text))
+    rows += [(100 + i, edited(long, 25 + i, i)) for i in range(20)] + [(None, long), (200, None), (200, long)]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id bigint, text string, _here int, node int, _gone string")
+    for rounds in (0, 2):
+        got = by_row(ngram_join.component_ids(docs, short=2, rounds=rounds, block=900), "doc_id", "n_shingles", "component_id")
+        assert got == brute_components(rows)
+    kept = ngram_join.representatives(docs)
+    least = {c for i, n, c in brute_components(rows) if i is not None and n}
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and r["text"]) == sorted(least)
+
+
+def test_prefixes_keep_every_link():
+    """Any two sets that link share the smaller of their numbers of matches in their prefixes, and enough for the bound."""
+    r = np.random.default_rng(5)
+    level = ngram_join.levels(r.poisson(3, 1 << ngram_join.BITS).astype(float) + (r.random(1 << ngram_join.BITS) < 0.2) * 40)
+    for _ in range(60):
+        n = int(r.integers(1, 300))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        gone = int(r.integers(0, len(a) // 6 + 1))
+        b = np.unique(np.append(r.permutation(a)[gone:], r.integers(0, 1 << 63, int(r.integers(0, len(a) // 6 + 1))).astype(np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        heads, asked, rest = [], [], []
+        for x in (a, b):
+            ordered = np.sort(ngram_join.keys(x, level))
+            (matches,), (length,) = ngram_join.prefixes(ordered, np.array([len(x)]), 75, 16)
+            heads.append(ordered[:length])
+            asked.append(matches)
+            rest.append(len(x) - length)
+        c = len(np.intersect1d(*heads))
+        assert c >= min(asked) and c + max(rest) >= both
+
+
 def test_ngram_join_of_nothing(nothing, docs):
     assert ngram_join.component_ids(nothing).isEmpty()
     kept = collections.Counter((r["doc_id"], r["text"]) for r in ngram_join.representatives(docs).collect())
