@@ -4,8 +4,9 @@ A text is cut into units, white space with the word after it, which the byte-lev
 tokenizer encodes alike wherever they stand.  A document's tree has units as leaves and
 in each node the bytes and tokens below it, in one array.  An edit (byte offset, bytes to
 delete, text to insert) finds its leaves by the sums of bytes, joins them with one unit to
-either side as boundary context, cuts and encodes that region only, and updates the sums
-on the paths to the root.
+either side as boundary context, cuts that region into units again, encodes only those, and updates the
+sums on the path to the root.  Units that find no free leaves in their place are spread evenly over the
+smallest subtree with room for them, so leaves stay as small as units, however many edits fall side by side.
 
 Edits that overlap or leave a text that isn't UTF-8 are the caller's fault and raise
 ValueError for the latter.  Edits apply in the order given, each to the text that the
@@ -47,21 +48,24 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class TokenTree:
-    """Sums of bytes and tokens over the units of one text."""
+    """Sums of bytes and tokens over the units of one text.  Leaves without bytes are free."""
 
     def __init__(self, text: bytes, sizes: np.ndarray, tokens: np.ndarray, count: Callable[[bytes], int]):
-        """count: the tokens of a piece of text that begins and ends where units do."""
-        self.text, self._count = bytearray(text), count
-        self.leaves = 1 << max(0, (max(1, len(sizes)) - 1).bit_length())
-        sums = np.zeros((2, 2 * self.leaves), np.int64)
-        sums[0, self.leaves : self.leaves + len(sizes)] = sizes
-        sums[1, self.leaves : self.leaves + len(sizes)] = tokens
-        at = self.leaves
+        """count: the tokens of a unit."""
+        self.text, self._count, self.encoded_bytes = bytearray(text), count, 0
+        self._build(sizes, tokens, 1 << max(0, (max(1, len(sizes)) - 1).bit_length()))
+
+    def _build(self, sizes: np.ndarray, tokens: np.ndarray, leaves: int) -> None:
+        """A tree of so many leaves (a power of two) over the units, which are spread evenly."""
+        self.leaves = leaves
+        sums = np.zeros((2, 2 * leaves), np.int64)
+        at = leaves + np.arange(len(sizes)) * leaves // max(1, len(sizes))
+        sums[0, at], sums[1, at] = sizes, tokens
+        at = leaves
         while at > 1:
             sums[:, at // 2 : at] = sums[:, at : 2 * at : 2] + sums[:, at + 1 : 2 * at : 2]
             at //= 2
         self._bytes, self._tokens = sums.tolist()  # node k has the children 2k and 2k + 1
-        self.encoded_bytes = 0
 
     @property
     def tokens(self) -> int:
@@ -78,44 +82,55 @@ class TokenTree:
                 begin, at = begin + left, at + 1
         return at - self.leaves, begin
 
-    def _set(self, leaf: int, size: int, tokens: int) -> None:
-        at = leaf + self.leaves
-        more_bytes, more_tokens = size - self._bytes[at], tokens - self._tokens[at]
-        while at:
-            self._bytes[at] += more_bytes
-            self._tokens[at] += more_tokens
-            at //= 2
+    def _replace(self, first: int, last: int, units: list[tuple[int, int]]) -> None:
+        """Puts units, as bytes and tokens, in place of those of the leaves first to last."""
+        node, width = first + self.leaves, 1
+        while True:
+            lo = node * width - self.leaves
+            if lo <= first and last < lo + width:
+                held = [(self._bytes[k], self._tokens[k]) for k in range(lo + self.leaves, lo + self.leaves + width)]
+                kept = [x for x in held[: first - lo] if x[0]] + units + [x for x in held[last + 1 - lo :] if x[0]]
+                if len(kept) <= width - width // 4:  # a quarter stays free, but for single leaves
+                    break
+            if node == 1:  # no room: twice as many leaves
+                self._build(np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), 2 * self.leaves)
+                return
+            node, width = node // 2, 2 * width
+        spread: list[tuple[int, int]] = [(0, 0)] * width
+        for k, x in enumerate(kept):
+            spread[k * width // len(kept)] = x
+        at = lo + self.leaves
+        self._bytes[at : at + width], self._tokens[at : at + width] = [x[0] for x in spread], [x[1] for x in spread]
+        low, high = at, at + width - 1
+        while low > 1:
+            low, high = low // 2, high // 2
+            for k in range(low, high + 1):
+                self._bytes[k] = self._bytes[2 * k] + self._bytes[2 * k + 1]
+                self._tokens[k] = self._tokens[2 * k] + self._tokens[2 * k + 1]
 
     def edit(self, offset: int, delete: int, insert: bytes) -> int:
         """Applies an edit and returns the new count of tokens."""
         n = self._bytes[1]
         offset = min(max(0, offset), n)
         delete = min(max(0, delete), n - offset)
-        if not n:
-            self.text[:] = insert
-            self._set(0, len(insert), self._encode(0, len(insert)))
-            return self.tokens
-        first, begin = self._leaf(offset)
-        if begin:
-            first, begin = self._leaf(begin - 1)
-        # One more unit before the edit and one after it: a mark or letter at their borders may join what is inserted.
-        last, last_begin = self._leaf(offset + delete)
-        end = last_begin + self._bytes[last + self.leaves]
-        if end < n:
-            last, last_begin = self._leaf(end)
+        first, begin, last, end = 0, 0, self.leaves - 1, n
+        if n:
+            first, begin = self._leaf(offset)
+            if begin:
+                first, begin = self._leaf(begin - 1)
+            # One more unit before the edit and one after it: a mark or letter at their borders may join what is inserted.
+            last, last_begin = self._leaf(offset + delete)
             end = last_begin + self._bytes[last + self.leaves]
+            if end < n:
+                last, last_begin = self._leaf(end)
+                end = last_begin + self._bytes[last + self.leaves]
         self.text[offset : offset + delete] = insert
-        end += len(insert) - delete
-        for leaf in range(first + 1, last + 1):
-            if self._bytes[leaf + self.leaves]:
-                self._set(leaf, 0, 0)
-        self._set(first, end - begin, self._encode(begin, end))
+        region = bytes(self.text[begin : end + len(insert) - delete])
+        starts, ends, _ = units(np.frombuffer(region, np.uint8), np.array([0, len(region)]))
+        self.encoded_bytes += len(region)
+        self._replace(first, last, [(y - x, self._count(region[x:y])) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
         return self.tokens
 
-    def _encode(self, begin: int, end: int) -> int:
-        self.encoded_bytes += end - begin
-        return self._count(bytes(self.text[begin:end]))
-
 
 class Counter:
     """Tokens of texts by a tokenizer, through kept counts of units."""
