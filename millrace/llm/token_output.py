@@ -51,19 +51,29 @@ class Grammar:
     body: np.ndarray
     symbols: np.ndarray  # of each document, in the body
 
-    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat, start, length): the tokens of each rule."""
-        done: list[np.ndarray] = []
+    def expansions(self, symbols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, start, length): the tokens of each rule; with symbols, only of the rules that these lead to, nothing for others."""
+        wanted: set[int] | range = range(len(self.rules))
+        if symbols is not None:
+            wanted, left = set(), (np.unique(symbols[symbols >= self.base]).astype(np.int64) - self.base).tolist()
+            while left:
+                k = left.pop()
+                if k not in wanted:
+                    wanted.add(k)
+                    left += [int(s) - self.base for s in self.rules[k] if s >= self.base]
+        none = np.empty(0, np.uint32)
+        done: list[np.ndarray] = [none] * len(self.rules)
         of = lambda s: done[s - self.base] if s >= self.base else np.array([s], np.uint32)
-        for a, b in self.rules.tolist():
-            done.append(np.concatenate([of(a), of(b)]))
+        for k in sorted(wanted):  # a rule's symbols come before it
+            a, b = self.rules[k].tolist()
+            done[k] = np.concatenate([of(a), of(b)])
         length = np.fromiter(map(len, done), np.int64, len(done))
-        return np.concatenate(done) if done else np.empty(0, np.uint32), np.cumsum(length) - length, length
+        return np.concatenate(done) if done else none, np.cumsum(length) - length, length
 
     def decode(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Tokens of the body's symbols from `begin` to `end`."""
         body = self.body[begin:end]
-        flat, start, length = self.expansions()
+        flat, start, length = self.expansions(body)
         # Expansions of the rules, followed by the plain symbols themselves.
         rule = body >= self.base
         counts = np.ones(len(body), np.int64)
@@ -144,13 +154,18 @@ def read_document(row: dict, k: int) -> np.ndarray:
 
 
 def token_at(row: dict, place: int) -> int:
-    """The id at a place of the shard, found by the expansion lengths."""
-    g = read_grammar(row)
+    """The id at a place of the shard: the expansion lengths lead to its symbol, and then down the rules, of which none is expanded."""
+    g, of_rule = read_grammar(row), np.frombuffer(row["rule_tokens"], "<u4")
     lengths = np.ones(len(g.body), np.int64)
-    lengths[g.body >= g.base] = np.frombuffer(row["rule_tokens"], "<u4")[g.body[g.body >= g.base] - g.base]
+    lengths[g.body >= g.base] = of_rule[g.body[g.body >= g.base] - g.base]
     ends = np.cumsum(lengths)
     at = int(np.searchsorted(ends, place, "right"))
-    return int(g.decode(at, at + 1)[place - (ends[at] - lengths[at])])
+    symbol, place = int(g.body[at]), place - int(ends[at] - lengths[at])
+    while symbol >= g.base:
+        first, second = g.rules[symbol - g.base].tolist()
+        size = int(of_rule[first - g.base]) if first >= g.base else 1
+        symbol, place = (first, place) if place < size else (second, place - size)
+    return symbol
 
 
 #: Bytes after which a letter has ended, and bytes of marks that are never part of a letter or, as the apostrophe is, of a contraction.
