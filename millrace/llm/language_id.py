@@ -16,7 +16,7 @@ those not longer than SAMPLE_BYTES, however often each occurs; a language that h
 longer texts is learned from the first SAMPLE_BYTES characters of those.  All texts are
 scored whole.
 
-Defined results: null texts and those without a letter are `und` with score 0; otherwise
+Defined results: null texts and those without a letter (Unicode's categories L*) are `und` with score 0; otherwise
 score is the winner's share of the probability among all languages, each at its code
 length per byte times 64 (1 means certain); rows without language teach nothing; with nothing
 to learn from every text is `und`; equal texts get equal answers.
@@ -24,7 +24,7 @@ to learn from every text is `und`; equal texts get equal answers.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +37,6 @@ from pyspark.sql import types as T
 from millrace.llm import spans
 
 ORDER, SAMPLE, SAMPLE_BYTES = 3, 150, 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -88,7 +87,7 @@ class Model:
         sizes = np.diff(offsets)
         has = spans.per_text(_ASCII_LETTER[data].astype(np.int64), sizes) > 0
         for i in np.flatnonzero(~has & (sizes > 0)):
-            has[i] = bool(_LETTER.search(bytes(data[offsets[i] : offsets[i + 1]]).decode()))
+            has[i] = any(unicodedata.category(c)[0] == "L" for c in bytes(data[offsets[i] : offsets[i + 1]]).decode())
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         bits = self.bits(data, offsets)
