@@ -1,16 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is three bags of hashed features: its words, its character trigrams and, for
-each pair of neighbouring words, how often that pair occurs in the document (a power of
-two).  Every bucket has a learned vector; the vectors are averaged over each bag and the
-averages over the bags, and a softmax layer gives the probability of label 1.  Training is
-stochastic gradient descent in numpy on a bounded sample of the labelled rows.
+A document is three bags of hashed features: its words, its pairs of neighbouring words and
+its character trigrams.  Every bucket has a learned vector; the vectors are averaged over each
+bag and the averages over the bags, and a softmax layer gives the probability of label 1.
+Training is stochastic gradient descent in numpy on a bounded sample of the labelled rows.
 
 Scoring needs one number a bucket: the average of the vectors times the difference of the
 output weights is the average of these products.  So the model that goes to the executors
 is one array of fixed size, and a document costs a lookup for each feature.
 
-Defined results: null counts as empty; an empty text has no features and scores by the
+Defined results: null counts as empty, also in learning; an empty text has no features and scores by the
 bias alone; rows with equal texts score alike; labels that are null, or disagree for one
 id, teach nothing; with nothing to learn from every score is 0.5.
 """
@@ -29,8 +28,8 @@ from pyspark.sql import types as T
 
 from millrace.llm import spans
 
-#: Rows to learn from, their longest text, and the model's sizes.
-SAMPLE, SAMPLE_BYTES, BITS, DIM, EPOCHS, RATE, SEED = 5000, 1 << 16, 16, 16, 4, 0.25, 7
+#: Rows to learn from and the bytes of all their texts together, and the model's sizes.
+SAMPLE, SAMPLE_BYTES, BITS, DIM, EPOCHS, RATE, SEED = 5000, 1 << 26, 16, 16, 10, 1.0, 7
 BAGS = 3
 
 
@@ -59,11 +58,8 @@ def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     words = spans.hashes(data, begin, end)
     yield (words >> np.uint64(64 - BITS)).astype(np.int64), counts
     text = np.repeat(np.arange(len(counts)), counts)
-    same = text[1:] == text[:-1] if len(text) else np.empty(0, bool)
-    pairs = spans.mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:] + text[:-1].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[same] if len(text) else words
-    _, inverse, times = np.unique(pairs, return_inverse=True, return_counts=True)
-    level = np.minimum(np.log2(np.maximum(times, 1)).astype(np.int64), 15)[inverse] if len(pairs) else np.empty(0, np.int64)
-    yield level + (1 << BITS), np.maximum(counts - 1, 0)
+    pairs = spans.mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:])[text[1:] == text[:-1]]
+    yield (pairs >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS), np.maximum(counts - 1, 0)
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     n = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets])
     if len(chars) < 3:
@@ -124,18 +120,23 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % parts == part
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[str], np.ndarray]:
-    """About `most` labelled rows, chosen by a hash of the id, whose texts are not longer than SAMPLE_BYTES."""
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """The first `most` labelled rows in the order of a hash of the id, or as many of them, one at least, as have `most_bytes` of text in all;
+    so a text's length doesn't keep it out."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_low"), F.max(label).alias("_high")).where("_low = _high")
     total = known.count()
     if not total:
         return [], np.empty(0, np.int64)
     chosen = known.where(F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.4 * most / total)))
-    rows = (
-        docs.where(learn & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen.select("_id", "_low"), "_id")
-        .orderBy(F.xxhash64(F.lit(2), "_id"), "_text").limit(most).select("_text", "_low").collect()
-    )
-    return [r["_text"] for r in rows], np.array([int(r["_low"]) for r in rows])
+    rows = docs.where(learn).select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(chosen.select("_id", "_low"), "_id")
+    order = [F.xxhash64(F.lit(2), "_id").alias("_order"), F.xxhash64("_text").alias("_hash")]
+    sizes = rows.select(*order, F.octet_length("_text").alias("_bytes")).orderBy("_order", "_hash").limit(most).collect()
+    run = np.cumsum([r["_bytes"] for r in sizes])
+    n = max(1, int(np.searchsorted(run, most_bytes, "right"))) if len(sizes) else 0
+    if not n:
+        return [], np.empty(0, np.int64)
+    found = rows.select("_text", "_low", *order).where(F.col("_order") <= sizes[n - 1]["_order"]).orderBy("_order", "_hash", "_text").limit(n).collect()
+    return [r["_text"] for r in found], np.array([int(r["_low"]) for r in found])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, **of) -> Model:
