@@ -109,20 +109,22 @@ class Model:
         out = np.empty(len(target), np.float64)
         for at in range(0, len(target), 1 << 15):
             h, w = states[at : at + (1 << 15)], target[at : at + (1 << 15)]
+            order = np.argsort(self.class_of[w].astype(np.int16 if len(self.first) < 1 << 15 else np.int64), kind="stable")  # short ones sort faster
+            h, w = h[order], w[order]
+            k, rows = self.class_of[w], np.arange(len(w))
             s = h @ self.p["C"] + self.p["c"]
-            s -= s.max(1, keepdims=True)
-            k = self.class_of[w]
-            lp = (s[np.arange(len(w)), k] - np.log(np.exp(s).sum(1))).astype(np.float64)
-            order = np.argsort(k, kind="stable")
-            bounds = np.searchsorted(k[order], np.arange(len(self.first) + 1))
-            for c in range(len(self.first)):
-                i = order[bounds[c] : bounds[c + 1]]
+            np.minimum(s, 60, out=s)
+            own = s[rows, k]
+            lp = (own - np.log(np.exp(s, out=s).sum(1))).astype(np.float64)
+            bounds = np.searchsorted(k, np.arange(len(self.first) + 1))
+            for c in np.flatnonzero(np.diff(bounds)).tolist():
+                i = slice(bounds[c], bounds[c + 1])
                 lo, hi = self.first[c], self.first[c + 1] if c + 1 < len(self.first) else self.rest
-                if len(i) and hi - lo > 1:
-                    t = h[i] @ self.p["W"][:, lo:hi] + self.p["w"][lo:hi]
-                    t -= t.max(1, keepdims=True)
-                    lp[i] += t[np.arange(len(i)), w[i] - lo] - np.log(np.exp(t).sum(1))
-            out[at : at + (1 << 15)] = lp
+                if hi - lo > 1:
+                    t = np.minimum(h[i] @ self.p["W"][:, lo:hi] + self.p["w"][lo:hi], 60)
+                    own = t[rows[: len(t)], w[i] - lo]
+                    lp[i] += own - np.log(np.exp(t, out=t).sum(1))
+            out[at + order] = lp
         return out
 
     def score(self, numbers: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -218,66 +220,94 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
             target[k, at : at + len(d)], valid[k, at : at + len(d)], begins[k, at] = d, True, True
             before[k, at], before[k, at + 1 : at + len(d)] = prior, d[:-1]
             at += len(d)
-    p, n = m.p, m.p["U"].shape[0]
-    first_moment, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    n, names = m.p["U"].shape[0], sorted(m.p)
+    # All parameters, their gradients and Adam's moments lie in one array each; those of a name are views.
+    values = np.concatenate([m.p[k].reshape(-1) for k in names]).astype(np.float32)
+    slopes, first_moment, second, work = (np.zeros_like(values) for _ in range(4))
+    bounds = np.append(0, np.cumsum([m.p[k].size for k in names]))
+    views = lambda flat: {k: flat[x:y].reshape(m.p[k].shape) for k, x, y in zip(names, bounds[:-1], bounds[1:], strict=True)}
+    p, g = views(values), views(slopes)
+    m.p = p
+    kind = m.class_of.astype(np.int16 if len(m.first) < 1 << 15 else np.int64)  # short ones sort faster
+    last_word = np.append(m.first[1:], m.rest)
+    shape = (min(steps, length), lanes, n)
+    prior, zs, rs, cs, us, out = (np.empty(shape, np.float32) for _ in range(6))
+    into, dx, du = np.empty(shape, np.float32), np.empty((*shape[:2], 3 * n), np.float32), np.empty((*shape[:2], 3 * n), np.float32)
     h, losses, windows = np.zeros((lanes, n), np.float32), [], range(0, length, steps)
     for step, t0 in enumerate(windows):
-        inputs, outs = before[:, t0 : t0 + steps], target[:, t0 : t0 + steps]
-        kept, states = [], []
-        for t in range(inputs.shape[1]):
-            h = np.where(begins[:, t0 + t, None], np.float32(0), h)
-            e = p["E"][inputs[:, t]]
-            z, r, c, a = m._gates(e @ p["X"] + p["x"], h)
-            kept.append((e, h, z, r, c, a))
-            h = h + z * (c - h)
-            states.append(h)
-        ok = valid[:, t0 : t0 + steps].T.reshape(-1)
-        flat, w = np.concatenate(states)[ok], outs.T.reshape(-1)[ok]
+        inputs, ok = before[:, t0 : t0 + steps].T, valid[:, t0 : t0 + steps].T
+        goes_on = (~begins[:, t0 : t0 + steps].T).astype(np.float32)[:, :, None]
+        k = len(inputs)
+        embedded = p["E"][inputs]
+        x = embedded @ p["X"] + p["x"]
+        for t in range(k):
+            np.multiply(h, goes_on[t], out=prior[t])
+            a = prior[t] @ p["U"]
+            gates = 1 / (1 + np.exp(-(x[t, :, : 2 * n] + a[:, : 2 * n])))
+            zs[t], rs[t], us[t] = gates[:, :n], gates[:, n:], a[:, 2 * n :]
+            np.tanh(x[t, :, 2 * n :] + rs[t] * us[t], out=cs[t])
+            h = prior[t] + zs[t] * (cs[t] - prior[t])
+            out[t] = h
+        w = target[:, t0 : t0 + steps].T[ok]
         if not len(w):
             continue
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        s = flat @ p["C"] + p["c"]
-        s = np.exp(s - s.max(1, keepdims=True))
+        order = np.argsort(kind[w], kind="stable")
+        w, flat = w[order], out[:k][ok][order]
+        own = m.class_of[w]
+        slopes[:] = 0
+        s = np.exp(np.minimum(flat @ p["C"] + p["c"], 60))
         s /= s.sum(1, keepdims=True)
-        k = m.class_of[w]
-        loss = -np.log(s[np.arange(len(w)), k] + 1e-12).sum()
-        s[np.arange(len(w)), k] -= 1
-        g["C"], g["c"] = flat.T @ s, s.sum(0)
+        rows = np.arange(len(w))
+        loss = -np.log(s[rows, own] + 1e-12).sum()
+        s[rows, own] -= 1
+        g["C"][:], g["c"][:] = flat.T @ s, s.sum(0)
         back = s @ p["C"].T
-        for cl in np.unique(k):
-            if cl == len(m.first):
-                continue
-            i, lo, hi = np.flatnonzero(k == cl), m.first[cl], m.first[cl + 1] if cl + 1 < len(m.first) else m.rest
-            q = flat[i] @ p["W"][:, lo:hi] + p["w"][lo:hi]
-            q = np.exp(q - q.max(1, keepdims=True))
+        edges = np.searchsorted(own, np.arange(len(m.first) + 1))
+        for cl in np.flatnonzero(np.diff(edges)).tolist():
+            i, lo, hi = slice(edges[cl], edges[cl + 1]), m.first[cl], last_word[cl]
+            q = np.exp(np.minimum(flat[i] @ p["W"][:, lo:hi] + p["w"][lo:hi], 60))
             q /= q.sum(1, keepdims=True)
-            loss -= np.log(q[np.arange(len(i)), w[i] - lo] + 1e-12).sum()
-            q[np.arange(len(i)), w[i] - lo] -= 1
+            place = (rows[: len(q)], w[i] - lo)
+            loss -= np.log(q[place] + 1e-12).sum()
+            q[place] -= 1
             g["W"][:, lo:hi], g["w"][lo:hi] = flat[i].T @ q, q.sum(0)
             back[i] += q @ p["W"][:, lo:hi].T
         losses.append(float(loss / len(w)))
-        into = np.zeros((len(ok), n), np.float32)
-        into[ok] = back
-        into = into.reshape(len(states), lanes, n)
-        dh = np.zeros((lanes, n), np.float32)
-        for t in reversed(range(len(states))):
-            e, prior, z, r, c, a = kept[t]
-            dh = dh + into[t]
-            dz, dc = dh * (c - prior) * z * (1 - z), dh * z * (1 - c * c)
-            dr, da = dc * a * r * (1 - r), dc * r
-            dx = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, da], 1)
-            g["U"] += prior.T @ du
-            g["X"] += e.T @ dx
-            g["x"] += dx.sum(0)
-            np.add.at(g["E"], inputs[:, t], dx @ p["X"].T)
-            dh = np.where(begins[:, t0 + t, None], np.float32(0), dh * (1 - z) + du @ p["U"].T)
-        lr = rate * (1 - 0.9 * step / len(windows))
-        for name in p:
-            grad = np.clip(g[name] / len(w) * 16, -1, 1)
-            first_moment[name] += 0.1 * (grad - first_moment[name])
-            second[name] += 0.01 * (grad * grad - second[name])
-            p[name] -= (lr * (first_moment[name] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[name] / (1 - 0.99 ** (step + 1))) + 1e-6)).astype(np.float32)
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        into[:k] = 0
+        into[:k][ok] = unsorted
+        dh, turned = np.zeros((lanes, n), np.float32), np.ascontiguousarray(p["U"].T)
+        for t in reversed(range(k)):
+            dh += into[t]
+            z, r, c = zs[t], rs[t], cs[t]
+            dc = dh * z * (1 - c * c)
+            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dh * (c - prior[t]) * z * (1 - z), dc * us[t] * r * (1 - r), dc
+            du[t, :, : 2 * n], du[t, :, 2 * n :] = dx[t, :, : 2 * n], dc * r
+            dh = (dh * (1 - z) + du[t] @ turned) * goes_on[t]
+        all_dx, all_du = dx[:k].reshape(-1, 3 * n), du[:k].reshape(-1, 3 * n)
+        g["U"][:] = prior[:k].reshape(-1, n).T @ all_du
+        g["X"][:], g["x"][:] = embedded.reshape(len(all_dx), -1).T @ all_dx, all_dx.sum(0)
+        words, of = np.unique(inputs, return_inverse=True)
+        by_word = np.argsort(of.reshape(-1).astype(np.int16 if len(words) < 1 << 15 else np.int64), kind="stable")
+        starts = np.append(0, np.cumsum(np.bincount(of.reshape(-1))))[:-1]
+        g["E"][words] = np.add.reduceat((all_dx @ p["X"].T)[by_word], starts)
+        # Adam, in place.
+        slopes *= 16 / len(w)
+        np.clip(slopes, -1, 1, out=slopes)
+        first_moment *= 0.9
+        np.multiply(slopes, 0.1, out=work)
+        first_moment += work
+        second *= 0.99
+        np.multiply(slopes, slopes, out=work)
+        work *= 0.01
+        second += work
+        np.multiply(second, 1 / (1 - 0.99 ** (step + 1)), out=work)
+        np.sqrt(work, out=work)
+        work += 1e-6
+        np.divide(first_moment, work, out=work)
+        work *= rate * (1 - 0.9 * step / len(windows)) / (1 - 0.9 ** (step + 1))
+        values -= work
     return losses
 
 
