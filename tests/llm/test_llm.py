@@ -26,6 +26,7 @@ from millrace.llm import (
     rule_ledger,
     sharding,
     spans,
+    storage,
     token_counts,
     token_output,
     unigram,
@@ -409,6 +410,75 @@ def test_token_counts(docs, nothing):
     assert token_counts.count_with_edits(nothing, js).isEmpty()
 
 
+def test_token_tree_keeps_its_leaves_small():
+    """Many edits side by side encode as few bytes at the end as at the start."""
+    c = token_counts.Counter(queries._read(queries.vocabulary("byte_bpe_50k.json")))
+    text = " ".join(f"word{i}" for i in range(5000))
+    tree, at, costs = next(c.trees(pa.array([text]))), 20_000, []
+    for i in range(400):
+        before = tree.encoded_bytes
+        tree.edit(at, 0, f" new{i}".encode())
+        text, at = text[:at] + f" new{i}" + text[at:], at + len(f" new{i}")
+        costs.append(tree.encoded_bytes - before)
+    assert max(costs) < 60 and bytes(tree.text).decode() == text and tree.tokens == c.count(text.encode())
+    for _ in range(300):
+        tree.edit(10_000, 30, b"")
+        text = text[:10_000] + text[10_030:]
+    assert tree.tokens == c.count(text.encode())
+
+
+def test_language_needs_a_letter():
+    m = language_id.train({"a": ["abab"], "b": ["xyz"]})
+    assert m.predict(pa.array(["² ½ ①", "Ⅷ", "٣ ५", "_", "ª", "日", "3a"]))[0][:4] == ["und"] * 4 and "und" not in m.predict(pa.array(["ª", "日", "3a"]))[0]
+
+
+def test_op4_query(spark, tmp_path):
+    """The registered query against the model, applied row by row, and its contract's columns."""
+    rows = [(i, ["the old bridge " * 9, "le vieux pont " * 9][i % 2] + str(i), ["en", "fr"][i % 2]) for i in range(60)] + [(60, None, "en"), (61, "12 ½", "fr"), (62, "the bridge", None), (62, "", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["held_out"] for r in got} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    of = dict((r["doc_id"], r) for r in got)
+    assert [of[i]["lang_pred"] for i in (0, 1, 60, 61)] == ["en", "fr", "und", "und"] and all(0 <= r["score"] <= 1 for r in got)
+    learn = collections.defaultdict(set)
+    for i, t, lang in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 5:
+            learn[lang].add(t)
+    m = language_id.train({k: sorted(v) for k, v in learn.items()})
+    for i, t, _ in rows[:60]:
+        (name,), (score,) = m.predict(pa.array([t]))
+        assert of[i]["lang_pred"] == name and of[i]["score"] == pytest.approx(score, abs=1e-5)
+
+
+def test_op2_query(spark, tmp_path):
+    """Null and conflicting labels, empty tables and a clashing column; scores as the model gives them to each text."""
+    rows = [(i, ("calm river stone " if i % 2 else "buy ### now $$$ ") * 12 + str(i)) for i in range(120)] + [(120, None), (121, ""), (3, "again"), (None, "no id")]
+    labels = [(i, i % 2, 0) for i in range(110)] + [(0, 1, 0), (111, None, 0), (None, 1, 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op2_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 120]
+    assert held and all(r["predicted"] == r["doc_id"] % 2 for r in held)
+    docs, marks = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    texts, y = quality_classifier.sample(docs, marks, ~quality_classifier.held_out(F.col("doc_id"), 4, 2))
+    want = {(t, i % 2) for i, t in rows if i is not None and 0 < i < 110 and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(zip(texts, y.tolist(), strict=True)) == want and len(texts) == len(want)
+    assert len(quality_classifier.sample(docs, marks, F.lit(True), most_bytes=900)[0]) < 8
+    model = quality_classifier.train(texts, y)
+    clash = docs.withColumn("score", F.lit("x"))
+    for r in quality_classifier.score(clash, model).collect():
+        assert r["score"] == pytest.approx(model.scores(pa.array([r["text"] or ""]))[0])
+    assert quality_classifier.score(docs.limit(0), model).isEmpty()
+    assert quality_classifier.sample(docs, marks.limit(0), F.lit(True))[0] == [] and quality_classifier.sample(docs.limit(0), marks, F.lit(True))[0] == []
+
+
+def test_written_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(spark)
+
+
 def test_lm_base_and_distribution(spark, docs, nothing):
     training = docs.where(lm_scoring.in_training(F.col("doc_id")))
     model, counts = lm_scoring.fit(training)
