@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a folder of the session's own."""
+    """spark.checkpoint.dir, which driver and executors share; where it is unset and all runs on this machine, as in tests, a folder of the session's own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = spark._millrace_cut = getattr(spark, "_millrace_cut", None) or tempfile.mkdtemp(prefix="millrace-")
     return at
 
