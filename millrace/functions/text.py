@@ -15,10 +15,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 #: ASCII characters that separate words, as Unicode-aware splitting sees them.
 ASCII_BLANKS = r"[\x09-\x0D\x1C-\x20]+"
+#: Unicode's white space, with the separators among the ASCII control characters.
+BLANK = r"[\s\x1C-\x1F]"
 
 
 def _unicode_canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+    each = {t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in texts.dropna().unique()}
+    return texts.map(each.get)
 
 
 _unicode_udf = F.pandas_udf(_unicode_canonical, StringType())
@@ -35,6 +38,19 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(r"(?U)[^\s\x1C-\x1F]")
+
+
+def opens_think_block(text: Column) -> Column:
+    return text.rlike(rf"(?U)\A{BLANK}*<think>")
+
+
 def plain_lines(text: Column) -> Column:
     """CRLF and CR become LF, and one leading byte order mark goes."""
     return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "^\ufeff", "")
@@ -42,9 +58,8 @@ def plain_lines(text: Column) -> Column:
 
 def without_think_block(text: Column) -> Column:
     """What follows the first closing tag, without leading line ends, if the text opens with a think block."""
-    opens = F.ltrim(text).startswith("<think>")
     after = F.substring(text, F.locate("</think>", text) + F.lit(8), F.length(text))
-    return F.when(opens & F.contains(text, F.lit("</think>")), F.regexp_replace(after, r"^\n+", "")).otherwise(text)
+    return F.when(opens_think_block(text) & F.contains(text, F.lit("</think>")), F.regexp_replace(after, r"^\n+", "")).otherwise(text)
 
 
 def hash_bucket(key: Column, seed: str = "42", buckets: int = 100) -> Column:
@@ -60,15 +75,28 @@ def hash_split(group: Column, seed: str = "42") -> Column:
 
 
 def final_answer(answer: Column) -> Column:
-    """What follows the last `####`."""
-    return F.trim(F.element_at(F.split(answer, "####", -1), -1))
+    """What follows the last `####`, stripped."""
+    return strip(F.element_at(F.split(answer, "####", -1), -1))
+
+
+def split_thinking(raw: Column) -> Column:
+    """reasoning and answer, stripped, and whether the think block was closed; until it is, all is reasoning, as it stands."""
+    opened = F.regexp_replace(raw, r"\A<think>\n", "")
+    at, closed = F.locate("</think>", raw), F.contains(raw, F.lit("</think>"))
+    before = strip(F.regexp_replace(F.substring(raw, F.lit(1), at - 1), r"\A<think>\n", ""))
+    after = strip(F.substring(raw, at + F.lit(8), F.length(raw)))
+    return F.struct(F.when(closed, before).otherwise(opened).alias("reasoning"), F.when(closed, after).otherwise("").alias("answer"), closed.alias("closed"))
+
+
+def explicit_answer(answer: Column, has_choices: Column) -> Column:
+    """Of a question with choices the last boxed A-D; of others the last number after `####`, else the last boxed number."""
 
+    def last(pattern: str) -> Column:
+        found = F.regexp_extract_all(answer, F.lit(pattern), F.lit(1))
+        return F.get(found, F.size(found) - 1)
 
-def boxed_or_marked(answer: Column) -> Column:
-    """The last boxed choice A-D; else the last number after `####`; else the last boxed number."""
-    last = lambda pattern: F.element_at(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)), -1)
-    safe = lambda pattern: F.when(F.regexp_like(answer, F.lit(pattern)), last(pattern))
-    return F.coalesce(safe(r"\\boxed\{([A-D])\}"), safe(r"####\s*([-+]?\d[\d,]*(?:\.\d+)?)"), safe(r"\\boxed\{([-+]?\d[\d,]*(?:\.\d+)?)\}"))
+    number = r"([-+]?\d[\d,.]*)"
+    return F.when(has_choices, last(r"\\boxed\{([ABCD])\}")).otherwise(F.coalesce(last(r"(?U)####\s*" + number), last(r"(?U)\\boxed\{" + number + r"\}")))
 
 
 def mostly_cjk(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import canonical, plain_lines, sha, without_think_block
+from millrace.functions.text import canonical, is_blank, opens_think_block, plain_lines, sha, without_think_block
 
 ROLES = ("system", "user", "assistant")
 CONTROL_TOKENS = ("<|im_start|>", "<|im_end|>")  # fixed values
@@ -32,16 +32,15 @@ def cleaned(messages: Column) -> Column:
 def message_reason(m: Column) -> Column:
     """The first check that a message (as it came) fails, or null."""
     c = plain_lines(m["content"])
-    thinks = (m["role"] == "assistant") & F.ltrim(c).startswith("<think>")
+    thinks = (m["role"] == "assistant") & opens_think_block(c)
     after = without_think_block(c)
     tokens = reduce(lambda a, b: a | b, [F.contains(F.when(thinks, after).otherwise(c), F.lit(t)) for t in CONTROL_TOKENS])
-    blank = lambda x: ~x.rlike(r"(?U)\S")
     return (
         F.when(m["role"].isNull() | ~m["role"].isin(*ROLES) | m["content"].isNull(), "invalid_role_or_nontext")
-        .when(blank(c), "empty_message")
+        .when(is_blank(c), "empty_message")
         .when(c.rlike(r"[\x00-\x08\x0B-\x1F]"), "control_character")
         .when(thinks & ~F.contains(c, F.lit("</think>")), "unclosed_thinking_block")
-        .when(thinks & blank(after), "empty_after_thinking_block")
+        .when(thinks & is_blank(after), "empty_after_thinking_block")
         .when(tokens, "embedded_chat_control_token")
     )
 
@@ -87,7 +86,7 @@ def request_violation(messages: Column, budget: Column, tokens: Column, most_tok
     return (
         F.when(messages.isNull() | (F.size(messages) < 1), "no_messages")
         .when(F.exists(messages, lambda m: m["role"].isNull() | ~m["role"].isin(*ROLES)), "role")
-        .when(F.exists(messages, lambda m: m["content"].isNull() | ~m["content"].rlike(r"(?U)\S")), "blank")
+        .when(F.exists(messages, lambda m: m["content"].isNull() | is_blank(m["content"])), "blank")
         .when(F.element_at(messages, -1)["role"] != "user", "last_not_user")
         .when(budget.isNull() | (budget < 1) | (budget > most_budget), "budget")
         .when(tokens > most_tokens, "too_long")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.text import is_blank
+
 MESSAGES = "array<struct<role: string, content: string>>"
 #: Schemas of raw sources and of records.
 SCHEMAS = {
@@ -62,15 +64,19 @@ def labelled_requests(spark: SparkSession, path: str, experts: list[str], most_t
     own_id = F.try_variant_get("v", "$.id", "string")
     numbers = lambda c: c.isin("ARRAY<BIGINT>", "ARRAY<DOUBLE>") | c.rlike(r"^ARRAY<DECIMAL\(\d+,\d+\)>$")
     message = (
-        F.when(F.col("v").isNull(), "not JSON").when(F.coalesce(kind("$.id"), F.lit("")) != "STRING", "id must be a string").when(F.length(own_id) < 1, "id is empty")
+        F.when(F.col("v").isNull(), "not JSON").when(F.coalesce(kind("$.id"), F.lit("")) != "STRING", "id must be a string").when(is_blank(own_id), "id is empty")
         .when(F.coalesce(kind("$.input_ids"), F.lit("")) != "ARRAY<BIGINT>", "input_ids must be integers").when(F.size(ids) > most_tokens, "prompt too long").when(F.exists(ids, lambda t: t < 0), "negative token")
         .when(F.coalesce(kind("$.max_new_tokens"), F.lit("")) != "BIGINT", "max_new_tokens must be an integer").when(budget < 0, "max_new_tokens must not be negative")
         .when(~numbers(F.coalesce(kind("$.expert_losses"), F.lit(""))), "expert_losses must be numbers").when(F.size(losses) != len(experts), "one loss for each expert")
-        .when(names.isNotNull() & (names != F.array(*map(F.lit, experts))), "expert_ids differ")
-        .when(F.count("*").over(Window.partitionBy(own_id)) > 1, "id repeated")
+        .when(F.exists(losses, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))), "expert_losses must be finite")
+        .when((F.coalesce(kind("$.expert_ids"), F.lit("VOID")) != "VOID") & ~F.coalesce(names == F.array(*map(F.lit, experts)), F.lit(False)), "expert_ids differ")
     )
     checked = v.select("path", "line", own_id.alias("id"), ids.alias("input_ids"), budget.alias("max_new_tokens"), losses.alias("expert_losses"), message.alias("message"))
-    return checked.where("message IS NULL").drop("message", "path", "line"), checked.where("message IS NOT NULL").select("path", "line", "message")
+    twice = checked.where("message IS NULL").groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
+    checked = checked.join(twice, (F.col("id") == F.col("_id")) & F.col("message").isNull(), "left").withColumn("message", F.coalesce("message", F.when(F.col("_n") > 1, "id repeated"))).drop("_id", "_n")
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path")).distinct()
+    empty = files.join(v, "path", "left_anti").select("path", F.lit(0).alias("line"), F.lit("no examples").alias("message"))
+    return checked.where("message IS NULL").drop("message", "path", "line"), checked.where("message IS NOT NULL").select("path", "line", "message").unionByName(empty)
 
 
 def complete_lines(spark: SparkSession, path: str) -> DataFrame:
