@@ -13,20 +13,19 @@ BROADCAST_FINGERPRINTS = 20_000
 
 
 def keep_first(rows: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """The first row of each key in the given order; never depends on how rows are partitioned."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+    """The first row of each key in the given order, nulls first; never depends on how rows are partitioned.  Rows are reduced before they
+    are shuffled, so a key that most rows have makes no large task."""
+    least = F.min_by(F.struct(*rows.columns), F.struct(*(F.col(o) if isinstance(o, str) else o for o in order)))
+    return rows.groupBy(F.col(key).alias("_key")).agg(least.alias("_row")).select("_row.*")
 
 
 def keep_first_reference(rows: DataFrame, id_: str, answer_hash: str, length: str, *order: str | Column, least: int = 120) -> DataFrame:
     """Adds same_reference_as: the id of the first row with an equal normalized answer, if that is long enough and another row."""
-    w = Window.partitionBy(answer_hash).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(id_).over(w)
-    # Short answers get a key of their own, so that a common one makes no large window.
-    keyed = rows.withColumn("_own", F.when(F.col(length) >= least, F.col(answer_hash)))
-    long_, short = keyed.where("_own IS NOT NULL"), keyed.where("_own IS NULL")
-    marked = long_.withColumn("same_reference_as", F.when(first != F.col(id_), first))
-    return marked.unionByName(short.withColumn("same_reference_as", F.lit(None).cast(dict(rows.dtypes)[id_]))).drop("_own")
+    long_ = rows.where((F.col(length) >= least) & F.col(answer_hash).isNotNull())
+    first = long_.groupBy(F.col(answer_hash).alias("_answer")).agg(F.min_by(id_, F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))).alias("_first"))
+    own = F.when(F.col(length) >= least, F.col(answer_hash))
+    marked = rows.join(first, own == F.col("_answer"), "left").withColumn("same_reference_as", F.when(F.col("_first") != F.col(id_), F.col("_first")))
+    return marked.drop("_answer", "_first")
 
 
 def fingerprints(benchmark: DataFrame, text: str) -> DataFrame:
@@ -137,10 +136,15 @@ def balanced_pilot(rows: DataFrame, by: str, length: str, order: str, n: int) ->
 
 
 def reject_counts(rows: DataFrame, source: str, reason: str) -> DataFrame:
-    """scanned, accepted and rejected by source, and a row for each reason."""
+    """scanned, accepted and rejected by source."""
     return rows.groupBy(source).agg(F.count("*").alias("scanned"), F.count_if(F.col(reason).isNull()).alias("accepted"), F.count_if(F.col(reason).isNotNull()).alias("rejected"))
 
 
+def reject_reasons(rows: DataFrame, source: str, reason: str) -> DataFrame:
+    """How many rows of each source each reason rejected."""
+    return rows.where(F.col(reason).isNotNull()).groupBy(source, F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that are not once on either side: problem is missing, extra or duplicate."""
     l = left.groupBy(key).agg(F.count("*").alias("nl"))  # noqa: E741

@@ -237,7 +237,7 @@ WHEN len(regexp_extract_all(a, '```')) % 2 = 1 THEN 'unclosed_code_fence' WHEN r
 @query(f"WITH t AS (SELECT doc_id, trim(text, ' \n\t\r') AS a, {SQL_WORDS.format('text')} AS n FROM documents) SELECT doc_id, {SQL_GENERAL} AS reason FROM t")
 def native_rule_reasons(spark, d):
     """The general rules, documents as answers; none of them has paragraphs."""
-    return table(spark, d, "documents").select("doc_id", rules.general_reason(rules.strip(F.col("text")), words(F.col("text"))).alias("reason"))
+    return table(spark, d, "documents").select("doc_id", rules.general_reason(T.strip(F.col("text")), words(F.col("text"))).alias("reason"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 40) AS ps FROM documents)
@@ -525,19 +525,17 @@ def registry_audit(spark, d):
     return routing.registry_violations(rows)
 
 
-@query("""WITH l AS (SELECT o_orderkey AS k, count(*) AS nl FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1), r AS (SELECT l_orderkey AS k, count(*) AS nr FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 13 <> 0 GROUP BY 1)
+@query("""WITH l AS (SELECT o_custkey AS k, count(*) AS nl FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS nr FROM customer GROUP BY 1)
 SELECT k, CASE WHEN nr IS NULL THEN 'missing' WHEN nl IS NULL THEN 'extra' ELSE 'duplicate' END AS problem FROM l FULL JOIN r USING (k) WHERE nr IS NULL OR nl IS NULL OR nl > 1 OR nr > 1""")
 def closed_set_reconcile(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"))
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 13 <> 0").select(F.col("l_orderkey").alias("k"))
-    return corpus.reconcile(orders, lines, "k")
+    """Customers of orders against all customers: some have none, most several."""
+    return corpus.reconcile(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 17 <> 0)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def containment_audit(spark, d):
-    part = table(spark, d, "lineitem").select("l_orderkey")
-    whole = table(spark, d, "orders").where("o_orderkey % 17 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return audit.not_contained(part, whole, "l_orderkey")
+    """Customers without an order."""
+    return audit.not_contained(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
@@ -546,24 +544,56 @@ def sources_union(spark, d):
     return of("document", "documents", "doc_id", "text").unionByName(of("page", "pages", "page_id", "html")).unionByName(of("benchmark", "benchmark", "item_id", "text"))
 
 
-@query(f"""WITH t AS (SELECT source, trim(text, ' \n\t\r') AS a, {SQL_WORDS.format('text')} AS n FROM documents), r AS (SELECT source, {SQL_GENERAL} AS reason FROM t)
-SELECT source, count(*) AS scanned, CAST(count_if(reason IS NULL) AS BIGINT) AS accepted, CAST(count_if(reason IS NOT NULL) AS BIGINT) AS rejected FROM r GROUP BY source""")
+SQL_REASONS = rf"""WITH t AS (SELECT source, trim(text, ' \n\t\r') AS a, {SQL_WORDS.format('text')} AS n FROM documents), r AS (SELECT source, {SQL_GENERAL} AS reason FROM t),
+k AS (SELECT source, count(*) AS scanned, CAST(count_if(reason IS NULL) AS BIGINT) AS accepted, CAST(count_if(reason IS NOT NULL) AS BIGINT) AS rejected FROM r GROUP BY source)"""
+
+
+def _reasons(spark, d):
+    return table(spark, d, "documents").select("source", rules.general_reason(T.strip(F.col("text")), words(F.col("text"))).alias("reason"))
+
+
+@query(f"{SQL_REASONS} SELECT * FROM k")
 def reject_counters(spark, d):
-    rows = table(spark, d, "documents").select("source", rules.general_reason(rules.strip(F.col("text")), words(F.col("text"))).alias("reason"))
-    return corpus.reject_counts(rows, "source", "reason")
+    return corpus.reject_counts(_reasons(spark, d), "source", "reason")
+
 
+@query(f"{SQL_REASONS} SELECT source, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL")
+def reject_reason_counters(spark, d):
+    return corpus.reject_reasons(_reasons(spark, d), "source", "reason")
 
-@query("SELECT source, 1 AS scanned, 1 AS accepted, 1 AS rejected FROM documents WHERE false")
+
+@query(f"{SQL_REASONS} SELECT * FROM k WHERE scanned <> accepted + rejected")
 def count_conservation(spark, d):
     """Nothing is lost between the counters."""
     return audit.unconserved(reject_counters(spark, d), "scanned", "accepted", "rejected")
 
 
-@query(r"""SELECT doc_id, trim(string_split(a, '####')[-1]) AS final, length(regexp_replace(a, '[^一-鿿]', '', 'g')) > length(a) * 0.15 AS cjk, replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS plain
-FROM (SELECT doc_id, left(text, 60) || chr(13) || chr(10) || '#### ' || doc_id || ' ' AS a FROM documents)""")
+@query(f"{SQL_REASONS} SELECT source, scanned, accepted, 0 AS rejected FROM k WHERE rejected <> 0")
+def count_conservation_violations(spark, d):
+    """The same with the rejected ones lost, so that it must fire."""
+    return audit.unconserved(reject_counters(spark, d).withColumn("rejected", F.lit(0).cast("long")), "scanned", "accepted", "rejected")
+
+
+@query(r"""SELECT doc_id, trim(string_split(a, '####')[-1], chr(32) || chr(9) || chr(10) || chr(13)) AS final, length(regexp_replace(a, '[^一-鿿]', '', 'g')) > length(a) * 0.15 AS cjk,
+sha256(replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS plain_sha256 FROM (SELECT doc_id, text || chr(13) || chr(10) || '#### ' || chr(10) || doc_id || ' ' || chr(13) || chr(10) AS a FROM documents)""")
 def answer_fields(spark, d):
-    a = F.concat(F.substring("text", 1, 60), F.lit("\r\n#### "), F.col("doc_id"), F.lit(" "))
-    return table(spark, d, "documents").select("doc_id", T.final_answer(a).alias("final"), T.mostly_cjk(a).alias("cjk"), T.plain_lines(a).alias("plain"))
+    """Of whole texts, each with a marked answer at its end that has line ends around it."""
+    a = F.concat("text", F.lit("\r\n#### \n"), F.col("doc_id"), F.lit(" \r\n"))
+    return table(spark, d, "documents").select("doc_id", T.final_answer(a).alias("final"), T.mostly_cjk(a).alias("cjk"), F.sha2(T.plain_lines(a), 256).alias("plain_sha256"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, doc_id % 3 <> 0 AS closed, doc_id % 2 = 0 AS choices, '<think>' || chr(10) || text || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN '</think>' || chr(10) ELSE '' END ||
+  'so \boxed{' || substr('ABCD', CAST(doc_id % 4 + 1 AS INT), 1) || '} or \boxed{-' || doc_id || '}' || CASE WHEN doc_id % 5 = 0 THEN ' #### 1,' || doc_id || '.5.' ELSE '' END AS raw FROM documents)
+SELECT doc_id, closed, length(CASE WHEN closed THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE substr(raw, 9) END) AS n_reasoning,
+  CASE WHEN NOT closed THEN NULL WHEN choices THEN substr('ABCD', CAST(doc_id % 4 + 1 AS INT), 1) WHEN doc_id % 5 = 0 THEN '1,' || doc_id || '.5.' ELSE '-' || doc_id END AS explicit
+FROM a JOIN documents USING (doc_id)""")
+def thinking_answers(spark, d):
+    """Texts as think blocks, a third of them not closed, before answers with choices and numbers."""
+    i = F.col("doc_id")
+    shut, marked = F.when(i % 3 != 0, "</think>\n").otherwise(""), F.when(i % 5 == 0, F.concat(F.lit(" #### 1,"), i, F.lit(".5."))).otherwise("")
+    raw = F.concat(F.lit("<think>\n"), "text", F.lit("\n"), shut, F.lit("so \\boxed{"), F.substring(F.lit("ABCD"), (i % 4 + 1).cast("int"), F.lit(1)), F.lit("} or \\boxed{-"), i, F.lit("}"), marked)
+    rows = table(spark, d, "documents").select("doc_id", T.split_thinking(raw).alias("s"))
+    return rows.select("doc_id", "s.closed", F.length("s.reasoning").alias("n_reasoning"), T.explicit_answer(F.col("s.answer"), i % 2 == 0).alias("explicit"))
 
 
 @query("""SELECT conv_id, CASE WHEN last(role ORDER BY turn) <> 'user' THEN 'last_not_user' WHEN conv_id % 2 = 0 THEN 'budget' WHEN sum(length(text)) > 8192 THEN 'too_long' END AS violation FROM conversations GROUP BY conv_id""")
@@ -607,9 +637,9 @@ def stream_round_robin(spark, d):
     return streaming.run_available(streaming.round_robin(streaming.as_stream(requests, "requests", 1), _replicas(spark, d)), "placed")
 
 
-@query("SELECT event_id AS step, value AS loss FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id AS step, value AS loss FROM events")
 def stream_log_tail(spark, d):
-    rows = table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
     at = f"{groups.shared_folder(spark)}/millrace-core/log-{streaming.uuid.uuid4().hex}"
     rows.repartition(3).write.json(at)
     return streaming.run_available(streaming.log_tail(spark, at, "step bigint, loss double"), "tail")

@@ -70,6 +70,69 @@ def test_messages(spark, content, reason):
     assert df.select(conversation.reject_reason(F.col("m"))).first()[0] == reason
 
 
+@pytest.mark.parametrize(
+    ("content", "reason", "left"),
+    [("\n<think>x</think>\nans", None, "ans"), ("\n\u00a0<think>x", "unclosed_thinking_block", None), ("\u2003<think>a</think>b</think>", None, "b</think>"), ("\x1c", "empty_message", None), ("say <think>", None, "say <think>")],
+)
+def test_think_blocks_after_blanks(spark, content, reason, left):
+    df = spark.createDataFrame([([("user", "hello"), ("assistant", content)],)], "m array<struct<role: string, content: string>>")
+    got = df.select(conversation.reject_reason(F.col("m")), F.element_at(conversation.cleaned(F.col("m")), 2)["content"]).first()
+    assert got[0] == reason and (left is None or got[1] == left)
+
+
+@pytest.mark.parametrize(("answer", "want"), [("a #### 3 #### \n12\n", "12"), ("#### \u00a05\u2003", "5"), (" none ", "none")])
+def test_final_answer(spark, answer, want):
+    assert one(spark, T.final_answer(F.lit(answer))) == want
+
+
+@pytest.mark.parametrize(
+    ("answer", "choices", "want"),
+    [(r"\boxed{A} then \boxed{C}", True, "C"), (r"\boxed{A} #### 5", False, "5"), ("#### 7", True, None), ("#### 1,200.5.", False, "1,200.5."), ("#### 12.", False, "12."), (r"\boxed{-3}", False, "-3"), (r"\boxed{B}", False, None), ("", True, None)],
+)
+def test_explicit_answer(spark, answer, choices, want):
+    assert one(spark, T.explicit_answer(F.lit(answer), F.lit(choices))) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"), [("<think>\nso\n</think>\n 4 ", ("so", "4", True)), ("<think>\n so", (" so", "", False)), ("a</think>b</think>c", ("a", "b</think>c", True)), ("plain", ("plain", "", False))]
+)
+def test_split_thinking(spark, raw, want):
+    assert tuple(one(spark, T.split_thinking(F.lit(raw)))) == want
+
+
+def test_nesting_too_deep_for_the_parser():
+    deep = "-" * 6000 + "1"
+    assert rules.arithmetic_reason(f"<<{deep}=1>>\n#### 1") == "unverifiable_math_annotation"
+    assert rules.python_reason(f"```python\nx = {deep}\n```") in (None, "python_syntax_error")
+    assert rules.python_reason("```python\nx = " + "(" * 5000 + ")" * 5000 + "\n```") == "python_syntax_error"
+    assert rules.arithmetic_reason("<<2>>\n#### 2") == "unverifiable_math_annotation"
+    assert rules.arithmetic_reason("<<1+1=3>> <<x>>\n#### 3") == "incorrect_annotated_arithmetic"
+
+
+def test_keep_first_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", 0, "w"), (None, 5, "n")], "k string, o int, v string")
+    assert sorted(r["v"] for r in corpus.keep_first(rows, "k", "o").collect()) == ["n", "y", "z"]
+    marked = corpus.keep_first_reference(rows.withColumn("n", F.lit(200)), "v", "k", "n", "o")
+    assert {r["v"]: r["same_reference_as"] for r in marked.collect()} == {"x": "y", "y": None, "z": None, "w": "z", "n": None}
+
+
+def test_reject_reasons(spark):
+    rows = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", None), ("t", "b")], "source string, reason string")
+    assert sorted(map(tuple, corpus.reject_reasons(rows, "source", "reason").collect())) == [("s", "a", 2), ("t", "b", 1)]
+
+
+def test_labelled_requests_refuse(spark, tmp_path):
+    good = {"id": "g", "input_ids": [1, 2], "max_new_tokens": 5, "expert_losses": [1.0, 2], "expert_ids": ["a", "b"]}
+    bad = [good | {"id": "  "}, good | {"id": "1", "expert_ids": "ab"}, good | {"id": "2", "expert_ids": ["b", "a"]}, good | {"id": "3", "input_ids": []}, good | {"id": "4", "expert_losses": [1.0, True]}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("\n".join(json.dumps(x) for x in [*bad, good, good | {"id": "n", "expert_ids": None}]))
+    (tmp_path / "in/none.jsonl").write_text(" \n")
+    rows, violations = readers.labelled_requests(spark, str(tmp_path / "in"), ["a", "b"])
+    assert sorted(r["id"] for r in rows.collect()) == ["g", "n"]
+    got = sorted((r["path"].rpartition("/")[2], r["line"], r["message"]) for r in violations.collect())
+    assert [x[:2] for x in got] == [("a.jsonl", i) for i in range(1, 6)] + [("none.jsonl", 0)] and [got[k][2] for k in (0, 1, 2)] == ["id is empty", "expert_ids differ", "expert_ids differ"]
+
+
 def test_sequence_comes_last(spark):
     df = spark.createDataFrame([([("assistant", "x"), ("user", "")],), ([("system", "s"), ("user", "x")],), ([],), (None,)], "m array<struct<role: string, content: string>>")
     assert [r[0] for r in df.select(conversation.reject_reason(F.col("m"))).collect()] == ["empty_message", "invalid_role_sequence", "invalid_messages", "invalid_messages"]
