@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import types
 import zlib
 
 import duckdb
@@ -473,10 +474,11 @@ def test_op2_query(spark, tmp_path):
     assert quality_classifier.sample(docs, marks.limit(0), F.lit(True))[0] == [] and quality_classifier.sample(docs.limit(0), marks, F.lit(True))[0] == []
 
 
-def test_written_needs_a_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+def test_written_needs_a_shared_folder():
+    of = lambda at: types.SimpleNamespace(conf={"spark.checkpoint.dir": at}, sparkContext=types.SimpleNamespace(master="spark://somewhere:7077"))
+    assert storage.shared_dir(of("/shared")) == "/shared"
     with pytest.raises(ValueError, match="checkpoint"):
-        storage.shared_dir(spark)
+        storage.shared_dir(of(None))
 
 
 def test_lm_base_and_distribution(spark, docs, nothing):
