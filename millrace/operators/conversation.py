@@ -73,12 +73,21 @@ def prompt_and_reference(messages: Column) -> tuple[Column, Column]:
     return F.slice(messages, 1, F.size(messages) - 1), F.element_at(messages, -1)["content"]
 
 
+def prompt_key(messages: Column) -> Column:
+    """SHA-256 of the JSON array of [role, canonical content], with a space after each comma.
+
+    All contents go through `canonical` at once, with NUL between them, which no accepted message has and which canonical text keeps.
+    """
+    joined = canonical(F.array_join(F.transform(messages, lambda m: m["content"]), "\0"))
+    contents = F.transform(F.split(joined, r"\x00", -1), F.trim)
+    quoted = lambda t: F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1)
+    each = F.zip_with(messages, contents, lambda m, t: F.concat(F.lit("["), quoted(m["role"]), F.lit(", "), quoted(t), F.lit("]")))
+    return F.when(messages.isNotNull(), sha(F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))))
+
+
 def prompt_keys(rows: DataFrame, key: str, prompt: str = "prompt") -> DataFrame:
-    """(key, prompt_hash): SHA-256 over roles and canonical contents.  Messages are exploded, so one Arrow UDF sees plain strings, and join again by key."""
-    each = rows.select(key, F.posexplode(prompt).alias("i", "m")).select(key, "i", "m.role", canonical(F.col("m.content")).alias("content"))
-    parts = F.array_sort(F.collect_list(F.struct("i", "role", "content")))
-    joined = F.to_json(F.transform(parts, lambda p: F.array(p["role"], p["content"])))
-    return each.groupBy(key).agg(sha(joined).alias("prompt_hash"))
+    """(key, prompt_hash) of each row."""
+    return rows.select(key, prompt_key(F.col(prompt)).alias("prompt_hash"))
 
 
 def request_violation(messages: Column, budget: Column, tokens: Column, most_tokens: int = 8192, most_budget: int = 2048) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import routing as R
 from millrace.functions import text as T
-from millrace.operators import audit, conversation, corpus, groups, routing, rules
+from millrace.operators import audit, conversation, corpus, groups, records, routing, rules
 from millrace.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,18 @@ def prompt_reference_split(spark, d):
     return _conversations(spark, d).where("reason IS NULL").select("conv_id", F.size(prompt).cast("long").alias("n_prompt"), reference.alias("reference"))
 
 
+@query(rf"""WITH {SQL_SEQUENCE}, k AS (SELECT *, list_transform(texts, lambda t: {sql_canonical('t')}) AS cs FROM v),
+h AS (SELECT *, sha256('[' || array_to_string(list_transform(range(1, len(cs)), lambda i: '["' || roles[i] || '", ' || to_json(cs[i]) || ']'), ', ') || ']') AS key, cs[list_position(roles, 'user')] AS initial FROM k)
+SELECT conv_id AS source_id, reason, CASE WHEN reason IS NULL THEN 'WildChat-1M:' || conv_id || ':' || left(key, 16) END AS id, 'wild:' || conv_id AS group_id, CASE WHEN reason IS NULL THEN key END AS prompt_hash,
+CASE WHEN reason IS NULL AND length(initial) >= 80 THEN 'initial:' || sha256(initial) END AS extra_group, CASE WHEN reason IS NULL THEN texts[-1] END AS reference_answer FROM (SELECT * REPLACE (CAST(conv_id AS VARCHAR) AS conv_id) FROM h)""")
+def chat_records(spark, d):
+    """Conversations as raw rows of the chat source, to records."""
+    rows = conversation.from_turns(table(spark, d, "conversations"))
+    flagged = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.lit(False).alias("redacted"), F.lit(False).alias("toxic")))
+    raw = rows.select(F.col("conv_id").cast("string").alias("conversation_hash"), flagged.alias("conversation"), F.lit("English").alias("language"), F.lit("m").alias("model"), F.lit(1).cast("long").alias("turn"), F.lit(False).alias("redacted"), F.lit(False).alias("toxic"))
+    return records.records(raw, "chat").select("source_id", "reason", "id", "group_id", "prompt_hash", "extra_group", "reference_answer")
+
+
 @query(f"SELECT doc_id, {sql_canonical('text')} AS canonical FROM documents")
 def canonical_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.canonical(F.col("text")).alias("canonical"))
