@@ -50,8 +50,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class TokenTree:
     """Sums of bytes and tokens over the units of one text.  Leaves without bytes are free."""
 
-    def __init__(self, text: bytes, sizes: np.ndarray, tokens: np.ndarray, count: Callable[[bytes], int]):
-        """count: the tokens of a unit."""
+    def __init__(self, text: bytes, sizes: np.ndarray, tokens: np.ndarray, count: Callable[[list[bytes]], list[int]]):
+        """count: the tokens of each of several units."""
         self.text, self._count, self.encoded_bytes = bytearray(text), count, 0
         self._build(sizes, tokens, 1 << max(0, (max(1, len(sizes)) - 1).bit_length()))
 
@@ -128,7 +128,8 @@ class TokenTree:
         region = bytes(self.text[begin : end + len(insert) - delete])
         starts, ends, _ = units(np.frombuffer(region, np.uint8), np.array([0, len(region)]))
         self.encoded_bytes += len(region)
-        self._replace(first, last, [(y - x, self._count(region[x:y])) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+        pieces = [region[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        self._replace(first, last, list(zip(map(len, pieces), self._count(pieces), strict=True)))
         return self.tokens
 
 
@@ -146,15 +147,18 @@ class Counter:
         self._tokenizer = t
         self._units = spans.Encoder(lambda ws: [e.ids for e in t.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)])
 
+    def counts(self, texts: list[bytes]) -> list[int]:
+        return [len(e.ids) for e in self._tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)] if texts else []
+
     def count(self, text: bytes) -> int:
-        return len(self._tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids)
+        return self.counts([text])[0]
 
     def trees(self, texts: pa.Array) -> Iterator[TokenTree]:
         data, offsets = spans.buffers(texts)
         begin, end, counts = units(data, offsets)
         tokens, sizes, raw, at = self._units.lengths(data, begin, end), end - begin, data.tobytes(), 0
         for n, x, y in zip(counts.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            yield TokenTree(raw[x:y], sizes[at : at + n], tokens[at : at + n], self.count)
+            yield TokenTree(raw[x:y], sizes[at : at + n], tokens[at : at + n], self.counts)
             at += n
 
 
