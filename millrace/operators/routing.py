@@ -89,13 +89,22 @@ def round_robin(requests: DataFrame, replicas: DataFrame, order: str, key: str)
     with an eligible replica, sorted by id; likewise its replicas.
     """
     groups = ["model_family", "expert_id"]
-    options = eligible(requests.select(key, order, *groups, "needed"), replicas.select(*groups, "pool_id", "replica_id", "max_context_tokens", "state").withColumnRenamed("expert_id", "_e")).where("expert_id = _e")
-    by_pool = options.groupBy(key, order, *groups, "pool_id").agg(F.array_sort(F.collect_list("replica_id")).alias("rs"))
-    pools = by_pool.groupBy(key, order, *groups).agg(F.array_sort(F.collect_list(F.struct("pool_id", "rs"))).alias("ps"))
+    ready = replicas.where("state = 'READY'").select(*groups, "pool_id", "replica_id", "max_context_tokens")
+    # What a request can take depends on its expert and on the smallest context that is enough, so replicas are arranged once for
+    # each context that an expert offers, and a request looks its own up; no request meets all replicas.
+    steps = ready.groupBy(*groups).agg(F.array_sort(F.collect_set("max_context_tokens")).alias("_steps"))
+    enough = ready.join(steps, groups).withColumn("_step", F.explode(F.filter("_steps", lambda s: s <= F.col("max_context_tokens")))).select(*groups, "_step", "pool_id", "replica_id")
+    pool = [*groups, "_step", "pool_id"]
+    numbered = enough.withColumn("_k", F.row_number().over(Window.partitionBy(*pool).orderBy("replica_id")) - 1)
+    sizes = enough.groupBy(*pool).agg(F.count("*").alias("_n"))
+    pools = sizes.groupBy(*groups, "_step").agg(F.array_sort(F.collect_list("pool_id")).alias("_pools"))
+    own = list(dict.fromkeys([key, order, *groups]))
+    asked = requests.select(*own, "needed").join(steps, groups).withColumn("_step", F.get(F.filter("_steps", lambda s: s >= F.col("needed")), F.lit(0)))
     turn = F.row_number().over(Window.partitionBy(*groups).orderBy(order)) - 1
-    chosen = pools.withColumn("pool", F.element_at("ps", (turn % F.size("ps") + 1).cast("int"))).select(key, order, *groups, "pool.*")
+    chosen = asked.select(*own, "_step").join(pools, [*groups, "_step"]).withColumn("pool_id", F.element_at("_pools", (turn % F.size("_pools") + 1).cast("int"))).drop("_pools")
     turn = F.row_number().over(Window.partitionBy("pool_id").orderBy(order)) - 1
-    return chosen.withColumn("replica_id", F.element_at("rs", (turn % F.size("rs") + 1).cast("int"))).select(key, *groups, "pool_id", "replica_id")
+    placed = chosen.join(sizes, pool).withColumn("_k", (turn % F.col("_n")).cast("int"))
+    return placed.join(numbered, [*pool, "_k"]).select(key, *groups, "pool_id", "replica_id")
 
 
 def registry_violations(replicas: DataFrame) -> DataFrame:
