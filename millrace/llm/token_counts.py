@@ -53,7 +53,7 @@ class TokenTree:
     def __init__(self, text: bytes, sizes: np.ndarray, tokens: np.ndarray, count: Callable[[list[bytes]], list[int]]):
         """count: the tokens of each of several units."""
         self.text, self._count, self.encoded_bytes = bytearray(text), count, 0
-        self._build(sizes, tokens, 1 << max(0, (max(1, len(sizes)) - 1).bit_length()))
+        self._build(sizes, tokens, 1 << (len(sizes) + len(sizes) // 3).bit_length())
 
     def _build(self, sizes: np.ndarray, tokens: np.ndarray, leaves: int) -> None:
         """A tree of so many leaves (a power of two) over the units, which are spread evenly."""
@@ -82,20 +82,28 @@ class TokenTree:
                 begin, at = begin + left, at + 1
         return at - self.leaves, begin
 
-    def _replace(self, first: int, last: int, units: list[tuple[int, int]]) -> None:
-        """Puts units, as bytes and tokens, in place of those of the leaves first to last."""
-        node, width = first + self.leaves, 1
+    def _room(self, first: int, last: int, units: list[tuple[int, int]]) -> tuple[int, int, list[tuple[int, int]]]:
+        """Begin and width of the leaves over which units are to be spread, and all units that are to be there; a width of 0 if even the whole tree is too full."""
+        if len(units) <= last + 1 - first:
+            return first, last + 1 - first, units
+        node, width, level, height = first + self.leaves, 1, 0, self.leaves.bit_length() - 1
         while True:
             lo = node * width - self.leaves
             if lo <= first and last < lo + width:
                 held = [(self._bytes[k], self._tokens[k]) for k in range(lo + self.leaves, lo + self.leaves + width)]
                 kept = [x for x in held[: first - lo] if x[0]] + units + [x for x in held[last + 1 - lo :] if x[0]]
-                if len(kept) <= width - width // 4:  # a quarter stays free, but for single leaves
-                    break
-            if node == 1:  # no room: twice as many leaves
-                self._build(np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), 2 * self.leaves)
-                return
-            node, width = node // 2, 2 * width
+                if len(kept) <= width - width * level // (4 * max(1, height)):  # of the whole tree a quarter stays free, of smaller subtrees less
+                    return lo, width, kept
+                if node == 1:
+                    return 0, 0, kept
+            node, width, level = node // 2, 2 * width, level + 1
+
+    def _replace(self, first: int, last: int, units: list[tuple[int, int]]) -> None:
+        """Puts units, as bytes and tokens, in place of those of the leaves first to last."""
+        lo, width, kept = self._room(first, last, units)
+        if not width:
+            self._build(np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64), 2 * self.leaves)
+            return
         spread: list[tuple[int, int]] = [(0, 0)] * width
         for k, x in enumerate(kept):
             spread[k * width // len(kept)] = x
