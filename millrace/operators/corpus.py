@@ -157,3 +157,8 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def seeded_order(rows: DataFrame, id_: str, seed: int) -> DataFrame:
     """A reproducible shuffle: by SHA-256 of seed and id."""
     return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")), 256), id_)
+
+
+def scoring_order(rows: DataFrame, *ties: str | Column, prompt: str = "input_ids", target: str = "target_ids") -> DataFrame:
+    """Rows by their number of tokens, so that those scored together are about as long; equals keep the order of `ties`."""
+    return rows.orderBy(F.size(prompt) + F.size(target), *ties)

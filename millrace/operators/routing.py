@@ -142,3 +142,28 @@ def epoch_means(train: DataFrame, valid: DataFrame, epoch: str, value: str, weig
     out = train.groupBy(epoch).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.count("*").alias("updates"), F.sum(weight).alias("samples"))
     done = valid.select(epoch).distinct().withColumn("_v", F.lit(True))
     return out.join(done, epoch, "left").withColumn("validation_recorded", F.coalesce("_v", F.lit(False))).drop("_v")
+
+
+def validation_means(batches: DataFrame, by: str = "epoch") -> DataFrame:
+    """loss, top1_accuracy and mean_routing_regret of each validation from its batches: loss (a batch's mean), top1_correct,
+    routing_regret_sum and batch_samples.  Batches count by their samples; a loss that isn't finite fails the query."""
+    finite = F.when(F.isnan("loss") | (F.abs("loss") == float("inf")), F.raise_error(F.lit("loss is not finite"))).otherwise(F.col("loss"))
+    n = F.sum("batch_samples")
+    return batches.groupBy(by).agg(
+        (F.sum(finite * F.col("batch_samples")) / n).alias("loss"), (F.sum("top1_correct") / n).alias("top1_accuracy"), (F.sum("routing_regret_sum") / n).alias("mean_routing_regret"), n.alias("samples")
+    )
+
+
+# Two runs over the same questions
+
+
+def paired_runs(a: DataFrame, b: DataFrame, *keys: str, same: tuple[str, ...] = ("prompt_sha256", "input_ids"), values: tuple[str, ...] = ("answer",)) -> DataFrame:
+    """keys, problem, and each run's values (`a_answer`, `b_answer`): null, or what makes the runs no pair.
+
+    A problem is `missing` (in a run), or the first of the columns `same` that differs.  Keys are unique in a run."""
+    side = lambda df, name: df.select(*keys, F.lit(True).alias(f"_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in (*same, *values)])
+    both = side(a, "a").join(side(b, "b"), list(keys), "full_outer")
+    problem = F.when(F.col("_a").isNull() | F.col("_b").isNull(), "missing")
+    for c in same:
+        problem = problem.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), c)
+    return both.select(*keys, problem.alias("problem"), *[f"{name}_{c}" for c in values for name in ("a", "b")])

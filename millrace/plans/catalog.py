@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import routing as R
 from millrace.functions import text as T
-from millrace.operators import audit, conversation, corpus, groups, records, routing, rules
+from millrace.operators import audit, conversation, corpus, groups, records, review, routing, rules
 from millrace.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,3 +655,146 @@ def stream_log_tail(spark, d):
     at = f"{groups.shared_folder(spark)}/millrace-core/log-{streaming.uuid.uuid4().hex}"
     rows.repartition(3).write.json(at)
     return streaming.run_available(streaming.log_tail(spark, at, "step bigint, loss double"), "tail")
+
+
+#: Documents as candidates: splits by number, strata by language; of two sources a few are drawn.
+SQL_CANDIDATES = f"""ca AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, coalesce(lang, 'unknown') AS stratum,
+  sha256('{review.REVIEW_SEED}:' || doc_id) AS priority, source IN ('src1', 'src10') AS capped FROM documents),
+cc AS (SELECT source, split, stratum, capped, count(*) AS n, CASE split WHEN 'train' THEN 4 ELSE 2 END AS cap FROM ca GROUP BY ALL),
+ct AS (SELECT *, sum(n) OVER (PARTITION BY source, split) AS total FROM cc), cx AS (SELECT *, least(total, cap) AS b, n * CAST(least(total, cap) AS DOUBLE) / total AS exact FROM ct),
+cy AS (SELECT *, row_number() OVER (PARTITION BY source, split ORDER BY exact - floor(exact) DESC, stratum) AS rk, CAST(b AS BIGINT) - sum(CAST(floor(exact) AS BIGINT)) OVER (PARTITION BY source, split) AS rest FROM cx),
+cr AS (SELECT *, row_number() OVER (PARTITION BY source, split, stratum ORDER BY priority) AS rn FROM ca),
+pool AS (SELECT cr.doc_id, cr.source, cr.split, cr.stratum FROM cr JOIN cy USING (source, split, stratum) WHERE NOT cr.capped OR rn <= CAST(floor(exact) AS BIGINT) + CASE WHEN rk <= rest THEN 1 ELSE 0 END)"""
+
+
+def _pool(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    split = F.when(i % 3 == 0, "train").when(i % 3 == 1, "valid").otherwise("test")
+    rows = table(spark, d, "documents").select("doc_id", "source", split.alias("split"), F.coalesce("lang", F.lit("unknown")).alias("stratum"), review.review_priority(i.cast("string")).alias("priority"))
+    return review.review_pool(rows, F.col("source").isin("src1", "src10"), {"train": 4, "valid": 2, "test": 2})
+
+
+@query(f"WITH {SQL_CANDIDATES} SELECT * FROM pool")
+def review_pool(spark, d):
+    return _pool(spark, d).drop("priority")
+
+
+@query(f"WITH {SQL_CANDIDATES} SELECT doc_id, pool.source, split, length(text) AS n FROM pool JOIN documents USING (doc_id)")
+def pool_with_records(spark, d):
+    records_ = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    return review.with_records(_pool(spark, d), records_, "doc_id").select("doc_id", "source", "split", "n")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'split' WHEN doc_id % 7 = 0 THEN 'group' END AS problem FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0""")
+def parent_group_audit(spark, d):
+    """Rows of which some have been given another split or group than their parent's."""
+    i = F.col("doc_id")
+    parent = table(spark, d, "documents").select("doc_id", F.col("source").alias("group_id"), F.lit("train").alias("split"))
+    rows = parent.select("doc_id", F.when(i % 7 == 0, "other").otherwise(F.col("group_id")).alias("group_id"), F.when(i % 11 == 0, "test").otherwise(F.col("split")).alias("split"))
+    return review.parent_violations(rows, parent, "doc_id")
+
+
+#: Labels as decisions; answers are equal in groups of documents of equal length.
+SQL_REVIEWED = """rv AS (SELECT d.doc_id, source, CASE WHEN l.doc_id IS NULL THEN NULL WHEN quality = 1 THEN 'PASS' ELSE 'LOW_VALUE' END AS verdict, length(text) // 50 AS a FROM documents d LEFT JOIN labels l USING (doc_id)),
+rf AS (SELECT *, CASE WHEN verdict = 'PASS' AND a >= 3 THEN min(doc_id) FILTER (WHERE verdict = 'PASS') OVER (PARTITION BY a) END AS f FROM rv),
+ro AS (SELECT *, CASE WHEN f <> doc_id THEN f END AS same_reference_as, CASE WHEN verdict IS NULL THEN 'undecided' WHEN verdict <> 'PASS' THEN 'rejected' WHEN f <> doc_id THEN 'duplicate_normalized_reference' ELSE 'kept' END AS outcome FROM rf)"""
+
+
+def _reviewed(spark, d) -> DataFrame:
+    length = F.floor(F.length("text") / 50)
+    rows = table(spark, d, "documents").select("doc_id", "source", length.cast("string").alias("answer_sha256"), (length * 40).alias("answer_length"))
+    decisions = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "PASS").otherwise("LOW_VALUE").alias("verdict"))
+    return review.reviewed(rows, decisions, "doc_id", id_="doc_id")
+
+
+@query(f"WITH {SQL_REVIEWED} SELECT doc_id, verdict, outcome, same_reference_as FROM ro")
+def review_outcomes(spark, d):
+    return _reviewed(spark, d).select("doc_id", "verdict", "outcome", "same_reference_as")
+
+
+@query(f"WITH {SQL_REVIEWED} SELECT source, CAST(count_if(verdict = 'PASS') AS BIGINT) AS passed, CAST(count_if(outcome = 'kept') AS BIGINT) AS kept, CAST(count_if(outcome = 'duplicate_normalized_reference') AS BIGINT) AS duplicates FROM ro GROUP BY source")
+def review_counts(spark, d):
+    return review.review_counts(_reviewed(spark, d))
+
+
+@query(f"WITH {SQL_REVIEWED}, rk AS (SELECT source, count_if(verdict = 'PASS') AS passed, count_if(outcome = 'kept') AS kept FROM ro WHERE doc_id % 5 <> 0 OR outcome <> 'kept' GROUP BY source), \
+rt AS (SELECT source, count_if(outcome = 'duplicate_normalized_reference') AS duplicates, count_if(verdict = 'PASS') AS all_passed FROM ro GROUP BY source) \
+SELECT source, CAST(all_passed AS BIGINT) AS passed, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(duplicates AS BIGINT) AS duplicates FROM rt LEFT JOIN rk USING (source) WHERE all_passed <> coalesce(kept, 0) + duplicates")
+def review_conservation_violations(spark, d):
+    """Every fifth kept row is lost, so that the audit must fire."""
+    lost = F.when((F.col("doc_id") % 5 == 0) & (F.col("outcome") == "kept"), "lost").otherwise(F.col("outcome"))
+    return review.lost_in_review(_reviewed(spark, d).withColumn("outcome", lost))
+
+
+@query("""SELECT doc_id, source, rn, sha256('### ' || source || ' ' || rn || chr(10) || chr(10) || 'ID: `' || doc_id || '`; split: train; prompt/target: ' || n_chars || '/' || doc_id || ' tokens.' || chr(10) || chr(10) || '**user**' || chr(10) || chr(10) || text
+ || chr(10) || chr(10) || '**reference answer**' || chr(10) || chr(10) || doc_id || chr(10) || chr(10) || '---' || chr(10)) AS page_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 5""")
+def example_pages(spark, d):
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id"), F.col("doc_id").alias("id"), "source", F.lit("train").alias("split"), F.col("n_chars").alias("prompt_tokens"), F.col("doc_id").alias("target_tokens"),
+        F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("doc_id").cast("string").alias("reference_answer"),
+    )
+    return review.examples(rows, "doc_id").select("doc_id", "source", "rn", F.sha2("markdown", 256).alias("page_sha256"))
+
+
+@query(f"""WITH {SQL_LOG} SELECT epoch, round(sum(loss * (1 + step % 4)) / sum(1 + step % 4), 6) AS loss, round(sum(step % 2) / sum(1 + step % 4), 6) AS top1_accuracy, round(sum(loss / 2) / sum(1 + step % 4), 6) AS mean_routing_regret,
+CAST(sum(1 + step % 4) AS BIGINT) AS samples FROM l GROUP BY epoch""")
+def validation_means(spark, d):
+    """Events as batches of 1 to 4 samples."""
+    rows = _log(spark, d).select("epoch", "loss", (F.lit(1) + F.col("step") % 4).alias("batch_samples"), (F.col("step") % 2).alias("top1_correct"), (F.col("loss") / 2).alias("routing_regret_sum"))
+    return routing.validation_means(rows).select("epoch", *[F.round(c, 6).alias(c) for c in ("loss", "top1_accuracy", "mean_routing_regret")], "samples")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'prompt_sha256' WHEN doc_id % 5 = 0 THEN 'input_ids' END AS problem, doc_id AS a_answer, CASE WHEN doc_id % 13 <> 0 THEN doc_id + 1 END AS b_answer FROM documents""")
+def paired_runs(spark, d):
+    """A run and another that lacks some questions and had other prompts or tokens for some."""
+    i = F.col("doc_id")
+    a = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("prompt_sha256"), F.array("n_chars").alias("input_ids"), i.alias("answer"))
+    b = a.where(i % 13 != 0).select("doc_id", F.when(i % 7 == 0, "x").otherwise(F.col("prompt_sha256")).alias("prompt_sha256"), F.when(i % 5 == 0, F.array()).otherwise(F.col("input_ids")).alias("input_ids"), (i + 1).alias("answer"))
+    return routing.paired_runs(a, b, "doc_id")
+
+
+@query(r"""WITH q AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(CASE WHEN (conv_id + turn) % 9 = 0 THEN ' ' ELSE text END ORDER BY turn) AS texts FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN roles[-1] <> 'user' THEN 'last_role' ELSE 'blank' END AS problem FROM q WHERE roles[-1] <> 'user' OR len(list_filter(texts, lambda t: trim(t) = '')) > 0""")
+def message_audit(spark, d):
+    """Conversations as prompts, some of whose messages are blank."""
+    turns = table(spark, d, "conversations").withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, " ").otherwise(F.col("text")))
+    rows = conversation.from_turns(turns)
+    return rows.select("conv_id", audit.message_violation(F.col("messages"), F.lit("x")).alias("problem")).where("problem IS NOT NULL")
+
+
+@query(f"""WITH {SQL_IDS}, t AS (SELECT conv_id, ids, CASE WHEN conv_id % 3 = 0 THEN 7 ELSE 1 END AS last FROM i)
+SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'count' WHEN last <> 1 THEN 'end' ELSE 'vocabulary' END AS problem FROM t WHERE conv_id % 5 = 0 OR last <> 1 OR list_max(ids) >= 600""")
+def token_audit(spark, d):
+    """Lengths of messages as token ids; some have a wrong count or no end."""
+    last = F.when(F.col("conv_id") % 3 == 0, 7).otherwise(1).cast("bigint")
+    n = F.size("ids") + F.when(F.col("conv_id") % 5 == 0, 1).otherwise(0)
+    return _ids(spark, d).select("conv_id", audit.token_violation(F.col("ids"), F.array(F.lit(4).cast("bigint"), last), n, F.lit(2), 600, 1).alias("problem")).where("problem IS NOT NULL")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(text, ' \n\t\r') AS a, {SQL_WORDS.format('text')} AS n FROM documents), r AS (SELECT doc_id, {SQL_GENERAL} AS reason FROM t) SELECT doc_id, reason FROM r WHERE reason IS NOT NULL""")
+def exported_rule_audit(spark, d):
+    """All documents as an export, of which those that a general rule refuses break it."""
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.lit("none").alias("source"), F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"))).alias("messages"), F.col("text").alias("reference_answer"), F.lit(1).alias("prompt_tokens"),
+        words(F.col("text")).alias("target_tokens"), F.struct(F.lit("English").alias("language"), F.lit("python").alias("code_language")).alias("metadata"),
+    )
+    return rules.still_failing(rows).select("doc_id", "reason")
+
+
+@query(f"WITH {SQL_VECTORS} SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN 'missing' WHEN vec_id % 9 = 0 THEN 'tokens_differ' WHEN vec_id % 11 = 0 THEN 'token_count' WHEN v[1] < 0 THEN 'loss' ELSE 'known' END AS state FROM e")
+def stream_cached_scores(spark, d):
+    """Requests as a stream, met with a cache that lacks every fourth and holds some that are not theirs."""
+    rows = _vectors(spark, d)
+    i = F.col("vec_id")
+    sha = F.sha2(i.cast("string"), 256)
+    requests = streaming.as_stream(rows.select(i.alias("id"), sha.alias("tokens_sha256"), F.lit(5).alias("target_tokens")), "asked")
+    cache = rows.where(i % 4 != 0).select(i.alias("id"), F.when(i % 9 == 0, "x").otherwise(sha).alias("tokens_sha256"), F.when(i % 11 == 0, 6).otherwise(5).alias("target_tokens"), F.get("v", F.lit(0)).alias("mean_target_nll"))
+    return streaming.run_available(streaming.checked_against_cache(requests, cache), "checked").select("id", "state")
+
+
+@query("SELECT event_id AS id, user_id + event_id % 7 AS tokens FROM events")
+def scoring_order(spark, d):
+    """By length: arrays of as many tokens as a user's number, and of up to six."""
+    of = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), of(F.col("user_id")).alias("input_ids"), of(F.col("event_id") % 7).alias("target_ids"))
+    return corpus.scoring_order(rows, "id").select("id", (F.size("input_ids") + F.size("target_ids")).cast("long").alias("tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,9 @@ SCHEMAS = {
 }
 
 
+SPLIT_ROW = "id string, source string, source_id string, group_id string, prompt_hash string, split string, input_ids array<bigint>, target_ids array<bigint>, max_new_tokens bigint"
+
+
 def parquet(spark: SparkSession, path: str, kind: str, glob: str = "*.parquet", limit: int = 0) -> DataFrame:
     """A Parquet source with _path and _row, its order; limit 0 is no limit."""
     rows = spark.read.schema(SCHEMAS[kind]).option("pathGlobFilter", glob).parquet(path)
@@ -39,6 +43,25 @@ def ordinal(rows: DataFrame, path: str = "_path", row: str = "_row") -> DataFram
     return rows.join(F.broadcast(before), path).withColumn("ordinal", F.col(row) + F.col("_before")).drop("_before")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 0) and value of each line.  Files are read in blocks; lines are numbered within theirs, and the counts of the
+    blocks before (one row a block) come on top, so that a large file is never one value."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    sizes = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("path", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    rn = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_at"))
+    return rows.withColumn("_rn", rn).join(starts, ["path", "_block"]).select("path", (F.col("_rn") - 1 + F.col("_before")).alias("line"), "value")
+
+
+def json_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A JSONL source with path and line (from 0, blank lines counted but left out); a line that isn't JSON fails the read."""
+    lines = numbered_lines(spark, path).where(F.length(F.trim("value")) > 0)
+    return lines.select("path", "line", F.from_json("value", SCHEMAS[kind], {"mode": "FAILFAST"}).alias("r")).select("path", "line", "r.*")
+
+
 def json_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A JSONL source; blank lines are skipped, and one that isn't JSON fails the read."""
     return spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path)
@@ -54,8 +77,8 @@ def benchmark(spark: SparkSession, root: str, more: str | None = None) -> DataFr
 
 def labelled_requests(spark: SparkSession, path: str, experts: list[str], most_tokens: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(rows, violations) of a labelled JSONL file.  Types are strict: true and 1.0 are no integers.  A violation has path, line and message."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n", -1)).alias("i", "value"))
-    v = lines.where(F.length(F.trim("value")) > 0).select("path", (F.col("i") + 1).alias("line"), F.try_parse_json("value").alias("v"))
+    lines = numbered_lines(spark, path)
+    v = lines.where(F.length(F.trim("value")) > 0).select("path", (F.col("line") + 1).alias("line"), F.try_parse_json("value").alias("v"))
     kind = lambda p: F.schema_of_variant(F.try_variant_get("v", p, "variant"))
     ids = F.try_variant_get("v", "$.input_ids", "array<bigint>")
     losses = F.try_variant_get("v", "$.expert_losses", "array<double>")
@@ -79,6 +102,18 @@ def labelled_requests(spark: SparkSession, path: str, experts: list[str], most_t
     return checked.where("message IS NULL").drop("message", "path", "line"), checked.where("message IS NOT NULL").select("path", "line", "message").unionByName(empty)
 
 
+def split_rows(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations) of the files train, valid and test.jsonl, with the nine keys that training needs.
+
+    Ids are unique over all files, no group is in two of them, and a row's split is its file's; a violation has problem and name."""
+    rows = reduce(DataFrame.unionByName, [spark.read.schema(SPLIT_ROW).option("mode", "FAILFAST").json(f"{root}/{s}.jsonl").withColumn("_file", F.lit(s)) for s in ("train", "valid", "test")])
+    named = lambda df, problem, name: df.select(F.lit(problem).alias("problem"), F.col(name).alias("name"))
+    twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    crossing = rows.groupBy("group_id").agg(F.count_distinct("_file").alias("n")).where("n > 1")
+    other = rows.where(~F.col("split").eqNullSafe(F.col("_file")))
+    return rows.drop("_file"), named(twice, "id_repeated", "id").unionByName(named(crossing, "group_crosses", "group_id")).unionByName(named(other, "split", "id"))
+
+
 def complete_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files that are still being written: what follows the last line end is left out; a broken line before it stays, for the parser to refuse."""
     whole = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))

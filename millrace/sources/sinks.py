@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,28 @@ def csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def example_files(rows: DataFrame, path: str, by: str = "source") -> None:
+    """Writes examples (of `review.examples`, a few a source) as `samples.md` and `samples.jsonl` folders of one file each."""
+    rows.coalesce(1).sortWithinPartitions(by, "rn").select("markdown").write.mode("errorifexists").text(f"{path}/samples.md")
+    rows.coalesce(1).sortWithinPartitions(by, "rn").drop("markdown", "rn").write.mode("errorifexists").json(f"{path}/samples.jsonl")
+
+
+def require_identity(spark: SparkSession, path: str, identity: dict) -> bool:
+    """Binds a folder of cached results to what they were made from.  The first call writes the identity and returns False; later
+    calls return True, or raise where theirs is another."""
+    text = json.dumps(identity, ensure_ascii=False, sort_keys=True)
+    row = spark.createDataFrame([(text,)], "value string")
+    try:
+        row.coalesce(1).write.mode("errorifexists").text(f"{path}/identity")
+        return False
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+    if [r["value"] for r in spark.read.text(f"{path}/identity").limit(2).collect()] != [text]:
+        raise ValueError(f"{path} holds results of other sources or models")
+    return True
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of each file below."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

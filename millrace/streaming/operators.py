@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from millrace.operators.groups import cut, shared_folder
+from millrace.sources.readers import complete_lines
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -56,6 +57,45 @@ def unpaired(scores: dict[str, DataFrame], paired: DataFrame, time: str = "ts")
     return reduce(DataFrame.unionByName, rows).join(paired.select("id"), "id", "left_anti").select("expert_id", "id", "loss", time)
 
 
+def checked_against_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests (id, tokens_sha256, target_tokens; a stream or a table) with state and loss from an expert's cache (a table).
+
+    state: `missing` (to be scored), `known` (with its loss), or why what is cached can't be the request's: `tokens_differ`,
+    `token_count` or `loss`.  So a known id is never scored again, and never used unchecked."""
+    c = cache.select("id", F.col("tokens_sha256").alias("_sha"), F.col("target_tokens").alias("_n"), F.col("mean_target_nll").alias("_loss"), F.lit(True).alias("_there"))
+    bad = F.col("_loss").isNull() | F.isnan("_loss") | (F.col("_loss") < 0) | (F.col("_loss") == float("inf"))
+    state = (
+        F.when(F.col("_there").isNull(), "missing").when(~F.col("_sha").eqNullSafe(F.col("tokens_sha256")), "tokens_differ")
+        .when(~F.col("_n").eqNullSafe(F.col("target_tokens")), "token_count").when(bad, "loss").otherwise("known")
+    )
+    joined = requests.join(c, "id", "left").withColumn("state", state)
+    return joined.withColumn("loss", F.when(F.col("state") == "known", F.col("_loss"))).drop("_sha", "_n", "_loss", "_there")
+
+
+def response_violations(asked: DataFrame, answered: DataFrame, expert: str, gpu: str) -> DataFrame:
+    """(place, problem) of an expert's answer to a window.
+
+    asked: place, id, target_tokens; answered: place, id, target_tokens, mean_target_nll, expert_id, gpu.  The same ids come in the
+    same places, from the expert asked, with its number of tokens and a finite loss of 0 or more."""
+    a = answered.select("place", F.col("id").alias("_id"), F.col("target_tokens").alias("_n"), F.col("mean_target_nll").alias("_loss"), "expert_id", "gpu", F.lit(True).alias("_there"))
+    both = asked.select("place", "id", "target_tokens", F.lit(True).alias("_asked")).join(a, "place", "full_outer")
+    bad = F.col("_loss").isNull() | F.isnan("_loss") | (F.col("_loss") < 0) | (F.col("_loss") == float("inf"))
+    problem = (
+        F.when(F.col("_there").isNull() | F.col("_asked").isNull() | ~F.col("id").eqNullSafe(F.col("_id")), "ids")
+        .when(~F.col("expert_id").eqNullSafe(F.lit(expert)) | ~F.col("gpu").cast("string").eqNullSafe(F.lit(gpu)), "identity")
+        .when(bad | ~F.col("_n").eqNullSafe(F.col("target_tokens")), "loss")
+    )
+    return both.select("place", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def window_violations(rows: DataFrame, window: str = "window", most: int = 64) -> DataFrame:
+    """(window, problem) of windows with more than `most` rows or with an id twice.  An empty window has no row, so it can't be here."""
+    n, ids = F.count("*"), F.count_distinct("id")
+    counted = rows.groupBy(window).agg(n.alias("_n"), ids.alias("_ids"))
+    problem = F.when(F.col("_n") > most, "size").when(F.col("_ids") < F.col("_n"), "id_repeated")
+    return counted.select(window, problem.alias("problem")).where("problem IS NOT NULL")
+
+
 PLACED = "id long, model_family string, expert_id string, pool_id string, replica_id string"
 
 
@@ -95,19 +135,38 @@ def log_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, snapshots: DataFrame, path: str) -> None:
-    """Appends whole registry snapshots (epoch, replicas) as partitions; a batch that holds an epoch not above the newest raises.
-
-    For foreachBatch; a batch that is tried again after its epochs were written is refused, not doubled."""
-    try:
-        newest = spark.read.parquet(path).agg(F.max("epoch")).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        newest = 0
-    first = snapshots.agg(F.min("epoch")).first()[0]
-    if first is not None and first <= (newest or 0):
+    """Publishes whole registry snapshots (epoch, replicas), each a folder `epoch=N` that appears by a rename.
+
+    Readers see an epoch whole or not at all.  Epochs must increase: a batch that holds one not above the newest raises, and so does
+    the later of two writers of one epoch, whose rename finds it there.  For foreachBatch; a batch that is tried again after its
+    epochs were published is refused, not doubled."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    fs, files = root.getFileSystem(conf), None
+    there = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    newest = max((int(n.removeprefix("epoch=")) for n in there if n.startswith("epoch=")), default=0)
+    kept = cut(snapshots, "snapshots")  # computed once, and the same rows for each epoch
+    epochs = sorted(r["epoch"] for r in kept.select("epoch").distinct().collect())  # epochs of one batch
+    if epochs and epochs[0] <= newest:
         raise ValueError("registry epoch must increase")
-    snapshots.write.mode("append").partitionBy("epoch").parquet(path)
+    for epoch in epochs:
+        hidden = f"{path}/_{uuid.uuid4().hex}"
+        kept.where(F.col("epoch") == epoch).drop("epoch").write.parquet(hidden)
+        files = files or jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        place = lambda p: fs.makeQualified(jvm.org.apache.hadoop.fs.Path(p))
+        files.rename(place(hidden), place(f"{path}/epoch={epoch}"), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+
+
+def growing_lines(spark: SparkSession, path: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lines, seen): whole lines of files that grow in place, from where the last call's `seen` (path, lines) ended.
+
+    A file stream takes a file once, so it can't follow one that grows; this is called again instead, with what was seen stored in between."""
+    lines = complete_lines(spark, path)
+    if seen is not None:
+        lines = lines.join(seen.select("path", F.col("lines").alias("_seen")), "path", "left").where(F.col("line") >= F.coalesce("_seen", F.lit(0))).drop("_seen")
+    now = complete_lines(spark, path).groupBy("path").agg((F.max("line") + 1).alias("lines"))
+    return lines, now
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -119,6 +178,15 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def run_resumed(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is new since the last run with this path, which keeps its progress and results, and reads all results.
+
+    A run that is lost goes on from its last whole batch; the sink takes a batch once."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def as_stream(rows: DataFrame, name: str, files: int = 3) -> DataFrame:
     """A stream over a table's rows, dealt to files and taken one file a batch."""
     written = cut(rows.repartition(files), name)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import routing as R
 from millrace.functions import text as T
-from millrace.operators import audit, conversation, corpus, groups, records, routing, rules
+from millrace.operators import audit, conversation, corpus, groups, records, review, routing, rules
 from millrace.sources import readers, sinks
 from millrace.streaming import operators as streaming
 
@@ -332,3 +332,126 @@ def test_unpaired_has_late_partners(spark):
     assert [(r["id"], r["expert_losses"]) for r in paired.collect()] == [(1, [0.5, 0.25])]
     got = streaming.unpaired(scores, paired).collect()
     assert sorted((r["expert_id"], r["id"], r["loss"]) for r in got) == [("a", 2, 1.0), ("a", 3, 2.0), ("a", 4, 1.5), ("b", 2, 3.0)]
+
+
+def test_starter_quotas_and_pool(spark):
+    cases = [("WildChat-1M", "train", 20_000), ("WildChat-1M", "test", 1112), ("gsm8k", "valid", 278), ("none", "train", None)]
+    df = spark.createDataFrame(cases, "source string, split string, want int")
+    assert all(r["got"] == r["want"] for r in df.select("want", review.starter_quota(F.col("source"), F.col("split")).alias("got")).collect())
+    rows = [("WildChat-1M", "train", "a" if k < 6 else "b", f"{k:02}") for k in range(9)] + [("gsm8k", "train", "a", f"{k:02}") for k in range(9)] + [(None, "test", None, "00")]
+    got = review.review_pool(spark.createDataFrame(rows, "source string, split string, stratum string, priority string"), caps={"train": 3, "valid": 1, "test": 1}).collect()
+    assert sorted(r["priority"] for r in got if r["source"] == "WildChat-1M") == ["00", "01", "06"]
+    assert len([r for r in got if r["source"] == "gsm8k"]) == 9 and len([r for r in got if r["source"] is None]) == 1
+
+
+def test_review_keeps_the_first_reference(spark, tmp_path):
+    pool = spark.createDataFrame([(k, "s", h, n, k) for k, (h, n) in enumerate([("x", 200), ("x", 200), ("y", 10), ("y", 10), ("x", 200), ("z", 200)])], "id long, source string, answer_sha256 string, answer_length int, place long")
+    decisions = spark.createDataFrame([(0, "LOW_VALUE"), (1, "PASS"), (2, "PASS"), (3, "PASS"), (4, "PASS")], "id long, verdict string")
+    rows = review.reviewed(pool, decisions, "place")
+    assert [r["outcome"] for r in rows.orderBy("id").collect()] == ["rejected", "kept", "kept", "kept", "duplicate_normalized_reference", "undecided"]
+    assert [tuple(r) for r in review.review_counts(rows).collect()] == [("s", 4, 3, 1)] and review.lost_in_review(rows).isEmpty()
+    page = rows.select("id", "source", "place", F.lit("train").alias("split"), F.lit(1).alias("prompt_tokens"), F.lit(2).alias("target_tokens"), F.expr("array(named_struct('role', 'user', 'content', 'q'))").alias("messages"), F.lit("a").alias("reference_answer"))
+    sinks.example_files(review.examples(page, "place"), str(tmp_path / "out"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out/samples.md"), wholetext=True).collect())
+    assert text.count("### s ") == 5 and "**user**\n\nq\n\n**reference answer**\n\na" in text and spark.read.json(str(tmp_path / "out/samples.jsonl")).count() == 5
+
+
+def test_lines_of_blocks_and_json_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"question": "q" * (k % 50), "answer": str(k)}) if k % 7 else "" for k in range(2000)]
+    (tmp_path / "in/a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "in/b.jsonl").write_text("\n".join(lines[:10]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.json_rows(spark, str(tmp_path / "in"), "math").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(r["line"] == int(r["answer"]) for r in got)
+    assert len(got) == sum(map(bool, lines)) + sum(map(bool, lines[:10]))
+    (tmp_path / "in/c.jsonl").write_text("{\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        readers.json_rows(spark, str(tmp_path / "in"), "math").collect()
+
+
+def test_parquet_scans(spark, tmp_path):
+    for name, n in (("train-1", 3), ("train-2", 2), ("test-1", 2)):
+        spark.createDataFrame([(f"{name}/{k}", str(k)) for k in range(n)], readers.SCHEMAS["math"]).coalesce(1).write.parquet(f"{tmp_path}/w/{name}")
+        next((tmp_path / "w" / name).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    rows = readers.parquet(spark, str(tmp_path / "*.parquet"), "math", "train-*.parquet")
+    got = {r["question"]: r["ordinal"] for r in readers.ordinal(rows).collect()}
+    assert got == {"train-1/0": 0, "train-1/1": 1, "train-1/2": 2, "train-2/0": 3, "train-2/1": 4}
+    assert [r["question"] for r in readers.parquet(spark, str(tmp_path / "*.parquet"), "math", "train-*.parquet", 4).collect()] == ["train-1/0", "train-1/1", "train-1/2", "train-2/0"]
+    (tmp_path / "more.jsonl").write_text('{"question": "x"}\n{"question": ""}\n{"question": "test-1/0"}\n')
+    assert sorted(r["question"] for r in readers.benchmark(spark, str(tmp_path / "*.parquet"), str(tmp_path / "more.jsonl")).collect()) == ["test-1/0", "test-1/1", "x"]
+    keys = spark.createDataFrame([("train-1/2",), ("none",)], "question string")
+    found, lost = readers.wanted(readers.ordinal(rows), keys, "question")
+    assert [r["ordinal"] for r in found.collect()] == [2] and [r["question"] for r in lost.collect()] == ["none"]
+
+
+def test_split_files_and_cached_scores(spark, tmp_path):
+    row = lambda id_, group, split: json.dumps({"id": id_, "group_id": group, "split": split, "input_ids": [1], "reference_answer": "left out"})
+    (tmp_path / "train.jsonl").write_text(row("a", "g", "train") + "\n" + row("b", "h", "valid"))
+    (tmp_path / "valid.jsonl").write_text(row("c", "g", "valid"))
+    (tmp_path / "test.jsonl").write_text(row("a", "k", "test"))
+    rows, wrong = readers.split_rows(spark, str(tmp_path))
+    assert len(rows.columns) == 9 and rows.count() == 4
+    assert sorted(tuple(r) for r in wrong.collect()) == [("group_crosses", "g"), ("id_repeated", "a"), ("split", "b")]
+    (tmp_path / "score.jsonl").write_text("\n".join(json.dumps({"id": i, "expert_id": e}) for i, e in (("a", "x"), ("a", "x"), ("b", "y"))))
+    _, wrong = readers.cached_scores(spark, str(tmp_path / "score.jsonl"), "x")
+    assert sorted(tuple(r) for r in wrong.collect()) == [("a", "repeated"), ("b", "expert")]
+
+
+def test_registry_epochs_appear_whole(spark, tmp_path):
+    at, snapshot = str(tmp_path / "reg"), lambda *epochs: spark.createDataFrame([(e, "m", "a", "p", f"r{e}", "u", 10, "READY", "v1") for e in epochs], readers.SCHEMAS["replica"])
+    streaming.publish(spark, snapshot(1, 2), at)
+    streaming.publish(spark, snapshot(5), at)
+    assert sorted((r["epoch"], r["replica_id"]) for r in spark.read.parquet(at).collect()) == [(1, "r1"), (2, "r2"), (5, "r5")]
+    for late in (5, 4):
+        with pytest.raises(ValueError, match="increase"):
+            streaming.publish(spark, snapshot(late), at)
+    streaming.publish(spark, snapshot(), at)
+    assert not [p for p in (tmp_path / "reg").iterdir() if p.name.startswith("_")]
+
+
+def test_cache_responses_and_windows(spark):
+    asked = spark.createDataFrame([(0, "a", "t", 2), (1, "b", "t", 2), (2, "c", "t", 2), (3, "d", "t", 2), (4, "e", "t", 2)], "place int, id string, tokens_sha256 string, target_tokens int")
+    cache = spark.createDataFrame([("a", "t", 2, 0.5), ("b", "u", 2, 0.5), ("c", "t", 3, 0.5), ("d", "t", 2, float("nan"))], "id string, tokens_sha256 string, target_tokens int, mean_target_nll double")
+    assert [(r["state"], r["loss"]) for r in streaming.checked_against_cache(asked, cache).orderBy("place").collect()] == [("known", 0.5), ("tokens_differ", None), ("token_count", None), ("loss", None), ("missing", None)]
+    answer = [(0, "a", 2, 0.5, "x", "1"), (1, "c", 2, 0.5, "x", "1"), (2, "c", 2, 0.5, "y", "1"), (3, "d", 2, -0.5, "x", "1"), (5, "f", 2, 0.5, "x", "1")]
+    answered = spark.createDataFrame(answer, "place int, id string, target_tokens int, mean_target_nll double, expert_id string, gpu string")
+    got = streaming.response_violations(asked, answered, "x", "1").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "ids"), (2, "identity"), (3, "loss"), (4, "ids"), (5, "ids")]
+    rows = spark.createDataFrame([(0, "a"), (0, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c")], "window int, id string")
+    assert sorted(tuple(r) for r in streaming.window_violations(rows, most=2).collect()) == [(0, "id_repeated"), (2, "size")]
+
+
+def test_streams_resume_and_logs_grow(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/1.json").write_text('{"step": 1}\n')
+    tail = lambda: streaming.log_tail(spark, str(tmp_path / "log"), "step bigint")
+    assert streaming.run_resumed(tail(), str(tmp_path / "kept")).count() == 1
+    (tmp_path / "log/2.json").write_text('{"step": 2}\n')
+    assert sorted(r["step"] for r in streaming.run_resumed(tail(), str(tmp_path / "kept")).collect()) == [1, 2]
+    assert sorted(r["step"] for r in streaming.run_resumed(tail(), str(tmp_path / "kept")).collect()) == [1, 2]
+    grows = tmp_path / "grows.log"
+    grows.write_text("a\nb\nc")
+    lines, seen = streaming.growing_lines(spark, str(grows))
+    assert [r["value"] for r in lines.orderBy("line").collect()] == ["a", "b"]
+    seen = spark.createDataFrame(seen.collect(), seen.schema)
+    grows.write_text("a\nb\ncd\n")
+    lines, _ = streaming.growing_lines(spark, str(grows), seen)
+    assert [r["value"] for r in lines.collect()] == ["cd"]
+
+
+def test_identity_of_a_cache(spark, tmp_path):
+    assert not sinks.require_identity(spark, str(tmp_path / "c"), {"model": "x", "files": ["é"]})
+    assert sinks.require_identity(spark, str(tmp_path / "c"), {"files": ["é"], "model": "x"})
+    with pytest.raises(ValueError, match="other sources"):
+        sinks.require_identity(spark, str(tmp_path / "c"), {"model": "y", "files": ["é"]})
+
+
+def test_seeded_order_is_reproducible(spark):
+    ids = [r["id"] for r in corpus.seeded_order(spark.range(50), "id", 1).collect()]
+    assert ids == [r["id"] for r in corpus.seeded_order(spark.range(50).repartition(7), "id", 1).collect()] and ids != list(range(50))
+    assert sorted(ids) == list(range(50)) and ids != [r["id"] for r in corpus.seeded_order(spark.range(50), "id", 2).collect()]
