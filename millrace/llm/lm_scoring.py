@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from millrace.llm.storage import written
 
 HEAD, KNOWN, CLASSES, HIDDEN, DIM = 2048, 1 << 16, 48, 24, 16
 SAMPLE, SAMPLE_BYTES, LANES, STEPS, RATE, SEED = 1200, 1 << 15, 48, 16, 0.01, 11
-WINDOW, CHUNK = 256, 3 << 20
+WINDOW, CHUNK = 128, 8 << 20
 SHARD, WIDE, PIECE, SLICE = 1 << 20, 256, 1024, 4096  # tokens a copy trains on, its lanes, tokens a piece, parameters a row
 END = -1  # the key of a document's end
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,76 +91,112 @@ class Model:
     log_rest: float  # natural log of Z
     p: dict[str, np.ndarray]
 
+    @cached_property
+    def _begins(self) -> np.ndarray:
+        """Of each value of a key's first 18 bits the place of the first known key that is no smaller."""
+        return np.minimum(np.searchsorted(self.known, np.arange(-1 << 17, 1 << 17) << 46), len(self.known) - 1)
+
     def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word its number in the head (rest for others) and its count (-1: not among the known)."""
-        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        at = self._begins[(words >> 46) + (1 << 17)]
+        left = np.flatnonzero(self.known[at] < words)
+        while len(left):  # on to the next key, as long as it may be the one
+            left = left[at[left] < len(self.known) - 1]
+            at[left] += 1
+            left = left[self.known[at[left]] < words[left]]
         hit = self.known[at] == words
         return np.where(hit, self.known_head[at], self.rest), np.where(hit, self.known_c[at], -1)
 
-    def _gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = self.p["U"].shape[0]
-        a = h @ self.p["U"]
-        z = 1 / (1 + np.exp(-(x[:, :n] + a[:, :n])))
-        r = 1 / (1 + np.exp(-(x[:, n : 2 * n] + a[:, n : 2 * n])))
-        c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-        return z, r, c, a[:, 2 * n :]
-
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs of the head words' probabilities, and of rest's class, after the states."""
         out = np.empty(len(target), np.float64)
+        wide = _may_overflow(self.p["C"], self.p["c"]), _may_overflow(self.p["W"], self.p["w"])
+        kind = self.class_of.astype(np.int16 if len(self.first) < 1 << 15 else np.int64)  # short ones sort faster
+        last = np.append(self.first[1:], self.rest)
         for at in range(0, len(target), 1 << 15):
             h, w = states[at : at + (1 << 15)], target[at : at + (1 << 15)]
-            order = np.argsort(self.class_of[w].astype(np.int16 if len(self.first) < 1 << 15 else np.int64), kind="stable")  # short ones sort faster
+            order = np.argsort(kind[w], kind="stable")
             h, w = h[order], w[order]
-            k, rows = self.class_of[w], np.arange(len(w))
-            s = h @ self.p["C"] + self.p["c"]
-            np.minimum(s, 60, out=s)
+            k, rows = kind[w], np.arange(len(w))
+            s = h @ self.p["C"]
+            s += self.p["c"]
+            if wide[0]:
+                np.minimum(s, 60, out=s)
             own = s[rows, k]
-            lp = (own - np.log(np.exp(s, out=s).sum(1))).astype(np.float64)
+            lp = (own - np.log(_sums(np.exp(s, out=s)))).astype(np.float64)
             bounds = np.searchsorted(k, np.arange(len(self.first) + 1))
             for c in np.flatnonzero(np.diff(bounds)).tolist():
-                i = slice(bounds[c], bounds[c + 1])
-                lo, hi = self.first[c], self.first[c + 1] if c + 1 < len(self.first) else self.rest
+                i, lo, hi = slice(bounds[c], bounds[c + 1]), self.first[c], last[c]
                 if hi - lo > 1:
-                    t = np.minimum(h[i] @ self.p["W"][:, lo:hi] + self.p["w"][lo:hi], 60)
+                    t = h[i] @ self.p["W"][:, lo:hi]
+                    t += self.p["w"][lo:hi]
+                    if wide[1]:
+                        np.minimum(t, 60, out=t)
                     own = t[rows[: len(t)], w[i] - lo]
-                    lp[i] += own - np.log(np.exp(t, out=t).sum(1))
+                    lp[i] += own - np.log(_sums(np.exp(t, out=t)))
             out[at + order] = lp
         return out
 
     def score(self, numbers: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
         """Of each document the sum of `log_probs` over its words and its end."""
-        table = (self.p["E"] @ self.p["X"] + self.p["x"]).astype(np.float32)
-        n = len(counts)
+        n, hidden = len(counts), self.p["U"].shape[0]
+        # What a word adds to each gate, and what the state does; those of the two sigmoids with the sign that exp needs.
+        inputs = self.p["E"] @ self.p["X"] + self.p["x"]
+        parts = [(sign, slice(k * hidden, (k + 1) * hidden)) for k, sign in enumerate((-1, -1, 1))]
+        tables = [np.ascontiguousarray(sign * inputs[:, i], np.float32) for sign, i in parts]
+        turns = [np.ascontiguousarray(sign * self.p["U"][:, i], np.float32) for sign, i in parts]
         order = np.argsort(-counts, kind="stable")
         length = counts[order] + 1
-        start = (np.cumsum(counts) - counts)[order]
-        h, total = np.zeros((n, self.p["U"].shape[0]), np.float32), np.zeros(n)
-        padded = np.append(numbers, self.end)
-        last = np.full(n, self.end)  # the input of the next step: begins like after an end
+        stream = np.insert(numbers, np.cumsum(counts), self.end)  # each document with its end
+        start = (np.cumsum(counts + 1) - counts - 1)[order]
+        h, total = np.zeros((n, hidden), np.float32), np.zeros(n)
+        before = np.full(n, self.end)  # the input of the next step: begins like after an end
+        room = [np.empty((n, hidden), np.float32) for _ in range(4)]
         for t0 in range(0, int(length.max(initial=0)), window):
-            live = int(np.searchsorted(-length, -t0, "left"))
-            steps = min(window, int(length[0]) - t0)
-            at = t0 + np.arange(steps)
-            inside = at[None, :] < length[:live, None] - 1
-            target = np.where(inside, padded[np.where(inside, start[:live, None] + at[None, :], len(numbers))], self.end)
-            states = np.empty((live, steps, h.shape[1]), np.float32)
-            before = np.concatenate([last[:live, None], target[:, :-1]], 1)
-            own = h[:live]
-            for t in range(steps):
-                run = int(np.searchsorted(-length[:live], -(t0 + t), "left"))
-                z, _, c, _ = self._gates(table[before[:run, t]], own[:run])
-                own[:run] += z * (c - own[:run])
-                states[:run, t] = own[:run]
-            last[:live] = target[:, -1]
-            valid = at[None, :] < length[:live, None]
-            lp = self.log_probs(states[valid], target[valid])
-            total[:live] += spans.per_text(lp, valid.sum(1))
+            at = np.arange(t0, min(t0 + window, int(length[0])))
+            runs = np.searchsorted(-length, -at, "left")  # documents that have a token there: the first ones
+            edges = np.append(0, np.cumsum(runs)).tolist()
+            states, target = np.empty((edges[-1], hidden), np.float32), np.empty(edges[-1], np.int64)
+            for t, run, lo, hi in zip(at.tolist(), runs.tolist(), edges[:-1], edges[1:], strict=True):
+                own, given = h[:run], before[:run]
+                z, r, c, x = (a[:run] for a in room)
+                for gate, table, turn in ((z, tables[0], turns[0]), (r, tables[1], turns[1])):
+                    np.matmul(own, turn, out=gate)
+                    gate += table.take(given, 0, out=x, mode="clip")
+                    np.exp(gate, out=gate)
+                    gate += 1
+                np.matmul(own, turns[2], out=c)
+                c /= r
+                c += tables[2].take(given, 0, out=x, mode="clip")
+                np.tanh(c, out=c)
+                c -= own
+                c /= z
+                own += c
+                states[lo:hi] = own
+                given[:] = stream[start[:run] + t]
+                target[lo:hi] = given
+            lp = self.log_probs(states, target)
+            for run, lo, hi in zip(runs.tolist(), edges[:-1], edges[1:], strict=True):
+                total[:run] += lp[lo:hi]
         out = np.empty(n)
         out[order] = total
         return out
 
 
+def _may_overflow(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether states, which lie between -1 and 1 (or a few such units for others), may lead to sums whose exp is too large."""
+    return bool((4 * np.abs(weights).sum(0) + bias).max(initial=0) > 60)
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    return a @ _ones(a.shape[1])
+
+
+@lru_cache(256)
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
 def build(counts: DataFrame, head: int | None = None, known: int = KNOWN, classes: int | None = None, hidden: int = HIDDEN, dim: int = DIM, seed: int = SEED) -> Model:
     """An untrained model: the network's output is the unigram distribution."""
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -231,67 +268,118 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
     kind = m.class_of.astype(np.int16 if len(m.first) < 1 << 15 else np.int64)  # short ones sort faster
     last_word = np.append(m.first[1:], m.rest)
     shape = (min(steps, length), lanes, n)
-    prior, zs, rs, cs, us, out = (np.empty(shape, np.float32) for _ in range(6))
-    into, dx, du = np.empty(shape, np.float32), np.empty((*shape[:2], 3 * n), np.float32), np.empty((*shape[:2], 3 * n), np.float32)
+    # The gates lie one behind the other in arrays without gaps: update, reset, and what they let in.
+    prior, cs, us, out, into = (np.empty(shape, np.float32) for _ in range(5))
+    gates, dx = np.empty((shape[0], 2, lanes, n), np.float32), np.empty((3, *shape), np.float32)
+    split = lambda flat: np.ascontiguousarray(flat.reshape(-1, 3, n).swapaxes(0, 1))
     h, losses, windows = np.zeros((lanes, n), np.float32), [], range(0, length, steps)
     for step, t0 in enumerate(windows):
         inputs, ok = before[:, t0 : t0 + steps].T, valid[:, t0 : t0 + steps].T
         goes_on = (~begins[:, t0 : t0 + steps].T).astype(np.float32)[:, :, None]
         k = len(inputs)
-        embedded = p["E"][inputs]
-        x = embedded @ p["X"] + p["x"]
+        embedded, turn, let = p["E"][inputs], split(p["U"]), split(p["X"])
+        x = np.matmul(embedded[:, None], -let[:2])
+        x -= p["x"][: 2 * n].reshape(2, 1, n)
+        x_in = embedded @ let[2] + p["x"][2 * n :]
+        minus = -turn[:2]
         for t in range(k):
+            g_t, c = gates[t], cs[t]
             np.multiply(h, goes_on[t], out=prior[t])
-            a = prior[t] @ p["U"]
-            gates = 1 / (1 + np.exp(-(x[t, :, : 2 * n] + a[:, : 2 * n])))
-            zs[t], rs[t], us[t] = gates[:, :n], gates[:, n:], a[:, 2 * n :]
-            np.tanh(x[t, :, 2 * n :] + rs[t] * us[t], out=cs[t])
-            h = prior[t] + zs[t] * (cs[t] - prior[t])
-            out[t] = h
+            np.matmul(prior[t], minus, out=g_t)
+            g_t += x[t]
+            np.exp(g_t, out=g_t)
+            g_t += 1
+            np.reciprocal(g_t, out=g_t)
+            np.matmul(prior[t], turn[2], out=us[t])
+            np.multiply(g_t[1], us[t], out=c)
+            c += x_in[t]
+            np.tanh(c, out=c)
+            h = out[t]
+            np.subtract(c, prior[t], out=h)
+            h *= g_t[0]
+            h += prior[t]
         w = target[:, t0 : t0 + steps].T[ok]
         if not len(w):
+            h = h.copy()
             continue
         order = np.argsort(kind[w], kind="stable")
-        w, flat = w[order], out[:k][ok][order]
-        own = m.class_of[w]
-        slopes[:] = 0
-        s = np.exp(np.minimum(flat @ p["C"] + p["c"], 60))
-        s /= s.sum(1, keepdims=True)
+        place_of, w = np.flatnonzero(ok)[order], w[order]
+        flat = np.ones((len(w), n + 1), np.float32)  # a state and, for the biases, a one
+        flat[:, :n] = out[:k].reshape(-1, n)[place_of]
+        own = kind[w]
+        wide = _may_overflow(p["C"], p["c"]), _may_overflow(p["W"], p["w"])
+        to_classes, to_heads = (np.concatenate([p[x], p[y][None]]) for x, y in ("Cc", "Ww"))
+        s = flat @ to_classes
+        if wide[0]:
+            np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s /= _sums(s)[:, None]
         rows = np.arange(len(w))
-        loss = -np.log(s[rows, own] + 1e-12).sum()
-        s[rows, own] -= 1
-        g["C"][:], g["c"][:] = flat.T @ s, s.sum(0)
+        place = rows * s.shape[1] + own
+        chance, within = s.reshape(-1)[place], np.ones(len(w), np.float32)
+        s.reshape(-1)[place] = chance - 1
+        slope = flat.T @ s
+        g["C"][:], g["c"][:] = slope[:n], slope[n]
         back = s @ p["C"].T
         edges = np.searchsorted(own, np.arange(len(m.first) + 1))
+        slope = np.zeros_like(to_heads)
         for cl in np.flatnonzero(np.diff(edges)).tolist():
             i, lo, hi = slice(edges[cl], edges[cl + 1]), m.first[cl], last_word[cl]
-            q = np.exp(np.minimum(flat[i] @ p["W"][:, lo:hi] + p["w"][lo:hi], 60))
-            q /= q.sum(1, keepdims=True)
-            place = (rows[: len(q)], w[i] - lo)
-            loss -= np.log(q[place] + 1e-12).sum()
-            q[place] -= 1
-            g["W"][:, lo:hi], g["w"][lo:hi] = flat[i].T @ q, q.sum(0)
-            back[i] += q @ p["W"][:, lo:hi].T
-        losses.append(float(loss / len(w)))
-        unsorted = np.empty_like(back)
-        unsorted[order] = back
+            if hi - lo == 1:  # its word is certain, and nothing to learn
+                continue
+            here, weights = flat[i], to_heads[:, lo:hi]
+            q = here @ weights
+            if wide[1]:
+                np.minimum(q, 60, out=q)
+            np.exp(q, out=q)
+            q /= _sums(q)[:, None]
+            place = rows[: len(q)] * (hi - lo) + (w[i] - lo)
+            got = within[i] = q.reshape(-1)[place]
+            q.reshape(-1)[place] = got - 1
+            slope[:, lo:hi] = here.T @ q
+            back[i] += q @ weights[:n].T
+        g["W"][:], g["w"][:] = slope[:n], slope[n]
+        losses.append(-float(np.log(chance + 1e-12).sum() + np.log(within + 1e-12).sum()) / len(w))
         into[:k] = 0
-        into[:k][ok] = unsorted
-        dh, turned = np.zeros((lanes, n), np.float32), np.ascontiguousarray(p["U"].T)
+        into[:k].reshape(-1, n)[place_of] = back
+        # What a step's dh is multiplied with, for all steps at once: gates[:, 0] and the like are those of the steps.
+        z, r, c = gates[:k, 0], gates[:k, 1], cs[:k]
+        stays = 1 - z
+        to_z = (c - prior[:k]) * z
+        to_z *= stays
+        to_c = (1 - c * c) * z
+        to_r = (r - r * r) * us[:k]
+        stays *= goes_on
+        backward, dh = turn.swapaxes(1, 2), np.zeros((lanes, n), np.float32)
+        d, moved = np.empty((3, lanes, n), np.float32), np.empty((3, lanes, n), np.float32)
+        dx_now = dx[:, :k]
         for t in reversed(range(k)):
             dh += into[t]
-            z, r, c = zs[t], rs[t], cs[t]
-            dc = dh * z * (1 - c * c)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dh * (c - prior[t]) * z * (1 - z), dc * us[t] * r * (1 - r), dc
-            du[t, :, : 2 * n], du[t, :, 2 * n :] = dx[t, :, : 2 * n], dc * r
-            dh = (dh * (1 - z) + du[t] @ turned) * goes_on[t]
-        all_dx, all_du = dx[:k].reshape(-1, 3 * n), du[:k].reshape(-1, 3 * n)
-        g["U"][:] = prior[:k].reshape(-1, n).T @ all_du
-        g["X"][:], g["x"][:] = embedded.reshape(len(all_dx), -1).T @ all_dx, all_dx.sum(0)
-        words, of = np.unique(inputs, return_inverse=True)
-        by_word = np.argsort(of.reshape(-1).astype(np.int16 if len(words) < 1 << 15 else np.int64), kind="stable")
-        starts = np.append(0, np.cumsum(np.bincount(of.reshape(-1))))[:-1]
-        g["E"][words] = np.add.reduceat((all_dx @ p["X"].T)[by_word], starts)
+            np.multiply(dh, to_z[t], out=d[0])
+            dc = dx_now[2, t]
+            np.multiply(dh, to_c[t], out=dc)
+            np.multiply(dc, to_r[t], out=d[1])
+            np.multiply(dc, r[t], out=d[2])
+            dx_now[:2, t] = d[:2]
+            np.matmul(d, backward, out=moved)
+            dh *= stays[t]
+            moved[0] += moved[1]
+            moved[0] += moved[2]
+            moved[0] *= goes_on[t]
+            dh += moved[0]
+        flat_dx = dx_now.reshape(3, -1, n)
+        before_all, seen = prior[:k].reshape(-1, n), embedded.reshape(-1, embedded.shape[2])
+        reset = (dx_now[2] * r).reshape(-1, n)
+        joined = lambda parts: np.concatenate(parts, -1)
+        g["U"][:] = joined([before_all.T @ flat_dx[0], before_all.T @ flat_dx[1], before_all.T @ reset])
+        g["X"][:], g["x"][:] = joined([seen.T @ f for f in flat_dx]), joined([_sums(f.T) for f in flat_dx])
+        to_words = flat_dx[0] @ let[0].T
+        to_words += flat_dx[1] @ let[1].T
+        to_words += flat_dx[2] @ let[2].T
+        words = inputs.reshape(-1)
+        for j, column in enumerate(np.ascontiguousarray(to_words.T)):
+            g["E"][:, j] = np.bincount(words, column, minlength=len(g["E"]))
+        h = h.copy()  # the next window writes over its place
         # Adam, in place.
         slopes *= 16 / len(w)
         np.clip(slopes, -1, 1, out=slopes)
@@ -414,7 +502,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     def network(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         end_c = int(m.known_c[np.searchsorted(m.known, END)])
-        for batch in batches:
+        for batch in _together(batches):
             for part in spans.chunks(batch, "_text", CHUNK):
                 words, n = tokens(part.column("_text"))
                 numbers, c = m.numbers(words)
@@ -442,5 +530,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     )
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold CHUNK bytes, so that more documents take a step at once."""
+    block, size = [], 0
+    for batch in batches:
+        block.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK:
+            yield pa.concat_batches(block)
+            block, size = [], 0
+    if block:
+        yield pa.concat_batches(block)
+
+
 def in_training(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % parts != part
