@@ -503,6 +503,62 @@ def test_lm_base_and_distribution(spark, docs, nothing):
     assert all(math.isfinite(r["score"]) for r in lm_scoring.score(docs, empty, none).collect())
 
 
+def log_prob_by_hand(m, p, words):
+    """One document through the network, a token at a time, in the order of its formulas."""
+    n, h, before, total = len(p["U"]), np.zeros(len(p["U"])), m.end, 0.0
+    share = lambda s, i: s[i] - np.log(np.exp(s).sum())
+    for w in [*words, m.end]:
+        x, a = p["E"][before] @ p["X"] + p["x"], h @ p["U"]
+        z, r = (1 / (1 + np.exp(-(x[i : i + n] + a[i : i + n]))) for i in (0, n))
+        h = h + z * (np.tanh(x[2 * n :] + r * a[2 * n :]) - h)
+        k = m.class_of[w]
+        total += share(h @ p["C"] + p["c"], k)
+        if w < m.rest:
+            lo, hi = m.first[k], [*m.first, m.rest][k + 1]
+            total += share(h @ p["W"][:, lo:hi] + p["w"][lo:hi], w - lo)
+        before = w
+    return total
+
+
+def test_lm_network_by_hand():
+    r, h, d = np.random.default_rng(5), 5, 3
+    f = lambda *s: r.normal(0, 0.7, s).astype(np.float32)
+    p = {"E": f(7, d), "X": f(d, 3 * h), "x": f(3 * h), "U": f(h, 3 * h), "C": f(h, 4), "c": f(4), "W": f(h, 6), "w": f(6)}
+    m = lm_scoring.Model(0, 0, np.arange(6), np.ones(6, np.int64), np.arange(6), 6, 4, np.array([0, 0, 0, 1, 1, 2, 3]), np.array([0, 3, 5]), 0.0, {k: v.copy() for k, v in p.items()})
+    wide = {k: v.astype(np.float64) for k, v in p.items()}
+    texts = [r.integers(0, 7, n) for n in (0, 9, 1, 0, 30, 9, 4)]
+    want = [log_prob_by_hand(m, wide, t) for t in texts]
+    for window in (1, 7, 256):
+        assert m.score(np.concatenate(texts), np.array([len(t) for t in texts]), window) == pytest.approx(want, rel=1e-4)
+    assert m.score(np.empty(0, np.int64), np.empty(0, np.int64)).tolist() == []
+    # Adam's first step goes against the sign of each slope; two documents in one lane, within one window.
+    rate = 0.001
+    losses = lm_scoring.train(m, texts[1:3], lanes=1, steps=32, rate=rate)
+    loss = lambda: -sum(log_prob_by_hand(m, wide, t) for t in texts[1:3])
+    assert losses == [pytest.approx(loss() / 12, rel=1e-4)]
+    for k, values in wide.items():
+        for i in np.ndindex(*values.shape):
+            at, ends = values[i], []
+            for values[i] in (at + 1e-4, at - 1e-4):
+                ends.append(loss())
+            values[i] = at
+            slope = (ends[0] - ends[1]) / 2e-4
+            if abs(slope) > 1e-3:
+                assert m.p[k][i] - p[k][i] == pytest.approx(-rate * np.sign(slope), rel=0.02), (k, i)
+
+
+def test_lm_keys_are_found():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5000):
+        known = np.unique(r.integers(-1 << 63, (1 << 63) - 1, n))
+        known = np.unique(np.concatenate([known, known[:1] + np.arange(1, 4), [-1]]))
+        m = lm_scoring.Model(0, 0, known, np.arange(len(known)), np.minimum(np.arange(len(known)), 3), 3, 0, np.zeros(4, np.int64), np.array([0]), 0.0, {})
+        words = np.concatenate([known, known + 1, [np.iinfo(np.int64).min, np.iinfo(np.int64).max]])
+        place = {k: i for i, k in enumerate(known.tolist())}
+        numbers, c = m.numbers(words)
+        assert c.tolist() == [place.get(w, -1) for w in words.tolist()] and numbers.tolist() == [min(place.get(w, 3), 3) for w in words.tolist()]
+
+
 def test_lm_learns():
     m = lm_scoring.Model(0, 0, np.arange(3), np.ones(3, np.int64), np.arange(3), 3, 2, np.array([0, 0, 0, 1]), np.array([0]), 0.0, {})
     r, h, d = np.random.default_rng(0), 8, 4
