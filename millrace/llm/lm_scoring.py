@@ -46,7 +46,7 @@ from millrace.llm.storage import written
 
 HEAD, KNOWN, CLASSES, HIDDEN, DIM = 2048, 1 << 16, 48, 24, 16
 SAMPLE, SAMPLE_BYTES, LANES, STEPS, RATE, SEED = 1200, 1 << 15, 48, 16, 0.01, 11
-WINDOW, CHUNK = 128, 8 << 20
+WINDOW, CHUNK = 128, (4 << 20) - 1
 SHARD, WIDE, PIECE, SLICE = 1 << 20, 256, 1024, 4096  # tokens a copy trains on, its lanes, tokens a piece, parameters a row
 END = -1  # the key of a document's end
 _LOWER = np.arange(256, dtype=np.uint8)
