@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, lm_scoring, ngram_join, quality_classifier, rule_ledger, sharding, token_counts, token_output, unigram
+from millrace.llm import decontamination, filter_audit, language_id, lm_scoring, ngram_join, quality_classifier, rule_ledger, sharding, token_counts, token_output, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"), _read(vocabulary("byte_bpe_50k.json")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -137,6 +141,22 @@ f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 5
              + 64 * CAST(word_chars > 20 * n_words OR word_chars < 2 * n_words AS BIGINT) + 128 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT)
              + 256 * CAST(10 * n_ell > 3 * n_lines AS BIGINT) + 512 * CAST(10 * n_bul > 9 * n_lines AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 375) = 0 AS kept, failures FROM f""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+             + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+             + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS m FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f GROUP BY part, m),
+x AS (SELECT substr('ABCDE', i + 1, 1) AS x, 1 << i AS bit FROM (SELECT CAST(unnest(range(5)) AS INT) AS i)),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS ls, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bs FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT array_to_string(ls, '') AS filter_order, k AS step, ls[k] AS own, bs[k] AS bit, coalesce(list_sum(bs[1 : k - 1]), 0) AS before FROM (SELECT *, CAST(unnest(range(1, 6)) AS INT) AS k FROM o)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN t ELSE 0 END) AS toxic_lost
+      FROM (SELECT part, m, n, g, t, filter_order, step, own, bit, CAST(before AS INT) AS before FROM c, s) GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
 
 
