@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, filter_audit, language_id, lm_scoring, ngram_join, quality_classifier, rule_ledger, sharding, token_counts, token_output, unigram
+from millrace.llm import decontamination, filter_audit, language_id, lm_scoring, ngram_join, phrase_automata, quality_classifier, rule_ledger, sharding, token_counts, token_output, unigram, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_automata.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = vector_codes.with_label_error(out.rows)
+    return rows.select(F.col("id").alias("vec_id"), vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(out.fingerprint()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -160,5 +171,40 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 }
 
 
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Each round as two tables: `a`, the parts with 16 * squared distance + index of their nearest entry, and `c`, the entries."""
+
+    def nearest(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT i, p.pos, any_value(p.part) AS part,
+ min(16 * CAST(list_sum([(p.part[j] - c.part[j]) * (p.part[j] - c.part[j]) for j in range(1, len(p.part) + 1)]) AS BIGINT) + e) AS best FROM p JOIN c{k} c ON p.pos = c.pos GROUP BY i, p.pos)"""
+
+    steps = [nearest(0)]
+    for k in range(1, rounds + 1):
+        steps.append(f"""n{k} AS (SELECT pos, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS part
+ FROM (SELECT pos, best % 16 AS e, j, CAST(sum(part[j]) AS BIGINT) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS j FROM a{k - 1}) GROUP BY pos, best % 16, j) GROUP BY pos, e),
+c{k} AS MATERIALIZED (SELECT c.pos, c.e, coalesce(n.part, c.part) AS part FROM c{k - 1} c LEFT JOIN n{k} n ON c.pos = n.pos AND c.e = n.e)""")
+        steps.append(nearest(k))
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT i, vec_id, label, pos, x[pos * (len(x) // 8) + 1 : (pos + 1) * (len(x) // 8)] AS part FROM (SELECT *, unnest(range(8)) AS pos FROM v)),
+c0 AS MATERIALIZED (SELECT pos, r - 1 AS e, part FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY vec_id, i) AS r FROM p) WHERE r <= 16),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM c{rounds}),
+s AS (SELECT i, string_agg(printf('%02x', best % 16), '' ORDER BY pos) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN s USING (i), h"""
+
+
+ORACLE_SQL["op12_phrase_automata"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS gone FROM w JOIN f USING (h) WHERE first < doc_id GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE [w for w, i in ws if NOT list_contains(gone, i)] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+ORACLE_SQL["op13_vector_codes"] = _vector_codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)

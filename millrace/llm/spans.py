@@ -137,6 +137,14 @@ def shingles(words_hash: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nda
     return mix(out[keep]), np.where(counts < k, np.minimum(counts, 1), counts - (k - 1)) if docs else np.zeros(0, np.int64)
 
 
+def runs(words_hash: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k words from each of the places `begin` on, from differences of one running sum."""
+    power, inverse = _powers(1 << max(16, int(len(words_hash)).bit_length()))
+    run = np.zeros(len(words_hash) + 1, np.uint64)
+    np.cumsum(words_hash * power[: len(words_hash)], out=run[1:])
+    return mix((run[begin + k] - run[begin]) * inverse[begin])
+
+
 def sorted_sets(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of each text sorted, each once, and how many each then has."""
     ends = np.cumsum(counts)
