@@ -73,13 +73,16 @@ def prompt_and_reference(messages: Column) -> tuple[Column, Column]:
     return F.slice(messages, 1, F.size(messages) - 1), F.element_at(messages, -1)["content"]
 
 
-def prompt_key(messages: Column) -> Column:
-    """SHA-256 of the JSON array of [role, canonical content], with a space after each comma.
-
-    All contents go through `canonical` at once, with NUL between them, which no accepted message has and which canonical text keeps.
-    """
+def canonical_contents(messages: Column) -> Column:
+    """The canonical contents of all messages in one text, with NUL between them, which no accepted message has and which canonical text
+    keeps; so whatever has no NUL is found within one message only."""
     joined = canonical(F.array_join(F.transform(messages, lambda m: m["content"]), "\0"))
-    contents = F.transform(F.split(joined, r"\x00", -1), F.trim)
+    return F.trim(F.regexp_replace(joined, r" ?\x00 ?", "\0"))
+
+
+def prompt_key(messages: Column) -> Column:
+    """SHA-256 of the JSON array of [role, canonical content], with a space after each comma."""
+    contents = F.split(canonical_contents(messages), r"\x00", -1)
     quoted = lambda t: F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1)
     each = F.zip_with(messages, contents, lambda m, t: F.concat(F.lit("["), quoted(m["role"]), F.lit(", "), quoted(t), F.lit("]")))
     return F.when(messages.isNotNull(), sha(F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.matching import contains_any
+from millrace.operators.groups import cut
+
 #: Fixed values.
 PROMPT_LIMIT, CONTEXT_LIMIT, LEAST_ITEM, FINGERPRINT = 8192, 40_960, 40, 96
-ANCHOR = 4
-BROADCAST_FINGERPRINTS = 20_000
+#: Bytes of fingerprints in an automaton.
+AUTOMATON_BYTES = 2 << 20
 
 
 def keep_first(rows: DataFrame, key: str, *order: str | Column) -> DataFrame:
@@ -33,30 +36,27 @@ def fingerprints(benchmark: DataFrame, text: str) -> DataFrame:
     return benchmark.where(F.length(text) >= LEAST_ITEM).select(F.substring(text, 1, FINGERPRINT).alias("fingerprint")).distinct()
 
 
-def overlap(docs: DataFrame, key: str, text: str, marks: DataFrame, broadcast_most: int = BROADCAST_FINGERPRINTS) -> DataFrame:
-    """Keys of the documents that contain a fingerprint, wherever it begins.
+def with_overlap(rows: DataFrame, text: Column, marks: DataFrame, name: str = "overlaps", part_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """`rows` with a boolean: whether `text` contains a fingerprint, wherever it begins.
 
-    The words of a fingerprint but for its first and last are whole words of any text that contains it.  So up to
-    ANCHOR of them are its anchor: an equi-join by the anchor's hash, then the comparison.  While fingerprints are few
-    a document keeps only the places that a hash set of the anchors lets pass, and the marks are broadcast; else all places
-    are exploded and the join shuffles.  Fingerprints of one or two words have no anchor and are looked up in each text.
+    Fingerprints become an automaton that is sent to the tasks and passes over each text once.  Beyond `part_bytes` of them they are parted by
+    hash into automata of about that size, one pass each, with the rows written in between, so that no task holds two.
     """
-    inner = F.split("fingerprint", " ")
-    size = F.least(F.size(inner) - 2, F.lit(ANCHOR))
-    marks = marks.select("fingerprint", size.alias("k"), F.when(size > 0, F.xxhash64(F.slice(inner, 2, F.greatest(size, F.lit(1))))).alias("h"))
-    few = marks.count() <= broadcast_most
-    send = F.broadcast if few else (lambda df: df)
-    found = docs.join(send(marks.where("k < 1")), F.contains(docs[text], F.col("fingerprint"))).select(key)
-    for k in [r["k"] for r in marks.where("k > 0").select("k").distinct().collect()]:  # ANCHOR numbers at most
-        own = marks.where(F.col("k") == k)
-        ws = F.split(text, " ")
-        hashes = F.transform(F.sequence(F.lit(1), F.size("_ws") - k + 1), lambda i: F.xxhash64(F.slice("_ws", i, F.lit(k))))
-        if few:
-            known = [r["h"] for r in own.select("h").distinct().collect()]
-            hashes = F.filter(hashes, lambda h: h.isin(known))
-        places = docs.withColumn("_ws", ws).where(F.size("_ws") >= k).select(key, text, F.explode(F.array_distinct(hashes)).alias("h"))
-        found = found.union(places.join(send(own), "h").where(F.contains(F.col(text), F.col("fingerprint"))).select(key))
-    return found.distinct()
+    size = marks.agg(F.sum(F.octet_length("fingerprint")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // part_bytes))
+    marks = cut(marks.select("fingerprint"), "fingerprints") if parts > 1 else marks
+    rows = rows.withColumn(name, F.lit(False))
+    for k in range(parts):
+        own = marks.where(F.pmod(F.xxhash64("fingerprint"), F.lit(parts)) == k) if parts > 1 else marks
+        patterns = [r["fingerprint"] for r in own.select("fingerprint").collect()]  # part_bytes, about
+        rows = rows.withColumn(name, F.col(name) | contains_any(text, patterns))
+        rows = cut(rows, "overlaps") if k + 1 < parts else rows
+    return rows
+
+
+def overlap(docs: DataFrame, key: str, text: str, marks: DataFrame, part_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Keys of the documents that contain a fingerprint, wherever it begins."""
+    return with_overlap(docs.select(key, text), F.col(text), marks, "_overlaps", part_bytes).where("_overlaps").select(key).distinct()
 
 
 def length_bucket(n: Column) -> Column:

@@ -798,3 +798,6 @@ def scoring_order(spark, d):
     of = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), of(F.col("user_id")).alias("input_ids"), of(F.col("event_id") % 7).alias("target_ids"))
     return corpus.scoring_order(rows, "id").select("id", (F.size("input_ids") + F.size("target_ids")).cast("long").alias("tokens"))
+
+
+from millrace.plans import flows  # noqa: E402, F401  registers its queries

@@ -43,17 +43,26 @@ def ordinal(rows: DataFrame, path: str = "_path", row: str = "_row") -> DataFram
     return rows.join(F.broadcast(before), path).withColumn("ordinal", F.col(row) + F.col("_before")).drop("_before")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 0) and value of each line.  Files are read in blocks; lines are numbered within theirs, and the counts of the
-    blocks before (one row a block) come on top, so that a large file is never one value."""
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 0), value, end (the place in bytes behind the line and its end) and size (of the file when it was listed).
+
+    Files are read in blocks; lines are numbered within theirs, and the counts of the blocks before (one row a block) come on top, so that a
+    large file is never one value.  Of a line that the file ends in without a line end, `end` is beyond the size.  Files have no byte order mark."""
     rows = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
-    )
-    sizes = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("path", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    rn = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_at"))
-    return rows.withColumn("_rn", rn).join(starts, ["path", "_block"]).select("path", (F.col("_rn") - 1 + F.col("_before")).alias("line"), "value")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("_at"), "value",
+        (F.octet_length("value") + 1).alias("_bytes"),
+    )
+    sizes = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_sum"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("path", "_block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_sum")))
+    within = Window.partitionBy("path", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_rn": F.count("*").over(within), "_to": F.sum("_bytes").over(within)}).join(starts, ["path", "_block"])
+    return rows.select("path", (F.col("_rn") - 1 + F.col("_n_before")).alias("line"), "value", (F.col("_to") + F.col("_sum_before")).alias("end"), "size")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 0) and value of each line."""
+    return placed_lines(spark, path).select("path", "line", "value")
 
 
 def json_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -115,10 +124,9 @@ def split_rows(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def complete_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of files that are still being written: what follows the last line end is left out; a broken line before it stays, for the parser to refuse."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    kept = F.when(F.contains("text", F.lit("\n")), F.regexp_extract("text", r"(?s)^(.*)\n", 1)).otherwise("")
-    lines = whole.select("path", F.posexplode(F.split(kept, "\n", -1)).alias("line", "value"))
+    """Lines of files that are still being written: what follows the last line end is left out, whatever bytes it holds; a broken line before it
+    stays, for the parser to refuse.  Files are as long as when this was called; `sources.growing` follows them."""
+    lines = placed_lines(spark, path).where("end <= size").select("path", "line", "value")
     return lines.where(F.length(F.trim("value")) > 0)
 
 

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from millrace.operators.groups import cut, shared_folder
-from millrace.sources.readers import complete_lines
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -158,17 +157,6 @@ def publish(spark: SparkSession, snapshots: DataFrame, path: str) -> None:
         files.rename(place(hidden), place(f"{path}/epoch={epoch}"), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
 
 
-def growing_lines(spark: SparkSession, path: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines, seen): whole lines of files that grow in place, from where the last call's `seen` (path, lines) ended.
-
-    A file stream takes a file once, so it can't follow one that grows; this is called again instead, with what was seen stored in between."""
-    lines = complete_lines(spark, path)
-    if seen is not None:
-        lines = lines.join(seen.select("path", F.col("lines").alias("_seen")), "path", "left").where(F.col("line") >= F.coalesce("_seen", F.lit(0))).drop("_seen")
-    now = complete_lines(spark, path).groupBy("path").agg((F.max("line") + 1).alias("lines"))
-    return lines, now
-
-
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into a table in the shared folder, and reads that."""
     spark = stream.sparkSession

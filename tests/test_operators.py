@@ -274,8 +274,11 @@ def test_allocation(spark):
 def test_overlap_mid_word_and_short(spark):
     marks = spark.createDataFrame([("alpha beta gamma delta epsilon zeta eta theta",), ("x" * 45,)], "fingerprint string")
     docs = spark.createDataFrame([(1, "zalpha beta gamma delta epsilon zeta eta thetas"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, "a " + "x" * 50), (4, ""), (5, None)], "id int, c string")
-    for most in (100, 0):
-        assert {r["id"] for r in corpus.overlap(docs, "id", "c", marks, most).collect()} == {1, 3}
+    for part_bytes in (1 << 20, 40, 1):  # one automaton, a few, and more than there are fingerprints
+        assert {r["id"] for r in corpus.overlap(docs, "id", "c", marks, part_bytes).collect()} == {1, 3}
+    assert corpus.overlap(docs, "id", "c", marks.where("fingerprint IS NULL")).count() == 0
+    plan = corpus.overlap(docs, "id", "c", marks)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_strict_reader(spark, tmp_path):
@@ -434,14 +437,6 @@ def test_streams_resume_and_logs_grow(spark, tmp_path):
     (tmp_path / "log/2.json").write_text('{"step": 2}\n')
     assert sorted(r["step"] for r in streaming.run_resumed(tail(), str(tmp_path / "kept")).collect()) == [1, 2]
     assert sorted(r["step"] for r in streaming.run_resumed(tail(), str(tmp_path / "kept")).collect()) == [1, 2]
-    grows = tmp_path / "grows.log"
-    grows.write_text("a\nb\nc")
-    lines, seen = streaming.growing_lines(spark, str(grows))
-    assert [r["value"] for r in lines.orderBy("line").collect()] == ["a", "b"]
-    seen = spark.createDataFrame(seen.collect(), seen.schema)
-    grows.write_text("a\nb\ncd\n")
-    lines, _ = streaming.growing_lines(spark, str(grows), seen)
-    assert [r["value"] for r in lines.collect()] == ["cd"]
 
 
 def test_identity_of_a_cache(spark, tmp_path):
