@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -38,6 +39,11 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once a row, however often body refers to it: a lambda's variable is never inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")

@@ -274,9 +274,22 @@ def refusal_history(spark, d):
     return rows.select("conv_id", history.rlike(rules.FLAGS + rules.REFUSAL).alias("refused"))
 
 
-@query(None)
+SQL_CASCADE = rf"""{SQL_WORDS.format('text')} AS n, trim(text, ' \n\t\r') AS request, doc_id % 4 AS k,
+  trim(CASE doc_id % 4 WHEN 1 THEN text || chr(10) || '<<3*4=' || (doc_id % 5 + 10) || '>>' || chr(10) || '#### 12'
+    WHEN 2 THEN '```python' || chr(10) || 'x = 1' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'pass' ELSE 'print(x)' END || chr(10) || '```' || chr(10) || text ELSE text END, ' \n\t\r') AS a"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {SQL_CASCADE} FROM documents),
+g AS (SELECT *, {SQL_GENERAL} AS general, list_filter(list_transform(string_split(a, chr(10) || chr(10)), lambda x: trim(x, ' \n\t\r')), lambda x: length(x) > 40) AS ps FROM t),
+r AS (SELECT *, coalesce(general, CASE WHEN len(ps) >= 3 AND len(list_distinct(ps)) / len(ps) < 0.8 THEN 'repeated_answer_paragraphs'
+  WHEN k = 0 AND (length(request) < 40 OR len(regexp_extract_all(request, '[A-Za-z]+|[一-鿿]')) < 12) THEN 'low_information_request' WHEN k = 0 AND n < 40 THEN 'short_prompt'
+  WHEN k = 0 AND regexp_matches(request, {_sql_like(rules.ROLEPLAY)}) THEN 'roleplay_or_adult_request' WHEN k = 0 AND length(regexp_replace(request, '[^A-Za-z]', '', 'g')) < 30 THEN 'language_metadata_mismatch'
+  WHEN k = 1 AND doc_id % 5 <> 2 THEN 'incorrect_annotated_arithmetic' WHEN k = 2 AND length(request) < 120 THEN 'underspecified_code_request' WHEN k = 2 AND doc_id % 3 = 0 THEN 'python_stub'
+  WHEN k = 3 AND n < 1024 THEN 'not_long_context' END) AS reason FROM g)
+SELECT doc_id, (['WildChat-1M', 'gsm8k', 'Magicoder-OSS-Instruct-75K', 'LongAlign-10k'])[k + 1] AS source, reason, CASE WHEN reason IS NULL AND k = 1 THEN 1 END AS arithmetic_annotations_verified,
+  CASE WHEN reason IS NULL AND k = 1 THEN true END AS final_matches_last_annotation, CASE WHEN reason IS NULL AND k = 2 THEN true END AS python_ast_valid, CASE WHEN reason IS NULL AND k = 2 THEN 1 END AS code_blocks FROM r""")
 def full_rule_cascade(spark, d):
-    """All rules, with parsers, on answers made of the documents in turn for each kind of source."""
+    """All rules, with parsers, on answers made of the documents in turn for each kind of source: every third Python block is a stub, and of five results one is right."""
     kinds = list(rules.KINDS)
     k = (F.col("doc_id") % 4).cast("int")
     code = F.concat(F.lit("```python\nx = 1\n"), F.when(F.col("doc_id") % 3 == 0, "pass\n").otherwise("print(x)\n"), F.lit("```\n"), F.col("text"))
@@ -287,7 +300,7 @@ def full_rule_cascade(spark, d):
         answer.alias("reference_answer"), words(F.col("text")).alias("prompt_tokens"), words(F.col("text")).alias("target_tokens"),
         F.struct(F.lit("English").alias("language"), F.lit("python").alias("code_language")).alias("metadata"),
     )
-    return rules.screen(rows).select("doc_id", "source", "reason", "checks")
+    return rules.screen(rows).select("doc_id", "source", "reason", "checks.*")
 
 
 @query("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'source_toxic_flag' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
