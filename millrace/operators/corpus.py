@@ -122,12 +122,17 @@ def first_k(rows: DataFrame, by: str, k: int, *order: str | Column) -> DataFrame
 
 
 def pilot_order(rows: DataFrame, by: str, length: str, order: str, most: int) -> DataFrame:
-    """Adds rn: within each source the first row, then the longest (the first of equals), then the rest in order; up to `most`."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumns({"_first": F.min(order).over(w), "_longest": F.min_by(order, F.struct(-F.col(length), F.col(order))).over(w)})
-    kind = F.when(F.col(order) == F.col("_first"), 0).when(F.col(order) == F.col("_longest"), 1).otherwise(2)
-    rn = F.row_number().over(w.orderBy(kind, order))
-    return ranked.withColumn("rn", rn).where(F.col("rn") <= most).drop("_first", "_longest")
+    """Adds rn: within each source the first row, then the longest (the first of equals), then the rest in order; up to `most`.
+
+    Only the first `most` rows of a source and its longest one can be among them, so a source is reduced to those before it is ranked."""
+    of_source, columns = Window.partitionBy(by), rows.columns
+    first = rows.withColumn("_rn", F.row_number().over(of_source.orderBy(order))).where(F.col("_rn") <= most).drop("_rn")
+    longest = F.min_by(F.struct(*columns), F.struct(-F.col(length), F.col(order)))
+    longest = rows.groupBy(F.col(by).alias("_by")).agg(longest.alias("_row")).select("_row.*", F.lit(True).alias("_longest"))
+    marked = first.withColumn("_longest", F.lit(False)).unionByName(longest)
+    ranked = marked.withColumns({"_first": F.min(order).over(of_source), "_copies": F.max("_longest").over(Window.partitionBy(by, order))}).where(F.col("_longest") == F.col("_copies"))
+    kind = F.when(F.col(order) == F.col("_first"), 0).when(F.col("_longest"), 1).otherwise(2)
+    return ranked.withColumn("rn", F.row_number().over(of_source.orderBy(kind, order))).where(F.col("rn") <= most).select(*columns, "rn")
 
 
 def balanced_pilot(rows: DataFrame, by: str, length: str, order: str, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.routing import arg_max, arg_min
+from millrace.operators.ordered import latest, numbered, over_rows_before
 
 
 def paired_losses(requests: DataFrame, scores: DataFrame, experts: list[str], key: str = "id") -> DataFrame:
@@ -47,28 +48,18 @@ def policy_report(rows: DataFrame, experts: int, logits: str = "logits", losses:
     return out.withColumns({"regret": F.col("selected") - F.col("oracle"), "gain": best - F.col("selected")})
 
 
-def count_windows(rows: DataFrame, order: str, batch: int, key: str, most_rows: int = 64, batches: int = 6) -> DataFrame:
+def count_windows(rows: DataFrame, order: str, batch: int, key: str, most_rows: int = 64, batches: int = 6, partitions: int | None = None) -> DataFrame:
     """Adds window: runs of batch * min(batches, most_rows // batch) rows in order, per key."""
     size = batch * min(batches, most_rows // batch)
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("window", F.floor((rn - 1) / size).cast("int"))
+    return numbered(rows, [order], [key], "_number", partitions).withColumn("window", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
 # Placement
 
 
-def snapshot_at(requests: DataFrame, epochs: DataFrame, at: str = "ts") -> DataFrame:
-    """Adds the newest epoch at each request's time (null before the first).  Epochs are few, so their bounds are a broadcast range join."""
-    until = F.lead(at).over(Window.orderBy(at))
-    bounds = epochs.select("epoch", F.col(at).alias("_from"), until.alias("_to"))
-    inside = (requests[at] >= F.col("_from")) & (F.col("_to").isNull() | (requests[at] < F.col("_to")))
-    return requests.join(F.broadcast(bounds), inside, "left").drop("_from", "_to")
-
-
-def eligible(requests: DataFrame, replicas: DataFrame) -> DataFrame:
-    """Requests with each replica that could take them: equal family, READY, and context enough.  needed: prompt and budget."""
-    ready = replicas.where("state = 'READY'")
-    return requests.join(ready, "model_family").where("max_context_tokens >= needed")
+def snapshot_at(requests: DataFrame, epochs: DataFrame, key: str, at: str = "ts", partitions: int | None = None) -> DataFrame:
+    """Adds the newest epoch at each request's time (null before the first), however many of either there are.  key: tells requests apart."""
+    return latest(requests, epochs, at, "epoch", key, partitions)
 
 
 def eligible_experts(requests: DataFrame, replicas: DataFrame, key: str) -> DataFrame:
@@ -82,11 +73,11 @@ def first_eligible(ranked: Column, experts: Column) -> Column:
     return F.get(F.filter(ranked, lambda e: F.array_contains(experts, e)), F.lit(0))
 
 
-def round_robin(requests: DataFrame, replicas: DataFrame, order: str, key: str) -> DataFrame:
+def round_robin(requests: DataFrame, replicas: DataFrame, order: str, key: str, partitions: int | None = None) -> DataFrame:
     """Places each request (model_family, expert_id, needed): pools of the expert in turn, then replicas of the pool in turn.
 
     Both counters advance in the order of requests, and only by those that can be placed.  A request's pools are those
-    with an eligible replica, sorted by id; likewise its replicas.
+    with an eligible replica, sorted by id; likewise its replicas.  Requests are numbered by ranges, so no task holds those of an expert or pool.
     """
     groups = ["model_family", "expert_id"]
     ready = replicas.where("state = 'READY'").select(*groups, "pool_id", "replica_id", "max_context_tokens")
@@ -95,16 +86,16 @@ def round_robin(requests: DataFrame, replicas: DataFrame, order: str, key: str)
     steps = ready.groupBy(*groups).agg(F.array_sort(F.collect_set("max_context_tokens")).alias("_steps"))
     enough = ready.join(steps, groups).withColumn("_step", F.explode(F.filter("_steps", lambda s: s <= F.col("max_context_tokens")))).select(*groups, "_step", "pool_id", "replica_id")
     pool = [*groups, "_step", "pool_id"]
-    numbered = enough.withColumn("_k", F.row_number().over(Window.partitionBy(*pool).orderBy("replica_id")) - 1)
+    places = enough.withColumn("_k", F.row_number().over(Window.partitionBy(*pool).orderBy("replica_id")) - 1)
     sizes = enough.groupBy(*pool).agg(F.count("*").alias("_n"))
     pools = sizes.groupBy(*groups, "_step").agg(F.array_sort(F.collect_list("pool_id")).alias("_pools"))
     own = list(dict.fromkeys([key, order, *groups]))
     asked = requests.select(*own, "needed").join(steps, groups).withColumn("_step", F.get(F.filter("_steps", lambda s: s >= F.col("needed")), F.lit(0)))
-    turn = F.row_number().over(Window.partitionBy(*groups).orderBy(order)) - 1
-    chosen = asked.select(*own, "_step").join(pools, [*groups, "_step"]).withColumn("pool_id", F.element_at("_pools", (turn % F.size("_pools") + 1).cast("int"))).drop("_pools")
-    turn = F.row_number().over(Window.partitionBy("pool_id").orderBy(order)) - 1
-    placed = chosen.join(sizes, pool).withColumn("_k", (turn % F.col("_n")).cast("int"))
-    return placed.join(numbered, [*pool, "_k"]).select(key, *groups, "pool_id", "replica_id")
+    turn = F.col("_turn") - 1
+    able = numbered(asked.where("_step IS NOT NULL").select(*own, "_step"), [order], groups, "_turn", partitions)
+    chosen = able.join(pools, [*groups, "_step"]).withColumn("pool_id", F.element_at("_pools", (turn % F.size("_pools") + 1).cast("int"))).drop("_pools", "_turn")
+    placed = numbered(chosen, [order], ["pool_id"], "_turn", partitions).join(sizes, pool).withColumn("_k", (turn % F.col("_n")).cast("int"))
+    return placed.join(places, [*pool, "_k"]).select(key, *groups, "pool_id", "replica_id")
 
 
 def registry_violations(replicas: DataFrame) -> DataFrame:
@@ -122,15 +113,14 @@ def registry_violations(replicas: DataFrame) -> DataFrame:
 # Logs
 
 
-def trailing_mean(rows: DataFrame, value: str, order: str, by: str, window: int = 50) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(1 - window, 0)
-    return rows.withColumn("trailing_mean", F.avg(value).over(w))
+def trailing_mean(rows: DataFrame, value: str, order: str, by: str, window: int = 50, partitions: int | None = None) -> DataFrame:
+    """Adds trailing_mean: of the row and the window - 1 rows before it; the first rows have fewer."""
+    return over_rows_before(rows, [order], [by], window - 1, {"trailing_mean": (F.avg(value), 1 - window, 0)}, partitions)
 
 
-def not_increasing(rows: DataFrame, step: str, order: str, by: str) -> DataFrame:
+def not_increasing(rows: DataFrame, step: str, order: str, by: str, partitions: int | None = None) -> DataFrame:
     """Rows whose step isn't larger than the one before."""
-    before = F.lag(step).over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("previous", before).where(F.col(step) <= F.col("previous"))
+    return over_rows_before(rows, [order], [by], 1, {"previous": (F.first(step), -1, -1)}, partitions).where(F.col(step) <= F.col("previous"))
 
 
 def repeated_steps(rows: DataFrame, *keys: str) -> DataFrame:

@@ -510,7 +510,14 @@ def registry_asof(spark, d):
     """A snapshot an hour after each day's first event."""
     events = table(spark, d, "events")
     epochs = events.groupBy(F.to_date("ts").cast("string").alias("epoch")).agg((F.min("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
-    return routing.snapshot_at(_requests(spark, d), epochs).select("id", "epoch")
+    return routing.snapshot_at(_requests(spark, d), epochs, "id").select("id", "epoch")
+
+
+@query(f"WITH {SQL_REQUESTS}, ep AS (SELECT ts + INTERVAL 7 SECOND AS ts, max(event_id) AS epoch FROM events GROUP BY 1) SELECT id, ep.epoch FROM rq ASOF LEFT JOIN ep ON rq.ts >= ep.ts")
+def registry_asof_many(spark, d):
+    """As many snapshots as requests: one seven seconds after each event."""
+    epochs = table(spark, d, "events").select(F.col("event_id").alias("epoch"), (F.col("ts") + F.expr("INTERVAL 7 SECOND")).alias("ts"))
+    return routing.snapshot_at(_requests(spark, d), epochs, "id").select("id", "epoch")
 
 
 @query(f"WITH {SQL_REQUESTS}, {SQL_REPLICAS} SELECT id, list(DISTINCT re.expert_id ORDER BY re.expert_id) AS experts FROM rq JOIN re ON rq.model_family = re.model_family AND state = 'READY' AND max_context_tokens >= needed GROUP BY id")
