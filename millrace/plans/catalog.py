@@ -662,13 +662,6 @@ def stream_pair_losses(spark, d):
     return streaming.run_available(streaming.pair_losses({"a": of(0), "b": of(1)}), "pairs")
 
 
-@query(ORACLE_SQL["round_robin_placement"])
-def stream_round_robin(spark, d):
-    """One file, so one batch: the order of ids is the order of arrival."""
-    requests = _requests(spark, d).select("id", "model_family", "expert_id", F.col("needed").cast("long").alias("needed"))
-    return streaming.run_available(streaming.round_robin(streaming.as_stream(requests, "requests", 1), _replicas(spark, d)), "placed")
-
-
 @query("SELECT event_id AS step, value AS loss FROM events")
 def stream_log_tail(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))

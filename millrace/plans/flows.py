@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import cleaning, conversation, corpus, groups, records
-from millrace.plans.catalog import SQL_SEQUENCE, SQL_SPLIT, query, sql_canonical, table
+from millrace.plans.catalog import ORACLE_SQL, SQL_SEQUENCE, SQL_SPLIT, SQL_VECTORS, _replicas, _requests, _vectors, query, sql_canonical, table
 from millrace.sources import growing
+from millrace.streaming import keyed
 from millrace.streaming import operators as streaming
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -140,3 +141,37 @@ def cleaning_counters(spark, d):
     out = _cleaned(spark, d)
     counted = out.counters.select("source", F.inline(F.array(*(F.struct(F.lit(c).alias("reason"), F.col(c).alias("n")) for c in ("scanned", "accepted")))))
     return counted.where("reason = 'scanned' OR n > 0").unionByName(out.reasons)
+
+
+def _restarted(spark, name: str, steps: list[DataFrame], stream) -> DataFrame:
+    """What a query gives that is stopped after each step's rows and started again."""
+    at = f"{groups.shared_folder(spark)}/millrace-core/{name}-{uuid.uuid4().hex}"
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{at}-in")
+        out = keyed.run_keyed(stream(spark.readStream.schema(rows.schema).parquet(f"{at}-in")), at)
+    return out
+
+
+@query(ORACLE_SQL["round_robin_placement"])
+def stream_round_robin(spark, d):
+    """Requests in three runs, by id, with the counters of pools and replicas kept between them."""
+    requests = _requests(spark, d).select("id", "model_family", "expert_id", F.col("needed").cast("long").alias("needed"))
+    a, b = requests.agg(F.percentile("id", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
+    steps = [requests.where(f"id <= {a}"), requests.where(f"id > {a} AND id <= {b}"), requests.where(f"id > {b}")]
+    return _restarted(spark, "placed", steps, lambda s: keyed.round_robin(s, _replicas(spark, d)))
+
+
+@query(f"""WITH {SQL_VECTORS}, s AS (SELECT vec_id AS i, v[1] AS x, CASE WHEN vec_id % 9 = 0 THEN 'tokens_differ' WHEN vec_id % 11 = 0 THEN 'token_count' ELSE 'known' END AS st FROM e),
+o AS (SELECT i, st, x FROM s, range(2) WHERE i % 4 <> 0 AND x >= 0 UNION ALL SELECT i, 'loss', x FROM s WHERE x < 0 UNION ALL SELECT i, 'missing', x FROM s WHERE i % 4 = 0 OR x < 0
+  UNION ALL SELECT i, CASE st WHEN 'known' THEN 'scored' ELSE st END, x FROM s WHERE i % 4 = 0 AND x >= 0)
+SELECT CAST(i AS VARCHAR) AS id, st AS state, CASE WHEN st IN ('known', 'scored') THEN x END AS loss FROM o""")
+def stream_score_cache(spark, d):
+    """Requests for scores with most scores at once; the same requests after a restart; then the scores that were missing.  Negative scores are refused."""
+    i = F.col("vec_id")
+    sha = F.sha2(i.cast("string"), 256)
+    event = lambda kind, sha_, n, loss: F.struct(F.lit("e").alias("expert_id"), i.cast("string").alias("id"), F.lit(kind).alias("kind"), sha_.alias("tokens_sha256"), n.cast("long").alias("target_tokens"), loss.cast("double").alias("loss"))
+    rows = _vectors(spark, d).select(
+        i, event(keyed.REQUEST, sha, F.lit(5), F.lit(None)).alias("ask"), event(keyed.SCORE, F.when(i % 9 == 0, "x").otherwise(sha), F.when(i % 11 == 0, 6).otherwise(5), F.get("v", F.lit(0))).alias("score")
+    )
+    asks, soon, late = rows.select("ask.*"), rows.where("vec_id % 4 <> 0").select("score.*"), rows.where("vec_id % 4 = 0").select("score.*")
+    return _restarted(spark, "cache", [asks.union(soon), asks, late], keyed.score_cache).select("id", "state", "loss")

@@ -1,23 +1,19 @@
 """Structured Streaming twins of the batch operators.
 
 State is bounded: a score whose partner doesn't come within `ttl` of event time is dropped
-(and can be had from the stored scores with `unpaired`), and repeated ids are remembered for as long.  Counters of
-placement are a few numbers a key.
+(and can be had from the stored scores with `unpaired`), and repeated ids are remembered for as long.  `keyed` has
+what keeps state by key without a bound in time.
 """
 
 from __future__ import annotations
 
-import json
 import sys
 import uuid
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from millrace.operators.groups import cut, shared_folder
 
@@ -95,66 +91,41 @@ def window_violations(rows: DataFrame, window: str = "window", most: int = 64) -
     return counted.select(window, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-PLACED = "id long, model_family string, expert_id string, pool_id string, replica_id string"
-
-
-def round_robin(requests: DataFrame, replicas: DataFrame) -> DataFrame:
-    """Places requests (id, model_family, expert_id, needed) as they come, in the order of ids within a batch.
-
-    Counters of the pools and of each pool's replicas are the state of (family, expert): within a snapshot a pool belongs to one
-    expert.  replicas: one snapshot, a table of the size of a registry, which is sent along."""
-    ready = [r.asDict() for r in replicas.where("state = 'READY'").select("model_family", "expert_id", "pool_id", "replica_id", "max_context_tokens").collect()]
-
-    def place(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        counters = json.loads(state.get[0]) if state.exists else {"": 0}
-        own = [r for r in ready if (r["model_family"], r["expert_id"]) == key]
-        rows = pd.concat(list(batches)).sort_values("id")
-        out = []
-        for id_, needed in zip(rows["id"].tolist(), rows["needed"].tolist(), strict=True):
-            pools: dict[str, list[str]] = {}
-            for r in own:
-                if r["max_context_tokens"] >= needed:
-                    pools.setdefault(r["pool_id"], []).append(r["replica_id"])
-            if not pools:
-                continue  # a request that can't be placed moves no counter
-            pool = sorted(pools)[counters[""] % len(pools)]
-            counters[""] += 1
-            replica = sorted(pools[pool])[counters.get(pool, 0) % len(pools[pool])]
-            counters[pool] = counters.get(pool, 0) + 1
-            out.append((id_, *key, pool, replica))
-        state.update((json.dumps(counters),))
-        yield pd.DataFrame(out, columns=["id", "model_family", "expert_id", "pool_id", "replica_id"])
-
-    return requests.groupBy("model_family", "expert_id").applyInPandasWithState(place, PLACED, "counters string", "append", GroupStateTimeout.NoTimeout)
-
-
 def log_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a folder of JSON log files as they appear; files must appear whole (renamed into place)."""
     return spark.readStream.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def publish(spark: SparkSession, snapshots: DataFrame, path: str) -> None:
+def publish(spark: SparkSession, snapshots: DataFrame, path: str, batch: int | None = None) -> None:
     """Publishes whole registry snapshots (epoch, replicas), each a folder `epoch=N` that appears by a rename.
 
     Readers see an epoch whole or not at all.  Epochs must increase: a batch that holds one not above the newest raises, and so does
-    the later of two writers of one epoch, whose rename finds it there.  For foreachBatch; a batch that is tried again after its
-    epochs were published is refused, not doubled."""
+    the later of two writers of one epoch, whose rename finds it there.  For foreachBatch, which passes `batch`: an epoch's folder names its batch, so
+    a batch that is tried again passes over the epochs that it published before, and goes on with the others."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     root = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     fs, files = root.getFileSystem(conf), None
     there = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-    newest = max((int(n.removeprefix("epoch=")) for n in there if n.startswith("epoch=")), default=0)
+    place = lambda p: fs.makeQualified(jvm.org.apache.hadoop.fs.Path(p))
+    mark = f"_batch-{batch}"  # readers pass over names that begin so
+    known = {int(n.removeprefix("epoch=")) for n in there if n.startswith("epoch=")}
     kept = cut(snapshots, "snapshots")  # computed once, and the same rows for each epoch
     epochs = sorted(r["epoch"] for r in kept.select("epoch").distinct().collect())  # epochs of one batch
-    if epochs and epochs[0] <= newest:
+    done = {e for e in epochs if batch is not None and e in known and fs.exists(place(f"{path}/epoch={e}/{mark}"))}
+    newest, left = max(known - done, default=0), [e for e in epochs if e not in done]
+    if left and left[0] <= newest:
         raise ValueError("registry epoch must increase")
-    for epoch in epochs:
+    for epoch in left:
         hidden = f"{path}/_{uuid.uuid4().hex}"
-        kept.where(F.col("epoch") == epoch).drop("epoch").write.parquet(hidden)
-        files = files or jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-        place = lambda p: fs.makeQualified(jvm.org.apache.hadoop.fs.Path(p))
-        files.rename(place(hidden), place(f"{path}/epoch={epoch}"), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        try:
+            kept.where(F.col("epoch") == epoch).drop("epoch").write.parquet(hidden)
+            if batch is not None:
+                fs.create(place(f"{hidden}/{mark}")).close()
+            files = files or jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+            files.rename(place(hidden), place(f"{path}/epoch={epoch}"), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        finally:
+            fs.delete(place(hidden), True)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
