@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -88,13 +87,22 @@ def cut(data: np.ndarray, offsets: np.ndarray, is_begin: np.ndarray) -> tuple[np
     return begin, np.append(begin[1:], len(data)) if len(begin) else begin, np.diff(np.searchsorted(begin, offsets))
 
 
-@lru_cache(4)
+_kept_powers: list[np.ndarray] = []
+#: Powers that a worker keeps, at most; those for a longer text are made for it alone.
+MOST_POWERS = 1 << 22
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the root and of its inverse, n or more."""
+    if _kept_powers and len(_kept_powers[0]) >= n:
+        return _kept_powers[0], _kept_powers[1]
     out = []
     for root in (_ROOT, _INVERSE):
-        p = np.full(n + 1, root, np.uint64)
+        p = np.full(((n >> 16) + 1) << 16, root, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
+    if len(out[0]) <= MOST_POWERS:
+        _kept_powers[:] = out
     return out[0], out[1]
 
 
@@ -111,7 +119,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, wherever it stands: a polynomial over random
     values of the bytes, from differences of one running sum."""
-    power, inverse = _powers(1 << max(16, int(len(data)).bit_length()))
+    power, inverse = _powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=run[1:])
     return mix((run[end] - run[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
@@ -139,7 +147,7 @@ def shingles(words_hash: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nda
 
 def runs(words_hash: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the k words from each of the places `begin` on, from differences of one running sum."""
-    power, inverse = _powers(1 << max(16, int(len(words_hash)).bit_length()))
+    power, inverse = _powers(len(words_hash) + 1)
     run = np.zeros(len(words_hash) + 1, np.uint64)
     np.cumsum(words_hash * power[: len(words_hash)], out=run[1:])
     return mix((run[begin + k] - run[begin]) * inverse[begin])
