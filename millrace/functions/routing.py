@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.operators.exact import array_sum
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -21,11 +23,11 @@ def relative_losses(losses: Column) -> Column:
 
 
 def soft_targets(losses: Column, temperature: float) -> Column:
-    """softmax(-(losses - min) / temperature)."""
-    if temperature <= 0:
-        raise ValueError("temperature must be positive")
+    """softmax(-(losses - min) / temperature); null unless all losses are finite."""
+    if not 0 < temperature < math.inf:
+        raise ValueError("temperature must be positive and finite")
     e = F.transform(losses, lambda x: F.exp(-(x - F.array_min(losses)) / temperature))
-    return F.transform(e, lambda x: x / _sum(e))
+    return F.when(finite(losses), F.transform(e, lambda x: x / _sum(e)))
 
 
 def soft_cross_entropy(logits: Column, targets: Column) -> Column:
@@ -51,10 +53,10 @@ def ranking(logits: Column) -> Column:
 
 
 def mean_target_nll(prompt: Column, target: Column, logprobs: Column) -> Column:
-    """Mean of -logprob over the target's places; null unless both are non-empty, the lengths agree and all of the values are finite and at most 1e-5."""
+    """Mean of -logprob over the target's places, summed without error; null unless both are non-empty, the lengths agree and all of the values are finite and at most 1e-5."""
     part = F.slice(logprobs, F.size(prompt) + 1, F.size(target))
     ok = (F.size(prompt) > 0) & (F.size(target) > 0) & (F.size(logprobs) == F.size(prompt) + F.size(target))
-    return F.when(ok & finite(part) & F.forall(part, lambda x: x <= 1e-5), -_sum(part) / F.size(target))
+    return -array_sum(F.when(ok & finite(part) & F.forall(part, lambda x: x <= 1e-5), part)) / F.size(target)
 
 
 def token_fingerprint(ids: Column, targets: Column) -> Column:

@@ -32,18 +32,19 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     By contraction: each round moves every node to its smallest neighbour if that is smaller and redraws the
     edges between what is left, so a component's edges are gone after about as many rounds as its size has binary digits.
+    Moves and edges of a round are written, and the labels once, at the end.
     """
     edges = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "edges")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     edges = edges.where("a <> b")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        to = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "moves")
-        labels = cut(labels.join(to, labels["label"] == to["a"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+        to = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).where("a <> p"), "moves")
+        labels = labels.join(to, labels["label"] == to["a"], "left").select("node", F.coalesce("p", "label").alias("label"))
         x, y = to.toDF("x", "px"), to.toDF("y", "py")
-        moved = edges.join(x, edges["a"] == x["x"]).join(y, edges["b"] == y["y"]).select(F.col("px").alias("a"), F.col("py").alias("b"))
+        moved = edges.join(x, edges["a"] == x["x"], "left").join(y, edges["b"] == y["y"], "left").select(F.coalesce("px", "a").alias("a"), F.coalesce("py", "b").alias("b"))
         edges = cut(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    return labels
+    return cut(labels, "labels")
 
 
 def record_edges(rows: DataFrame, group: str, extra: str, prompt_hash: str) -> DataFrame:

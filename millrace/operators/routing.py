@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.routing import arg_max, arg_min
+from millrace.operators.exact import exact_sums
+from millrace.operators.joins import sent
 from millrace.operators.ordered import latest, numbered, over_rows_before
 
 
 def paired_losses(requests: DataFrame, scores: DataFrame, experts: list[str], key: str = "id") -> DataFrame:
-    """Requests that all experts have scored, with expert_losses in the experts' order.  scores: key, expert_id, loss."""
-    of = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("expert_id", "loss"))).alias("_m"))
-    losses = F.array(*[F.element_at("_m", F.lit(e)) for e in experts])
-    return requests.join(of, key).withColumn("expert_losses", losses).where(~F.exists("expert_losses", lambda x: x.isNull())).drop("_m")
+    """Requests that all experts have scored, with expert_losses in the experts' order.  scores: key, expert_id, loss.
+
+    An id that an expert has scored twice has no pair; `score_violations` names it.  Scores are reduced to an id's before they are shuffled."""
+    of = lambda e: F.when(F.col("expert_id") == e, F.col("loss"))
+    one = [F.when(F.count_if(F.col("expert_id") == e) == 1, F.max(of(e))).alias(f"_loss{i}") for i, e in enumerate(experts)]
+    losses = scores.groupBy(key).agg(*one).select(key, F.array(*(f"_loss{i}" for i in range(len(experts)))).alias("expert_losses"))
+    return requests.join(losses.where(~F.exists("expert_losses", lambda x: x.isNull())), key)
 
 
 def score_violations(scores: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
@@ -65,7 +70,7 @@ def snapshot_at(requests: DataFrame, epochs: DataFrame, key: str, at: str = "ts"
 def eligible_experts(requests: DataFrame, replicas: DataFrame, key: str) -> DataFrame:
     """(key, experts): the sorted experts that have an eligible replica.  Replicas are first reduced to each expert's largest context."""
     most = replicas.where("state = 'READY'").groupBy("model_family", "expert_id").agg(F.max("max_context_tokens").alias("most"))
-    return requests.join(F.broadcast(most), "model_family").where("most >= needed").groupBy(key).agg(F.array_sort(F.collect_set("expert_id")).alias("experts"))
+    return requests.join(sent(most), "model_family").where("most >= needed").groupBy(key).agg(F.array_sort(F.collect_set("expert_id")).alias("experts"))
 
 
 def first_eligible(ranked: Column, experts: Column) -> Column:
@@ -128,20 +133,22 @@ def repeated_steps(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def epoch_means(train: DataFrame, valid: DataFrame, epoch: str, value: str, weight: str) -> DataFrame:
-    """Weighted mean, updates and samples of each epoch, and whether its validation is there."""
-    out = train.groupBy(epoch).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.count("*").alias("updates"), F.sum(weight).alias("samples"))
+    """Weighted mean, updates and samples of each epoch, and whether its validation is there.  The weighted values are summed without error."""
+    sums = exact_sums(train, [epoch], {"_sum": F.col(value) * F.col(weight)})
+    out = train.groupBy(epoch).agg(F.count("*").alias("updates"), F.sum(weight).alias("samples")).join(sums, epoch)
+    out = out.select(epoch, F.try_divide("_sum", F.col("samples").cast("double")).alias("mean"), "updates", "samples")
     done = valid.select(epoch).distinct().withColumn("_v", F.lit(True))
     return out.join(done, epoch, "left").withColumn("validation_recorded", F.coalesce("_v", F.lit(False))).drop("_v")
 
 
 def validation_means(batches: DataFrame, by: str = "epoch") -> DataFrame:
     """loss, top1_accuracy and mean_routing_regret of each validation from its batches: loss (a batch's mean), top1_correct,
-    routing_regret_sum and batch_samples.  Batches count by their samples; a loss that isn't finite fails the query."""
-    finite = F.when(F.isnan("loss") | (F.abs("loss") == float("inf")), F.raise_error(F.lit("loss is not finite"))).otherwise(F.col("loss"))
-    n = F.sum("batch_samples")
-    return batches.groupBy(by).agg(
-        (F.sum(finite * F.col("batch_samples")) / n).alias("loss"), (F.sum("top1_correct") / n).alias("top1_accuracy"), (F.sum("routing_regret_sum") / n).alias("mean_routing_regret"), n.alias("samples")
-    )
+    routing_regret_sum and batch_samples.  Batches count by their samples, and sums are without error; a validation without samples has null
+    means; a value that isn't finite fails the query."""
+    values = {"loss": F.col("loss") * F.col("batch_samples"), "top1_accuracy": F.col("top1_correct"), "mean_routing_regret": F.col("routing_regret_sum")}
+    counted = batches.groupBy(by).agg(F.sum("batch_samples").alias("samples"))
+    mean = lambda c: F.try_divide(c, F.col("samples").cast("double")).alias(c)
+    return exact_sums(batches, [by], values).join(counted, by).select(by, *map(mean, values), "samples")
 
 
 # Two runs over the same questions

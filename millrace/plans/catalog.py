@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import routing as R
 from millrace.functions import text as T
-from millrace.operators import audit, conversation, corpus, groups, records, review, routing, rules
+from millrace.operators import audit, conversation, corpus, encoder, exact, groups, records, review, routing, rules
 from millrace.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,9 +391,11 @@ def mean_target_nll(spark, d):
     return rows.select("vec_id", F.round(R.mean_target_nll(ids(1, 2), ids(3, 10), F.col("lp")), 6).alias("nll"))
 
 
-@query("""SELECT step, round(CASE WHEN step < 10 THEN (step + 1) / 10.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 10) / 90.0))) END, 6) AS factor FROM (SELECT unnest(range(0, 100)) AS step)""")
+@query("""SELECT event_id AS step, round(CASE WHEN event_id < 300 THEN (event_id + 1) / 300.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (event_id - 300) / 2700.0))) END, 6) AS factor FROM events""")
 def lr_schedule(spark, d):
-    return spark.range(100).select(F.col("id").alias("step"), F.round(R.lr_factor(F.col("id"), 100, 0.1, 0.1), 6).alias("factor"))
+    """Events as steps of a run of 3,000, of which a tenth is warm-up; those beyond have the least rate."""
+    step = F.col("event_id")
+    return table(spark, d, "events").select(step.alias("step"), F.round(R.lr_factor(step, 3000, 0.1, 0.1), 6).alias("factor"))
 
 
 SQL_IDS = "i AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ids FROM conversations GROUP BY conv_id)"
@@ -411,13 +413,11 @@ def token_fingerprint(spark, d):
     return rows.select("conv_id", R.token_fingerprint(F.slice("ids", 1, F.size("ids") - 1), F.slice("ids", F.size("ids"), F.lit(1))).alias("tokens_sha256"))
 
 
-@query(f"""WITH {SQL_IDS} SELECT conv_id, list_concat(ids, list_transform(range(0, 40 - len(ids)), lambda x: CAST(0 AS BIGINT))) AS padded,
-list_transform(range(1, 41), lambda x: x <= len(ids)) AS mask FROM i WHERE len(ids) <= 40""")
+@query(f"""WITH {SQL_IDS}, n AS (SELECT *, (row_number() OVER (ORDER BY conv_id) - 1) // 16 AS batch FROM i), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width FROM n)
+SELECT conv_id, CAST(batch AS BIGINT) AS batch, list_concat(ids, list_transform(range(0, width - len(ids)), lambda x: CAST(0 AS BIGINT))) AS padded, list_transform(range(1, width + 1), lambda x: x <= len(ids)) AS mask FROM w""")
 def right_pad_mask(spark, d):
-    """To the longest conversation's width, 40 at least; the SQL has the width 40 only."""
-    rows = _ids(spark, d)
-    width = rows.agg(F.greatest(F.lit(40), F.max(F.size("ids"))).alias("width"))
-    return rows.crossJoin(F.broadcast(width)).select("conv_id", R.right_pad(F.col("ids"), F.col("width")).alias("padded"), R.pad_mask(F.col("ids"), F.col("width")).alias("mask"))
+    """Sixteen conversations a batch, each as wide as the batch's longest."""
+    return encoder.padded_batches(_ids(spark, d), "conv_id", "ids", 16)
 
 
 @query(f"WITH {SQL_IDS} SELECT conv_id, list_transform(range(0, CAST(ceil(len(ids) / 4.0) AS BIGINT)), lambda b: list_concat(ids[4 * b + 1 : 4 * b + 4], list_transform(range(0, 4 - len(ids[4 * b + 1 : 4 * b + 4])), lambda x: CAST(0 AS BIGINT)))) AS blocks FROM i")
@@ -425,10 +425,52 @@ def chunked_blocks(spark, d):
     return _ids(spark, d).select("conv_id", R.chunked(F.col("ids"), 4).alias("blocks"))
 
 
-@query("SELECT p, round(sin(p * 1.0), 6) AS s0, round(cos(p * 1.0), 6) AS s1, round(sin(p * 0.01), 6) AS s2, round(cos(p * 0.01), 6) AS s3, round(sin(p * 0.0001), 6) AS s4, round(cos(p * 0.0001), 6) AS s5 FROM (SELECT unnest(range(0, 50)) AS p)")
+@query("""SELECT conv_id, turn, round(sin(turn * 1.0), 6) AS s0, round(cos(turn * 1.0), 6) AS s1, round(sin(turn * 0.01), 6) AS s2, round(cos(turn * 0.01), 6) AS s3, round(sin(turn * 0.0001), 6) AS s4, round(cos(turn * 0.0001), 6) AS s5
+FROM conversations""")
 def sinusoid_positions(spark, d):
-    rows = spark.range(50).select(F.col("id").alias("p"), R.sinusoid(F.col("id").cast("double"), 6).alias("s"))
-    return rows.select("p", *[F.round(F.get("s", F.lit(i)), 6).alias(f"s{i}") for i in range(6)])
+    """Of each turn's place in its conversation."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", R.sinusoid(F.col("turn").cast("double"), 6).alias("s"))
+    return rows.select("conv_id", "turn", *[F.round(F.get("s", F.lit(i)), 6).alias(f"s{i}") for i in range(6)])
+
+
+@query(f"SELECT doc_id, round(ln(1 + {SQL_WORDS.format('text')}) / ln(8193), 6) AS length_feature, round(ln(1 + n_chars) / ln(2049), 6) AS budget_feature FROM documents")
+def length_features(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.round(R.scaled_log1p(words(F.col("text")), 8192), 6).alias("length_feature"), F.round(R.scaled_log1p(F.col("n_chars"), 2048), 6).alias("budget_feature"))
+
+
+SQL_TOKENS = "tk AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0 ELSE length(text) % 505 END AS vec_id FROM conversations)"
+
+
+@query(f"""WITH {SQL_TOKENS}, f AS (SELECT conv_id, list(round(embedding[1], 6) ORDER BY turn) AS firsts, list(round(embedding[64], 6) ORDER BY turn) AS lasts, count(*) - count(embedding) AS missing FROM tk LEFT JOIN embeddings USING (vec_id) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN missing = 0 THEN firsts END AS firsts, CASE WHEN missing = 0 THEN lasts END AS lasts, CASE WHEN missing > 0 THEN 'token_out_of_range' END AS problem FROM f""")
+def token_vectors(spark, d):
+    """Vectors of token ids, of which a third are the same and some have no vector in the smaller tables."""
+    token = F.when(F.col("turn") % 3 == 0, 0).otherwise(F.length("text") % 505).cast("long")
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", token.alias("t")))).alias("m")).select("conv_id", F.transform("m", lambda m: m["t"]).alias("ids"))
+    out = encoder.looked_up(rows, table(spark, d, "embeddings"), "conv_id", "ids", "vec_id", "embedding")
+    at = lambda i: F.transform("vectors", lambda v: F.round(F.get(v, F.lit(i)), 6))
+    return out.select("conv_id", at(0).alias("firsts"), at(63).alias("lasts"), "problem")
+
+
+@query("""WITH s AS (SELECT label, 8 * CAST(embedding[1] AS DOUBLE) AS z, embedding AS v FROM embeddings), m AS (SELECT *, exp(z - max(z) OVER (PARTITION BY label)) AS w FROM s)
+SELECT label, round(sum(w * v[2]) / sum(w), 6) AS p1, round(sum(w * v[33]) / sum(w), 6) AS p32, round(sum(w * v[64]) / sum(w), 6) AS p63 FROM m GROUP BY label""")
+def softmax_pooling(spark, d):
+    """Embeddings of a label as one sequence, pooled by pieces of 16 that are merged 4 at a time."""
+    rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding", (F.lit(8.0) * F.get("embedding", F.lit(0))).alias("score"))
+    out = encoder.softmax_pool(rows, ["label"], "vec_id", "score", "embedding", cut=16, fan_in=4)
+    return out.select("label", *[F.round(F.get("pooled", F.lit(i)), 6).alias(f"p{i}") for i in (1, 32, 63)])
+
+
+SQL_ILL = "CAST(round(value * 1000) AS BIGINT) * (CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 16777216 END) * (CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END)"
+
+
+@query(f"SELECT event_type, CAST(CAST(sum({SQL_ILL}) AS BIGINT) AS DOUBLE) / 1024 AS total, CAST(CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS DOUBLE) AS plain FROM events GROUP BY 1")
+def exact_event_sums(spark, d):
+    """Values of very different sizes and both signs; the SQL adds them up as whole numbers."""
+    i, whole = F.col("event_id"), F.round(F.col("value") * 1000)
+    sized = whole * F.when(i % 3 == 0, 1.0).when(i % 3 == 1, 1024.0).otherwise(16777216.0) * F.when(i % 2 == 0, 1.0).otherwise(-1.0) / 1024.0
+    return exact.exact_sums(table(spark, d, "events"), ["event_type"], {"total": sized, "plain": whole})
 
 
 @query(f"WITH {SQL_IDS} SELECT conv_id, CASE WHEN list_max(ids) >= 900 THEN 'token_out_of_range' WHEN conv_id % 5 = 0 THEN 'budget' END AS violation FROM i")

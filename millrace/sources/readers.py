@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import is_blank
+from millrace.operators.joins import sent
 
 MESSAGES = "array<struct<role: string, content: string>>"
 #: Schemas of raw sources and of records.
@@ -40,7 +41,7 @@ def ordinal(rows: DataFrame, path: str = "_path", row: str = "_row") -> DataFram
     """Adds ordinal: the running place over all files.  Files' counts (one row a file) precede places within them."""
     sizes = rows.groupBy(path).agg((F.max(row) + 1).alias("_n"))
     before = sizes.select(path, F.coalesce(F.sum("_n").over(Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), path).withColumn("ordinal", F.col(row) + F.col("_before")).drop("_before")
+    return rows.join(sent(before), path).withColumn("ordinal", F.col(row) + F.col("_before")).drop("_before")
 
 
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +147,7 @@ def cached_scores(spark: SparkSession, path: str, expert: str) -> tuple[DataFram
 
 def wanted(rows: DataFrame, keys: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
     """(rows of the wanted keys in the order of their ordinal, wanted keys that were not found)."""
-    found = rows.join(F.broadcast(keys), list(by)).orderBy("ordinal")
+    found = rows.join(sent(keys), list(by)).orderBy("ordinal")
     return found, keys.join(rows.select(*by).distinct(), list(by), "left_anti")
 
 
