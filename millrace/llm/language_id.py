@@ -11,10 +11,9 @@ n-gram) knows the exact code length of its last byte by language, escapes includ
 scoring looks a text up once, whatever the number of languages: n-grams by array lookups
 from their beginnings, then one row of code lengths.
 
-Learning takes a bounded sample: SAMPLE different texts of a language, chosen by a hash among
-those not longer than SAMPLE_BYTES, however often each occurs; a language that has only
-longer texts is learned from the first SAMPLE_BYTES characters of those.  All texts are
-scored whole.
+Learning takes a bounded sample: SAMPLE different texts of a language, chosen by a hash,
+however often each occurs; of a text longer than SAMPLE_BYTES its first SAMPLE_BYTES
+characters.  All texts are scored whole.
 
 Defined results: null texts and those without a letter (Unicode's categories L*) are `und` with score 0; otherwise
 score is the winner's share of the probability among all languages, each at its code
@@ -161,16 +160,14 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, lang: str = "lang", text: str = "text") -> dict[str, list[str]]:
     """`most` different texts of each language, or all if there are fewer, chosen by a hash of the text."""
     named = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = named.select(F.col(lang).alias("lang"), (F.octet_length(text) > SAMPLE_BYTES).alias("long"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    different: dict[str, dict[bool, int]] = {}
-    for r in rows.select("lang", "long", "h").distinct().groupBy("lang", "long").agg(F.count("*").alias("n")).collect():  # languages are few
-        different.setdefault(r["lang"], {})[r["long"]] = r["n"]
+    rows = named.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    different = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # languages are few
     if not different:
         return {}
     share = F.lit(0.0)
     for name, n in different.items():
-        share = F.when((F.col("lang") == name) & (F.col("long") == (False not in n)), F.lit(1.5 * most / n.get(False, n.get(True)))).otherwise(share)
-    part = F.when(F.col("long"), F.substring("text", 1, SAMPLE_BYTES)).otherwise(F.col("text")).alias("text")
+        share = F.when(F.col("lang") == name, F.lit(1.5 * most / n)).otherwise(share)
+    part = F.when(F.octet_length("text") > SAMPLE_BYTES, F.substring("text", 1, SAMPLE_BYTES)).otherwise(F.col("text")).alias("text")
     chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "h", part).distinct()
     out: dict[str, list[str]] = {name: [] for name in different}
     for r in chosen.orderBy("h", "lang", "text").limit(3 * most * len(different)).collect():

@@ -48,6 +48,7 @@ HEAD, KNOWN, CLASSES, HIDDEN, DIM = 2048, 1 << 16, 48, 24, 16
 SAMPLE, SAMPLE_BYTES, LANES, STEPS, RATE, SEED = 1200, 1 << 15, 48, 16, 0.01, 11
 WINDOW, CHUNK = 128, (4 << 20) - 1
 SHARD, WIDE, PIECE, SLICE = 1 << 20, 256, 1024, 4096  # tokens a copy trains on, its lanes, tokens a piece, parameters a row
+TASKS = 4096  # that train, at most; beyond that many shards a task trains several copies
 END = -1  # the key of a document's end
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -401,7 +402,7 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
 
 def learned(docs: DataFrame, model: Model, text: str = "text", shard: int = SHARD) -> dict[str, np.ndarray]:
     """The model's parameters after training on all rows: the mean of the shards' copies.  Which rows are in a shard, and their
-    order, depends on the rows alone."""
+    order, depends on the rows alone.  What is shuffled of a task is one copy's parameters, and there are TASKS tasks at most."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = sorted(model.p)
@@ -416,19 +417,27 @@ def learned(docs: DataFrame, model: Model, text: str = "text", shard: int = SHAR
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids.cast(pa.binary())], ["key", "ids"])
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, block, size, seen = replace(shared.value, p={k: v.copy() for k, v in shared.value.p.items()}), [], 0, 0
+        """A copy for each 2 * shard tokens, or for all there are; a task adds its copies up, by their tokens, and passes on one."""
+        total, seen, block, size = 0.0, 0, [], 0
+
+        def copy() -> np.ndarray:
+            m = replace(shared.value, p={k: v.copy() for k, v in shared.value.p.items()})
+            train(m, block, min(WIDE, max(1, size // PIECE)), rate=RATE / 4, piece=PIECE)
+            return np.concatenate([m.p[k].reshape(-1) for k in names]).astype(np.float64) * size
+
         for batch in batches:
             for x in batch.column("ids"):
                 block.append(np.frombuffer(x.as_buffer(), np.int32))
                 size += len(block[-1]) + 1
-                if size >= 2 * shard:  # bounds the memory where copies of one row meet
-                    train(m, block, min(WIDE, max(1, size // PIECE)), rate=RATE / 4, piece=PIECE)
-                    block, size, seen = [], 0, seen + size
-        train(m, block, min(WIDE, max(1, size // PIECE)), rate=RATE / 4, piece=PIECE)
-        if seen + size:
-            flat = np.concatenate([m.p[k].reshape(-1) for k in names]).astype(np.float32)
+                if size >= 2 * shard:
+                    total, seen = total + copy(), seen + size
+                    block, size = [], 0
+        if size:
+            total, seen = total + copy(), seen + size
+        if seen:
+            flat = (total / seen).astype(np.float32)
             parts = [flat[at : at + SLICE].tobytes() for at in range(0, len(flat), SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen + size)] * len(parts)), pa.array(parts, pa.binary())], ["part", "weight", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], ["part", "weight", "p"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -442,7 +451,7 @@ def learned(docs: DataFrame, model: Model, text: str = "text", shard: int = SHAR
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["part", "p"])
 
     rows = docs.select(F.xxhash64(*docs.columns).alias("key"), F.col(text).alias("_text")).mapInArrow(number, "key bigint, ids binary")
-    shards = max(1, -(-model.total // shard))
+    shards = min(TASKS, max(1, -(-model.total // shard)))
     trained = rows.repartition(shards, "key").sortWithinPartitions("key", "ids").mapInArrow(copies, "part int, weight double, p binary")
     got = trained.repartition("part").mapInArrow(mean, "part int, p binary").collect()  # one set of parameters
     if not got:
@@ -519,7 +528,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     scored = rows.mapInArrow(network, "_id bigint, _key bigint, n_tokens bigint, known bigint, base double, lp double")
     pairs = rows.select("_text").mapInArrow(rare, "word bigint, key bigint, times int")
-    met = pairs.join(counts, "word", "left")
+    # A text's own row (null) has no count to meet, so it is spread by its key.
+    own = pairs.withColumn("spread", F.when(F.col("word").isNull(), F.col("key")).otherwise(0))
+    met = own.join(counts.withColumn("spread", F.lit(0).cast("long")), ["word", "spread"], "left")
     sums = met.groupBy("key").agg(
         F.sum(F.col("times") * F.log(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("seen"), F.count_if(F.col("word").isNull()).alias("copies")
     )

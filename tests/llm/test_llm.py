@@ -315,8 +315,12 @@ def test_language_sample_under_skew(spark):
     rows = [(f"l{k}", f"copied {k}") for k in range(10) for _ in range(995)] + [(f"l{k}", f"own {k} {i}") for k in range(10) for i in range(5)]
     rows += [("long", f"{i} " + "ab " * 12_000) for i in range(3)] + [("l0", "cd " * 12_000), (None, "none"), ("null", None)]
     got = language_id.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
-    assert {k: sorted(v) for k, v in got.items() if k != "long"} == {f"l{k}": sorted([f"copied {k}", *(f"own {k} {i}" for i in range(5))]) for k in range(10)}
-    assert sorted(t[:4] for t in got["long"]) == ["0 ab", "1 ab", "2 ab"]
+    cut = ("cd " * 12_000)[: language_id.SAMPLE_BYTES]
+    assert {k: sorted(v) for k, v in got.items() if k != "long"} == {f"l{k}": sorted([f"copied {k}", *(f"own {k} {i}" for i in range(5)), *[cut] * (k == 0)]) for k in range(10)}
+    assert sorted(t[:4] for t in got["long"]) == ["0 ab", "1 ab", "2 ab"] and {len(t) for t in got["long"]} == {language_id.SAMPLE_BYTES}
+    # One short text among long ones is one of all.
+    rows = [("a", "short")] + [("a", f"{i} " + "xyz " * 9000) for i in range(40)] + [("b", "other")]
+    assert {k: len(v) for k, v in language_id.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True)).items()} == {"a": 41, "b": 1}
     # Two thirds copies: as many as without them.
     rows = [("a", f"text {i}") for i in range(1000)] + [("a", "text 0")] * 2000
     assert len(language_id.sample(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))["a"]) == language_id.SAMPLE
@@ -580,6 +584,20 @@ def test_lm_learns_from_every_row(spark):
     assert all(np.allclose(model.p[k], again.p[k], atol=1e-6) for k in model.p)
 
 
+def test_lm_tasks_add_their_copies_up(spark, monkeypatch):
+    """One task that trains all copies gives what as many tasks do, up to how rows fall into copies; and the rows of texts aren't one key."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(40))) for i in range(60)], "doc_id bigint, text string")
+    model = lm_scoring.build(lm_scoring.count_words(docs, "text"))
+    monkeypatch.setattr(lm_scoring, "TASKS", 1)
+    one = lm_scoring.learned(docs, model, shard=300)
+    monkeypatch.setattr(lm_scoring, "TASKS", 9)
+    many = lm_scoring.learned(docs, model, shard=300)
+    assert all(np.isfinite(v).all() for p in (one, many) for v in p.values())
+    changed = {k for k, v in one.items() if not np.array_equal(v, model.p[k])}
+    assert changed and changed == {k for k, v in many.items() if not np.array_equal(v, model.p[k])}
+    assert all(np.abs(v - many[k]).mean() < 0.1 for k, v in one.items())
+
+
 def test_lm_head_grows(spark):
     counts = spark.range(4_000_000).select(F.when(F.col("id") == 0, lm_scoring.END).otherwise(F.col("id")).alias("word"), F.when(F.col("id") < 9000, F.lit(3)).otherwise(F.lit(1)).cast("long").alias("c"))
     assert lm_scoring.build(counts).rest == 4000
