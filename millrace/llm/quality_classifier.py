@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.chunks(batch, name):
+            for part in spans.chunks(batch, name, spans.CHUNK_BYTES // 4):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(pc.fill_null(part.column(name), "")))], [*part.schema.names, into])
 
     return docs.mapInArrow(run, schema)

@@ -288,7 +288,7 @@ def encode_decode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text:
         is_byte = np.zeros(len(p.raw), bool)
         is_byte[p.byte_ids[p.byte_ids >= 0]] = True
         for batch in batches:
-            for part in spans.chunks(batch, "_text"):
+            for part in spans.chunks(batch, "_text", spans.CHUNK_BYTES // 4):  # words and pieces take many times a text's bytes
                 texts = part.column("_text")
                 ids, counts = encoder.encode_texts(texts)
                 back, sizes = encoder.decode(ids, counts)
