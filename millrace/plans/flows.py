@@ -15,7 +15,7 @@ from millrace.functions import text as T
 from millrace.operators import cleaning, conversation, corpus, groups, records
 from millrace.plans.catalog import ORACLE_SQL, SQL_SEQUENCE, SQL_SPLIT, SQL_VECTORS, _replicas, _requests, _vectors, query, sql_canonical, table
 from millrace.sources import growing
-from millrace.streaming import keyed
+from millrace.streaming import keyed, windows
 from millrace.streaming import operators as streaming
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -175,3 +175,24 @@ def stream_score_cache(spark, d):
     )
     asks, soon, late = rows.select("ask.*"), rows.where("vec_id % 4 <> 0").select("score.*"), rows.where("vec_id % 4 = 0").select("score.*")
     return _restarted(spark, "cache", [asks.union(soon), asks, late], keyed.score_cache).select("id", "state", "loss")
+
+
+@query("SELECT conv_id, CAST((row_number() OVER (ORDER BY conv_id DESC) - 1) // 24 AS BIGINT) AS batch FROM (SELECT DISTINCT conv_id FROM conversations)")
+def stream_admitted_windows(spark, d):
+    """Conversations, the newest first, admitted six batches of four at a time, and the number of the batch that brought each; stopped halfway and started again."""
+    at = f"{groups.shared_folder(spark)}/millrace-core/windows-{uuid.uuid4().hex}"
+    rows = table(spark, d, "conversations").select("conv_id").distinct().withColumn("late", -F.col("conv_id"))
+    n = windows.write_windows(rows, ["late"], f"{at}/in", 4)
+
+    def run(most: int) -> None:
+        keep = lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{at}/out")
+        stream = windows.admitted(spark, f"{at}/in", most, rows.select("conv_id").schema)
+        query_ = stream.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(keep).start()
+        try:
+            query_.processAllAvailable()
+        finally:
+            query_.stop()
+
+    run((n + 1) // 2)
+    run(n)
+    return spark.read.schema("conv_id long, batch long").parquet(f"{at}/out")

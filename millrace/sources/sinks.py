@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.growing import BLOCK, _open
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
+#: Larger files are hashed block by block.
+WHOLE_BYTES = 64 << 20
+
 
 def by_split(rows: DataFrame, path: str, *by: str, format_: str = "parquet") -> None:
     """One folder for each split (or shard), which readers can prune to; an existing path is an error."""
@@ -48,10 +61,30 @@ def require_identity(spark: SparkSession, path: str, identity: dict) -> bool:
     return True
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of each file below."""
+def _hash_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            digest = hashlib.sha256()
+            system, at = _open(name)
+            with system.open_input_stream(at) as file:
+                while block := file.read(BLOCK):
+                    digest.update(block)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([digest.hexdigest()])], ["path", "bytes", "sha256"])
+
+
+def digests(spark: SparkSession, path: str, most_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """path, bytes and sha256 of each file below, but for those whose name begins with a dot or an underscore.  Files up to `most_bytes` are one
+    value each; larger ones are read block by block in the tasks, in constant memory.  Paths are those that pyarrow.fs opens."""
+    system, top = _open(path)
+    found = system.get_file_info(fs.FileSelector(top, recursive=True)) if system.get_file_info(top).type == fs.FileType.Directory else [system.get_file_info(top)]
+    hidden = lambda name: any(x.startswith((".", "_")) for x in name.removeprefix(top).split("/"))
+    # Spark leaves out files without a byte.
+    empty = [(f"{path.rstrip('/')}{f.path.removeprefix(top)}", 0, hashlib.sha256().hexdigest()) for f in found if f.type == fs.FileType.File and not f.size and not hidden(f.path)]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= most_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most_bytes).select("path", F.col("length").alias("bytes"))
+    none = spark.createDataFrame(empty, "path string, bytes long, sha256 string")
+    return small.unionByName(large.mapInArrow(_hash_blocks, "path string, bytes long, sha256 string")).unionByName(none)
 
 
 def manifest(spark: SparkSession, path: str, facts: dict, counts: dict[str, DataFrame], files: DataFrame | None = None) -> dict:
