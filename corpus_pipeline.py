@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents, so what a stage decides shows in the rows that it keeps.
+
+Defined results: a null text is the empty one, has too few words and goes with the first stage; rows with equal ids are judged each by its text;
+of equal and near-equal texts that of the smallest id stays, under one id that of the smallest hash, and equal rows stay together; a document without
+an id is no copy of any other.  A null in another column changes nothing.  An empty table gives an empty result at every stage.  Columns besides doc_id and text are passed on as they are, whatever
+their names, and play no part; the last stage returns only doc_id and its own columns.
 """
 
 from __future__ import annotations

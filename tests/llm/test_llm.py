@@ -629,3 +629,20 @@ def test_pipeline(spark):
     ids = [i for i in ids if brute_hits(kept[i], items)[1] == 0]
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == ids and all(r["round_trip"] for r in got)
+
+
+def test_pipeline_with_nulls_ties_repeats_and_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = {"n_words": F.lit(1), "score": F.lit("s"), "label": F.lit(None).cast("int"), "kept": F.lit(True), "_text": F.lit(0)}
+    odd = spark.createDataFrame([(None, "no id " * 40, None, None, None), (5000, None, "en", "s", 0), (5001, "", None, None, None), (None, None, None, None, None)], SCHEMA)
+    rows = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 9000)).union(odd.select(*docs.columns)).withColumns(extra)
+    rows.write.parquet(f"{tmp_path}/some/documents.parquet")
+    rows.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        for d in ("some", "none"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{d}/{t}.parquet")
+    got = collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect())
+    before = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert not {i for i in got if i is not None and i >= 5000} and all(got[i] == 2 for i in before if i < 40 and i in got)
+    assert len(before & set(got)) > 0.9 * len(before)  # the classifier has learned from more rows
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
