@@ -707,7 +707,7 @@ def stream_pair_losses(spark, d):
 @query("SELECT event_id AS step, value AS loss FROM events")
 def stream_log_tail(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
-    at = f"{groups.shared_folder(spark)}/millrace-core/log-{streaming.uuid.uuid4().hex}"
+    at = groups.scratch(spark, "log")
     rows.repartition(3).write.json(at)
     return streaming.run_available(streaming.log_tail(spark, at, "step bigint, loss double"), "tail")
 

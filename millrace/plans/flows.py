@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 @query("SELECT event_id AS step, value AS loss FROM events")
 def growing_event_log(spark, d):
     """Events as log lines of several writers, whose files grow between the runs of one stream and end inside lines."""
-    at = f"{groups.shared_folder(spark)}/millrace-core/growing-{uuid.uuid4().hex}"
+    at, run = groups.scratch(spark, "growing"), groups.scratch(spark, "growing-run")
     lines = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("step"), F.col("value").alias("loss"), F.lit("é日😀").alias("note"))).alias("line"))
     lines = lines.repartition(4, "event_id").sortWithinPartitions("event_id").select("line")
 
@@ -44,7 +43,7 @@ def growing_event_log(spark, d):
     out = None
     for share in (3, 7, 10):
         lines.mapInArrow(writer(share), "n long").agg(F.sum("n")).collect()
-        out = streaming.run_resumed(growing.growing_lines(spark, at, range_bytes=1 << 16), f"{at}-run")
+        out = streaming.run_resumed(growing.growing_lines(spark, at, range_bytes=1 << 16), run)
     return out.select(F.from_json("value", "step bigint, loss double", {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -145,10 +144,10 @@ def cleaning_counters(spark, d):
 
 def _restarted(spark, name: str, steps: list[DataFrame], stream) -> DataFrame:
     """What a query gives that is stopped after each step's rows and started again."""
-    at = f"{groups.shared_folder(spark)}/millrace-core/{name}-{uuid.uuid4().hex}"
+    source, run = groups.scratch(spark, f"{name}-in"), groups.scratch(spark, name)
     for rows in steps:
-        rows.write.mode("append").parquet(f"{at}-in")
-        out = keyed.run_keyed(stream(spark.readStream.schema(rows.schema).parquet(f"{at}-in")), at)
+        rows.write.mode("append").parquet(source)
+        out = keyed.run_keyed(stream(spark.readStream.schema(rows.schema).parquet(source)), run)
     return out
 
 
@@ -180,7 +179,7 @@ def stream_score_cache(spark, d):
 @query("SELECT conv_id, CAST((row_number() OVER (ORDER BY conv_id DESC) - 1) // 24 AS BIGINT) AS batch FROM (SELECT DISTINCT conv_id FROM conversations)")
 def stream_admitted_windows(spark, d):
     """Conversations, the newest first, admitted six batches of four at a time, and the number of the batch that brought each; stopped halfway and started again."""
-    at = f"{groups.shared_folder(spark)}/millrace-core/windows-{uuid.uuid4().hex}"
+    at = groups.scratch(spark, "windows")
     rows = table(spark, d, "conversations").select("conv_id").distinct().withColumn("late", -F.col("conv_id"))
     n = windows.write_windows(rows, ["late"], f"{at}/in", 4)
 

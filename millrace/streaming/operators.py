@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.groups import cut, shared_folder
+from millrace.operators.groups import cut, scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -131,7 +131,7 @@ def publish(spark: SparkSession, snapshots: DataFrame, path: str, batch: int | N
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into a table in the shared folder, and reads that."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/millrace-core/{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, name)
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
