@@ -53,6 +53,8 @@ from millrace.llm.storage import drop_written, written
 WORDS, PERCENT, SHORT, ROUNDS, HEADS, FILTER_WORDS = 5, 75, 16, 2, 4, 1 << 17
 #: Buckets of the sketch (a power of two), and the blocks in which it travels.
 BITS, SKETCH_BLOCKS = 22, 64
+#: Buckets whose levels are found at once, so that the driver holds little besides the sketch; words of a bit filter that come to it as one value.
+LEVEL_BLOCK, FILTER_BLOCK = 1 << 16, 1 << 10
 #: Postings that a task holds before it passes them on, postings of a part, and tokens of a block.
 CHUNK, PART, BLOCK = 1 << 21, 1 << 20, 1 << 20
 #: What a candidate costs, in postings; how many others are expected to have a token that doesn't stand out, at least and by the
@@ -134,9 +136,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def levels(counts: np.ndarray) -> np.ndarray:
     """Of each bucket 0 if its count is what chance gives, else one more than twice the logarithm of the rest."""
-    mean = counts.mean()
-    over = counts - mean
-    return np.where(over <= 4 * np.sqrt(mean) + 1, 0, np.minimum(1 + np.floor(2 * np.log2(np.maximum(over, 1))), 63)).astype(np.uint8)
+    mean, out = counts.mean(dtype=np.float64), np.zeros(len(counts), np.uint8)
+    for at in range(0, len(counts), LEVEL_BLOCK):
+        over = counts[at : at + LEVEL_BLOCK] - mean
+        out[at : at + LEVEL_BLOCK] = np.where(over <= 4 * np.sqrt(mean) + 1, 0, np.minimum(1 + np.floor(2 * np.log2(np.maximum(over, 1))), 63))
+    return out
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -161,10 +165,12 @@ def _levels(rows: DataFrame) -> tuple[np.ndarray, int, float]:
     """The level of each bucket, how many tokens there are, and how many others have an ordinary one.  Only the sketch, of fixed size, comes to the driver."""
     schema = "block int, counts binary"
     sketches = rows.where("block IS NOT NULL").select("block", "counts").mapInArrow(_added, schema)
-    counts = np.zeros((SKETCH_BLOCKS, (1 << BITS) // SKETCH_BLOCKS), np.float64)
-    for r in sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_added, schema).collect():
-        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    return levels(counts.reshape(-1)), int(counts.sum()), max(ORDINARY, HIDDEN * float(np.sqrt(counts.mean())))
+    counts = np.zeros((SKETCH_BLOCKS, (1 << BITS) // SKETCH_BLOCKS), np.uint32)
+    packed = sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_added, schema).toArrow()
+    for k in range(packed.num_rows):
+        counts[packed.column("block")[k].as_py()] = np.frombuffer(zlib.decompress(packed.column("counts")[k].as_py()), "<u4")
+    counts = counts.reshape(-1)
+    return levels(counts), int(counts.sum(dtype=np.uint64)), max(ORDINARY, HIDDEN * float(np.sqrt(counts.mean(dtype=np.float64))))
 
 
 def keys(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -328,9 +334,11 @@ def _bits(values: DataFrame) -> np.ndarray:
     """A bit filter of fixed size over a column of longs, `key`."""
     at = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    for r in values.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("b")).collect():  # FILTER_WORDS rows at most
-        bits[r["at"]] = r["b"]
+    words = values.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("b"))
+    blocks = words.groupBy(F.floor(F.col("at") / FILTER_BLOCK)).agg(F.collect_list("at").alias("at"), F.collect_list("b").alias("b"))
+    bits, table = np.zeros(FILTER_WORDS, np.int64), blocks.toArrow()  # FILTER_WORDS words at most, in few rows
+    for k in range(table.num_rows):
+        bits[table.column("at")[k].values.to_numpy()] = table.column("b")[k].values.to_numpy()
     return bits
 
 

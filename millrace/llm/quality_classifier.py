@@ -77,6 +77,13 @@ def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield (h >> np.uint32(32 - BITS))[inside[:-2]].astype(np.int64) + (2 << BITS), np.maximum(n - 2, 0)
 
 
+def held(values: np.ndarray) -> np.ndarray:
+    """The values in Arrow's memory, which goes back to the system as a whole; many small arrays of numpy's would leave the driver as large as they made it."""
+    out = np.frombuffer(pa.allocate_buffer(values.nbytes), values.dtype)
+    out[:] = values
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Vectors and output layer by gradient descent, one document a step, with a falling rate."""
     weights = np.zeros(BAGS << BITS, np.float32)
@@ -84,15 +91,15 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
         return Model(weights, 0.0)
     rng = np.random.default_rng(seed)
     docs: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(texts), 200):
-        part = pa.array(texts[at : at + 200], pa.string())
+    for at in range(0, len(texts), 50):
+        part = pa.array(texts[at : at + 50], pa.string())
         each = [(f, np.cumsum(c) - c, c) for f, c in bags(part)]
         for k in range(len(part)):
             some = [(f[s[k] : s[k] + c[k]], c[k]) for f, s, c in each if c[k]]
             found = [(np.unique(f, return_counts=True), c) for f, c in some]
             index = np.concatenate([u for (u, _), _ in found]) if found else np.empty(0, np.int64)
             share = np.concatenate([t / c / len(found) for (_, t), c in found]) if found else np.empty(0)
-            docs.append((index.astype(np.int32), share.astype(np.float32)))
+            docs.append((held(index.astype(np.int32)), held(share.astype(np.float32))))
     vectors = rng.normal(0, 0.1, (BAGS << BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (2, DIM)).astype(np.float32), np.zeros(2, np.float32)
     steps, step = epochs * len(docs), 0
@@ -140,7 +147,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, **of) -> Model:
-    return train(*sample(docs, labels, learn, **of))
+    model = train(*sample(docs, labels, learn, **of))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
