@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions.matching import contains_any
@@ -165,5 +166,7 @@ def seeded_order(rows: DataFrame, id_: str, seed: int) -> DataFrame:
 
 
 def scoring_order(rows: DataFrame, *ties: str | Column, prompt: str = "input_ids", target: str = "target_ids") -> DataFrame:
-    """Rows by their number of tokens, so that those scored together are about as long; equals keep the order of `ties`."""
-    return rows.orderBy(F.size(prompt) + F.size(target), *ties)
+    """Rows by their number of tokens, so that those scored together are about as long; equals keep the order of `ties`.
+    prompt and target: arrays of ids, or numbers of tokens, so that no ids need to travel with the rows that are sorted."""
+    count = lambda c: F.col(c) if isinstance(rows.schema[c].dataType, T.NumericType) else F.size(c)
+    return rows.orderBy(count(prompt) + count(target), *ties)
