@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import corpus
 from millrace.plans import catalog
+from millrace.streaming import keyed
 
 
 def test_scoring_order_carries_numbers(spark, tmp_path):
@@ -17,3 +18,15 @@ def test_scoring_order_of_arrays_and_numbers(spark):
     arrays = rows.select("id", F.array_repeat(F.lit(0), F.col("p")).alias("input_ids"), F.array_repeat(F.lit(0), F.col("t")).alias("target_ids"))
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(corpus.scoring_order(arrays, "id")) == ids(corpus.scoring_order(rows, "id", prompt="p", target="t"))
+
+
+def test_round_robin_sends_no_lists_along(spark, tmp_path):
+    """Rows that are dealt carry a number of choices, so a pool of 300 replicas makes no row wider; and a large registry needs no bound."""
+    replicas = spark.range(300).select(F.lit("f").alias("model_family"), F.lit("e").alias("expert_id"), F.lit("p").alias("pool_id"), F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("replica_id"), F.lit(9).alias("max_context_tokens"), F.lit("READY").alias("state"))
+    asked = spark.range(700).select("id", F.lit("f").alias("model_family"), F.lit("e").alias("expert_id"), F.lit(5).cast("long").alias("needed"))
+    asked.write.parquet(f"{tmp_path}/in")
+    placed = keyed.round_robin(spark.readStream.schema(asked.schema).parquet(f"{tmp_path}/in"), replicas)
+    exchanges = [x for x in placed._jdf.queryExecution().analyzed().toString().splitlines() if "TransformWithState" in x]
+    assert exchanges and not any("replica_id" in x and "pools" in x for x in exchanges) and not [c for c in ("own", "pools") if f"{c}#" in "".join(exchanges)]
+    got = {r["id"]: r["replica_id"] for r in keyed.run_keyed(placed, f"{tmp_path}/run").collect()}
+    assert got == {i: f"r{i % 300:03d}" for i in range(700)}
