@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bounded_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 
@@ -19,6 +21,7 @@ def contains_any(text: Column, patterns: list[str]) -> Column:
     A null text contains none, and no pattern is in no text.  The patterns travel with the tasks and take about 60 bytes a character
     in a worker, so callers bound them; each task builds its automaton once.
     """
+    bounded_batches()
 
     @F.pandas_udf("boolean")
     def contains(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

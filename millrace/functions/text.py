@@ -8,12 +8,14 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
+#: Bytes of texts that a Python worker is handed at once.
+BATCH_BYTES = 1 << 20
 #: ASCII characters that separate words, as Unicode-aware splitting sees them.
 ASCII_BLANKS = r"[\x09-\x0D\x1C-\x20]+"
 #: Unicode's white space, with the separators among the ASCII control characters.
@@ -28,8 +30,17 @@ def _unicode_canonical(texts: pd.Series) -> pd.Series:
 _unicode_udf = F.pandas_udf(_unicode_canonical, StringType())
 
 
+def bounded_batches() -> None:
+    """Bounds what Arrow hands to Python at once by bytes too: 10,000 texts can have any size, and a worker holds them several times.
+    For the session; a smaller bound of the caller's stays."""
+    spark = SparkSession.getActiveSession()
+    if spark and (spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def canonical(text: Column) -> Column:
-    """NFKC, case folding and single spaces.  ASCII texts stay in the JVM; only the others go to Python, in Arrow batches."""
+    """NFKC, case folding and single spaces.  ASCII texts stay in the JVM; only the others go to Python, in Arrow batches of BATCH_BYTES."""
+    bounded_batches()
     ascii_only = text.rlike(r"^\p{ASCII}*$")
     native = F.when(ascii_only, F.trim(F.regexp_replace(F.lower(text), ASCII_BLANKS, " ")))
     return F.coalesce(native, _unicode_udf(F.when(~ascii_only, text)))

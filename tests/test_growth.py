@@ -1,7 +1,9 @@
 """Queries whose work must follow the rows, not the numbers in them nor the length of what rows are matched with."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators import corpus
 from millrace.plans import catalog
 from millrace.streaming import keyed
@@ -30,3 +32,18 @@ def test_round_robin_sends_no_lists_along(spark, tmp_path):
     assert exchanges and not any("replica_id" in x and "pools" in x for x in exchanges) and not [c for c in ("own", "pools") if f"{c}#" in "".join(exchanges)]
     got = {r["id"]: r["replica_id"] for r in keyed.run_keyed(placed, f"{tmp_path}/run").collect()}
     assert got == {i: f"r{i % 300:03d}" for i in range(700)}
+
+
+def test_python_gets_few_bytes_at_once(spark):
+    """3,000 texts of 20 KB aren't one batch any more, as they were while only rows were counted."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("é"), 10_000).alias("t"))
+        assert texts.select(T.canonical(F.col("t")).alias("c")).where("length(c) = 10000").count() == 3000
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        assert sizes.agg(F.max("n")).first()[0] < 3 * T.BATCH_BYTES
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1000)
+        T.canonical(F.col("t"))
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
