@@ -1,6 +1,7 @@
 """Queries whose work must follow the rows, not the numbers in them nor the length of what rows are matched with."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -47,3 +48,13 @@ def test_python_gets_few_bytes_at_once(spark):
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000"
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+@pytest.mark.parametrize("name", ["split_isolation_violations", "repeated_reference_audit", "record_reasons"])
+def test_queries_of_canonical_texts_are_bounded(spark, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == T.BATCH_BYTES
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
