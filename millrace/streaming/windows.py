@@ -1,7 +1,8 @@
-"""Admission by rows: a stream that takes exactly one window of rows a batch, in the caller's order.
+"""Admission by rows: a stream that takes windows of rows in the caller's order, exactly one a batch, or up to `at_once` of them.
 
 Rows are numbered by ranges and written with their window; the source's offset is the number of windows admitted.  A window has at most
-`most_rows` rows, so one task reads it.  A batch that is run again reads the same window, and a restart goes on with the next one.
+`most_rows` rows and is one task's, so no more windows are in work at once than there are cores, whatever `at_once` is; that is for streams of so many windows
+that a batch for each takes too long.  A column `window` of the schema gives a row's window.  A batch that is run again reads the same windows, and a restart goes on with the next one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from millrace.sources.growing import _open
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
-PLACE = "_place"
+PLACE, WINDOW = "_place", "window"
 
 
 def window_size(batch: int, batches: int = 6, most_rows: int = 64) -> int:
@@ -49,15 +50,15 @@ class Window(InputPartition):
 
 
 class AdmittedStream(DataSourceStreamReader):
-    def __init__(self, path: str, windows: int, schema: StructType):
-        self._path, self._windows, self._columns, self._at = path, windows, schema.names, 0
+    def __init__(self, path: str, windows: int, schema: StructType, at_once: int = 1):
+        self._path, self._windows, self._columns, self._at, self._at_once = path, windows, schema.names, 0, at_once
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"windows": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        """One window more than the last planned batch has; Spark asks once a batch."""
-        return {"windows": min(self._at + 1, self._windows)}
+        """`at_once` windows more than the last planned batch has, if there are as many; Spark asks once a batch."""
+        return {"windows": min(self._at + self._at_once, self._windows)}
 
     def partitions(self, start: dict, end: dict) -> list[Window]:
         self._at = end["windows"]  # also called after a restart, with the last offset as both
@@ -67,6 +68,8 @@ class AdmittedStream(DataSourceStreamReader):
         system, top = _open(self._path)
         files = [f.path for f in system.get_file_info(fs.FileSelector(f"{top}/window={partition.number}")) if f.base_name.endswith(".parquet")]
         table = pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read() for f in files]).sort_by(PLACE)
+        if WINDOW in self._columns:  # the folder's name, and not in the file
+            table = table.append_column(WINDOW, pa.array([partition.number] * table.num_rows, pa.int64()))
         yield from table.select(self._columns).to_batches()
 
     def commit(self, end: dict) -> None:
@@ -85,10 +88,12 @@ class AdmittedWindows(DataSource):
         raise ValueError("row_windows needs the schema of the rows")
 
     def streamReader(self, schema: StructType) -> AdmittedStream:  # noqa: N802
-        return AdmittedStream(self.options["path"], int(self.options["windows"]), schema)
+        return AdmittedStream(self.options["path"], int(self.options["windows"]), schema, int(self.options.get("atonce", self.options.get("atOnce", 1))))
 
 
-def admitted(spark: SparkSession, path: str, windows: int, schema: StructType) -> DataFrame:
-    """A stream over `write_windows`' rows, a window a batch."""
+def admitted(spark: SparkSession, path: str, windows: int, schema: StructType, at_once: int = 1) -> DataFrame:
+    """A stream over `write_windows`' rows, up to `at_once` windows a batch."""
+    if at_once < 1:
+        raise ValueError("a batch has one window at least")
     spark.dataSource.register(AdmittedWindows)
-    return spark.readStream.format("row_windows").schema(schema).option("windows", windows).load(path)
+    return spark.readStream.format("row_windows").schema(schema).option("windows", windows).option("atOnce", at_once).load(path)

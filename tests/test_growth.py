@@ -2,13 +2,14 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import cleaning, corpus, groups
-from millrace.plans import catalog
+from millrace.plans import catalog, flows
 from millrace.sources import readers
-from millrace.streaming import keyed
+from millrace.streaming import keyed, windows
 
 
 def test_scoring_order_carries_numbers(spark, tmp_path):
@@ -71,3 +72,41 @@ def test_cleaning_writes_whole_records_once(spark, monkeypatch):
     out = cleaning.clean({"long": raw}, marks, tokens, quotas={"long": 18})
     assert sum("messages" in t for t in tables) == 1
     assert [(r["source_id"], r["target_ids"]) for r in out.records.collect()] == [("l1", [2, 0])] == [(r["source_id"], r["target_ids"]) for r in out.starter.collect()]
+
+
+def test_log_writers_hold_a_batch():
+    """Pieces follow the batches, end inside a line or a character, and all are read."""
+    batches = [pa.RecordBatch.from_pydict({"line": x}) for x in (["ab", "é"], ["c"], ["d", "e"])]
+    got = list(flows._pieces(iter(batches), 6))
+    assert got == ["ab\né\n".encode(), b"", b""]
+    assert list(flows._pieces(iter(batches), 4)) == ["ab\né".encode()[:4], b"", b""] and b"".join(flows._pieces(iter(batches), 100)) == "ab\né\nc\nd\ne\n".encode()
+
+
+def test_several_windows_a_batch(spark, tmp_path):
+    """Five windows, two at a time: three batches, each window whole and in its place."""
+    rows = spark.createDataFrame([(i, (i * 7) % 31) for i in range(31)], "id long, at int")
+    n = windows.write_windows(rows, ["at"], f"{tmp_path}/in", batch=1)
+    got = []
+    stream = windows.admitted(spark, f"{tmp_path}/in", n, spark.createDataFrame([], "at int, window long").schema, at_once=2)
+    q = stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda df, k: got.append((k, [tuple(r) for r in df.collect()]))).start()
+    q.processAllAvailable()
+    q.stop()
+    assert n == 6 and [k for k, _ in got] == [0, 1, 2] and sorted(x for _, b in got for x in b) == [(i, i // 6) for i in range(31)]
+    assert {w for _, w in got[1][1]} == {2, 3}
+    with pytest.raises(ValueError, match="one window"):
+        windows.admitted(spark, "x", 1, rows.schema, at_once=0)
+
+
+def test_a_known_score_asks_the_store_once():
+    calls = []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return ("s", 3, 0.5)
+
+    cache = keyed.ScoreCache()
+    cache._score, cache._waiting = Value(), None
+    rows = iter([Row(kind="request", tokens_sha256=s, target_tokens=3, loss=None) for s in "st"])
+    assert [(r["state"], r["loss"]) for r in cache.handleInputRows(("e", "1"), rows, None)] == [("known", 0.5), ("tokens_differ", None)]
+    assert calls == ["get"]
