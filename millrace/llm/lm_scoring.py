@@ -31,6 +31,7 @@ word of probability 1; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -46,7 +47,7 @@ from millrace.llm.storage import written
 
 HEAD, KNOWN, CLASSES, HIDDEN, DIM = 2048, 1 << 16, 48, 24, 16
 SAMPLE, SAMPLE_BYTES, LANES, STEPS, RATE, SEED = 1200, 1 << 15, 48, 16, 0.01, 11
-WINDOW, CHUNK = 128, (4 << 20) - 1
+ROWS, BLOCK, GROUP = 1 << 15, 2048, 16 << 20  # tokens whose probabilities are taken at once, those of their classes, bytes of text whose documents go on together
 SHARD, WIDE, PIECE, SLICE = 1 << 20, 256, 1024, 4096  # tokens a copy trains on, its lanes, tokens a piece, parameters a row
 TASKS = 4096  # that train, at most; beyond that many shards a task trains several copies
 END = -1  # the key of a document's end
@@ -111,88 +112,110 @@ class Model:
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs of the head words' probabilities, and of rest's class, after the states."""
         out = np.empty(len(target), np.float64)
-        wide = _may_overflow(self.p["C"], self.p["c"]), _may_overflow(self.p["W"], self.p["w"])
+        to_classes, c, to_heads, w = (self.p[k] for k in "CcWw")
+        # Biases become weights of the sums, except where a sum might overflow.
+        reach = max(1.0, float(states.max(initial=0)), -float(states.min(initial=0)))
+        wide, wide_heads = _may_overflow(to_classes, c, reach).any(), _may_overflow(to_heads, w, reach)
+        c_weight, w_weight = np.exp(np.minimum(c, 60)), np.exp(np.minimum(w, 60))
         kind = self.class_of.astype(np.int16 if len(self.first) < 1 << 15 else np.int64)  # short ones sort faster
-        last = np.append(self.first[1:], self.rest)
-        for at in range(0, len(target), 1 << 15):
-            h, w = states[at : at + (1 << 15)], target[at : at + (1 << 15)]
-            order = np.argsort(kind[w], kind="stable")
-            h, w = h[order], w[order]
-            k, rows = kind[w], np.arange(len(w))
-            s = h @ self.p["C"]
-            s += self.p["c"]
-            if wide[0]:
-                np.minimum(s, 60, out=s)
-            own = s[rows, k]
-            lp = (own - np.log(_sums(np.exp(s, out=s)))).astype(np.float64)
-            bounds = np.searchsorted(k, np.arange(len(self.first) + 1))
-            for c in np.flatnonzero(np.diff(bounds)).tolist():
-                i, lo, hi = slice(bounds[c], bounds[c + 1]), self.first[c], last[c]
-                if hi - lo > 1:
-                    t = h[i] @ self.p["W"][:, lo:hi]
-                    t += self.p["w"][lo:hi]
-                    if wide[1]:
-                        np.minimum(t, 60, out=t)
-                    own = t[rows[: len(t)], w[i] - lo]
-                    lp[i] += own - np.log(_sums(np.exp(t, out=t)))
+        lows, width = np.append(self.first, self.rest), np.append(np.diff(np.append(self.first, self.rest)), 1)
+
+        def measure(t: np.ndarray, place: np.ndarray, bias: np.ndarray, weight: np.ndarray, cut: bool, own: np.ndarray, sums: np.ndarray) -> None:
+            """Of each row the sum of the exps, and what stands at its place without the bias."""
+            if cut:
+                t += bias
+                np.minimum(t, 60, out=t)
+                own[:] = t.reshape(-1).take(place) - bias.take(place % len(bias))
+                weight = _ones(len(bias))
+            else:
+                t.reshape(-1).take(place, out=own, mode="clip")
+            np.matmul(np.exp(t, out=t), weight, out=sums)
+
+        for at in range(0, len(target), ROWS):
+            order = np.argsort(kind[target[at : at + ROWS]], kind="stable")
+            x, h = target[at : at + ROWS][order], states[at : at + ROWS].take(order, 0)
+            k, rows = kind[x], np.arange(len(x))
+            own, sums = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
+            place = rows % BLOCK * len(lows) + k
+            for i in (slice(j, j + BLOCK) for j in range(0, len(x), BLOCK)):
+                measure(h[i] @ to_classes, place[i], c, c_weight, wide, own[i], sums[i])
+            lp = own + c[k] - np.log(sums)
+            bounds = np.searchsorted(k, np.arange(len(lows) + 1))
+            own[:], sums[:] = 0, 1  # a word alone in its class is certain
+            place = (rows - bounds[k]) * width[k] + (x - lows[k])
+            for cl in np.flatnonzero(np.diff(bounds) * (width > 1)).tolist():
+                i, j = slice(bounds[cl], bounds[cl + 1]), slice(lows[cl], lows[cl] + width[cl])
+                measure(h[i] @ to_heads[:, j], place[i], w[j], w_weight[j], wide_heads[j].any(), own[i], sums[i])
+            lp = lp.astype(np.float64)
+            lp += own + np.where(width[k] > 1, w.take(x, mode="clip"), 0) - np.log(sums)
             out[at + order] = lp
         return out
 
-    def score(self, numbers: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-        """Of each document the sum of `log_probs` over its words and its end."""
+    def score(self, numbers: np.ndarray, counts: np.ndarray, rows: int = ROWS) -> np.ndarray:
+        """Of each document the sum of `log_probs` over its words and its end; of about `rows` tokens at once."""
         n, hidden = len(counts), self.p["U"].shape[0]
+        if not n:
+            return np.zeros(0)
         # What a word adds to each gate, and what the state does; those of the two sigmoids with the sign that exp needs.
-        inputs = self.p["E"] @ self.p["X"] + self.p["x"]
-        parts = [(sign, slice(k * hidden, (k + 1) * hidden)) for k, sign in enumerate((-1, -1, 1))]
-        tables = [np.ascontiguousarray(sign * inputs[:, i], np.float32) for sign, i in parts]
-        turns = [np.ascontiguousarray(sign * self.p["U"][:, i], np.float32) for sign, i in parts]
+        split = lambda a: np.ascontiguousarray((a * np.repeat([-1, -1, 1], hidden)).reshape(-1, 3, hidden).swapaxes(0, 1), np.float32)
+        table, turn = split(self.p["E"] @ self.p["X"] + self.p["x"]), split(self.p["U"])
         order = np.argsort(-counts, kind="stable")
         length = counts[order] + 1
-        stream = np.insert(numbers, np.cumsum(counts), self.end)  # each document with its end
-        start = (np.cumsum(counts + 1) - counts - 1)[order]
-        h, total = np.zeros((n, hidden), np.float32), np.zeros(n)
-        before = np.full(n, self.end)  # the input of the next step: begins like after an end
-        room = [np.empty((n, hidden), np.float32) for _ in range(4)]
-        for t0 in range(0, int(length.max(initial=0)), window):
-            at = np.arange(t0, min(t0 + window, int(length[0])))
-            runs = np.searchsorted(-length, -at, "left")  # documents that have a token there: the first ones
-            edges = np.append(0, np.cumsum(runs)).tolist()
-            states, target = np.empty((edges[-1], hidden), np.float32), np.empty(edges[-1], np.int64)
-            for t, run, lo, hi in zip(at.tolist(), runs.tolist(), edges[:-1], edges[1:], strict=True):
-                own, given = h[:run], before[:run]
-                z, r, c, x = (a[:run] for a in room)
-                for gate, table, turn in ((z, tables[0], turns[0]), (r, tables[1], turns[1])):
-                    np.matmul(own, turn, out=gate)
-                    gate += table.take(given, 0, out=x, mode="clip")
-                    np.exp(gate, out=gate)
-                    gate += 1
-                np.matmul(own, turns[2], out=c)
-                c /= r
-                c += tables[2].take(given, 0, out=x, mode="clip")
+        runs = np.searchsorted(-length, -np.arange(length[0]), "left")  # documents that have a token there: the first ones
+        edges = np.append(0, np.cumsum(runs))
+        # Each document with its end; then the first tokens of all, the second ones, and so on.
+        rank, begin = np.empty(n, np.int64), np.cumsum(counts + 1) - counts - 1
+        rank[order] = np.arange(n)
+        place = edges[np.arange(edges[-1]) - np.repeat(begin, counts + 1)]
+        place += np.repeat(rank, counts + 1)
+        line = np.empty(edges[-1], np.int64)
+        line[place] = np.insert(numbers, np.cumsum(counts), self.end)
+        lp = np.empty(len(line))
+        h, given = np.zeros((n, hidden), np.float32), np.full(n, self.end)  # begins like after an end
+        room, drawn = np.empty(3 * n * hidden, np.float32), np.empty(3 * n * hidden, np.float32)
+        runs, edges, t0 = runs.tolist(), edges.tolist(), 0
+        while t0 < len(runs):
+            lo = edges[t0]
+            t1 = max(t0 + 1, bisect.bisect_right(edges, lo + rows) - 1)
+            states = np.empty((edges[t1] - lo, hidden), np.float32)
+            for t in range(t0, t1):
+                run, at = runs[t], edges[t]
+                own, made, x = h[:run], room[: 3 * run * hidden].reshape(3, run, hidden), drawn[: 3 * run * hidden].reshape(3, run, hidden)
+                gates, c = made[:2], made[2]
+                np.matmul(own, turn, out=made)
+                table.take(given[:run], 1, out=x, mode="clip")
+                gates += x[:2]
+                np.exp(gates, out=gates)
+                gates += 1
+                c /= made[1]
+                c += x[2]
                 np.tanh(c, out=c)
                 c -= own
-                c /= z
-                own += c
-                states[lo:hi] = own
-                given[:] = stream[start[:run] + t]
-                target[lo:hi] = given
-            lp = self.log_probs(states, target)
-            for run, lo, hi in zip(runs.tolist(), edges[:-1], edges[1:], strict=True):
-                total[:run] += lp[lo:hi]
-        out = np.empty(n)
-        out[order] = total
-        return out
+                c /= made[0]
+                h, given = states[at - lo : at - lo + run], line[at : at + run]
+                np.add(own, c, out=h)
+            lp[lo : edges[t1]] = self.log_probs(states, line[lo : edges[t1]])
+            t0 = t1
+        return np.add.reduceat(lp[place], begin)
 
 
-def _may_overflow(weights: np.ndarray, bias: np.ndarray) -> bool:
-    """Whether states, which lie between -1 and 1 (or a few such units for others), may lead to sums whose exp is too large."""
-    return bool((4 * np.abs(weights).sum(0) + bias).max(initial=0) > 60)
+def _may_overflow(weights: np.ndarray, bias: np.ndarray, reach: float = 1.0) -> np.ndarray:
+    """Of each column whether states, which lie between -reach and reach, may lead to a sum whose exp is too large."""
+    most = reach * np.abs(weights).sum(0)
+    return most + np.maximum(bias, 0) > 60
 
 
 def _sums(a: np.ndarray) -> np.ndarray:
     return a @ _ones(a.shape[1])
 
 
+def _transposed_product(a: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
+    """a.T @ b for few columns and many rows, by blocks of rows."""
+    most = len(a) // block * block
+    x, y = (x[:most].reshape(-1, block, x.shape[1]) for x in (a, b))
+    return np.matmul(x.swapaxes(1, 2), y).sum(0) + a[most:].T @ b[most:]
+
+
 @lru_cache(256)
 def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
@@ -236,167 +259,187 @@ def build(counts: DataFrame, head: int | None = None, known: int = KNOWN, classe
     return Model(int(whole["n"]), int(whole["v"]), words[order], c[order], number[order], k, int(np.flatnonzero(words == END)[0]), np.append(class_of, len(first)), first, float(np.log(z)), p)
 
 
+def _lanes(m: Model, docs: list[np.ndarray], lanes: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents, whole or in pieces, dealt to lanes of nearly equal length, in their order within a lane: by step and lane
+    the word before, the word to tell, whether there is one, and whether the state goes on."""
+    parts = []
+    for d in docs:
+        whole = np.append(d, m.end)
+        for at in range(0, len(whole), piece or len(whole)):
+            parts.append((whole[at : at + (piece or len(whole))], whole[at - 1] if at else m.end))
+    # The longest first to the emptiest lane: few lanes are left to run alone at the end.
+    load, lane = np.zeros(lanes, np.int64), np.empty(len(parts), np.int64)
+    sizes = np.array([len(part) for part, _ in parts])
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        lane[i] = k = load.argmin()
+        load[k] += sizes[i]
+    shape = (int(load.max()), lanes)
+    before, target, valid, goes_on = np.full(shape, m.end), np.full(shape, m.end), np.zeros(shape, bool), np.ones(shape, np.float32)
+    load[:] = 0
+    for (part, prior), k in zip(parts, lane.tolist(), strict=True):
+        at, to = load[k], load[k] + len(part)
+        target[at:to, k], valid[at:to, k], goes_on[at, k] = part, True, 0
+        before[at, k], before[at + 1 : to, k] = prior, part[:-1]
+        load[k] = to
+    return before, target, valid, goes_on
+
+
 def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, rate: float = RATE, piece: int = 0) -> list[float]:
     """Truncated backpropagation with Adam over the documents (numbers of words), dealt to lanes whole or in pieces; the mean loss of each window is returned."""
     if not docs:
         return []
-    streams: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(lanes)]
-    load = np.zeros(lanes)
-    for d in docs:
-        whole = np.append(d, m.end)
-        for at in range(0, len(whole), piece or len(whole)):
-            k = int(load.argmin())
-            part = whole[at : at + (piece or len(whole))]
-            streams[k].append((part, whole[at - 1] if at else m.end))
-            load[k] += len(part)
-    length = int(load.max())
-    target, valid, begins = np.full((lanes, length), m.end), np.zeros((lanes, length), bool), np.zeros((lanes, length), bool)
-    before = np.full((lanes, length), m.end)
-    for k, parts in enumerate(streams):
-        at = 0
-        for d, prior in parts:
-            target[k, at : at + len(d)], valid[k, at : at + len(d)], begins[k, at] = d, True, True
-            before[k, at], before[k, at + 1 : at + len(d)] = prior, d[:-1]
-            at += len(d)
-    n, names = m.p["U"].shape[0], sorted(m.p)
-    # All parameters, their gradients and Adam's moments lie in one array each; those of a name are views.
+    before, target, valid, goes_on = _lanes(m, docs, lanes, piece)
+    length, n, dim = len(before), m.p["U"].shape[0], m.p["E"].shape[1]
+    # All parameters, their gradients and Adam's moments lie in one array each; those of a name are views, and biases follow their weights.
+    names = sorted(m.p, key=lambda k: (k.lower(), k))
     values = np.concatenate([m.p[k].reshape(-1) for k in names]).astype(np.float32)
     slopes, first_moment, second, work = (np.zeros_like(values) for _ in range(4))
-    bounds = np.append(0, np.cumsum([m.p[k].size for k in names]))
-    views = lambda flat: {k: flat[x:y].reshape(m.p[k].shape) for k, x, y in zip(names, bounds[:-1], bounds[1:], strict=True)}
+    bounds = dict(zip(names, np.append(0, np.cumsum([m.p[k].size for k in names])).tolist(), strict=False))
+    views = lambda flat: {k: flat[bounds[k] : bounds[k] + m.p[k].size].reshape(m.p[k].shape) for k in names}
+    joint = lambda flat, k: flat[bounds[k] : bounds[k] + m.p[k].size + m.p[k.lower()].size].reshape(-1, m.p[k].shape[1])
     p, g = views(values), views(slopes)
+    (to_classes, to_heads, to_gates), (class_slope, head_slope, gate_slope) = ([joint(flat, k) for k in "CWX"] for flat in (values, slopes))
     m.p = p
     kind = m.class_of.astype(np.int16 if len(m.first) < 1 << 15 else np.int64)  # short ones sort faster
-    last_word = np.append(m.first[1:], m.rest)
-    shape = (min(steps, length), lanes, n)
-    # The gates lie one behind the other in arrays without gaps: update, reset, and what they let in.
-    prior, cs, us, out, into = (np.empty(shape, np.float32) for _ in range(5))
-    gates, dx = np.empty((shape[0], 2, lanes, n), np.float32), np.empty((3, *shape), np.float32)
-    split = lambda flat: np.ascontiguousarray(flat.reshape(-1, 3, n).swapaxes(0, 1))
-    h, losses, windows = np.zeros((lanes, n), np.float32), [], range(0, length, steps)
+    lows, width = np.append(m.first, m.rest), np.append(np.diff(np.append(m.first, m.rest)), 1)
+    # A step's arrays have a row for each unit and a column for each lane.  From the state come what it adds to the candidate and to the
+    # gates, from the input and a one what those add to the gates and to the candidate; the gates with the sign that exp needs.
+    most = min(steps, length)
+    prior, turned = np.empty((most, n, lanes), np.float32), np.empty((most, 3 * n, lanes), np.float32)
+    given, made = np.ones((most, dim + 1, lanes), np.float32), np.empty((most, 3 * n, lanes), np.float32)
+    of_state, of_input = np.empty((3 * n, n), np.float32), np.empty((3 * n, dim + 1), np.float32)
+    cs, out = np.empty((most, n, lanes), np.float32), np.empty((most, n, lanes), np.float32)
+    factor, d = np.empty((most, 4, n, lanes), np.float32), np.empty((most, 4 * n, lanes), np.float32)
+    by_lane, into = np.ones((most, lanes, n + 1), np.float32), np.empty((most, n, lanes), np.float32)
+    moved, column = np.empty((n, lanes), np.float32), np.arange(dim)[:, None]
+    h, losses, windows = np.zeros((n, lanes), np.float32), [], range(0, length, steps)
     for step, t0 in enumerate(windows):
-        inputs, ok = before[:, t0 : t0 + steps].T, valid[:, t0 : t0 + steps].T
-        goes_on = (~begins[:, t0 : t0 + steps].T).astype(np.float32)[:, :, None]
+        inputs, ok, on = before[t0 : t0 + steps], valid[t0 : t0 + steps], goes_on[t0 : t0 + steps]
         k = len(inputs)
-        embedded, turn, let = p["E"][inputs], split(p["U"]), split(p["X"])
-        x = np.matmul(embedded[:, None], -let[:2])
-        x -= p["x"][: 2 * n].reshape(2, 1, n)
-        x_in = embedded @ let[2] + p["x"][2 * n :]
-        minus = -turn[:2]
+        of_state[:n] = p["U"][:, 2 * n :].T
+        np.negative(p["U"][:, : 2 * n].T, out=of_state[n:])
+        np.negative(to_gates[:, : 2 * n].T, out=of_input[: 2 * n])
+        of_input[2 * n :] = to_gates[:, 2 * n :].T
+        given[:k, :dim] = p["E"].take(inputs, 0).swapaxes(1, 2)
+        np.matmul(of_input, given[:k], out=made[:k])
         for t in range(k):
-            g_t, c = gates[t], cs[t]
-            np.multiply(h, goes_on[t], out=prior[t])
-            np.matmul(prior[t], minus, out=g_t)
-            g_t += x[t]
-            np.exp(g_t, out=g_t)
-            g_t += 1
-            np.reciprocal(g_t, out=g_t)
-            np.matmul(prior[t], turn[2], out=us[t])
-            np.multiply(g_t[1], us[t], out=c)
-            c += x_in[t]
+            own, gates, c = prior[t], made[t, : 2 * n], cs[t]
+            np.multiply(h, on[t], out=own)
+            np.matmul(of_state, own, out=turned[t])
+            gates += turned[t, n:]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[n:], turned[t, :n], out=c)
+            c += made[t, 2 * n :]
             np.tanh(c, out=c)
             h = out[t]
-            np.subtract(c, prior[t], out=h)
-            h *= g_t[0]
-            h += prior[t]
-        w = target[:, t0 : t0 + steps].T[ok]
+            np.subtract(c, own, out=h)
+            h *= gates[:n]
+            h += own
+        w = target[t0 : t0 + steps][ok]
         if not len(w):
             h = h.copy()
             continue
         order = np.argsort(kind[w], kind="stable")
         place_of, w = np.flatnonzero(ok)[order], w[order]
-        flat = np.ones((len(w), n + 1), np.float32)  # a state and, for the biases, a one
-        flat[:, :n] = out[:k].reshape(-1, n)[place_of]
-        own = kind[w]
-        wide = _may_overflow(p["C"], p["c"]), _may_overflow(p["W"], p["w"])
-        to_classes, to_heads = (np.concatenate([p[x], p[y][None]]) for x, y in ("Cc", "Ww"))
+        by_lane[:k, :, :n] = out[:k].swapaxes(1, 2)
+        flat = by_lane.reshape(-1, n + 1).take(place_of, 0)  # a state and, for the biases, a one
+        own, rows = kind[w], np.arange(len(w))
+        # Neither softmax is divided by its sums: what meets it is, as it is narrower.
         s = flat @ to_classes
-        if wide[0]:
+        if _may_overflow(p["C"], p["c"]).any():
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s /= _sums(s)[:, None]
-        rows = np.arange(len(w))
-        place = rows * s.shape[1] + own
-        chance, within = s.reshape(-1)[place], np.ones(len(w), np.float32)
-        s.reshape(-1)[place] = chance - 1
-        slope = flat.T @ s
-        g["C"][:], g["c"][:] = slope[:n], slope[n]
+        sums, place = _sums(s), rows * s.shape[1] + own
+        chance = s.reshape(-1)[place]
+        s.reshape(-1)[place] = chance - sums
+        share = (1 / sums)[:, None]
+        chance *= share[:, 0]
+        class_slope[:] = _transposed_product(flat * share, s)
         back = s @ p["C"].T
-        edges = np.searchsorted(own, np.arange(len(m.first) + 1))
-        slope = np.zeros_like(to_heads)
-        for cl in np.flatnonzero(np.diff(edges)).tolist():
-            i, lo, hi = slice(edges[cl], edges[cl + 1]), m.first[cl], last_word[cl]
-            if hi - lo == 1:  # its word is certain, and nothing to learn
-                continue
-            here, weights = flat[i], to_heads[:, lo:hi]
-            q = here @ weights
-            if wide[1]:
-                np.minimum(q, 60, out=q)
-            np.exp(q, out=q)
-            q /= _sums(q)[:, None]
-            place = rows[: len(q)] * (hi - lo) + (w[i] - lo)
-            got = within[i] = q.reshape(-1)[place]
-            q.reshape(-1)[place] = got - 1
-            slope[:, lo:hi] = here.T @ q
-            back[i] += q @ weights[:n].T
-        g["W"][:], g["w"][:] = slope[:n], slope[n]
+        back *= share
+        # The words of a class lie in a block of rows, and the blocks one behind the other; a word alone in its class is certain, and nothing to learn.
+        edges = np.searchsorted(own, np.arange(len(lows) + 1))
+        cells = np.append(0, np.cumsum(np.where(width > 1, np.diff(edges) * width, 0)))
+        q, sums, within, blocks = np.empty(cells[-1], np.float32), np.ones(len(w), np.float32), np.ones(len(w), np.float32), []
+        for cl in np.flatnonzero(np.diff(cells)).tolist():
+            i, j = slice(edges[cl], edges[cl + 1]), slice(lows[cl], lows[cl] + width[cl])
+            block = q[cells[cl] : cells[cl + 1]].reshape(-1, width[cl])
+            np.matmul(flat[i], to_heads[:, j], out=block)
+            blocks.append((i, j, block))
+        np.minimum(q, 60, out=q)
+        np.exp(q, out=q)
+        learn = np.flatnonzero(width[own] > 1)
+        if len(learn):
+            cl = own[learn]
+            place = cells[cl] + (learn - edges[cl]) * width[cl]  # where a row begins
+            sums[learn] = total = np.add.reduceat(q, place)
+            place += w[learn] - lows[cl]
+            got = q[place]
+            q[place] = got - total
+            within[learn] = got / total
+        np.divide(1, sums[:, None], out=share)
+        flat *= share
+        head_slope[:] = 0
+        from_heads = np.zeros_like(back)
+        for i, j, block in blocks:
+            np.matmul(flat[i].T, block, out=head_slope[:, j])
+            np.matmul(block, p["W"][:, j].T, out=from_heads[i])
+        from_heads *= share
+        back += from_heads
         losses.append(-float(np.log(chance + 1e-12).sum() + np.log(within + 1e-12).sum()) / len(w))
-        into[:k] = 0
-        into[:k].reshape(-1, n)[place_of] = back
-        # What a step's dh is multiplied with, for all steps at once: gates[:, 0] and the like are those of the steps.
-        z, r, c = gates[:k, 0], gates[:k, 1], cs[:k]
-        stays = 1 - z
-        to_z = (c - prior[:k]) * z
+        spread = np.zeros((k * lanes, n), np.float32) if len(w) < k * lanes else np.empty((k * lanes, n), np.float32)
+        spread[place_of] = back
+        into[:k] = spread.reshape(k, lanes, n).swapaxes(1, 2)
+        # What a step's dh is multiplied with to give the slopes of what the matrix made, for all steps at once.
+        z, r, c, from_state = made[:k, :n], made[:k, n : 2 * n], cs[:k], turned[:k, :n]
+        stays, (to_state, to_z, to_r, to_c) = 1 - z, factor[:k].swapaxes(0, 1)
+        np.subtract(prior[:k], c, out=to_z)
+        to_z *= z
         to_z *= stays
-        to_c = (1 - c * c) * z
-        to_r = (r - r * r) * us[:k]
-        stays *= goes_on
-        backward, dh = turn.swapaxes(1, 2), np.zeros((lanes, n), np.float32)
-        d, moved = np.empty((3, lanes, n), np.float32), np.empty((3, lanes, n), np.float32)
-        dx_now = dx[:, :k]
+        np.multiply(c, c, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= z
+        np.multiply(to_c, r, out=to_state)
+        np.subtract(r, 1, out=to_r)
+        to_r *= to_state
+        to_r *= from_state
+        backward, dh = np.ascontiguousarray(of_state.T), np.zeros((n, lanes), np.float32)
         for t in reversed(range(k)):
             dh += into[t]
-            np.multiply(dh, to_z[t], out=d[0])
-            dc = dx_now[2, t]
-            np.multiply(dh, to_c[t], out=dc)
-            np.multiply(dc, to_r[t], out=d[1])
-            np.multiply(dc, r[t], out=d[2])
-            dx_now[:2, t] = d[:2]
-            np.matmul(d, backward, out=moved)
+            np.multiply(dh, factor[t], out=d[t].reshape(4, n, lanes))
+            np.matmul(backward, d[t, : 3 * n], out=moved)
             dh *= stays[t]
-            moved[0] += moved[1]
-            moved[0] += moved[2]
-            moved[0] *= goes_on[t]
-            dh += moved[0]
-        flat_dx = dx_now.reshape(3, -1, n)
-        before_all, seen = prior[:k].reshape(-1, n), embedded.reshape(-1, embedded.shape[2])
-        reset = (dx_now[2] * r).reshape(-1, n)
-        joined = lambda parts: np.concatenate(parts, -1)
-        g["U"][:] = joined([before_all.T @ flat_dx[0], before_all.T @ flat_dx[1], before_all.T @ reset])
-        g["X"][:], g["x"][:] = joined([seen.T @ f for f in flat_dx]), joined([_sums(f.T) for f in flat_dx])
-        to_words = flat_dx[0] @ let[0].T
-        to_words += flat_dx[1] @ let[1].T
-        to_words += flat_dx[2] @ let[2].T
-        words = inputs.reshape(-1)
-        for j, column in enumerate(np.ascontiguousarray(to_words.T)):
-            g["E"][:, j] = np.bincount(words, column, minlength=len(g["E"]))
+            dh += moved
+            dh *= on[t]
+        slope = np.matmul(d[:k, : 3 * n], prior[:k].swapaxes(1, 2)).sum(0).T
+        np.negative(slope[:, n:], out=g["U"][:, : 2 * n])
+        g["U"][:, 2 * n :] = slope[:, :n]
+        slope = np.matmul(d[:k, n:], given[:k].swapaxes(1, 2)).sum(0).T
+        np.negative(slope[:, : 2 * n], out=gate_slope[:, : 2 * n])
+        gate_slope[:, 2 * n :] = slope[:, 2 * n :]
+        to_words = np.matmul(np.ascontiguousarray(of_input[:, :dim].T), d[:k, n:])
+        g["E"][:] = 0
+        np.add.at(g["E"].reshape(-1), (inputs[:, None] * dim + column).reshape(-1), to_words.reshape(-1))
         h = h.copy()  # the next window writes over its place
-        # Adam, in place.
-        slopes *= 16 / len(w)
-        np.clip(slopes, -1, 1, out=slopes)
-        first_moment *= 0.9
-        np.multiply(slopes, 0.1, out=work)
-        first_moment += work
-        second *= 0.99
-        np.multiply(slopes, slopes, out=work)
-        work *= 0.01
-        second += work
-        np.multiply(second, 1 / (1 - 0.99 ** (step + 1)), out=work)
-        np.sqrt(work, out=work)
-        work += 1e-6
-        np.divide(first_moment, work, out=work)
-        work *= rate * (1 - 0.9 * step / len(windows)) / (1 - 0.9 ** (step + 1))
-        values -= work
+        # Adam, in place and a part after the other that the cache holds; the moments are kept without their factors of 0.1 and 0.01.
+        even = math.sqrt(0.01 / (1 - 0.99 ** (step + 1)))
+        by = rate * (1 - 0.9 * step / len(windows)) / (1 - 0.9 ** (step + 1)) * 0.1 / even
+        for at in range(0, len(values), 1 << 14):
+            slope, one, two, move = (x[at : at + (1 << 14)] for x in (slopes, first_moment, second, work))
+            slope *= 16 / len(w)
+            np.clip(slope, -1, 1, out=slope)
+            one *= 0.9
+            one += slope
+            two *= 0.99
+            slope *= slope
+            two += slope
+            np.sqrt(two, out=move)
+            move += 1e-6 / even
+            np.divide(one, move, out=move)
+            move *= by
+            values[at : at + (1 << 14)] -= move
     return losses
 
 
@@ -485,45 +528,58 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     spans.prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # grows with the root of the number of different words
 
-    def content(part: pa.RecordBatch) -> np.ndarray:
-        data, offsets = spans.buffers(part.column("_text"))
-        return spans.hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+    def sequences(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A key of each text's words, on which all that is returned of it depends."""
+        return spans.runs(words.view(np.uint64), np.cumsum(n) - n, n).view(np.int64)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, key, times) of the words that the model doesn't know; once a text and chunk, with a row (null, key, 1)."""
         for batch in batches:
             for part in spans.chunks(batch, "_text"):
-                keys = content(part)
-                _, at = np.unique(keys, return_index=True)
-                part, keys = part.take(pa.array(at)), keys[at]
                 words, n = tokens(part.column("_text"))
+                all_keys = sequences(words, n)
+                keys, at = np.unique(all_keys, return_index=True)
+                once = np.zeros(len(n), bool)
+                once[at] = True
                 _, c = shared.value.numbers(words)
-                doc = np.repeat(np.arange(len(n)), n)[c < 0]
-                own = words[c < 0]
+                new_words = (c < 0) & np.repeat(once, n)
+                doc, own = np.repeat(np.arange(len(n)), n)[new_words], words[new_words]
                 order = np.lexsort((own, doc))
                 own, doc = own[order], doc[order]
                 new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))) if len(own) else np.empty(0, np.int64)
                 times = np.diff(np.append(new, len(own)))
                 word = pa.concat_arrays([pa.array(own[new]), pa.nulls(len(keys), pa.int64())])
-                key, times = np.concatenate([keys[doc[new]], keys]), np.concatenate([times, np.ones(len(keys), np.int64)])
+                key, times = np.concatenate([all_keys[doc[new]], keys]), np.concatenate([times, np.ones(len(keys), np.int64)])
                 yield pa.RecordBatch.from_arrays([word, pa.array(key), pa.array(times.astype(np.int32))], ["word", "key", "times"])
 
     def network(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of GROUP bytes of text take their steps together."""
         m: Model = shared.value
         end_c = int(m.known_c[np.searchsorted(m.known, END)])
-        for batch in _together(batches):
-            for part in spans.chunks(batch, "_text", CHUNK):
+        names, held, size = ["_id", "_key", "n_tokens", "known", "base", "lp"], [], 0
+
+        def scored() -> pa.RecordBatch:
+            ids, *columns = zip(*held, strict=True)
+            numbers, n, *columns, lp = map(np.concatenate, columns)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *map(pa.array, columns), pa.array(lp + m.score(numbers, n))], names)
+
+        for batch in batches:
+            for part in spans.chunks(batch, "_text"):
                 words, n = tokens(part.column("_text"))
                 numbers, c = m.numbers(words)
-                lp = m.score(numbers, n)
                 is_rest = numbers == m.rest
                 rest = spans.per_text(is_rest.astype(np.int64), n)
                 known = spans.per_text((c > 0).astype(np.int64), n) + (end_c > 0)
                 logs = np.log(np.maximum(c, 0) + 1.0)
                 base = spans.per_text(logs, n) + np.log(end_c + 1.0)
-                lp += spans.per_text(np.where(is_rest, logs, 0.0), n) - rest * m.log_rest
-                columns = [part.column("_id"), pa.array(content(part)), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(lp)]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "n_tokens", "known", "base", "lp"])
+                lp = spans.per_text(np.where(is_rest, logs, 0.0), n) - rest * m.log_rest
+                held.append((part.column("_id"), numbers.astype(np.int32), n, sequences(words, n), n + 1, known, base, lp))
+                size += part.nbytes
+                if size >= GROUP:
+                    yield scored()
+                    held, size = [], 0
+        if held:
+            yield scored()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     scored = rows.mapInArrow(network, "_id bigint, _key bigint, n_tokens bigint, known bigint, base double, lp double")
@@ -541,18 +597,5 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     )
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined until they hold CHUNK bytes, so that more documents take a step at once."""
-    block, size = [], 0
-    for batch in batches:
-        block.append(batch)
-        size += batch.nbytes
-        if size >= CHUNK:
-            yield pa.concat_batches(block)
-            block, size = [], 0
-    if block:
-        yield pa.concat_batches(block)
-
-
 def in_training(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % parts != part

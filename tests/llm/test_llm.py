@@ -572,6 +572,17 @@ def test_lm_learns():
     assert np.mean(losses[-5:]) < 0.4 * np.mean(losses[:5])
 
 
+def test_lm_lanes_end_together():
+    """Training takes about as many windows as its tokens fill: few lanes are left to run alone at the end."""
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 3, n) for n in r.integers(1, 200, 300)]
+    h, d = 4, 3
+    f = lambda *s: r.normal(0, 0.3, s).astype(np.float32)
+    p = {"E": f(4, d), "X": f(d, 3 * h), "x": f(3 * h), "U": f(h, 3 * h), "C": f(h, 2), "c": f(2), "W": f(h, 3), "w": f(3)}
+    m = lm_scoring.Model(0, 0, np.arange(3), np.ones(3, np.int64), np.arange(3), 3, 2, np.array([0, 0, 0, 1]), np.array([0]), 0.0, p)
+    assert len(lm_scoring.train(m, docs, lanes=16, steps=8, piece=150)) <= -(-sum(len(x) + 1 for x in docs) // (16 * 8)) + 1
+
+
 def test_lm_learns_from_every_row(spark):
     # No text fits into the sample that the network starts from, so all it knows of order comes from the other rows.
     long = [(i, "ab cd ef gh " * 3000 + f"n{i}") for i in range(24)]
