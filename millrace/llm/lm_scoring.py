@@ -47,7 +47,9 @@ from millrace.llm.storage import written
 
 HEAD, KNOWN, CLASSES, HIDDEN, DIM = 2048, 1 << 16, 48, 24, 16
 SAMPLE, SAMPLE_BYTES, LANES, STEPS, RATE, SEED = 1200, 1 << 15, 48, 16, 0.01, 11
-ROWS, BLOCK, GROUP = 1 << 15, 2048, 16 << 20  # tokens whose probabilities are taken at once, those of their classes, bytes of text whose documents go on together
+ROWS, BLOCK = 1 << 15, 2048  # tokens whose probabilities are taken at once, and those of their classes
+GROUP, TOGETHER = 32 << 20, 1024  # bytes of text whose documents are sorted by length, and how many then go on together
+POOL = 1 << 21  # words that are counted at once
 SHARD, WIDE, PIECE, SLICE = 1 << 20, 256, 1024, 4096  # tokens a copy trains on, its lanes, tokens a piece, parameters a row
 TASKS = 4096  # that train, at most; beyond that many shards a task trains several copies
 END = -1  # the key of a document's end
@@ -61,18 +63,28 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = spans.buffers(texts)
     data = _LOWER[data]
     begin, end, counts = spans.words(data, offsets)
-    return spans.hashes(data, begin, end).view(np.int64), counts
+    return spans.word_hashes(data, begin, end).view(np.int64), counts
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, c) over all rows; each row adds an END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, ends = [], 0, 0
+
+        def counted() -> pa.RecordBatch:
+            unique, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(unique, END)), pa.array(np.append(c, ends))], ["word", "c"])
+
         for batch in batches:
             for part in spans.chunks(batch, "_text"):
-                words, _ = tokens(part.column("_text"))
-                unique, c = np.unique(words, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(unique, END)), pa.array(np.append(c, len(part)))], ["word", "c"])
+                held.append(tokens(part.column("_text"))[0])
+                size, ends = size + len(held[-1]), ends + len(part)
+                if size >= POOL:
+                    yield counted()
+                    held, size, ends = [], 0, 0
+        if ends:
+            yield counted()
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -153,21 +165,25 @@ class Model:
 
     def score(self, numbers: np.ndarray, counts: np.ndarray, rows: int = ROWS) -> np.ndarray:
         """Of each document the sum of `log_probs` over its words and its end; of about `rows` tokens at once."""
-        n, hidden = len(counts), self.p["U"].shape[0]
-        if not n:
-            return np.zeros(0)
+        hidden, out = self.p["U"].shape[0], np.empty(len(counts))
         # What a word adds to each gate, and what the state does; those of the two sigmoids with the sign that exp needs.
         split = lambda a: np.ascontiguousarray((a * np.repeat([-1, -1, 1], hidden)).reshape(-1, 3, hidden).swapaxes(0, 1), np.float32)
         table, turn = split(self.p["E"] @ self.p["X"] + self.p["x"]), split(self.p["U"])
-        order = np.argsort(-counts, kind="stable")
-        length = counts[order] + 1
+        # Documents of like lengths take their steps together, as many as the processor's cache holds.
+        order, begin = np.argsort(-counts, kind="stable"), np.cumsum(counts) - counts
+        for own in (order[at : at + TOGETHER] for at in range(0, len(order), TOGETHER)):
+            out[own] = self._score_sorted(numbers[spans.ranges(begin[own], counts[own])], counts[own], table, turn, rows)
+        return out
+
+    def _score_sorted(self, numbers: np.ndarray, counts: np.ndarray, table: np.ndarray, turn: np.ndarray, rows: int) -> np.ndarray:
+        """As `score`, for documents from the longest down."""
+        n, hidden, length = len(counts), table.shape[2], counts + 1
         runs = np.searchsorted(-length, -np.arange(length[0]), "left")  # documents that have a token there: the first ones
         edges = np.append(0, np.cumsum(runs))
         # Each document with its end; then the first tokens of all, the second ones, and so on.
-        rank, begin = np.empty(n, np.int64), np.cumsum(counts + 1) - counts - 1
-        rank[order] = np.arange(n)
-        place = edges[np.arange(edges[-1]) - np.repeat(begin, counts + 1)]
-        place += np.repeat(rank, counts + 1)
+        begin = np.cumsum(length) - length
+        place = edges[np.arange(edges[-1]) - np.repeat(begin, length)]
+        place += np.repeat(np.arange(n), length)
         line = np.empty(edges[-1], np.int64)
         line[place] = np.insert(numbers, np.cumsum(counts), self.end)
         lp = np.empty(len(line))
@@ -260,7 +276,7 @@ def build(counts: DataFrame, head: int | None = None, known: int = KNOWN, classe
 
 
 def _lanes(m: Model, docs: list[np.ndarray], lanes: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The documents, whole or in pieces, dealt to lanes of nearly equal length, in their order within a lane: by step and lane
+    """The documents, whole or in pieces, dealt to lanes of nearly equal length, in their order within a lane: by lane and step
     the word before, the word to tell, whether there is one, and whether the state goes on."""
     parts = []
     for d in docs:
@@ -273,13 +289,13 @@ def _lanes(m: Model, docs: list[np.ndarray], lanes: int, piece: int) -> tuple[np
     for i in np.argsort(-sizes, kind="stable").tolist():
         lane[i] = k = load.argmin()
         load[k] += sizes[i]
-    shape = (int(load.max()), lanes)
+    shape = (lanes, int(load.max()))
     before, target, valid, goes_on = np.full(shape, m.end), np.full(shape, m.end), np.zeros(shape, bool), np.ones(shape, np.float32)
     load[:] = 0
     for (part, prior), k in zip(parts, lane.tolist(), strict=True):
         at, to = load[k], load[k] + len(part)
-        target[at:to, k], valid[at:to, k], goes_on[at, k] = part, True, 0
-        before[at, k], before[at + 1 : to, k] = prior, part[:-1]
+        target[k, at:to], valid[k, at:to], goes_on[k, at] = part, True, 0
+        before[k, at], before[k, at + 1 : to] = prior, part[:-1]
         load[k] = to
     return before, target, valid, goes_on
 
@@ -289,11 +305,11 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
     if not docs:
         return []
     before, target, valid, goes_on = _lanes(m, docs, lanes, piece)
-    length, n, dim = len(before), m.p["U"].shape[0], m.p["E"].shape[1]
+    length, n, dim = before.shape[1], m.p["U"].shape[0], m.p["E"].shape[1]
     # All parameters, their gradients and Adam's moments lie in one array each; those of a name are views, and biases follow their weights.
     names = sorted(m.p, key=lambda k: (k.lower(), k))
     values = np.concatenate([m.p[k].reshape(-1) for k in names]).astype(np.float32)
-    slopes, first_moment, second, work = (np.zeros_like(values) for _ in range(4))
+    slopes, first_moment, second = (np.zeros_like(values) for _ in range(3))
     bounds = dict(zip(names, np.append(0, np.cumsum([m.p[k].size for k in names])).tolist(), strict=False))
     views = lambda flat: {k: flat[bounds[k] : bounds[k] + m.p[k].size].reshape(m.p[k].shape) for k in names}
     joint = lambda flat, k: flat[bounds[k] : bounds[k] + m.p[k].size + m.p[k.lower()].size].reshape(-1, m.p[k].shape[1])
@@ -311,10 +327,10 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
     cs, out = np.empty((most, n, lanes), np.float32), np.empty((most, n, lanes), np.float32)
     factor, d = np.empty((most, 4, n, lanes), np.float32), np.empty((most, 4 * n, lanes), np.float32)
     by_lane, into = np.ones((most, lanes, n + 1), np.float32), np.empty((most, n, lanes), np.float32)
-    moved, column = np.empty((n, lanes), np.float32), np.arange(dim)[:, None]
+    moved, column, work = np.empty((n, lanes), np.float32), np.arange(dim)[:, None], np.empty(1 << 14, np.float32)
     h, losses, windows = np.zeros((n, lanes), np.float32), [], range(0, length, steps)
     for step, t0 in enumerate(windows):
-        inputs, ok, on = before[t0 : t0 + steps], valid[t0 : t0 + steps], goes_on[t0 : t0 + steps]
+        inputs, ok, on = (np.ascontiguousarray(x[:, t0 : t0 + steps].T) for x in (before, valid, goes_on))
         k = len(inputs)
         of_state[:n] = p["U"][:, 2 * n :].T
         np.negative(p["U"][:, : 2 * n].T, out=of_state[n:])
@@ -337,7 +353,7 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
             np.subtract(c, own, out=h)
             h *= gates[:n]
             h += own
-        w = target[t0 : t0 + steps][ok]
+        w = target[:, t0 : t0 + steps].T[ok]
         if not len(w):
             h = h.copy()
             continue
@@ -354,8 +370,9 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
         sums, place = _sums(s), rows * s.shape[1] + own
         chance = s.reshape(-1)[place]
         s.reshape(-1)[place] = chance - sums
-        share = (1 / sums)[:, None]
-        chance *= share[:, 0]
+        chance /= sums
+        scale = np.float32(16 / len(w))  # the slopes are those of 16 tokens
+        share = (scale / sums)[:, None]
         class_slope[:] = _transposed_product(flat * share, s)
         back = s @ p["C"].T
         back *= share
@@ -379,7 +396,7 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
             got = q[place]
             q[place] = got - total
             within[learn] = got / total
-        np.divide(1, sums[:, None], out=share)
+        np.divide(scale, sums[:, None], out=share)
         flat *= share
         head_slope[:] = 0
         from_heads = np.zeros_like(back)
@@ -426,9 +443,9 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
         # Adam, in place and a part after the other that the cache holds; the moments are kept without their factors of 0.1 and 0.01.
         even = math.sqrt(0.01 / (1 - 0.99 ** (step + 1)))
         by = rate * (1 - 0.9 * step / len(windows)) / (1 - 0.9 ** (step + 1)) * 0.1 / even
-        for at in range(0, len(values), 1 << 14):
-            slope, one, two, move = (x[at : at + (1 << 14)] for x in (slopes, first_moment, second, work))
-            slope *= 16 / len(w)
+        for at in range(0, len(values), len(work)):
+            slope, one, two, value = (x[at : at + len(work)] for x in (slopes, first_moment, second, values))
+            move = work[: len(slope)]
             np.clip(slope, -1, 1, out=slope)
             one *= 0.9
             one += slope
@@ -439,7 +456,7 @@ def train(m: Model, docs: list[np.ndarray], lanes: int = LANES, steps: int = STE
             move += 1e-6 / even
             np.divide(one, move, out=move)
             move *= by
-            values[at : at + (1 << 14)] -= move
+            value -= move
     return losses
 
 
@@ -553,7 +570,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
                 yield pa.RecordBatch.from_arrays([word, pa.array(key), pa.array(times.astype(np.int32))], ["word", "key", "times"])
 
     def network(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents of GROUP bytes of text take their steps together."""
+        """Scores documents of GROUP bytes of text at once."""
         m: Model = shared.value
         end_c = int(m.known_c[np.searchsorted(m.known, END)])
         names, held, size = ["_id", "_key", "n_tokens", "known", "base", "lp"], [], 0

@@ -87,6 +87,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, is_begin: np.ndarray) -> tuple[np
     return begin, np.append(begin[1:], len(data)) if len(begin) else begin, np.diff(np.searchsorted(begin, offsets))
 
 
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k of eight bytes
 _kept_powers: list[np.ndarray] = []
 #: Powers that a worker keeps, at most; those for a longer text are made for it alone.
 MOST_POWERS = 1 << 22
@@ -125,6 +126,41 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((run[end] - run[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 64, block: int = 1 << 15) -> np.ndarray:
+    """As `hashes`, with other values and less work where spans are short: eight bytes a step, for a block of spans that the
+    processor's cache holds; spans of more than `most` bytes go through `hashes`."""
+    room, out = np.zeros((len(data) >> 3) + 2, np.uint64), np.empty(len(begin), np.uint64)
+    room.view(np.uint8)[: len(data)] = data
+    root = np.uint64(_ROOT)
+
+    def eight(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The next bytes of each span, eight at most, and how many are left."""
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = room[place] >> shift
+        x |= room[place + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        x &= _FIRST[np.minimum(size, 8)]
+        x *= root
+        x += size.astype(np.uint64)
+        return x
+
+    for i in (slice(k, k + block) for k in range(0, len(begin), block)):
+        at, size = begin[i], end[i] - begin[i]
+        h = mix(eight(at, size))
+        left = np.flatnonzero((size > 8) & (size <= most))
+        for step in range(8, most, 8):
+            left = left[size[left] > step]
+            if not len(left):
+                break
+            h[left] = mix(h[left] * root + eight(at[left] + step, size[left] - step))
+        out[i] = h
+    long = np.flatnonzero(end - begin > most)
+    if len(long):
+        size = end[long] - begin[long]
+        to = np.cumsum(size)
+        out[long] = hashes(data[ranges(begin[long], size)], to - size, to)
+    return out
+
+
 def shingles(words_hash: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of each text and how many each has; a text of fewer words is one run, one of none has none."""
     n, docs = len(words_hash), len(counts)
