@@ -583,6 +583,17 @@ def test_lm_lanes_end_together():
     assert len(lm_scoring.train(m, docs, lanes=16, steps=8, piece=150)) <= -(-sum(len(x) + 1 for x in docs) // (16 * 8)) + 1
 
 
+def test_word_hashes_tell_words_apart():
+    r = np.random.default_rng(4)
+    words = [b"a" * n for n in range(1, 150)] + [b"a\0", b"a\0\0", b"\0"] + [bytes(r.integers(97, 99, n).astype(np.uint8)) for n in r.integers(1, 140, 500)]
+    for blank in (b" ", b"   "):  # wherever they stand
+        data = np.frombuffer(blank.join([*words, *words]), np.uint8)
+        begin, end, _ = spans.words(data, np.array([0, len(data)]))
+        for block in (7, 1 << 15):
+            got = spans.word_hashes(data, begin, end, block=block).tolist()
+            assert got[: len(words)] == got[len(words) :] and len(set(got)) == len(set(words))
+
+
 def test_lm_learns_from_every_row(spark):
     # No text fits into the sample that the network starts from, so all it knows of order comes from the other rows.
     long = [(i, "ab cd ef gh " * 3000 + f"n{i}") for i in range(24)]
