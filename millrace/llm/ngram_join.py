@@ -57,6 +57,8 @@ BITS, SKETCH_BLOCKS = 22, 64
 LEVEL_BLOCK, FILTER_BLOCK = 1 << 16, 1 << 10
 #: Postings that a task holds before it passes them on, postings of a part, and tokens of a block.
 CHUNK, PART, BLOCK = 1 << 21, 1 << 20, 1 << 20
+#: Postings, and rows of lists, that leave Python in one Arrow batch, about; the JVM holds a batch as a whole outside its heap.
+SENT_POSTINGS, SENT_ROWS = 1 << 16, 1 << 14
 #: What a candidate costs, in postings; how many others are expected to have a token that doesn't stand out, at least and by the
 #: deviation of the sketch's counts, among which they would hide; the choice of l.
 CANDIDATE, ORDINARY, HIDDEN = 3.0, 0.25, 0.1
@@ -105,32 +107,32 @@ class Sketch:
     """How often tokens of each of 2^BITS buckets occur, whatever the number of tokens."""
 
     def __init__(self):
-        self.counts, self._waiting, self._n = np.zeros(1 << BITS, np.uint64), [], 0
+        self.counts, self.any = np.zeros(1 << BITS, np.uint64), False
 
     def add(self, tokens: np.ndarray) -> None:
-        self._waiting.append((tokens >> np.uint64(64 - BITS)).astype(np.uint32))
-        self._n += len(tokens)
-        if self._n >= 1 << BITS:
-            self._flush()
-
-    def _flush(self) -> None:
-        if self._waiting:
-            self.counts += np.bincount(np.concatenate(self._waiting), minlength=1 << BITS).astype(np.uint64)
-        self._waiting, self._n = [], 0
+        """Counts in place; an array of counts for each call, or tokens that wait, would be as large as the sketch or larger."""
+        np.add.at(self.counts, (tokens >> np.uint64(64 - BITS)).astype(np.int64), np.uint64(1))
+        self.any |= len(tokens) > 0
 
     def blocks(self) -> list[bytes]:
-        self._flush()
-        return [zlib.compress(x.tobytes(), 1) for x in np.minimum(self.counts, 0xFFFFFFFF).astype("<u4").reshape(SKETCH_BLOCKS, -1)]
+        return [_packed(x) for x in self.counts.reshape(SKETCH_BLOCKS, -1)]
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the sketches' blocks."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.uint64)
-            sums[block] = sums[block] + own if block in sums else own
-    packed = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1) for x in sums.values()]
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            own = np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4")
+            if block in sums:
+                sums[block] += own
+            else:
+                sums[block] = own.astype(np.uint64)
+    packed = [_packed(x) for x in sums.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
 
 
@@ -153,20 +155,20 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             sketch.add(tokens[np.repeat(_first_of_each(nodes), n)])
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_content"), pa.array(n.astype(np.int64)), pa.array(nodes, mask=nodes == 0), *none], names)
-        if sketch.counts.any() or sketch._n:
+        if sketch.any:
             empty = [pa.nulls(SKETCH_BLOCKS, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(sketch.blocks(), pa.binary())], names)
 
     columns = F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_content"), F.col(text).alias("_text")
-    return docs.select(*columns).mapInArrow(run, "_id bigint, _content bigint, n bigint, node bigint, block int, counts binary")
+    return docs.select(*columns).mapInArrow(spans.alone(run), "_id bigint, _content bigint, n bigint, node bigint, block int, counts binary")
 
 
 def _levels(rows: DataFrame) -> tuple[np.ndarray, int, float]:
     """The level of each bucket, how many tokens there are, and how many others have an ordinary one.  Only the sketch, of fixed size, comes to the driver."""
     schema = "block int, counts binary"
-    sketches = rows.where("block IS NOT NULL").select("block", "counts").mapInArrow(_added, schema)
+    sketches = rows.where("block IS NOT NULL").select("block", "counts").mapInArrow(spans.alone(_added), schema)
     counts = np.zeros((SKETCH_BLOCKS, (1 << BITS) // SKETCH_BLOCKS), np.uint32)
-    packed = sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_added, schema).toArrow()
+    packed = sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(spans.alone(_added), schema).toArrow()
     for k in range(packed.num_rows):
         counts[packed.column("block")[k].as_py()] = np.frombuffer(zlib.decompress(packed.column("counts")[k].as_py()), "<u4")
     counts = counts.reshape(-1)
@@ -215,29 +217,42 @@ def _postings(docs: DataFrame, text: str, level: np.ndarray, ordinary: float, pa
     names = ["part", "is_long", "data"]
 
     def blocks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """Of what is held, which goes from there; it leaves a few parts at a time."""
         key, length, nodes, n, matches = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         first = _first_of_each(nodes)
-        key, length, nodes, n, matches = key[np.repeat(first, length)], length[first], nodes[first], n[first], matches[first]
-        doc = np.repeat(np.arange(len(nodes)), length)
-        bucket = (key >> np.uint64(20) & np.uint64(0xFFFFF)).astype(np.int64)
-        full = np.bincount(bucket, minlength=1 << 20) > short
-        some = np.flatnonzero(full[bucket])
+        if not first.all():
+            key, length, nodes, n, matches = key[np.repeat(first, length)], length[first], nodes[first], n[first], matches[first]
+        doc = np.repeat(np.arange(len(nodes), dtype=np.int32), length)
+        bucket = (key >> np.uint64(20)).astype(np.int32) & np.int32(0xFFFFF)
+        some = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) > short)[bucket])
+        del bucket
         unique, inverse, counts = np.unique(key[some], return_inverse=True, return_counts=True)
-        long_ = np.zeros(len(key), bool)
-        long_[some] = (counts > short)[inverse]
-        marks = unique[counts > short]
+        marks, at = unique[counts > short], some[(counts > short)[inverse]]
+        del some, unique, inverse, counts
         if len(marks):
-            at = np.flatnonzero(long_)
-            own = doc[at]
-            yield pa.RecordBatch.from_arrays([pa.array([int(marks[0] % np.uint64(parts))], pa.int32()), pa.array([True]), pa.array([_pack(key[at], nodes[own], n[own], matches[own])], pa.binary())], names)
-        key, doc = np.append(key[~long_], marks), np.append(doc[~long_], np.full(len(marks), -1))
+            to = pa.array([int(marks[0] % np.uint64(parts))], pa.int32())
+            for k in range(0, len(at), SENT_POSTINGS):
+                x = at[k : k + SENT_POSTINGS]
+                own = doc[x]
+                yield pa.RecordBatch.from_arrays([to, pa.array([True]), pa.array([_pack(key[x], nodes[own], n[own], matches[own])], pa.binary())], names)
+            short_ = np.ones(len(key), bool)
+            short_[at] = False
+            key, doc = np.append(key[short_], marks), np.append(doc[short_], np.full(len(marks), -1, np.int32))
+        del at
         part = (key % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
         order = np.argsort(part, kind="stable")
-        key, doc, part = key[order], doc[order], part[order]
-        node, n, matches = np.append(nodes, 0)[doc], np.append(n, 0)[doc], np.append(matches, 0)[doc]
-        bounds = np.append(np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)), len(part))
-        data = [_pack(key[x:y], node[x:y], n[x:y], matches[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(np.zeros(len(data), bool)), pa.array(data, pa.binary())], names)
+        bounds = np.append(0, np.cumsum(np.bincount(part)))
+        del part
+        nodes, n, matches = np.append(nodes, 0), np.append(n, 0), np.append(matches, 0)
+        some = np.flatnonzero(np.diff(bounds))
+        for own in np.split(some, np.flatnonzero(np.diff(bounds[some] // SENT_POSTINGS)) + 1) if len(some) else []:
+            data = []
+            for x, y in zip(bounds[own].tolist(), bounds[own + 1].tolist(), strict=True):
+                at = order[x:y]
+                d = doc[at]
+                data.append(_pack(key[at], nodes[d], n[d], matches[d]))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.zeros(len(data), bool)), pa.array(data, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -256,11 +271,11 @@ def _postings(docs: DataFrame, text: str, level: np.ndarray, ordinary: float, pa
             size += int(length.sum())
             if size >= CHUNK:
                 yield from blocks(held)
-                held, size = [], 0
+                size = 0
         if held:
             yield from blocks(held)
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "part int, is_long boolean, data binary")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(spans.alone(run), "part int, is_long boolean, data binary")
 
 
 _LIST_SCHEMA = "is_long boolean, x bigint, y bigint, nx bigint, ny bigint, lx bigint, ly bigint, c bigint"
@@ -270,10 +285,12 @@ def _lists(postings: DataFrame, short: int) -> DataFrame:
     """From blocks in the order of their parts: of short lists the pairs x < y with sizes, matches asked and how many they have in this
     part; of long ones x is the token and y the node."""
 
-    def out(is_long: bool, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), is_long)), *(pa.array(c.astype(np.int64)) for c in columns)], [f.split()[0] for f in _LIST_SCHEMA.split(", ")])
+    def out(is_long: bool, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(columns[0]), SENT_ROWS):
+            own = [c[k : k + SENT_ROWS].astype(np.int64) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), is_long)), *map(pa.array, own)], [f.split()[0] for f in _LIST_SCHEMA.split(", ")])
 
-    def members(token, node, n, matches) -> pa.RecordBatch:
+    def members(token, node, n, matches) -> Iterator[pa.RecordBatch]:
         zero = np.zeros(len(token), np.int64)
         return out(True, token.view(np.int64), node, n, zero, matches, zero, zero)
 
@@ -297,7 +314,7 @@ def _lists(postings: DataFrame, short: int) -> DataFrame:
         is_long |= marks[starts]
         rows = np.repeat(is_long, sizes) & (node != 0)
         if rows.any():
-            yield members(token[rows], node[rows], n[rows], matches[rows])
+            yield from members(token[rows], node[rows], n[rows], matches[rows])
         pairs = []
         for g in np.unique(sizes[~is_long & (sizes > 1)]).tolist():
             at = starts[~is_long & (sizes == g)][:, None]
@@ -310,14 +327,14 @@ def _lists(postings: DataFrame, short: int) -> DataFrame:
             new = np.flatnonzero(np.append(True, (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])))
             times = np.diff(np.append(new, len(i)))
             i, j = i[new], j[new]
-            yield out(False, node[i], node[j], n[i], n[j], matches[i], matches[j], times)
+            yield from out(False, node[i], node[j], n[i], n[j], matches[i], matches[j], times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
         for batch in batches:
             for own, is_long, data in zip(batch.column("part").to_pylist(), batch.column("is_long").to_pylist(), batch.column("data"), strict=True):
                 if is_long:
-                    yield members(*_unpack([data.as_py()]))
+                    yield from members(*_unpack([data.as_py()]))
                     continue
                 if own != part and held:
                     yield from lists(*_unpack(held))
@@ -327,7 +344,7 @@ def _lists(postings: DataFrame, short: int) -> DataFrame:
         if held:
             yield from lists(*_unpack(held))
 
-    return postings.mapInArrow(run, _LIST_SCHEMA)
+    return postings.mapInArrow(spans.alone(run), _LIST_SCHEMA)
 
 
 def _bits(values: DataFrame) -> np.ndarray:
@@ -362,7 +379,7 @@ def _node_sets(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(own[first]), pa.array(each, pa.binary())], ["node", "tokens"])
 
     source = docs.select(_key(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("key"), F.col(text).alias("_text"))
-    return source.mapInArrow(run, "node bigint, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return source.mapInArrow(spans.alone(run), "node bigint, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, node_sets: DataFrame, percent: int) -> DataFrame:
@@ -380,7 +397,7 @@ def _verified(pairs: DataFrame, node_sets: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(linked) for c in ("a", "b")], ["a", "b"])
 
     sa, sb = node_sets.toDF("a", "ta"), node_sets.toDF("b", "tb")
-    return pairs.select("a", "b").distinct().join(sa, "a").join(sb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").distinct().join(sa, "a").join(sb, "b").select("a", "b", "ta", "tb").mapInArrow(spans.alone(run), "a bigint, b bigint")
 
 
 def _sizes_fit(x: str, y: str, percent: int) -> Column:
@@ -496,13 +513,13 @@ def _in_blocks(members: DataFrame, node_sets: DataFrame, percent: int, block: in
         yield links()
 
     order = ["leader", "i", "j"]
-    return groups.repartition(*order).sortWithinPartitions(*order).select(*order, "node", "label", "tokens").mapInArrow(run, "a bigint, b bigint")
+    return groups.repartition(*order).sortWithinPartitions(*order).select(*order, "node", "label", "tokens").mapInArrow(spans.alone(run), "a bigint, b bigint")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short: int = SHORT, rounds: int = ROUNDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, links): _id, _content, n, node and label of each document, and verified links (a, b) between nodes, enough to connect all that link."""
     spark = docs.sparkSession
-    spans.prepare(spark)
+    spans.prepare(spark, by_bytes=True)
     docs = docs.select(doc_id, text)
     found_rows = written(signatures(docs, doc_id, text), "signatures")
     rows = found_rows.where("block IS NULL").drop("block", "counts")

@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, **of) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """All rows and columns of `docs`, with the probability of label 1 added."""
     spark = docs.sparkSession
-    spans.prepare(spark)
+    spans.prepare(spark, by_bytes=True)
     shared = spark.sparkContext.broadcast(model)  # of fixed size
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])

@@ -7,6 +7,8 @@ unless an encoder sees it for the first time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of a batch that Arrow hands to Python at once, where `prepare` is asked for that; a longer row is a batch of its own.
+BATCH_BYTES = 1 << 20
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
@@ -25,9 +29,10 @@ _INVERSE = pow(_ROOT, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def prepare(spark) -> None:
+def prepare(spark, by_bytes: bool = False) -> None:
     """Before Python runs on the executors: sends them this package, once a session, and bounds
-    what Arrow hands to Python at once, also with very long texts."""
+    what Arrow hands to Python at once: by rows, and `by_bytes`, as rows may be long texts, sets or blocks of postings.
+    The JVM gathers a batch outside its heap, in vectors that double as they grow."""
     sc = spark.sparkContext
     if getattr(sc, "_millrace_sent", None) is None:
         sc._millrace_sent = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace.zip"
@@ -38,6 +43,8 @@ def prepare(spark) -> None:
         sc.addPyFile(str(sc._millrace_sent))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if by_bytes and spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -316,6 +323,25 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drops what `kept` holds, and gives memory that nothing holds back to the system; else an idle worker stays as large as its largest task made it."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for tasks that need nothing of what others left in their worker, and leave nothing there."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+        forget()
+
+    return own
+
+
 def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of the values of each text's spans; counts: how many each text has."""
     run = np.concatenate([[0], np.cumsum(values)])

@@ -278,7 +278,7 @@ def _char_bytes(lead):
 def encode_decode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids_crc32 and round_trip (decoding gives the text again); with keep also ids and decoded text."""
     spark = docs.sparkSession
-    spans.prepare(spark)
+    spans.prepare(spark, by_bytes=True)
     shared = spark.sparkContext.broadcast((pieces, build_trie(pieces)))  # a vocabulary of fixed size
     schema = f"{doc_id} bigint, n_pieces bigint, n_byte_pieces bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<int>, decoded string" * keep
 
